@@ -36,6 +36,18 @@ md AS (
 SELECT doc_id, size, source_size, target, (whole + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) * size AS taken FROM md
 """
 
+OP4 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_SPLIT.format("text")} AS w FROM documents),
+wins AS (SELECT r, doc_id, i, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS win FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM docs WHERE len(w) >= 13)),
+firsts AS (SELECT win, min(doc_id) AS first FROM wins GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(generate_series(i, i + 12)) AS p FROM wins JOIN firsts USING (win) WHERE first < doc_id)),
+words AS (SELECT r, p, w[p] AS word FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS p FROM docs)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+
 _TOKENS = r"list_filter(string_split_regex(translate({0}, '" + _UPPER + "', '" + _LOWER + r"'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 OP7 = f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_TOKENS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -66,4 +78,4 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END
 FROM marked GROUP BY r, doc_id
 """
 
-ORACLES = {"op3_mixing": OP3, "op7_decontaminate": OP7, "op8_line_dedup": OP8}
+ORACLES = {"op3_mixing": OP3, "op4_substring_dedup": OP4, "op7_decontaminate": OP7, "op8_line_dedup": OP8}

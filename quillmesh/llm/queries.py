@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, line_dedup, mixing, quality, simhash
-from .common import table
+from . import avi, chat, decontaminate, line_dedup, mixing, quality, simhash, substring_dedup, suffix_tree, surrogates
+from .common import remainder, table
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of all conversations, parsed by a model learnt from those whose crc32(conv_id) mod 4 is not 2."""
+    raw = chat.transcripts(table(spark, sf_dir, "conversations"))
+    held_out = F.coalesce(remainder("conv_id", 4) == 2, F.lit(False))
+    parsed = chat.parse(raw, chat.fit(raw.where(~held_out)))
+    sizes = [F.size("lines").alias("n_lines"), chat.agreement(parsed).alias("n_agree"), F.size("turns").alias("n_found")]
+    return parsed.select("conv_id", "part", held_out.alias("held_out"), "n_turns", *sizes, "chat")
+
+
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.verdicts(found).select("_row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -42,6 +61,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("_row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op7_decontaminate, op8_line_dedup)}
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = surrogates.anonymise(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", F.size("spans").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"))
+
+
+def op10_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.digests(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_quality, op2_simhash, op3_mixing, op4_substring_dedup, op5_chat, op6_suffix_tree, op7_decontaminate, op8_line_dedup, op9_surrogates, op10_avi)
+QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {**ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
