@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors
@@ -42,6 +44,23 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
+def biased_pick(p: float, q: float):
+    """The neighbour at share u of the weights' mass, linear in the neighbours: batches of Arrow, sorted lists, no pairs."""
+
+    def pick(nbrs: pa.Array, back: pa.Array, back_nbrs: pa.Array, u: pa.Array) -> pa.Array:
+        out = []
+        for near, before, known, share in zip(nbrs.to_pylist(), back.to_pylist(), back_nbrs.to_pylist(), u.to_pylist(), strict=True):
+            if not near:
+                out.append(None)
+                continue
+            seen = set(known or ())
+            mass = np.cumsum([1.0 if before is None or x in seen and x != before else 1.0 / p if x == before else 1.0 / q for x in near])
+            out.append(near[min(int(np.searchsorted(mass, share * mass[-1], "right")), len(near) - 1)])
+        return pa.array(out, pa.string())
+
+    return pick
+
+
 def walks(edges: DataFrame, num_walks: int = 25, walk_length: int = 10, seed: int = 42, directed: bool = True, p: float = 1.0, q: float = 1.0, pick: str = "hash") -> DataFrame:
     """(start, walk, path): each step one join of all walks with the adjacency; a walk ends where no edge leads on.
 
@@ -52,6 +71,7 @@ def walks(edges: DataFrame, num_walks: int = 25, walk_length: int = 10, seed: in
     adj = adjacency(edges, directed)
     w = starts(edges, num_walks).withColumns({"cur": F.col("start"), "path": F.array("start"), "done": F.lit(False), "back": F.lit(None).cast("string"), "back_nbrs": F.array().cast("array<string>")})
     biased = p != 1.0 or q != 1.0
+    picker = F.arrow_udf(biased_pick(p, q), "string") if biased else None
     for step in range(1, walk_length):
         j = w.join(adj, w["cur"] == adj["node"], "left")
         deg = F.size("nbrs")
@@ -63,11 +83,7 @@ def walks(edges: DataFrame, num_walks: int = 25, walk_length: int = 10, seed: in
             if not biased:
                 nxt = F.get("nbrs", F.floor(u * deg).cast("int"))
             else:
-                weights = F.transform("nbrs", lambda x: F.when(F.col("back").isNull(), 1.0).when(x == F.col("back"), 1.0 / p).when(F.array_contains("back_nbrs", x), 1.0).otherwise(1.0 / q))
-                total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-                # how many running sums stay at or below the drawn mass
-                drawn = F.aggregate(weights, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["i"] + F.when(a["s"] + x <= u * total, 1).otherwise(0)).alias("i")))["i"]
-                nxt = F.get("nbrs", F.least(drawn, deg - 1))
+                nxt = picker(F.col("nbrs"), F.col("back"), F.col("back_nbrs"), u)
         ends = F.col("done") | F.col("nbrs").isNull()
         w = j.select(
             "start",

@@ -89,7 +89,7 @@ def id_map(pairs: DataFrame, key: str, value: str, seq: str) -> DataFrame:
 
 
 def scored_interactions(pairs: DataFrame, a: str, b: str, score: str, seq: str, min_score: int = 0, allowed: DataFrame | None = None, relation: str = INTERACTS, upper: bool = False) -> DataFrame:
-    """Undirected edges in canonical order; of equal pairs the first by seq stays."""
+    """Undirected edges in canonical order; of equal pairs the first by seq stays, the lower score of equal seq."""
     name = (lambda c: F.upper(F.col(c))) if upper else F.col
     low, high = ids.canonical_pair(ids.protein_id(name(a)), ids.protein_id(name(b)))
     from ..functions.numeric import to_count
@@ -98,7 +98,7 @@ def scored_interactions(pairs: DataFrame, a: str, b: str, score: str, seq: str,
     e = e.select(low.alias("source"), high.alias("target"), F.lit(relation).alias("relation"), to_count(F.col(score)).alias("confidence_score"), F.col(seq).alias("_seq"))
     e = e.where(F.col("confidence_score") >= min_score)
     e = allowed_only(allowed_only(e, allowed, "source"), allowed, "target")
-    return keep_first(e, ["source", "target", "relation"], [F.col("_seq").asc()]).select("source", "target", "relation", "confidence_score")
+    return keep_first(e, ["source", "target", "relation"], [F.col("_seq").asc(), F.col("confidence_score").asc()]).select("source", "target", "relation", "confidence_score")
 
 
 def coevolution_edges(pairs: DataFrame, mapping: DataFrame, allowed: DataFrame | None = None, min_evidence: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -27,8 +28,10 @@ def fit_pair_model(rows: DataFrame, c: float = 1.0) -> np.ndarray:
     total = counts.agg(F.sum("n_label").alias("n"), F.count(F.lit(1)).alias("k"))
     weighted = rows.join(F.broadcast(counts), "label").crossJoin(F.broadcast(total))
     data = weighted.select(F.col("label").cast("double").alias("label"), (F.col("n") / (F.col("k") * F.col("n_label"))).alias("w"), array_to_vector(F.concat("features", F.array(F.lit(1.0)))).alias("x"))
-    n = rows.count()
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, fitIntercept=False, standardization=False, maxIter=200, tol=1e-10).fit(data)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
+    n = data.count()
+    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, fitIntercept=False, standardization=False, maxIter=200, tol=1e-7).fit(data)
+    data.unpersist()
     return np.array(model.coefficients.toArray())
 
 

@@ -101,10 +101,10 @@ s{f} AS (SELECT DISTINCT 'PROTEIN:S' || l_suppkey AS kinase_node_id, 'U' || o_cu
 h{f} AS (SELECT kinase_node_id, count(*) AS n, avg(fc) AS ms FROM s{f} JOIN lf USING (site_node_id) GROUP BY 1 HAVING count(*) >= 3),
 z{f} AS (SELECT *, (ms - gm) * sqrt(CAST(n AS DOUBLE)) / sd AS z FROM h{f}, g{f}),
 q{f} AS (SELECT *, {TAIL} AS p FROM z{f}),
-i{f} AS (SELECT *, row_number() OVER (ORDER BY p, kinase_node_id) AS i, count(*) OVER () AS c FROM q{f}),
+ix{f} AS (SELECT *, row_number() OVER (ORDER BY p, kinase_node_id) AS i, count(*) OVER () AS c FROM q{f}),
 k{f} AS (
   SELECT kinase_node_id, substr(kinase_node_id, 9) AS kinase, n AS n_substrates_in_dataset, ms AS mean_substrate_fc, gm AS global_mean_fc, z AS ksea_score, p AS p_value,
-    min(least(1.0::DOUBLE, p * c / i)) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS adj_p_value FROM i{f})"""
+    min(least(1.0::DOUBLE, p * c / i)) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS adj_p_value FROM ix{f})"""
 
 
 def _rates(denominator: str) -> str:
@@ -208,7 +208,7 @@ ORACLES: dict[str, str] = {
     "pathway_token_edges": f"""WITH {SITES}, x AS (SELECT DISTINCT l_orderkey AS g, site_node_id AS i FROM lineitem JOIN ps ON l_partkey = partkey), ok AS (SELECT g FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50)
       SELECT DISTINCT a.i AS source, b.i AS target, 'site_same_pathway' AS relation FROM x a JOIN x b ON a.g = b.g AND a.i < b.i JOIN ok ON a.g = ok.g""",
     "scored_interactions": """WITH x AS (SELECT 'PROTEIN:S' || a.l_suppkey AS a, 'PROTEIN:S' || b.l_suppkey AS b, CAST(a.l_quantity AS BIGINT) AS s, a.l_orderkey * 100 + a.l_linenumber AS seq FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE a.l_suppkey <> b.l_suppkey AND a.l_quantity >= 10)
-      SELECT least(a, b) AS source, greatest(a, b) AS target, 'ppi_high_confidence' AS relation, s AS confidence_score FROM x QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY seq) = 1""",
+      SELECT least(a, b) AS source, greatest(a, b) AS target, 'ppi_high_confidence' AS relation, s AS confidence_score FROM x QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY seq, s) = 1""",
     "id_map_mode": """WITH x AS (SELECT l_partkey, l_suppkey, count(*) AS c, min(l_orderkey * 100 + l_linenumber) AS s FROM lineitem GROUP BY 1, 2)
       SELECT l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_partkey) AS n_values FROM x QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY c DESC, s) = 1""",
     "mapped_edges_fallback": """SELECT c_custkey, raw, coalesce(n_name, raw) AS gene FROM (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 2 = 0 THEN '9606.ENSP' ELSE 'ENSP' END || c_nationkey AS raw FROM customer) LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20""",
@@ -242,7 +242,7 @@ ORACLES: dict[str, str] = {
     "pair_features": f"""WITH {VECTORS}, x AS (SELECT p.*, {PAIR_SUMS} FROM pos p JOIN v k ON k.node_id = p.kinase_node_id JOIN v s ON s.node_id = p.site_node_id)
       SELECT kinase_node_id, site_node_id, CAST(64 AS BIGINT) AS n, round(sum_k, 6) AS sum_k, round(sum_s, 6) AS sum_s, round(sum_diff, 6) AS sum_diff, round(sum_prod, 6) AS sum_prod FROM x""",
     "training_matrix": f"""WITH {VECTORS}, s0 AS (SELECT DISTINCT site_node_id FROM pos), k0 AS (SELECT node_id AS kinase_node_id FROM v WHERE vec_id < 50),
-      ng AS (SELECT kinase_node_id, site_node_id FROM k0, s0 ANTI JOIN pos USING (kinase_node_id, site_node_id) QUALIFY row_number() OVER (PARTITION BY site_node_id ORDER BY kinase_node_id) <= 20),
+      ng AS (SELECT kinase_node_id, site_node_id FROM (SELECT * FROM k0, s0) ANTI JOIN pos USING (kinase_node_id, site_node_id) QUALIFY row_number() OVER (PARTITION BY site_node_id ORDER BY kinase_node_id) <= 20),
       al AS (SELECT kinase_node_id, site_node_id, 1 AS label FROM pos UNION ALL SELECT kinase_node_id, site_node_id, 0 FROM ng),
       x AS (SELECT al.*, {PAIR_SUMS} FROM al JOIN v k ON k.node_id = kinase_node_id JOIN v s ON s.node_id = site_node_id)
       SELECT site_node_id, CAST(label AS BIGINT) AS label, count(*) AS n, round(sum(sum_k + sum_s + sum_diff + sum_prod), 6) AS total FROM x GROUP BY 1, 2""",
