@@ -40,8 +40,8 @@ def anchors(h: np.ndarray, window: int, phrase: int) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits for each window."""
-    return rolled(h, window, SECOND), (rolled(scrambled(h), window, THIRD) >> U64(32)).astype(np.int64)
+    """Eighty bits for each window: what is shuffled most is kept short."""
+    return rolled(h, window, SECOND), (rolled(scrambled(h), window, THIRD) >> U64(48)).astype(np.int16)
 
 
 def texts_of(table: pa.Table) -> Iterator[tuple[int | None, bytes]]:
@@ -81,7 +81,7 @@ def second_pass(window: int, phrase: int):
                 two.append(w2[at])
                 low.append(np.full(len(at), doc, np.int64))
         if not one:
-            return pa.table({k: pa.array([], t) for k, t in (("w1", pa.int64()), ("w2", pa.int64()), ("cell", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()))})
+            return pa.table({k: pa.array([], t) for k, t in (("w1", pa.int64()), ("w2", pa.int16()), ("cell", pa.int32()), ("lo", pa.int64()), ("many", pa.bool_()))})
         w1, w2, doc = np.concatenate(one), np.concatenate(two), np.concatenate(low)
         order = np.lexsort((doc, w2, w1))
         w1, w2, doc = w1[order], w2[order], doc[order]
@@ -89,7 +89,7 @@ def second_pass(window: int, phrase: int):
         start = np.flatnonzero(new)
         last = np.concatenate([start[1:], [len(w1)]]) - 1
         cell = table.column("cell")[0].as_py()
-        return pa.table({"w1": w1[start].view(np.int64), "w2": w2[start], "cell": np.full(len(start), cell, np.int32), "lo": doc[start], "hi": doc[last]})
+        return pa.table({"w1": w1[start].view(np.int64), "w2": w2[start], "cell": np.full(len(start), cell, np.int32), "lo": doc[start], "many": doc[last] > doc[start]})
 
     return candidates
 
@@ -183,7 +183,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     seen = cells.groupBy("cell").applyInArrow(first_pass(window, phrase), "h long, cell int, many boolean")
     by_anchor = W.partitionBy("h")
     again = seen.select("h", "cell", ((F.count(F.lit(1)).over(by_anchor) > 1) | F.max("many").over(by_anchor)).alias("recurs")).where("recurs").select("cell", "h")
-    found = cells.groupBy("cell").cogroup(again.groupBy("cell")).applyInArrow(second_pass(window, phrase), "w1 long, w2 long, cell int, lo long, hi long")
+    found = cells.groupBy("cell").cogroup(again.groupBy("cell")).applyInArrow(second_pass(window, phrase), "w1 long, w2 short, cell int, lo long, many boolean")
     first = F.min("lo").over(W.partitionBy("w1", "w2"))
-    confirmed = found.withColumn("first", first).where("first < hi").select("cell", "w1", "w2", "first")
+    confirmed = found.withColumn("first", first).where("first < lo or many").select("cell", "w1", "w2", "first")
     return cells.groupBy("cell").cogroup(confirmed.groupBy("cell")).applyInArrow(third_pass(window), "doc_id long, n_words long, removed array<struct<start:int,stop:int>>, kept binary")
