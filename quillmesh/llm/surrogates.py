@@ -41,7 +41,7 @@ ADDRESS = {"f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Mme", "Madame", "S
 
 LETTER = r"[^\W\d_]"
 CAPITAL = r"[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]"
-NAME_WORD = rf"{CAPITAL}{LETTER}+(?:[-'’]{CAPITAL}{LETTER}+)*"
+NAME_WORD = rf"{CAPITAL}(?:{LETTER}+(?:[-'’]{CAPITAL}{LETTER}+)*|['’]{CAPITAL}{LETTER}+)"
 FORMS = "|".join(re.escape(x) for xs in ADDRESS.values() for x in sorted(xs, key=len, reverse=True))
 KNOWN = "|".join(n for ns in GIVEN.values() for n in ns)
 #: In order of precedence. What is permuted is the whole match, or its group where there is one.
