@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors
@@ -118,12 +119,16 @@ class WalkEmbedding:
         return model.getVectors().select(F.col("word").alias("node_id"), vector_to_array("vector").alias("vec"))
 
 
+#: Nodes up to which the eigenvectors are found on the driver, of a dense matrix (72 MB).
+DENSE = 3000
+
+
 @dataclass
 class SpectralEmbedding:
     """Eigenvectors of the normalised Laplacian after the first, by the singular vectors of 2I - L = I + D^-1/2 A D^-1/2.
 
     That matrix is positive semidefinite, so its largest singular values belong to the least eigenvalues. Its rows stay
-    distributed; the driver holds nodes x (dimensions + 1) numbers.
+    distributed and cached; the driver holds nodes x (dimensions + 1) numbers. Up to DENSE nodes the driver solves it directly.
     """
 
     dimensions: int = 32
@@ -141,10 +146,18 @@ class SpectralEmbedding:
         a = e.join(degree, "source").join(degree.select(F.col("source").alias("target"), F.col("d").alias("dt")), "target")
         a = a.select("source", "target", (1.0 / F.sqrt(F.col("d").cast("double") * F.col("dt"))).alias("w"))
         a = a.join(nodes.select(F.col("node").alias("source"), F.col("i").alias("row")), "source").join(nodes.select(F.col("node").alias("target"), F.col("i").alias("col")), "target")
-        diagonal = nodes.select(F.col("i").alias("row"), F.col("i").alias("col"), F.lit(1.0).alias("w"))
-        rows = a.select("row", "col", "w").unionByName(diagonal).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "w"))).alias("x")).orderBy("row")
-        matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(n, [(int(c), float(v)) for c, v in r.x])), n, n)
-        v = matrix.computeSVD(k).V.toArray()
+        if n <= DENSE:
+            dense = np.eye(n)
+            for r in a.select("row", "col", "w").toLocalIterator():  # at most DENSE squared
+                dense[r.row, r.col] = r.w
+            v = np.linalg.eigh(dense)[1][:, ::-1][:, :k]
+        else:
+            diagonal = nodes.select(F.col("i").alias("row"), F.col("i").alias("col"), F.lit(1.0).alias("w"))
+            rows = a.select("row", "col", "w").unionByName(diagonal).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "w"))).alias("x"))
+            sparse = rows.rdd.map(lambda r: Vectors.sparse(n, [(int(c), float(v)) for c, v in r.x])).persist(StorageLevel.MEMORY_AND_DISK)
+            # A'A has the rows' eigenvectors whatever their order
+            v = RowMatrix(sparse, n, n).computeSVD(k).V.toArray()
+            sparse.unpersist()
         out = [(i, [float(x) for x in v[i, 1:]]) for i in range(n)]
         spark = edges.sparkSession
         vectors = spark.createDataFrame(out, "i long, vec array<double>")

@@ -112,7 +112,9 @@ def test_walk_stops_at_sink(spark):
     assert rows(long) == [("a", 0, list("ababa")), ("b", 0, list("babab"))]
 
 
-def test_spectral_eigenvectors(spark):
+@pytest.mark.parametrize("dense", [3000, 0])
+def test_spectral_eigenvectors(spark, monkeypatch, dense):
+    monkeypatch.setattr(embedding, "DENSE", dense)
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a"), ("a", "c")]
     e = spark.createDataFrame(pairs, "source string, target string")
     v = {r.node_id: r.vec for r in embedding.SpectralEmbedding(2).fit(e).collect()}
