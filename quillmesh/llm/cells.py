@@ -8,6 +8,7 @@ share the exchange); a key, however common, is one row for each cell that holds
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import xxhash
@@ -46,7 +47,7 @@ class WordHashes:
             for i, h in enumerate(found):
                 if h is None:
                     found[i] = memo[words[i]] = digest(words[i])
-        return np.array(found, U64)
+        return np.frombuffer(array("Q", found), U64)
 
 
 def scrambled(h: np.ndarray) -> np.ndarray:
@@ -58,7 +59,9 @@ def scrambled(h: np.ndarray) -> np.ndarray:
 
 def rolled(h: np.ndarray, n: int, factor: int) -> np.ndarray:
     """Hashes of all runs of n values, modulo 2^64."""
-    out = np.zeros(max(0, len(h) - n + 1), U64)
+    size = max(0, len(h) - n + 1)
+    out, factor = np.zeros(size, U64), U64(factor)
     for j in range(n):
-        out = out * U64(factor) + h[j : j + len(out)]
+        out *= factor
+        out += h[j : j + size]
     return out
