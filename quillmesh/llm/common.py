@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the folder of spark.checkpoint.dir (where it is unset, as in tests, in that of cut), read again."""
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillmesh"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes, null as none: what Python workers get, without decoding."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -1,14 +1,17 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The root is the distribution of single words, each count plus a half. A context of one or two words is a state of the tree
-if (a) it is frequent: its words, and the pairs and triples counted with it, have at least a given share of all tokens, which
-bounds the tree at every corpus size (at most 1/share entries for each depth), and (b) a divergence test holds: the words
-that follow it differ from what its suffix predicts, by KL and by G2. A state's distribution keeps its frequent next words, each less a discount, and
-leaves the rest to the distribution of its suffix; a token is scored by the longest suffix of its history that is a state.
+The root is the distribution of single words, each count plus a half. A context of one or two words is a state of the tree if
+(a) it and some words after it occur at least `least` times, which is the same number at every corpus size, so that the tree
+grows with the corpus; and (b) a divergence test holds: the words that follow it differ from what its suffix predicts, by KL
+and by G2. A state's distribution keeps those next words, each count less a discount, and leaves the rest to the distribution
+of its suffix; a token is scored by the longest suffix of its history that is a state.
 
-Counts are made over all training documents: words are brought together by hash, and only the frequent are collected (bounded
-by the shares). To score, cells of documents send the hashes of their rarer words with their own counts and get back the
-counts of those that other cells hold too; the frequent are broadcast.
+The tree is a set of tables (words, pairs, triples, states) and nothing of it is collected or broadcast. Cells of documents
+send their distinct words, then their distinct pairs of words frequent enough, then triples of frequent pairs, each to be
+counted over all training documents; states are found by joins of what is frequent; and each cell gets back the counts and
+states of what stands in it. A word, pair or triple, however common, is one row for each cell that holds it.
+
+Frequent words are numbered below 2^31, enough for two thousand million of them.
 
 Defined cases: null and empty texts have one token, the end; doc_id is integral; rows with a null doc_id are learnt from
 and are not held out; without training tokens, known words are none and every token's share is 0.5 / 0.5; other columns are not read.
@@ -17,250 +20,275 @@ and are not held out; without training tokens, known words are none and every to
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .cells import U64, WordHashes, dealt
-from .common import remainder, small_batches, text_bytes
+from .common import remainder, written
 
 #: A line feed is in no word, so it stands for the end.
-END = xxhash.xxh64_intdigest(b"\n")
-#: Shares of all tokens from which a word is frequent, a word may stand in a context of two, and a pair or triple is kept.
-WORD_SHARE, INNER_SHARE, ENTRY_SHARE = 2e-5, 2e-4, 4e-6
+END = U64(xxhash.xxh64_intdigest(b"\n"))
+#: Occurrences from which words, pairs and triples count as frequent.
+LEAST = 32
 #: Divergence tests: nats for each occurrence, and nats in all; discount of an entry.
 MIN_KL, MIN_G2, DISCOUNT = 0.02, 10.0, 0.5
+#: Word numbers are dealt out in so many series at once.
+SERIES = 1 << 14
+#: A pair is one long: the first word's number, then the second's.
+SHIFT, MASK = 32, (1 << 32) - 1
+WORD_ROW, PAIR_ROW, TRIPLE_ROW = 1, 2, 3
+NO_STATE = -1.0
 
 
 @dataclass
 class Tree:
-    """Arrays sorted by key; word numbers are places in `words`."""
+    """words (cell, h, n, c, number, lead), pairs (cell, pair, c, lead), triples (cell, pair, next, c, lead) and the states of
+    one word (number, rest) and of two (pair, rest). c counts all training documents, n those of the cell; lead marks one row
+    of each h, pair or triple."""
 
     total: int
     distinct: int
-    words: np.ndarray
-    counts: np.ndarray
-    pair_keys: np.ndarray
-    pair_counts: np.ndarray
-    triple_keys: np.ndarray
-    triple_counts: np.ndarray
-    state1: np.ndarray
-    rest1: np.ndarray
-    state2: np.ndarray
-    rest2: np.ndarray
-
-    @property
-    def denominator(self) -> float:
-        return self.total + 0.5 * (self.distinct + 1)
-
-    def number(self, h: np.ndarray) -> np.ndarray:
-        return places(self.words, h)
-
-    def pairs(self, ids: np.ndarray) -> np.ndarray:
-        """For each token but the first: the place of the pair it ends, or -1."""
-        return places(self.pair_keys, np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * len(self.words) + ids[1:], -1))
-
-    def log10(self, ids: np.ndarray, counts: np.ndarray) -> float:
-        """Of the tokens in order: word numbers (-1: not frequent) and counts."""
-        root = (counts + 0.5) / self.denominator
-        p = root.copy()
-        if len(ids) > 1 and len(self.words):
-            pair = self.pairs(ids)
-            one = self.after(ids[:-1], pair, root[1:], self.counts, self.pair_counts, self.state1, self.rest1)
-            p[1:] = one
-            if len(ids) > 2 and len(self.triple_keys):
-                triple = places(self.triple_keys, np.where((pair[:-1] >= 0) & (ids[2:] >= 0), pair[:-1] * len(self.words) + ids[2:], -1))
-                p[2:] = self.after(pair[:-1], triple, one[1:], self.pair_counts, self.triple_counts, self.state2, self.rest2)
-        return float(np.log10(p).sum())
-
-    @staticmethod
-    def after(context: np.ndarray, entry: np.ndarray, shorter: np.ndarray, of_context: np.ndarray, of_entry: np.ndarray, state: np.ndarray, rest: np.ndarray) -> np.ndarray:
-        """Probabilities in the context's state, or the shorter suffix's where it is none."""
-        if not len(of_context):
-            return shorter
-        known = (context >= 0) & state[context]
-        kept = np.where(entry >= 0, of_entry[entry] - DISCOUNT, 0.0) if len(of_entry) else 0.0
-        return np.where(known, (kept + rest[context] * shorter) / of_context[context], shorter)
+    words: DataFrame
+    pairs: DataFrame
+    triples: DataFrame
+    states1: DataFrame
+    states2: DataFrame
+
+
+# --- within a cell -------------------------------------------------------------------------------------------------------
 
 
 def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in sorted keys, or -1."""
     if not len(keys):
         return np.full(len(wanted), -1)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, at, -1)
 
 
-def hashed(hashes: WordHashes, text: bytes) -> np.ndarray:
-    return np.append(hashes(text.lower().split()), U64(END))
+def gather(values: np.ndarray, at: np.ndarray, other: float) -> np.ndarray:
+    """values[at], and other where at is -1."""
+    return np.where(at >= 0, values[at], other) if len(values) else np.full(len(at), other)
 
 
-def counted(table: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in table.items()})
+def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens of a cell, an end after each text, and the number of tokens of each text."""
+    hashes, parts = WordHashes(), []
+    for text in table.column("text"):
+        parts.append(np.append(hashes(text.as_py().lower().split()), END))
+    return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, n) of every distinct token of a table with text as bytes."""
+def learnt(table: pa.Table, lengths: np.ndarray) -> np.ndarray:
+    """For each token: whether it is learnt from."""
+    return np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), lengths)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            h = [hashed(hashes, t.as_py()) for t in b.column("text")]
-            if h:
-                keys, n = np.unique(np.concatenate(h), return_counts=True)
-                yield counted({"h": keys.view(np.int64), "n": n})
 
-    return texts.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys without repeats, and how often each is learnt from."""
+    known, at = np.unique(keys, return_inverse=True)
+    return known, np.bincount(at, train, len(known)).astype(np.int64)
 
 
-def run_counts(texts: DataFrame, words: np.ndarray, inner: np.ndarray) -> DataFrame:
-    """(order, key, n): pairs of frequent words, and triples whose words are all frequent enough for long contexts."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, inner))
+def pairs_of(numbers: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each token but the last: the pair it begins, or -1 where a word isn't frequent or the text ends between."""
+    first, second = numbers[:-1], numbers[1:]
+    return np.where((first >= 0) & (second >= 0) & (h[:-1] != END), (first << SHIFT) | second, -1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, inner = shared.value
-        hashes, size = WordHashes(), len(words)
-        for b in batches:
-            two, three = [], []
-            for t in b.column("text"):
-                ids = places(words, hashed(hashes, t.as_py()))
-                both = (ids[:-1] >= 0) & (ids[1:] >= 0)
-                two.append((ids[:-1] * size + ids[1:])[both])
-                frequent = (ids >= 0) & inner[ids]
-                every = frequent[:-2] & frequent[1:-1] & frequent[2:]
-                three.append(((ids[:-2] * size + ids[1:-1]) * size + ids[2:])[every])
-            for order, keys in ((2, two), (3, three)):
-                if keys:
-                    k, n = np.unique(np.concatenate(keys), return_counts=True)
-                    yield counted({"order": np.full(len(k), order, np.int32), "key": k.astype(np.int64), "n": n})
 
-    return texts.select("text").mapInArrow(count, "order int, key long, n long").groupBy("order", "key").agg(F.sum("n").alias("n"))
+class Back:
+    """What a cell gets back, by kind of row, sorted by key."""
 
+    def __init__(self, table: pa.Table) -> None:
+        self.table, self.kind = table, table.column("kind").to_numpy()
+
+    def sorted_by(self, kind: int, view: type, *columns: str) -> list[np.ndarray]:
+        at = np.flatnonzero(self.kind == kind)
+        key = self.table.column("key").to_numpy()[at].view(view)
+        order = np.argsort(key, kind="stable")
+        return [key[order], *(self.table.column(c).to_numpy()[at][order] for c in columns)]
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        keys, number = self.sorted_by(WORD_ROW, U64, "next")
+        return gather(number.astype(np.int64), places(keys, h), -1).astype(np.int64)
+
+
+def cell_of(table: pa.Table, n: int) -> np.ndarray:
+    return np.full(n, table.column("cell")[0].as_py(), np.int32)
+
+
+def send_words(table: pa.Table) -> pa.Table:
+    h, lengths = tokens(table)
+    h, n = distinct(h, learnt(table, lengths))
+    return pa.table({"h": h.view(np.int64), "cell": cell_of(table, len(h)), "n": n})
+
+
+def send_pairs(table: pa.Table, back: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        return pa.table({"pair": pa.array([], pa.int64()), "cell": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+    h, lengths = tokens(table)
+    pair = pairs_of(Back(back).numbers(h), h)
+    there = pair >= 0
+    pair, n = distinct(pair[there], learnt(table, lengths)[:-1][there])
+    return pa.table({"pair": pair, "cell": cell_of(table, len(pair)), "n": n})
+
+
+def send_triples(table: pa.Table, back: pa.Table) -> pa.Table:
+    if not table.num_rows:
+        return pa.table({"pair": pa.array([], pa.int64()), "next": pa.array([], pa.int32()), "cell": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+    h, lengths = tokens(table)
+    got = Back(back)
+    numbers = got.numbers(h)
+    known = got.sorted_by(PAIR_ROW, np.int64)[0]
+    at = places(known, pairs_of(numbers, h))
+    there = (at[:-1] >= 0) & (at[1:] >= 0)
+    key, n = distinct(((at[:-1] << SHIFT) | numbers[2:])[there], learnt(table, lengths)[:-2][there])
+    return pa.table({"pair": known[key >> SHIFT], "next": (key & MASK).astype(np.int32), "cell": cell_of(table, len(key)), "n": n})
+
+
+def in_state(root: np.ndarray, kept: np.ndarray, rest: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Probabilities in a state, or those of its suffix (root) where rest says that there is none."""
+    return np.where(rest >= 0, (np.where(kept > 0, kept - DISCOUNT, 0.0) + rest * root) / np.maximum(context, 1.0), root)
+
+
+def scorer(total: int, vocabulary: int):
+    denominator = total + 0.5 * (vocabulary + 1)
+    names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
-def tested(context: np.ndarray, n_contexts: int, entry_counts: np.ndarray, context_counts: np.ndarray, suffix_share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which contexts are states, and the mass that each leaves to its suffix."""
-    ratio = np.log(np.maximum(entry_counts / context_counts[context], 1e-300) / suffix_share)
-    gain = np.bincount(context, entry_counts * ratio, n_contexts)
-    rest = context_counts - np.bincount(context, entry_counts - DISCOUNT, n_contexts)
-    # what is left to the suffix diverges too: by the log-sum inequality, at least as the two rests do
-    kept = np.bincount(context, entry_counts, n_contexts)
-    left, left_share = context_counts - kept, np.maximum(1 - np.bincount(context, suffix_share, n_contexts), 1e-12)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(left > 0, left * np.log(np.maximum(left / context_counts, 1e-300) / left_share), 0)
-    state = (gain >= MIN_G2) & (gain >= MIN_KL * context_counts) & (np.bincount(context, minlength=n_contexts) > 0)
-    return state, np.maximum(rest, 0.0)
-
-
-def fit(texts: DataFrame) -> Tree:
-    """The tree of a table with text as bytes."""
-    small_batches(texts.sparkSession)
-    vocabulary = word_counts(texts).persist(StorageLevel.DISK_ONLY)
-    row = vocabulary.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    distinct, total = int(row[0]), int(row[1])
-    top = vocabulary.where(F.col("n") >= max(2.0, WORD_SHARE * total)).toArrow()  # at most 1 / WORD_SHARE rows
-    vocabulary.unpersist()
-    words = top.column("h").to_numpy().view(U64)
-    order = np.argsort(words)
-    words, counts = words[order], top.column("n").to_numpy()[order].astype(np.float64)
-    inner = counts >= INNER_SHARE * total
-    runs = run_counts(texts, words, np.append(inner, False)).where(F.col("n") >= max(2.0, ENTRY_SHARE * total)).toArrow()  # at most 2 / ENTRY_SHARE
-    kind, key, n = (runs.column(c).to_numpy() for c in ("order", "key", "n"))
-    size = max(1, len(words))
-
-    def sorted_of(k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(kind == k)
-        at = at[np.argsort(key[at])]
-        return key[at], n[at].astype(np.float64)
-
-    pair_keys, pair_counts = sorted_of(2)
-    raw_keys, triple_counts = sorted_of(3)
-    pair_of = places(pair_keys, raw_keys // size)
-    suffix_of = places(pair_keys, raw_keys % (size * size))
-    ok = (pair_of >= 0) & (suffix_of >= 0)
-    pair_of, suffix_of, triple_counts, last = pair_of[ok], suffix_of[ok], triple_counts[ok], (raw_keys % size)[ok]
-    triple_keys = pair_of * size + last
-    end = places(words, np.array([END], U64))[0]
-    denominator = total + 0.5 * (distinct + 1)
-    share = (counts + 0.5) / denominator
-    first, second = pair_keys // size, pair_keys % size
-    state1, rest1 = tested(first, len(words), pair_counts, counts, share[second]) if len(words) else (np.zeros(0, bool), np.zeros(0))
-    if end >= 0:
-        state1[end] = False
-    # by their suffix: the state of the pair's second word where it is one, else the root
-    middle = second[pair_of]
-    by_one = (pair_counts[suffix_of] - DISCOUNT + rest1[middle] * share[last]) / counts[middle] if len(middle) else np.zeros(0)
-    by_suffix = np.where(state1[middle], by_one, share[last]) if len(middle) else np.zeros(0)
-    state2, rest2 = tested(pair_of, len(pair_keys), triple_counts, pair_counts, by_suffix) if len(pair_keys) else (np.zeros(0, bool), np.zeros(0))
-    return Tree(total, distinct, words, counts, pair_keys, pair_counts, triple_keys, triple_counts, state1, rest1, state2, rest2)
-
-
-def rare_words(shared):
-    def reduce(table: pa.Table) -> pa.Table:
-        words = shared.value.words
-        hashes, seen, learnt = WordHashes(), [], []
-        for train, text in zip(table.column("train"), table.column("text"), strict=True):
-            h = hashed(hashes, text.as_py())
-            h = h[places(words, h) < 0]
-            seen.append(h)
-            learnt.append(np.full(len(h), train.as_py()))
-        h, at = np.unique(np.concatenate(seen), return_inverse=True)
-        n = np.bincount(at, np.concatenate(learnt), len(h)).astype(np.int64)
-        return pa.table({"h": h.view(np.int64), "cell": np.full(len(h), table.column("cell")[0].as_py(), np.int32), "n": n})
-
-    return reduce
-
-
-def scorer(shared):
     def apply(table: pa.Table, back: pa.Table) -> pa.Table:
-        tree: Tree = shared.value
-        hashes = WordHashes()
-        texts = [hashed(hashes, t.as_py()) for t in table.column("text")]
-        train = table.column("train").to_numpy(zero_copy_only=False)
-        rare_h = [h[places(tree.words, h) < 0] for h in texts]
-        h, at = np.unique(np.concatenate(rare_h), return_inverse=True)
-        counts = np.bincount(at, np.repeat(train, [len(x) for x in rare_h]), len(h))
-        known = back.column("h").to_numpy().view(U64)
-        where = places(h, known)
-        counts[where] = back.column("c").to_numpy()
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in rare_h])])
-        n_tokens, n_known, base, score = [], [], [], []
-        for i, x in enumerate(texts):
-            ids = tree.number(x)
-            c = np.empty(len(x))
-            frequent = ids >= 0
-            c[frequent] = tree.counts[ids[frequent]]
-            c[~frequent] = counts[at[ends[i] : ends[i + 1]]]
-            n_tokens.append(len(x))
-            n_known.append(int((c > 0).sum()))
-            base.append(float(np.log10((c + 0.5) / tree.denominator).sum()))
-            score.append(tree.log10(ids, c))
-        n = len(texts)
-        return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([tree.total] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        if not table.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in names.items()})
+        h, lengths = tokens(table)
+        got = Back(back)
+        own, at = np.unique(h, return_inverse=True)
+        words, number, c, rest1 = got.sorted_by(WORD_ROW, U64, "next", "c", "rest")
+        there = places(words, own)
+        own_counts = np.bincount(at, learnt(table, lengths), len(own))
+        counts = np.where(there >= 0, gather(c.astype(float), there, 0.0), own_counts)[at]
+        numbers = gather(number.astype(np.int64), there, -1).astype(np.int64)[at]
+        rest1 = gather(rest1, there, NO_STATE)[at]
+        root = (counts + 0.5) / denominator
+        p = root.copy()
+        follows = h[:-1] != END
+        pair_keys, c2, rest2 = got.sorted_by(PAIR_ROW, np.int64, "c", "rest")
+        pair = places(pair_keys, pairs_of(numbers, h))
+        in_pair = gather(c2.astype(float), pair, 0.0)
+        p[1:] = in_state(root[1:], in_pair, np.where(follows, rest1[:-1], NO_STATE), counts[:-1])
+        triples = np.flatnonzero(got.kind == TRIPLE_ROW)
+        key = (places(pair_keys, back.column("key").to_numpy()[triples]) << SHIFT) | back.column("next").to_numpy()[triples].astype(np.int64)
+        order = np.argsort(key)
+        triple = places(key[order], np.where((pair[:-1] >= 0) & (pair[1:] >= 0), (pair[:-1] << SHIFT) | numbers[2:], -1))
+        in_triple = gather(back.column("c").to_numpy()[triples][order].astype(float), triple, 0.0)
+        rest2 = np.where(follows[1:], gather(rest2, pair[:-1], NO_STATE), NO_STATE)
+        p[2:] = in_state(p[2:], in_triple, rest2, in_pair[:-1])
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        sums = [np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), np.log10(root), np.log10(p))]
+        columns = [table.column("doc_id").combine_chunks(), lengths, sums[0], np.full(len(lengths), total), sums[1], sums[2]]
+        return pa.table({k: pa.array(v, t) if isinstance(v, np.ndarray) else v for (k, t), v in zip(names.items(), columns, strict=True)})
 
     return apply
 
 
-def score(docs: DataFrame, held_out: int = 1, folds: int = 5, tree: Tree | None = None) -> DataFrame:
+# --- over all cells ------------------------------------------------------------------------------------------------------
+
+
+def counted(own: DataFrame, keys: list[str]) -> DataFrame:
+    """With c, the sum of n over all cells, and lead."""
+    by = W.partitionBy(*keys).orderBy("cell")
+    return own.withColumn("c", F.sum("n").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).withColumn("lead", F.row_number().over(by) == 1)
+
+
+def numbered(own: DataFrame, least: int) -> DataFrame:
+    """Words with their counts and, the frequent ones, a number; series are numbered apart from each other."""
+    series = own.withColumn("series", F.pmod("h", F.lit(SERIES)).cast("int")).repartition("series")
+    words = counted(series, ["series", "h"])
+    new = (F.col("lead") & (F.col("c") >= least)).cast("int")
+    place = F.sum(new).over(W.partitionBy("series").orderBy("h", "cell").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return words.withColumn("number", F.when(F.col("c") >= least, ((place - 1) * SERIES + F.col("series")).cast("int"))).drop("series")
+
+
+def states(entries: DataFrame, context: str) -> DataFrame:
+    """(context, rest): those contexts that pass the divergence tests, of entries (context, of_context, c, by_suffix)."""
+    seen = entries.groupBy(context).agg(
+        F.max("of_context").alias("n"),
+        F.sum("c").alias("kept"),
+        F.sum("by_suffix").alias("kept_share"),
+        F.sum(F.col("c") * F.log(F.col("c") / F.col("of_context") / F.col("by_suffix"))).alias("gain"),
+        F.count(F.lit(1)).alias("entries"),
+    )
+    left = F.col("n") - F.col("kept")
+    # what is left to the suffix diverges too: by the log-sum inequality, at least as the two rests do
+    left_gain = F.when(left > 0, left * F.log(left / F.col("n") / F.greatest(1 - F.col("kept_share"), F.lit(1e-12)))).otherwise(0.0)
+    gain = F.col("gain") + left_gain
+    return seen.where((gain >= MIN_G2) & (gain >= MIN_KL * F.col("n"))).select(context, (left + DISCOUNT * F.col("entries")).alias("rest"))
+
+
+def first_of(pair: str) -> Column:
+    return F.shiftright(F.col(pair), SHIFT).cast("int")
+
+
+def second_of(pair: str) -> Column:
+    return F.col(pair).bitwiseAND(MASK).cast("int")
+
+
+def rows(df: DataFrame, kind: int, key: str, following: str | None = None, c: str = "c", rest: Column | None = None) -> DataFrame:
+    """One form for all that cells get back."""
+    following = F.lit(-1) if following is None else F.coalesce(F.col(following), F.lit(-1))
+    rest = F.lit(NO_STATE) if rest is None else rest
+    return df.select("cell", F.lit(kind).alias("kind"), F.col(key).alias("key"), following.alias("next"), F.col(c).alias("c"), rest.alias("rest"))
+
+
+def fit(cells: DataFrame, least: int = LEAST) -> Tree:
+    """The tree of cells (cell, doc_id, text as bytes, train), learnt from rows with train."""
+    by_cell = cells.groupBy("cell")
+    words = written(numbered(by_cell.applyInArrow(send_words, "h long, cell int, n long"), least), "words")
+    row = words.where("lead").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total, vocabulary = int(row[0]), int(row[1])
+    frequent = rows(words.where("number is not null"), WORD_ROW, "h", "number")
+    own = by_cell.cogroup(frequent.groupBy("cell")).applyInArrow(send_pairs, "pair long, cell int, n long")
+    pairs = written(counted(own, ["pair"]).where(F.col("c") >= least).drop("n"), "pairs")
+    known = frequent.unionAll(rows(pairs, PAIR_ROW, "pair"))
+    own = by_cell.cogroup(known.groupBy("cell")).applyInArrow(send_triples, "pair long, next int, cell int, n long")
+    triples = written(counted(own, ["pair", "next"]).where(F.col("c") >= least).drop("n"), "triples")
+
+    share = (F.col("c") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))
+    word = words.where("lead and number is not null").select("number", "c", share.alias("share"))
+    of_first = word.select(F.col("number").alias("first"), F.col("c").alias("of_context"))
+    of_last = word.select(F.col("number").alias("last"), F.col("share").alias("by_suffix"))
+    pair = pairs.where("lead").select("pair", first_of("pair").alias("first"), second_of("pair").alias("last"), "c")
+    known = pair.join(of_first, "first").join(of_last, "last")
+    states1 = states(known, "first").withColumnRenamed("first", "number")
+    # what one word predicts, as a state or through the root
+    one = known.join(states1.withColumnRenamed("number", "first"), "first", "left")
+    in_one = (F.col("c") - DISCOUNT + F.col("rest") * F.col("by_suffix")) / F.col("of_context")
+    one = one.select(F.col("pair").alias("suffix"), F.coalesce(in_one, F.col("by_suffix")).alias("by_suffix"))
+    triple = triples.where("lead").select("pair", "c", F.shiftleft(second_of("pair").cast("long"), SHIFT).bitwiseOR(F.col("next").cast("long")).alias("suffix"))
+    entries = triple.join(one, "suffix").join(pair.select("pair", F.col("c").alias("of_context")), "pair")
+    return Tree(total, vocabulary, words, pairs, triples, states1, states(entries, "pair"))
+
+
+def score(docs: DataFrame, held_out: int = 1, folds: int = 5, least: int = LEAST, cell_bytes: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The tree and the counts are learnt from rows whose crc32(doc_id) mod folds is not held_out, so a row is never
     scored by itself unless it is one of those.
     """
-    spark = docs.sparkSession
     out: Column = F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False))
-    tree = tree or fit(docs.where(~out).select(text_bytes().alias("text")))
-    shared = spark.sparkContext.broadcast(tree)
-    cells = dealt(docs).withColumn("train", ~out)
-    own = cells.groupBy("cell").applyInArrow(rare_words(shared), "h long, cell int, n long")
-    total = F.sum("n").over(W.partitionBy("h"))
-    back = own.withColumn("c", total).where("c <> n").select("cell", "h", "c")
-    scored = cells.groupBy("cell").cogroup(back.groupBy("cell")).applyInArrow(scorer(shared), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    cells = (dealt(docs, cell_bytes) if cell_bytes else dealt(docs)).withColumn("train", ~out)
+    tree = fit(cells, least)
+    rest = F.coalesce(F.col("rest"), F.lit(NO_STATE))
+    shared_rare = rows(tree.words.where("number is null and c <> n"), WORD_ROW, "h")
+    frequent = rows(tree.words.where("number is not null").join(tree.states1, "number", "left"), WORD_ROW, "h", "number", rest=rest)
+    pairs = rows(tree.pairs.join(tree.states2, "pair", "left"), PAIR_ROW, "pair", rest=rest)
+    back = shared_rare.unionAll(frequent).unionAll(pairs).unionAll(rows(tree.triples, TRIPLE_ROW, "pair", "next"))
+    columns = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = cells.groupBy("cell").cogroup(back.groupBy("cell")).applyInArrow(scorer(tree.total, tree.distinct), columns)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

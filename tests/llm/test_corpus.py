@@ -92,18 +92,73 @@ def test_suffix_tree_base_and_normalisation(spark, make, odd):
     assert suffix_tree.score(make(rows).limit(0)).count() == 0
 
 
-def test_suffix_tree_states_sum_to_one(spark):
+class BruteTree:
+    """The same tree in dictionaries."""
+
+    def __init__(self, texts, least):
+        self.least, self.c = least, [Counter(), Counter(), Counter()]
+        for t in texts:
+            w = [*(t or "").lower().split(), "\n"]
+            for order in range(3):
+                self.c[order].update(tuple(w[i : i + order + 1]) for i in range(len(w) - order))
+        self.total, self.distinct = sum(self.c[0].values()), len(self.c[0])
+        self.rest = {}
+        for order in (1, 2):
+            kept = defaultdict(dict)
+            for k, n in self.c[order].items():
+                if n >= least:
+                    kept[k[:-1]][k[-1]] = n
+            for context, entries in kept.items():
+                n = self.c[order - 1][context]
+                below = {x: self.p(context[1:], x) for x in entries}
+                left = n - sum(entries.values())
+                gain = sum(m * math.log(m / n / below[x]) for x, m in entries.items())
+                gain += left * math.log(left / n / max(1 - sum(below.values()), 1e-12)) if left else 0
+                if gain >= suffix_tree.MIN_G2 and gain >= suffix_tree.MIN_KL * n:
+                    self.rest[context] = left + suffix_tree.DISCOUNT * len(entries)
+
+    def p(self, context, x):
+        if not context:
+            return (self.c[0][(x,)] + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+        below = self.p(context[1:], x)
+        if context not in self.rest:
+            return below
+        n = self.c[len(context)][(*context, x)]
+        return ((n - suffix_tree.DISCOUNT if n >= self.least else 0) + self.rest[context] * below) / self.c[len(context) - 1][context]
+
+    def score(self, text):
+        w = [*(text or "").lower().split(), "\n"]
+        return sum(math.log10(self.p(tuple(w[max(0, i - 2) : i]), x)) for i, x in enumerate(w))
+
+
+def test_suffix_tree_against_brute_force(make, odd):
     rng = random.Random(9)
-    texts = [" ".join(rng.choice(["a b c", "d", "e b f"]) for _ in range(50)).encode() for _ in range(40)]
-    tree = suffix_tree.fit(spark.createDataFrame([(bytearray(t),) for t in texts], "text binary"))
-    assert tree.state1.any() and tree.state2.any()
-    everything = np.arange(len(tree.words))
-    for a in everything:
-        for b in everything:
-            # the next symbol is any of the words, all frequent here, or the unknown one
-            p = sum(10 ** (tree.log10(np.array([a, b, x]), np.array([tree.counts[a], tree.counts[b], tree.counts[x]])) - tree.log10(np.array([a, b]), np.array([tree.counts[a], tree.counts[b]]))) for x in everything)
-            p += 10 ** (tree.log10(np.array([a, b, -1]), np.array([tree.counts[a], tree.counts[b], 0.0])) - tree.log10(np.array([a, b]), np.array([tree.counts[a], tree.counts[b]])))
-            assert abs(p - 1) < 1e-9
+    rows = [*odd, (None, "a b c " * 50)]
+    for i in range(200):
+        parts = ["a b c", "d", "e b f", "New York", "new", prose(rng, 2)]
+        rows.append((10 + i, " ".join(rng.choice(parts) for _ in range(rng.randrange(60)))))
+    learnt = [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    for least, cell_bytes in ((32, None), (3, 4_000)):
+        tree = BruteTree(learnt, least)
+        assert {len(context) for context in tree.rest} == {1, 2}
+        for context in tree.rest:  # over all words and the unknown one
+            assert abs(sum(tree.p(context, w) for (w,) in tree.c[0]) + tree.p(context, "?") - 1) < 1e-9
+        got = suffix_tree.score(make(rows), least=least, cell_bytes=cell_bytes).collect()
+        expected = sorted((str(d), tree.score(t)) for d, t in rows)
+        for (d, x), (e, y) in zip(sorted((str(r.doc_id), r.score) for r in got), expected, strict=True):
+            assert d == e and abs(x - y) < 1e-7 * max(1, abs(y))
+
+
+def test_suffix_tree_grows_with_the_corpus(make):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice([f"x{j} y{j} z{j}" for j in range(k, k + 5)]) for _ in range(500)) for k in range(0, 200, 5)]
+
+    def contexts(n):
+        cells = suffix_tree.dealt(make(list(enumerate(texts[:n])))).withColumn("train", F.lit(True))
+        return suffix_tree.fit(cells).states1.count()
+
+    few, many = contexts(10), contexts(40)
+    assert few == 2 * 50 and many == 2 * 200
 
 
 # --- mixing --------------------------------------------------------------------------------------------------------------
