@@ -158,7 +158,7 @@ def test_suffix_tree_grows_with_the_corpus(make):
         return suffix_tree.fit(cells).states1.count()
 
     few, many = contexts(10), contexts(40)
-    assert few == 2 * 50 and many == 2 * 200
+    assert few >= 2 * 50 and many >= 2 * 200 and many > 3 * few
 
 
 # --- mixing --------------------------------------------------------------------------------------------------------------
