@@ -7,11 +7,9 @@ and by G2. A state's distribution keeps those next words, each count less a disc
 of its suffix; a token is scored by the longest suffix of its history that is a state.
 
 The tree is a set of tables (words, pairs, triples, states) and nothing of it is collected or broadcast. Cells of documents
-send their distinct words, then their distinct pairs of words frequent enough, then triples of frequent pairs, each to be
-counted over all training documents; states are found by joins of what is frequent; and each cell gets back the counts and
-states of what stands in it. A word, pair or triple, however common, is one row for each cell that holds it.
-
-Frequent words are numbered below 2^31, enough for two thousand million of them.
+send their distinct words, then their distinct pairs of frequent words, then their triples of frequent pairs, each to be
+counted over all training documents (module blocks); states are found by joins of what is frequent; and each cell gets back
+the counts and states of what stands in it. Frequent words, and frequent pairs, are numbered below 2^31.
 
 Defined cases: null and empty texts have one token, the end; doc_id is integral; rows with a null doc_id are learnt from
 and are not held out; without training tokens, known words are none and every token's share is 0.5 / 0.5; other columns are not read.
@@ -27,9 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .cells import U64, WordHashes, dealt
+from .blocks import BLOCK_BYTES, COUNTED, FREQUENT, SENT, SENT_ARROW, SUMS, Answers, answers, answers_with, counter, send
+from .cells import CELL_BYTES, U64, WordHashes, dealt
 from .common import remainder, written
 
 #: A line feed is in no word, so it stands for the end.
@@ -38,22 +36,19 @@ END = U64(xxhash.xxh64_intdigest(b"\n"))
 LEAST = 32
 #: Divergence tests: nats for each occurrence, and nats in all; discount of an entry.
 MIN_KL, MIN_G2, DISCOUNT = 0.02, 10.0, 0.5
-#: Word numbers are dealt out in so many series at once.
-SERIES = 1 << 14
-#: A pair is one long: the first word's number, then the second's.
+#: A pair is one long: the first word's number, then the second's; a triple: the number of its first pair, then the last word's.
 SHIFT, MASK = 32, (1 << 32) - 1
-WORD_ROW, PAIR_ROW, TRIPLE_ROW = 1, 2, 3
-NO_STATE = -1.0
+WORDS, PAIRS, TRIPLES = 1, 2, 3
 
 
 @dataclass
 class Tree:
-    """words (cell, h, n, c, number, lead), pairs (cell, pair, c, lead), triples (cell, pair, next, c, lead) and the states of
-    one word (number, rest) and of two (pair, rest). c counts all training documents, n those of the cell; lead marks one row
-    of each h, pair or triple."""
+    """Counted words, pairs and triples as blocks return them (their rows of kind FREQUENT have key, number as id, and count as
+    n), and the states of one word and of two: (number of the word or the pair, rest)."""
 
     total: int
     distinct: int
+    blocks: int
     words: DataFrame
     pairs: DataFrame
     triples: DataFrame
@@ -64,19 +59,6 @@ class Tree:
 # --- within a cell -------------------------------------------------------------------------------------------------------
 
 
-def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each wanted value stands in sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def gather(values: np.ndarray, at: np.ndarray, other: float) -> np.ndarray:
-    """values[at], and other where at is -1."""
-    return np.where(at >= 0, values[at], other) if len(values) else np.full(len(at), other)
-
-
 def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a cell, an end after each text, and the number of tokens of each text."""
     hashes, parts = WordHashes(), []
@@ -85,71 +67,62 @@ def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.array([len(p) for p in parts])
 
 
-def learnt(table: pa.Table, lengths: np.ndarray) -> np.ndarray:
-    """For each token: whether it is learnt from."""
-    return np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), lengths)
-
-
-def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys without repeats, and how often each is learnt from."""
-    known, at = np.unique(keys, return_inverse=True)
-    return known, np.bincount(at, train, len(known)).astype(np.int64)
-
-
-def pairs_of(numbers: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """For each token but the last: the pair it begins, or -1 where a word isn't frequent or the text ends between."""
-    first, second = numbers[:-1], numbers[1:]
-    return np.where((first >= 0) & (second >= 0) & (h[:-1] != END), (first << SHIFT) | second, -1)
-
+class Cell:
+    """The tokens of a cell's texts with the words, pairs and triples in them, as far as they are known."""
 
-class Back:
-    """What a cell gets back, by kind of row, sorted by key."""
+    def __init__(self, table: pa.Table, back: pa.Table | None, blocks: int) -> None:
+        self.blocks, self.cell = blocks, table.column("cell")[0].as_py()
+        self.h, self.lengths = tokens(table)
+        self.train = np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), self.lengths)
+        self.got = None if back is None else Answers(back, blocks)
+        self.ends = self.h == END
+        self.words, self.word = np.unique(self.h.view(np.int64), return_inverse=True)
 
-    def __init__(self, table: pa.Table) -> None:
-        self.table, self.kind = table, table.column("kind").to_numpy()
+    def numbers(self) -> np.ndarray:
+        return self.got.of(WORDS, self.words, "number")[0][self.word]
 
-    def sorted_by(self, kind: int, view: type, *columns: str) -> list[np.ndarray]:
-        at = np.flatnonzero(self.kind == kind)
-        key = self.table.column("key").to_numpy()[at].view(view)
-        order = np.argsort(key, kind="stable")
-        return [key[order], *(self.table.column(c).to_numpy()[at][order] for c in columns)]
+    def pairs(self, numbers: np.ndarray) -> None:
+        """Which tokens but the last begin a pair of frequent words, the distinct pairs, and the pair of each such token."""
+        first, second = numbers[:-1], numbers[1:]
+        self.in_pair = np.flatnonzero((first >= 0) & (second >= 0) & ~self.ends[:-1])
+        self.pair_keys, self.pair = np.unique((first[self.in_pair] << SHIFT) | second[self.in_pair], return_inverse=True)
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        keys, number = self.sorted_by(WORD_ROW, U64, "next")
-        return gather(number.astype(np.int64), places(keys, h), -1).astype(np.int64)
+    def of_pairs(self, values: np.ndarray, other: int) -> np.ndarray:
+        """Values of the distinct pairs, for each token but the last."""
+        out = np.full(max(0, len(self.h) - 1), other, np.int64)
+        out[self.in_pair] = values[self.pair]
+        return out
 
+    def triples(self, numbers: np.ndarray, pair_numbers: np.ndarray) -> None:
+        self.in_triple = np.flatnonzero((pair_numbers[:-1] >= 0) & (pair_numbers[1:] >= 0))
+        self.triple_keys, self.triple = np.unique((pair_numbers[self.in_triple] << SHIFT) | numbers[self.in_triple + 2], return_inverse=True)
 
-def cell_of(table: pa.Table, n: int) -> np.ndarray:
-    return np.full(n, table.column("cell")[0].as_py(), np.int32)
+    def sent(self, keys: np.ndarray, at: np.ndarray, train: np.ndarray) -> pa.Table:
+        return send(self.cell, keys, np.bincount(at, train, len(keys)).astype(np.int64), self.blocks)
 
 
-def send_words(table: pa.Table) -> pa.Table:
-    h, lengths = tokens(table)
-    h, n = distinct(h, learnt(table, lengths))
-    return pa.table({"h": h.view(np.int64), "cell": cell_of(table, len(h)), "n": n})
+def senders(blocks: int):
+    def words(table: pa.Table) -> pa.Table:
+        cell = Cell(table, None, blocks)
+        return cell.sent(cell.words, cell.word, cell.train)
 
+    def pairs(table: pa.Table, back: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return SENT_ARROW.empty_table()
+        cell = Cell(table, back, blocks)
+        cell.pairs(cell.numbers())
+        return cell.sent(cell.pair_keys, cell.pair, cell.train[cell.in_pair])
 
-def send_pairs(table: pa.Table, back: pa.Table) -> pa.Table:
-    if not table.num_rows:
-        return pa.table({"pair": pa.array([], pa.int64()), "cell": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-    h, lengths = tokens(table)
-    pair = pairs_of(Back(back).numbers(h), h)
-    there = pair >= 0
-    pair, n = distinct(pair[there], learnt(table, lengths)[:-1][there])
-    return pa.table({"pair": pair, "cell": cell_of(table, len(pair)), "n": n})
-
+    def triples(table: pa.Table, back: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return SENT_ARROW.empty_table()
+        cell = Cell(table, back, blocks)
+        numbers = cell.numbers()
+        cell.pairs(numbers)
+        cell.triples(numbers, cell.of_pairs(cell.got.of(PAIRS, cell.pair_keys, "number")[0], -1))
+        return cell.sent(cell.triple_keys, cell.triple, cell.train[cell.in_triple])
 
-def send_triples(table: pa.Table, back: pa.Table) -> pa.Table:
-    if not table.num_rows:
-        return pa.table({"pair": pa.array([], pa.int64()), "next": pa.array([], pa.int32()), "cell": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
-    h, lengths = tokens(table)
-    got = Back(back)
-    numbers = got.numbers(h)
-    known = got.sorted_by(PAIR_ROW, np.int64)[0]
-    at = places(known, pairs_of(numbers, h))
-    there = (at[:-1] >= 0) & (at[1:] >= 0)
-    key, n = distinct(((at[:-1] << SHIFT) | numbers[2:])[there], learnt(table, lengths)[:-2][there])
-    return pa.table({"pair": known[key >> SHIFT], "next": (key & MASK).astype(np.int32), "cell": cell_of(table, len(key)), "n": n})
+    return words, pairs, triples
 
 
 def in_state(root: np.ndarray, kept: np.ndarray, rest: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -157,40 +130,28 @@ def in_state(root: np.ndarray, kept: np.ndarray, rest: np.ndarray, context: np.n
     return np.where(rest >= 0, (np.where(kept > 0, kept - DISCOUNT, 0.0) + rest * root) / np.maximum(context, 1.0), root)
 
 
-def scorer(total: int, vocabulary: int):
+def scorer(total: int, vocabulary: int, blocks: int):
     denominator = total + 0.5 * (vocabulary + 1)
     names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
     def apply(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in names.items()})
-        h, lengths = tokens(table)
-        got = Back(back)
-        own, at = np.unique(h, return_inverse=True)
-        words, number, c, rest1 = got.sorted_by(WORD_ROW, U64, "next", "c", "rest")
-        there = places(words, own)
-        own_counts = np.bincount(at, learnt(table, lengths), len(own))
-        counts = np.where(there >= 0, gather(c.astype(float), there, 0.0), own_counts)[at]
-        numbers = gather(number.astype(np.int64), there, -1).astype(np.int64)[at]
-        rest1 = gather(rest1, there, NO_STATE)[at]
+        cell = Cell(table, back, blocks)
+        counts, numbers, rest1 = (x[cell.word] for x in cell.got.of(WORDS, cell.words, "c", "number", "rest"))
+        cell.pairs(numbers)
+        c2, pair_numbers, rest2 = (cell.of_pairs(x, none) for x, none in zip(cell.got.of(PAIRS, cell.pair_keys, "c", "number", "rest"), (0, -1, -1), strict=True))
+        cell.triples(numbers, pair_numbers)
+        c3 = np.zeros(max(0, len(counts) - 2), np.int64)
+        c3[cell.in_triple] = cell.got.of(TRIPLES, cell.triple_keys, "c")[0][cell.triple]
         root = (counts + 0.5) / denominator
         p = root.copy()
-        follows = h[:-1] != END
-        pair_keys, c2, rest2 = got.sorted_by(PAIR_ROW, np.int64, "c", "rest")
-        pair = places(pair_keys, pairs_of(numbers, h))
-        in_pair = gather(c2.astype(float), pair, 0.0)
-        p[1:] = in_state(root[1:], in_pair, np.where(follows, rest1[:-1], NO_STATE), counts[:-1])
-        triples = np.flatnonzero(got.kind == TRIPLE_ROW)
-        key = (places(pair_keys, back.column("key").to_numpy()[triples]) << SHIFT) | back.column("next").to_numpy()[triples].astype(np.int64)
-        order = np.argsort(key)
-        triple = places(key[order], np.where((pair[:-1] >= 0) & (pair[1:] >= 0), (pair[:-1] << SHIFT) | numbers[2:], -1))
-        in_triple = gather(back.column("c").to_numpy()[triples][order].astype(float), triple, 0.0)
-        rest2 = np.where(follows[1:], gather(rest2, pair[:-1], NO_STATE), NO_STATE)
-        p[2:] = in_state(p[2:], in_triple, rest2, in_pair[:-1])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        sums = [np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), np.log10(root), np.log10(p))]
-        columns = [table.column("doc_id").combine_chunks(), lengths, sums[0], np.full(len(lengths), total), sums[1], sums[2]]
-        return pa.table({k: pa.array(v, t) if isinstance(v, np.ndarray) else v for (k, t), v in zip(names.items(), columns, strict=True)})
+        p[1:] = in_state(root[1:], c2, np.where(cell.ends[:-1], -1, rest1[:-1]) / 2, counts[:-1])
+        p[2:] = in_state(p[2:], c3, np.where(cell.ends[1:-1], -1, rest2[:-1]) / 2, c2[:-1])
+        starts = np.concatenate([[0], np.cumsum(cell.lengths)[:-1]])
+        known, base, scores = (np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), np.log10(root), np.log10(p)))
+        columns = [cell.lengths, known, np.full(len(known), total), base, scores]
+        return pa.table({"doc_id": table.column("doc_id"), **{k: pa.array(v, names[k]) for k, v in zip(list(names)[1:], columns, strict=True)}})
 
     return apply
 
@@ -198,21 +159,6 @@ def scorer(total: int, vocabulary: int):
 # --- over all cells ------------------------------------------------------------------------------------------------------
 
 
-def counted(own: DataFrame, keys: list[str]) -> DataFrame:
-    """With c, the sum of n over all cells, and lead."""
-    by = W.partitionBy(*keys).orderBy("cell")
-    return own.withColumn("c", F.sum("n").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).withColumn("lead", F.row_number().over(by) == 1)
-
-
-def numbered(own: DataFrame, least: int) -> DataFrame:
-    """Words with their counts and, the frequent ones, a number; series are numbered apart from each other."""
-    series = own.withColumn("series", F.pmod("h", F.lit(SERIES)).cast("int")).repartition("series")
-    words = counted(series, ["series", "h"])
-    new = (F.col("lead") & (F.col("c") >= least)).cast("int")
-    place = F.sum(new).over(W.partitionBy("series").orderBy("h", "cell").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return words.withColumn("number", F.when(F.col("c") >= least, ((place - 1) * SERIES + F.col("series")).cast("int"))).drop("series")
-
-
 def states(entries: DataFrame, context: str) -> DataFrame:
     """(context, rest): those contexts that pass the divergence tests, of entries (context, of_context, c, by_suffix)."""
     seen = entries.groupBy(context).agg(
@@ -237,58 +183,54 @@ def second_of(pair: str) -> Column:
     return F.col(pair).bitwiseAND(MASK).cast("int")
 
 
-def rows(df: DataFrame, kind: int, key: str, following: str | None = None, c: str = "c", rest: Column | None = None) -> DataFrame:
-    """One form for all that cells get back."""
-    following = F.lit(-1) if following is None else F.coalesce(F.col(following), F.lit(-1))
-    rest = F.lit(NO_STATE) if rest is None else rest
-    return df.select("cell", F.lit(kind).alias("kind"), F.col(key).alias("key"), following.alias("next"), F.col(c).alias("c"), rest.alias("rest"))
+def fit(cells: DataFrame, blocks: int, least: int = LEAST) -> Tree:
+    """The tree of cells (cell, doc_id, text as bytes, train), learnt from rows with train."""
 
+    def counted(sent: DataFrame, name: str, rare_too: bool = False) -> DataFrame:
+        return written(sent.groupBy("block").applyInArrow(counter(blocks, least, rare_too), COUNTED), name)
 
-def fit(cells: DataFrame, least: int = LEAST) -> Tree:
-    """The tree of cells (cell, doc_id, text as bytes, train), learnt from rows with train."""
     by_cell = cells.groupBy("cell")
-    words = written(numbered(by_cell.applyInArrow(send_words, "h long, cell int, n long"), least), "words")
-    row = words.where("lead").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    send_words, send_pairs, send_triples = senders(blocks)
+    words = counted(by_cell.applyInArrow(send_words, SENT), "words", True)
+    row = words.where(F.col("kind") == SUMS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("key"), F.lit(0))).first()
     total, vocabulary = int(row[0]), int(row[1])
-    frequent = rows(words.where("number is not null"), WORD_ROW, "h", "number")
-    own = by_cell.cogroup(frequent.groupBy("cell")).applyInArrow(send_pairs, "pair long, cell int, n long")
-    pairs = written(counted(own, ["pair"]).where(F.col("c") >= least).drop("n"), "pairs")
-    known = frequent.unionAll(rows(pairs, PAIR_ROW, "pair"))
-    own = by_cell.cogroup(known.groupBy("cell")).applyInArrow(send_triples, "pair long, next int, cell int, n long")
-    triples = written(counted(own, ["pair", "next"]).where(F.col("c") >= least).drop("n"), "triples")
-
-    share = (F.col("c") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))
-    word = words.where("lead and number is not null").select("number", "c", share.alias("share"))
-    of_first = word.select(F.col("number").alias("first"), F.col("c").alias("of_context"))
-    of_last = word.select(F.col("number").alias("last"), F.col("share").alias("by_suffix"))
-    pair = pairs.where("lead").select("pair", first_of("pair").alias("first"), second_of("pair").alias("last"), "c")
+    told = answers(words, WORDS)
+    pairs = counted(by_cell.cogroup(told.groupBy("cell")).applyInArrow(send_pairs, SENT), "pairs")
+    told = told.unionAll(answers(pairs, PAIRS))
+    triples = counted(by_cell.cogroup(told.groupBy("cell")).applyInArrow(send_triples, SENT), "triples")
+
+    share = (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))
+    frequent = F.col("kind") == FREQUENT
+    word = words.where(frequent)
+    of_first = word.select(F.col("id").alias("first"), F.col("n").alias("of_context"))
+    of_last = word.select(F.col("id").alias("last"), share.alias("by_suffix"))
+    pair = pairs.where(frequent).select("key", F.col("id").alias("pair"), first_of("key").alias("first"), second_of("key").alias("last"), F.col("n").alias("c"))
     known = pair.join(of_first, "first").join(of_last, "last")
-    states1 = states(known, "first").withColumnRenamed("first", "number")
+    states1 = states(known, "first")
     # what one word predicts, as a state or through the root
-    one = known.join(states1.withColumnRenamed("number", "first"), "first", "left")
     in_one = (F.col("c") - DISCOUNT + F.col("rest") * F.col("by_suffix")) / F.col("of_context")
-    one = one.select(F.col("pair").alias("suffix"), F.coalesce(in_one, F.col("by_suffix")).alias("by_suffix"))
-    triple = triples.where("lead").select("pair", "c", F.shiftleft(second_of("pair").cast("long"), SHIFT).bitwiseOR(F.col("next").cast("long")).alias("suffix"))
-    entries = triple.join(one, "suffix").join(pair.select("pair", F.col("c").alias("of_context")), "pair")
-    return Tree(total, vocabulary, words, pairs, triples, states1, states(entries, "pair"))
+    one = known.join(states1, "first", "left").select(F.col("key").alias("suffix"), F.coalesce(in_one, F.col("by_suffix")).alias("by_suffix"))
+    triple = triples.where(frequent).select(first_of("key").alias("pair"), second_of("key").cast("long").alias("next"), "n")
+    triple = triple.join(pair.select("pair", "last", F.col("c").alias("of_context")), "pair")
+    suffix = F.shiftleft(F.col("last").cast("long"), SHIFT).bitwiseOR(F.col("next"))
+    entries = triple.select("pair", "of_context", F.col("n").alias("c"), suffix.alias("suffix")).join(one, "suffix")
+    states2 = states(entries, "pair")
+    return Tree(total, vocabulary, blocks, words, pairs, triples, states1.withColumnRenamed("first", "number"), states2.withColumnRenamed("pair", "number"))
 
 
-def score(docs: DataFrame, held_out: int = 1, folds: int = 5, least: int = LEAST, cell_bytes: int | None = None) -> DataFrame:
+def score(docs: DataFrame, held_out: int = 1, folds: int = 5, least: int = LEAST, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The tree and the counts are learnt from rows whose crc32(doc_id) mod folds is not held_out, so a row is never
     scored by itself unless it is one of those.
     """
     out: Column = F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False))
-    cells = (dealt(docs, cell_bytes) if cell_bytes else dealt(docs)).withColumn("train", ~out)
-    tree = fit(cells, least)
-    rest = F.coalesce(F.col("rest"), F.lit(NO_STATE))
-    shared_rare = rows(tree.words.where("number is null and c <> n"), WORD_ROW, "h")
-    frequent = rows(tree.words.where("number is not null").join(tree.states1, "number", "left"), WORD_ROW, "h", "number", rest=rest)
-    pairs = rows(tree.pairs.join(tree.states2, "pair", "left"), PAIR_ROW, "pair", rest=rest)
-    back = shared_rare.unionAll(frequent).unionAll(pairs).unionAll(rows(tree.triples, TRIPLE_ROW, "pair", "next"))
+    cells = dealt(docs, cell_bytes).withColumn("train", ~out)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tree = fit(cells, max(1, math.ceil(size / block_bytes)), least)
+    told = answers_with(tree.words, WORDS, tree.states1, tree.blocks).unionAll(answers_with(tree.pairs, PAIRS, tree.states2, tree.blocks)).unionAll(answers(tree.triples, TRIPLES))
     columns = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = cells.groupBy("cell").cogroup(back.groupBy("cell")).applyInArrow(scorer(tree.total, tree.distinct), columns)
+    scored = cells.groupBy("cell").cogroup(told.groupBy("cell")).applyInArrow(scorer(tree.total, tree.distinct, tree.blocks), columns)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -138,12 +138,12 @@ def test_suffix_tree_against_brute_force(make, odd):
         parts = ["a b c", "d", "e b f", "New York", "new", prose(rng, 2)]
         rows.append((10 + i, " ".join(rng.choice(parts) for _ in range(rng.randrange(60)))))
     learnt = [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
-    for least, cell_bytes in ((32, None), (3, 4_000)):
+    for least, sizes in ((32, {}), (3, {"cell_bytes": 4_000, "block_bytes": 3_000})):
         tree = BruteTree(learnt, least)
         assert {len(context) for context in tree.rest} == {1, 2}
         for context in tree.rest:  # over all words and the unknown one
             assert abs(sum(tree.p(context, w) for (w,) in tree.c[0]) + tree.p(context, "?") - 1) < 1e-9
-        got = suffix_tree.score(make(rows), least=least, cell_bytes=cell_bytes).collect()
+        got = suffix_tree.score(make(rows), least=least, **sizes).collect()
         expected = sorted((str(d), tree.score(t)) for d, t in rows)
         for (d, x), (e, y) in zip(sorted((str(r.doc_id), r.score) for r in got), expected, strict=True):
             assert d == e and abs(x - y) < 1e-7 * max(1, abs(y))
@@ -155,7 +155,7 @@ def test_suffix_tree_grows_with_the_corpus(make):
 
     def contexts(n):
         cells = suffix_tree.dealt(make(list(enumerate(texts[:n])))).withColumn("train", F.lit(True))
-        return suffix_tree.fit(cells).states1.count()
+        return suffix_tree.fit(cells, 3).states1.count()
 
     few, many = contexts(10), contexts(40)
     assert few >= 2 * 50 and many >= 2 * 200 and many > 3 * few
