@@ -39,11 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """The rows as a Parquet table in the folder of spark.checkpoint.dir (where it is unset, as in tests, in that of cut), read again."""
     folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillmesh"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

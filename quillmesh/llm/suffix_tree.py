@@ -6,10 +6,10 @@ grows with the corpus; and (b) a divergence test holds: the words that follow it
 and by G2. A state's distribution keeps those next words, each count less a discount, and leaves the rest to the distribution
 of its suffix; a token is scored by the longest suffix of its history that is a state.
 
-The tree is a set of tables (words, pairs, triples, states) and nothing of it is collected or broadcast. Cells of documents
-send their distinct words, then their distinct pairs of frequent words, then their triples of frequent pairs, each to be
-counted over all training documents (module blocks); states are found by joins of what is frequent; and each cell gets back
-the counts and states of what stands in it. Frequent words, and frequent pairs, are numbered below 2^31.
+The tree is a set of tables (words, pairs, triples, states) and nothing of it is collected or broadcast. Texts are hashed
+once, into packed cells of documents. These send their distinct words, then their distinct pairs of frequent words, then
+their triples of frequent pairs, each to be counted over all training documents (module blocks); states are found by joins
+of what is frequent; and each cell gets back the counts and states of what stands in it. Frequent words, and frequent pairs, are numbered below 2^31.
 
 Defined cases: null and empty texts have one token, the end; doc_id is integral; rows with a null doc_id are learnt from
 and are not held out; without training tokens, known words are none and every token's share is 0.5 / 0.5; other columns are not read.
@@ -18,6 +18,7 @@ and are not held out; without training tokens, known words are none and every to
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, COUNTED, FREQUENT, SENT, SENT_ARROW, SUMS, Answers, answers, answers_with, counter, send
+from .blocks import BLOCK_BYTES, COUNTED, FREQUENT, SENT, SENT_ARROW, SUMS, Answers, Packer, answers, answers_with, counter, send
 from .cells import CELL_BYTES, U64, WordHashes, dealt
 from .common import remainder, written
 
@@ -39,6 +40,8 @@ MIN_KL, MIN_G2, DISCOUNT = 0.02, 10.0, 0.5
 #: A pair is one long: the first word's number, then the second's; a triple: the number of its first pair, then the last word's.
 SHIFT, MASK = 32, (1 << 32) - 1
 WORDS, PAIRS, TRIPLES = 1, 2, 3
+#: Packed cells in a file: each is some megabytes.
+CELL_ROWS = 16
 
 
 @dataclass
@@ -59,24 +62,29 @@ class Tree:
 # --- within a cell -------------------------------------------------------------------------------------------------------
 
 
-def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of a cell, an end after each text, and the number of tokens of each text."""
-    hashes, parts = WordHashes(), []
+def packed(table: pa.Table) -> pa.Table:
+    """A cell as one row: texts are hashed once, and each token is kept as the place of its word among the cell's words."""
+    hashes, parts, packer = WordHashes(), [], Packer()
     for text in table.column("text"):
         parts.append(np.append(hashes(text.as_py().lower().split()), END))
-    return np.concatenate(parts), np.array([len(p) for p in parts])
+    words, word = np.unique(np.concatenate(parts).view(np.int64), return_inverse=True)
+    train = table.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
+    arrays = [packer.pack(x) for x in (np.diff(words, prepend=0), word, np.array([len(p) for p in parts]), train)]
+    ids = pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64()))
+    return pa.table([pa.array([table.column("cell")[0].as_py()], pa.int32()), ids, *(pa.array([x], pa.binary()) for x in arrays)], names=["cell", "doc_ids", "words", "word", "lengths", "train"])
 
 
 class Cell:
     """The tokens of a cell's texts with the words, pairs and triples in them, as far as they are known."""
 
-    def __init__(self, table: pa.Table, back: pa.Table | None, blocks: int) -> None:
-        self.blocks, self.cell = blocks, table.column("cell")[0].as_py()
-        self.h, self.lengths = tokens(table)
-        self.train = np.repeat(table.column("train").to_numpy(zero_copy_only=False).astype(bool), self.lengths)
+    def __init__(self, table: pa.Table | pa.RecordBatch, back: pa.Table | None, blocks: int, row: int = 0) -> None:
+        packer = Packer()
+        words, self.word, self.lengths, train = (packer.unpack(table.column(c)[row].as_py()) for c in ("words", "word", "lengths", "train"))
+        self.blocks, self.cell, self.doc_ids = blocks, table.column("cell")[row].as_py(), table.column("doc_ids")[row].as_py()
+        self.words = np.cumsum(words)
+        self.train = np.repeat(train.astype(bool), self.lengths)
         self.got = None if back is None else Answers(back, blocks)
-        self.ends = self.h == END
-        self.words, self.word = np.unique(self.h.view(np.int64), return_inverse=True)
+        self.ends = (self.words == END.astype(np.int64))[self.word]
 
     def numbers(self) -> np.ndarray:
         return self.got.of(WORDS, self.words, "number")[0][self.word]
@@ -89,7 +97,7 @@ class Cell:
 
     def of_pairs(self, values: np.ndarray, other: int) -> np.ndarray:
         """Values of the distinct pairs, for each token but the last."""
-        out = np.full(max(0, len(self.h) - 1), other, np.int64)
+        out = np.full(len(self.word) - 1, other, np.int64)
         out[self.in_pair] = values[self.pair]
         return out
 
@@ -102,9 +110,11 @@ class Cell:
 
 
 def senders(blocks: int):
-    def words(table: pa.Table) -> pa.Table:
-        cell = Cell(table, None, blocks)
-        return cell.sent(cell.words, cell.word, cell.train)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                cell = Cell(b, None, blocks, row)
+                yield from cell.sent(cell.words, cell.word, cell.train).to_batches()
 
     def pairs(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -151,7 +161,7 @@ def scorer(total: int, vocabulary: int, blocks: int):
         starts = np.concatenate([[0], np.cumsum(cell.lengths)[:-1]])
         known, base, scores = (np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), np.log10(root), np.log10(p)))
         columns = [cell.lengths, known, np.full(len(known), total), base, scores]
-        return pa.table({"doc_id": table.column("doc_id"), **{k: pa.array(v, names[k]) for k, v in zip(list(names)[1:], columns, strict=True)}})
+        return pa.table({"doc_id": pa.array(cell.doc_ids, pa.int64()), **{k: pa.array(v, names[k]) for k, v in zip(list(names)[1:], columns, strict=True)}})
 
     return apply
 
@@ -183,15 +193,22 @@ def second_of(pair: str) -> Column:
     return F.col(pair).bitwiseAND(MASK).cast("int")
 
 
+def cells_of(docs: DataFrame, train: Column, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Packed cells, as a table with one row for each."""
+    cells = dealt(docs, cell_bytes).withColumn("train", train)
+    columns = "cell int, doc_ids array<long>, words binary, word binary, lengths binary, train binary"
+    return written(cells.groupBy("cell").applyInArrow(packed, columns), "cells", rows_per_file=CELL_ROWS)
+
+
 def fit(cells: DataFrame, blocks: int, least: int = LEAST) -> Tree:
-    """The tree of cells (cell, doc_id, text as bytes, train), learnt from rows with train."""
+    """The tree of packed cells, learnt from their texts with train."""
 
     def counted(sent: DataFrame, name: str, rare_too: bool = False) -> DataFrame:
         return written(sent.groupBy("block").applyInArrow(counter(blocks, least, rare_too), COUNTED), name)
 
     by_cell = cells.groupBy("cell")
     send_words, send_pairs, send_triples = senders(blocks)
-    words = counted(by_cell.applyInArrow(send_words, SENT), "words", True)
+    words = counted(cells.mapInArrow(send_words, SENT), "words", True)
     row = words.where(F.col("kind") == SUMS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("key"), F.lit(0))).first()
     total, vocabulary = int(row[0]), int(row[1])
     told = answers(words, WORDS)
@@ -225,7 +242,7 @@ def score(docs: DataFrame, held_out: int = 1, folds: int = 5, least: int = LEAST
     scored by itself unless it is one of those.
     """
     out: Column = F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False))
-    cells = dealt(docs, cell_bytes).withColumn("train", ~out)
+    cells = cells_of(docs, ~out, cell_bytes)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tree = fit(cells, max(1, math.ceil(size / block_bytes)), least)
     told = answers_with(tree.words, WORDS, tree.states1, tree.blocks).unionAll(answers_with(tree.pairs, PAIRS, tree.states2, tree.blocks)).unionAll(answers(tree.triples, TRIPLES))

@@ -154,7 +154,7 @@ def test_suffix_tree_grows_with_the_corpus(make):
     texts = [" ".join(rng.choice([f"x{j} y{j} z{j}" for j in range(k, k + 5)]) for _ in range(500)) for k in range(0, 200, 5)]
 
     def contexts(n):
-        cells = suffix_tree.dealt(make(list(enumerate(texts[:n])))).withColumn("train", F.lit(True))
+        cells = suffix_tree.cells_of(make(list(enumerate(texts[:n]))), F.lit(True))
         return suffix_tree.fit(cells, 3).states1.count()
 
     few, many = contexts(10), contexts(40)
