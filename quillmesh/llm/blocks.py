@@ -3,7 +3,7 @@
 Each cell sends its distinct keys, dealt by hash into blocks, one message for each block that it has keys of: sorted keys as
 differences, byte planes, Zstandard. A block brings the messages of all cells together, adds up the counts of each key,
 numbers those that are frequent, and answers each message in the order of its keys; a cell finds that order again from its
-own texts, so that answers hold no keys. Messages never outnumber keys, and a key, however common, is one place in one message of each
+own texts, so that answers hold no keys. Numbers rise with the keys of a block, so answers tell them as differences. Messages never outnumber keys, and a key, however common, is one place in one message of each
 cell that holds it.
 """
 
@@ -72,7 +72,7 @@ def counter(blocks: int, least: int, rare_too: bool):
         del keys
         c = np.bincount(at, n, len(known)).astype(np.int64)
         frequent = c >= least
-        number = np.where(frequent, (np.cumsum(frequent) - 1) * blocks + block, -1)
+        rank = np.cumsum(frequent) - 1
         told = c if rare_too else np.where(frequent, c, 0)
         out = {f.name: [] for f in COUNTED_ARROW}
 
@@ -82,32 +82,29 @@ def counter(blocks: int, least: int, rare_too: bool):
 
         add(1, kind=[SUMS], block=[block], n=[int(c.sum())], key=[int((c > 0).sum())])
         k = np.flatnonzero(frequent)
-        add(len(k), kind=np.full(len(k), FREQUENT, np.int32), block=np.full(len(k), block, np.int32), key=known[k], n=c[k], id=number[k].astype(np.int32))
+        add(len(k), kind=np.full(len(k), FREQUENT, np.int32), block=np.full(len(k), block, np.int32), key=known[k], n=c[k], id=(rank[k] * blocks + block).astype(np.int32))
         rows = table.num_rows
         parts = np.split(at, ends[:-1])
-        add(rows, kind=np.full(rows, ANSWER, np.int32), block=np.full(rows, block, np.int32), cell=table.column("cell").to_numpy(), c=[packer.pack(told[p]) for p in parts], number=[packer.pack(number[p]) for p in parts])
+        add(rows, kind=np.full(rows, ANSWER, np.int32), block=np.full(rows, block, np.int32), cell=table.column("cell").to_numpy(), c=[packer.pack(told[p]) for p in parts], number=[packer.pack(np.diff(rank[p[frequent[p]]], prepend=0)) for p in parts])
         return pa.table([pa.chunked_array(v) for v in out.values()], schema=COUNTED_ARROW)
 
     return count
 
 
-def answers(counted: DataFrame, layer: int) -> DataFrame:
-    return counted.where(F.col("kind") == ANSWER).select("cell", F.lit(layer).alias("layer"), "block", "c", "number", F.lit(None).cast("binary").alias("rest"))
+def answers(counted: DataFrame, layer: int, numbers: bool = True) -> DataFrame:
+    number = F.col("number") if numbers else F.lit(None).cast("binary").alias("number")
+    return counted.where(F.col("kind") == ANSWER).select("cell", F.lit(layer).alias("layer"), "block", "c", number, F.lit(None).cast("binary").alias("rest"))
 
 
 def answers_with(counted: DataFrame, layer: int, rests: DataFrame, blocks: int) -> DataFrame:
-    """Answers with, for each key, twice the rest of (number, rest), a whole number, or -1."""
+    """Answers with, for each frequent key, twice the rest of (number, rest), a whole number, or -1."""
 
     def attach(told: pa.Table, states: pa.Table) -> pa.Table:
         packer = Packer()
-        number, twice = states.column("number").to_numpy(), np.rint(2 * states.column("rest").to_numpy()).astype(np.int64)
-        rest = np.full((int(number.max()) // blocks if len(number) else -1) + 2, -1, np.int64)
-        rest[number // blocks] = twice  # numbers of a block are consecutive multiples; the last place is for none
-        out = []
-        for x in told.column("number"):
-            place = packer.unpack(x.as_py())
-            place = np.where(place >= 0, np.minimum(place // blocks, len(rest) - 1), len(rest) - 1)
-            out.append(packer.pack(rest[place]))
+        rank, twice = states.column("number").to_numpy() // blocks, np.rint(2 * states.column("rest").to_numpy()).astype(np.int64)
+        rest = np.full((int(rank.max()) if len(rank) else -1) + 2, -1, np.int64)  # the last place is for none
+        rest[rank] = twice
+        out = [packer.pack(rest[np.minimum(np.cumsum(packer.unpack(x.as_py())), len(rest) - 1)]) for x in told.column("number")]
         return pa.table([*(told.column(c) for c in ("cell", "layer", "block", "c", "number")), pa.chunked_array([pa.array(out, pa.binary())])], schema=ANSWERED_ARROW)
 
     rests = rests.select(F.pmod("number", F.lit(blocks)).cast("int").alias("block"), "number", "rest")
@@ -117,19 +114,27 @@ def answers_with(counted: DataFrame, layer: int, rests: DataFrame, blocks: int)
 class Answers:
     """What a cell gets back."""
 
-    def __init__(self, table: pa.Table, blocks: int) -> None:
-        self.table, self.blocks, self.packer = table, blocks, Packer()
+    def __init__(self, table: pa.Table, blocks: int, least: int) -> None:
+        self.table, self.blocks, self.least, self.packer = table, blocks, least, Packer()
         self.layer, self.block = table.column("layer").to_numpy(), table.column("block").to_numpy()
 
     def of(self, layer: int, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
-        """Columns (c, number, rest) of the cell's sorted distinct keys."""
-        order = dealing(keys, self.blocks)[0]
+        """Columns (c, number, rest) of the cell's sorted distinct keys; number and rest are -1 for keys that aren't frequent."""
+        order, there, begin = dealing(keys, self.blocks)
         rows = np.flatnonzero(self.layer == layer)
         rows = rows[np.argsort(self.block[rows])]
-        out = []
-        for c in columns:
-            values = np.empty(len(keys), np.int64)
-            parts = [self.packer.unpack(self.table.column(c)[int(i)].as_py()) for i in rows]
-            values[order] = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            out.append(values)
-        return out
+        assert np.array_equal(self.block[rows], there), "a block's answer is missing"
+        out = {c: np.full(len(keys), -1, np.int64) for c in columns}
+        for i, a, b in zip(rows, begin[:-1], begin[1:], strict=True):
+            c = self.told("c", i)
+            frequent = order[a:b][c >= self.least]
+            if "c" in out:
+                out["c"][order[a:b]] = c
+            if "number" in out:
+                out["number"][frequent] = np.cumsum(self.told("number", i)) * self.blocks + self.block[i]
+            if "rest" in out:
+                out["rest"][frequent] = self.told("rest", i)
+        return list(out.values())
+
+    def told(self, column: str, row: int) -> np.ndarray:
+        return self.packer.unpack(self.table.column(column)[int(row)].as_py())

@@ -63,27 +63,30 @@ class Tree:
 
 
 def packed(table: pa.Table) -> pa.Table:
-    """A cell as one row: texts are hashed once, and each token is kept as the place of its word among the cell's words."""
+    """A cell as one row: texts are hashed once, and each token is kept as the place of its word among the cell's words by frequency."""
     hashes, parts, packer = WordHashes(), [], Packer()
     for text in table.column("text"):
         parts.append(np.append(hashes(text.as_py().lower().split()), END))
-    words, word = np.unique(np.concatenate(parts).view(np.int64), return_inverse=True)
+    words, word, times = np.unique(np.concatenate(parts).view(np.int64), return_inverse=True, return_counts=True)
+    often = np.argsort(-times, kind="stable")  # small places for frequent words, which packs better
+    place = np.empty(len(words), np.int64)
+    place[often] = np.arange(len(words))
     train = table.column("train").to_numpy(zero_copy_only=False).astype(np.int64)
-    arrays = [packer.pack(x) for x in (np.diff(words, prepend=0), word, np.array([len(p) for p in parts]), train)]
+    arrays = [packer.pack(x) for x in (np.diff(words, prepend=0), often, place[word], np.array([len(p) for p in parts]), train)]
     ids = pa.array([table.column("doc_id").to_pylist()], pa.list_(pa.int64()))
-    return pa.table([pa.array([table.column("cell")[0].as_py()], pa.int32()), ids, *(pa.array([x], pa.binary()) for x in arrays)], names=["cell", "doc_ids", "words", "word", "lengths", "train"])
+    return pa.table([pa.array([table.column("cell")[0].as_py()], pa.int32()), ids, *(pa.array([x], pa.binary()) for x in arrays)], names=["cell", "doc_ids", "words", "often", "word", "lengths", "train"])
 
 
 class Cell:
     """The tokens of a cell's texts with the words, pairs and triples in them, as far as they are known."""
 
-    def __init__(self, table: pa.Table | pa.RecordBatch, back: pa.Table | None, blocks: int, row: int = 0) -> None:
+    def __init__(self, table: pa.Table | pa.RecordBatch, back: pa.Table | None, blocks: int, least: int = LEAST, row: int = 0) -> None:
         packer = Packer()
-        words, self.word, self.lengths, train = (packer.unpack(table.column(c)[row].as_py()) for c in ("words", "word", "lengths", "train"))
+        words, often, word, self.lengths, train = (packer.unpack(table.column(c)[row].as_py()) for c in ("words", "often", "word", "lengths", "train"))
         self.blocks, self.cell, self.doc_ids = blocks, table.column("cell")[row].as_py(), table.column("doc_ids")[row].as_py()
-        self.words = np.cumsum(words)
+        self.words, self.word = np.cumsum(words), often[word]
         self.train = np.repeat(train.astype(bool), self.lengths)
-        self.got = None if back is None else Answers(back, blocks)
+        self.got = None if back is None else Answers(back, blocks, least)
         self.ends = (self.words == END.astype(np.int64))[self.word]
 
     def numbers(self) -> np.ndarray:
@@ -109,24 +112,24 @@ class Cell:
         return send(self.cell, keys, np.bincount(at, train, len(keys)).astype(np.int64), self.blocks)
 
 
-def senders(blocks: int):
+def senders(blocks: int, least: int):
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                cell = Cell(b, None, blocks, row)
+                cell = Cell(b, None, blocks, row=row)
                 yield from cell.sent(cell.words, cell.word, cell.train).to_batches()
 
     def pairs(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return SENT_ARROW.empty_table()
-        cell = Cell(table, back, blocks)
+        cell = Cell(table, back, blocks, least)
         cell.pairs(cell.numbers())
         return cell.sent(cell.pair_keys, cell.pair, cell.train[cell.in_pair])
 
     def triples(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return SENT_ARROW.empty_table()
-        cell = Cell(table, back, blocks)
+        cell = Cell(table, back, blocks, least)
         numbers = cell.numbers()
         cell.pairs(numbers)
         cell.triples(numbers, cell.of_pairs(cell.got.of(PAIRS, cell.pair_keys, "number")[0], -1))
@@ -140,14 +143,14 @@ def in_state(root: np.ndarray, kept: np.ndarray, rest: np.ndarray, context: np.n
     return np.where(rest >= 0, (np.where(kept > 0, kept - DISCOUNT, 0.0) + rest * root) / np.maximum(context, 1.0), root)
 
 
-def scorer(total: int, vocabulary: int, blocks: int):
+def scorer(total: int, vocabulary: int, blocks: int, least: int):
     denominator = total + 0.5 * (vocabulary + 1)
     names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
     def apply(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in names.items()})
-        cell = Cell(table, back, blocks)
+        cell = Cell(table, back, blocks, least)
         counts, numbers, rest1 = (x[cell.word] for x in cell.got.of(WORDS, cell.words, "c", "number", "rest"))
         cell.pairs(numbers)
         c2, pair_numbers, rest2 = (cell.of_pairs(x, none) for x, none in zip(cell.got.of(PAIRS, cell.pair_keys, "c", "number", "rest"), (0, -1, -1), strict=True))
@@ -196,7 +199,7 @@ def second_of(pair: str) -> Column:
 def cells_of(docs: DataFrame, train: Column, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Packed cells, as a table with one row for each."""
     cells = dealt(docs, cell_bytes).withColumn("train", train)
-    columns = "cell int, doc_ids array<long>, words binary, word binary, lengths binary, train binary"
+    columns = "cell int, doc_ids array<long>, words binary, often binary, word binary, lengths binary, train binary"
     return written(cells.groupBy("cell").applyInArrow(packed, columns), "cells", rows_per_file=CELL_ROWS)
 
 
@@ -207,7 +210,7 @@ def fit(cells: DataFrame, blocks: int, least: int = LEAST) -> Tree:
         return written(sent.groupBy("block").applyInArrow(counter(blocks, least, rare_too), COUNTED), name)
 
     by_cell = cells.groupBy("cell")
-    send_words, send_pairs, send_triples = senders(blocks)
+    send_words, send_pairs, send_triples = senders(blocks, least)
     words = counted(cells.mapInArrow(send_words, SENT), "words", True)
     row = words.where(F.col("kind") == SUMS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("key"), F.lit(0))).first()
     total, vocabulary = int(row[0]), int(row[1])
@@ -245,9 +248,9 @@ def score(docs: DataFrame, held_out: int = 1, folds: int = 5, least: int = LEAST
     cells = cells_of(docs, ~out, cell_bytes)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tree = fit(cells, max(1, math.ceil(size / block_bytes)), least)
-    told = answers_with(tree.words, WORDS, tree.states1, tree.blocks).unionAll(answers_with(tree.pairs, PAIRS, tree.states2, tree.blocks)).unionAll(answers(tree.triples, TRIPLES))
+    told = answers_with(tree.words, WORDS, tree.states1, tree.blocks).unionAll(answers_with(tree.pairs, PAIRS, tree.states2, tree.blocks)).unionAll(answers(tree.triples, TRIPLES, numbers=False))
     columns = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = cells.groupBy("cell").cogroup(told.groupBy("cell")).applyInArrow(scorer(tree.total, tree.distinct, tree.blocks), columns)
+    scored = cells.groupBy("cell").cogroup(told.groupBy("cell")).applyInArrow(scorer(tree.total, tree.distinct, tree.blocks, least), columns)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
