@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import training_rows
-from .tables import numbered
+from .tables import numbered, union_all
 from .ranking import overlay, trial_ranks, with_truth
 
 #: Numbers of a training matrix that may be broadcast for exact refits (8 bytes each).
 BROADCAST_NUMBERS = 64_000_000
 #: Trials refitted side by side.
 SIDE = 64
+#: Coefficients of the models that are refitted together over a training matrix that is not broadcast.
+BLOCK_NUMBERS = 2_000_000
 
 
 def fit_pair_model(rows: DataFrame, c: float = 1.0) -> np.ndarray:
@@ -56,7 +58,7 @@ def newton(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50, tol: f
     return w
 
 
-def refits(x: np.ndarray, y: np.ndarray, w: np.ndarray, inverse: np.ndarray, masked: np.ndarray, c: float = 1.0, steps: int = 30, tol: float = 1e-9) -> np.ndarray:
+def refits(x: np.ndarray, y: np.ndarray, w: np.ndarray, inverse: np.ndarray, masked: np.ndarray, c: float = 1.0, steps: int = 500, tol: float = 1e-9) -> np.ndarray:
     """Columns of coefficients, each without one positive row (-1: none), from the full fit by chord steps with its Hessian.
 
     The optimum of each column is exact to tol: class weights change with the mask, and only the step's matrix is shared.
@@ -85,11 +87,54 @@ def pair_rows(k: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.concatenate([k, t, np.abs(k - t), k * t, np.ones((len(k), 1))], axis=1)
 
 
+def summed_gradients(rows: DataFrame, out: np.ndarray, sp: np.ndarray, sn: np.ndarray) -> np.ndarray:
+    """x.T @ (weighted residuals) of each column of coefficients over a distributed training table."""
+    shared = rows.sparkSession.sparkContext.broadcast((out, sp, sn))
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, one, none = shared.value
+        total, side = np.zeros_like(w), max(1, 4 * BLOCK_NUMBERS // w.shape[1])
+        for b in batches:
+            for at in range(0, len(b), side):
+                g = b.iloc[at : at + side]
+                x = np.hstack([np.array(g["features"].tolist(), float), np.ones((len(g), 1))])
+                y = g["label"].to_numpy(float)[:, None]
+                total += x.T @ ((1 / (1 + np.exp(-(x @ w))) - y) * np.where(y == 1, one[None, :], none[None, :]))
+        for at in range(0, total.shape[1], 1000):
+            piece = total[:, at : at + 1000].T
+            yield pd.DataFrame({"m": np.arange(at, at + len(piece)), "g": piece.tolist()})
+
+    add = lambda g: pd.DataFrame({"m": g["m"].iloc[:1], "g": [np.sum(np.stack(g["g"].to_numpy()), axis=0).tolist()]})
+    sums = rows.select("features", "label").mapInPandas(part, "m long, g array<double>").groupBy("m").applyInPandas(add, "m long, g array<double>").collect()
+    found = np.zeros_like(out)
+    for r in sums:
+        found[:, r.m] = r.g
+    shared.unpersist()
+    return found
+
+
+def distributed_refits(rows: DataFrame, n: int, pos: int, w: np.ndarray, inverse: np.ndarray, masked: np.ndarray, gone: np.ndarray, c: float = 1.0, steps: int = 500, tol: float = 1e-9) -> np.ndarray:
+    """As refits, over a distributed training table; masked has the row that each column lacks, where gone says that it lacks one."""
+    out = np.repeat(w[:, None], len(masked), axis=1)
+    m = n - gone
+    sp, sn = c * m / (2 * np.maximum(1, pos - gone)), c * m / (2 * max(1, n - pos))
+    for _ in range(steps):
+        g = summed_gradients(rows, out, sp, sn) + out
+        own = 1 / (1 + np.exp(-np.einsum("td,dt->t", masked, out))) - 1
+        g -= np.where(gone[None, :], (masked * (sp * own)[:, None]).T, 0)
+        step = inverse @ g
+        out -= step
+        if np.abs(step).max() < tol:
+            break
+    return out
+
+
 def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, c: float = 1.0) -> DataFrame:
     """(trial_index, kinase_node_id, site_node_id, score) of every candidate, by a model fitted without the trial's own pair.
 
-    The training matrix is broadcast if it has at most BROADCAST_NUMBERS numbers; then each refit is exact. Beyond that a refit is the full
-    fit and one Newton step for the removed row, which needs the Hessian only. Trials whose site has no vector are left out.
+    Every refit is the optimum without that row, with class weights of the rows left. The training matrix is broadcast if it has at most
+    BROADCAST_NUMBERS numbers; beyond that the same steps sum their gradients over the distributed table, for blocks of models together.
+    Trials whose site has no vector are left out.
     """
     spark = rows.sparkSession
     first = rows.select(F.size("features").alias("d")).first()
@@ -97,56 +142,71 @@ def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors:
     n = rows.count()
     ids = cands.select(F.col("node_id")).distinct().join(vectors, "node_id").orderBy("node_id").collect()  # candidates are a dimension, not a fact
     names, kv = [r.node_id for r in ids], np.array([r.vec for r in ids], float)
-    exact = n * d <= BROADCAST_NUMBERS
     t = trials.select("trial_index", "kinase_node_id", "site_node_id").join(vectors.select(F.col("node_id").alias("site_node_id"), F.col("vec").alias("sv")), "site_node_id")
-    if exact:
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def scored(of: DataFrame, models_of: Callable[[list[tuple[str, str]]], np.ndarray]) -> DataFrame:
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for at in range(0, len(b), SIDE):
+                    g = b.iloc[at : at + SIDE]
+                    sv = [np.array(v, float) for v in g["sv"]]
+                    models = models_of(list(zip(g["kinase_node_id"], g["site_node_id"], strict=True)))
+                    scores = [1 / (1 + np.exp(-(pair_rows(kv, v) @ models[:, i]))) for i, v in enumerate(sv)]
+                    yield pd.DataFrame({"trial_index": np.repeat(g["trial_index"].to_numpy(), len(names)), "kinase_node_id": names * len(g), "site_node_id": np.repeat(g["site_node_id"].to_numpy(), len(names)), "score": np.concatenate(scores)})
+
+        return of.repartition(parts, "trial_index").mapInPandas(score, "trial_index long, kinase_node_id string, site_node_id string, score double")
+
+    if n * d <= BROADCAST_NUMBERS:
         local = rows.orderBy("kinase_node_id", "site_node_id").toPandas()
         x = np.hstack([np.array(local["features"].tolist(), float), np.ones((n, 1))])
         y = local["label"].to_numpy(float)
         w = newton(x, y, c)
         where = {(k, s): i for i, (k, s, l) in enumerate(zip(local["kinase_node_id"], local["site_node_id"], local["label"], strict=True)) if l == 1}
         shared = spark.sparkContext.broadcast((x, y, w, np.linalg.inv(hessian(x, y, w, c)), where))
-    else:
-        w = fit_pair_model(rows, c)
-        counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        s = {k: c * n / (2 * v) for k, v in counts.items()}
 
-        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            h = np.zeros((d, d))
-            for b in batches:
-                x = np.hstack([np.array(b["features"].tolist(), float), np.ones((len(b), 1))])
-                p = 1 / (1 + np.exp(-(x @ w)))
-                h += (x * (p * (1 - p) * b["label"].map(s).to_numpy())[:, None]).T @ x
-            yield pd.DataFrame({"h": [h.ravel().tolist()]})
+        def refitted(pairs: list[tuple[str, str]]) -> np.ndarray:
+            x, y, w, inverse, where = shared.value
+            return refits(x, y, w, inverse, np.array([where.get(p, -1) for p in pairs]), c)
 
-        total = np.eye(d) + sum(np.array(r.h).reshape(d, d) for r in rows.select("features", "label").mapInPandas(part, "h array<double>").toLocalIterator())
-        shared = spark.sparkContext.broadcast((None, s.get(1, 1.0), w, np.linalg.inv(total), None))
+        return scored(t, refitted)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, w, inverse, where = shared.value
-        index = {k: i for i, k in enumerate(names)}
-        for b in batches:
-            for at in range(0, len(b), SIDE):
-                g = b.iloc[at : at + SIDE]
-                pairs = list(zip(g["kinase_node_id"], g["site_node_id"], strict=True))
-                sv = [np.array(v, float) for v in g["sv"]]
-                if x is not None:
-                    models = refits(x, y, w, inverse, np.array([where.get(p, -1) for p in pairs]), c)
-                else:
-                    models = np.empty((len(w), len(pairs)))
-                    for i, (k, _) in enumerate(pairs):
-                        row = pair_rows(kv[[index[k]]], sv[i])[0] if k in index else None
-                        if row is None:
-                            models[:, i] = w
-                            continue
-                        p = 1 / (1 + np.exp(-(row @ w)))
-                        hx = inverse @ row
-                        models[:, i] = w + hx * y * (p - 1) / (1 - y * p * (1 - p) * (row @ hx))
-                scores = [1 / (1 + np.exp(-(pair_rows(kv, v) @ models[:, i]))) for i, v in enumerate(sv)]
-                yield pd.DataFrame({"trial_index": np.repeat(g["trial_index"].to_numpy(), len(names)), "kinase_node_id": names * len(g), "site_node_id": np.repeat(g["site_node_id"].to_numpy(), len(names)), "score": np.concatenate(scores)})
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every step reads it
+    w = fit_pair_model(rows, c)
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pos = counts.get(1, 0)
+    s = {k: c * n / (2 * v) for k, v in counts.items()}
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return t.repartition(parts, "trial_index").mapInPandas(score, "trial_index long, kinase_node_id string, site_node_id string, score double")
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = np.zeros((d, d))
+        for b in batches:
+            x = np.hstack([np.array(b["features"].tolist(), float), np.ones((len(b), 1))])
+            p = 1 / (1 + np.exp(-(x @ w)))
+            h += (x * (p * (1 - p) * b["label"].map(s).to_numpy())[:, None]).T @ x
+        yield pd.DataFrame({"h": [h.ravel().tolist()]})
+
+    inverse = np.linalg.inv(np.eye(d) + sum(np.array(r.h).reshape(d, d) for r in rows.select("features", "label").mapInPandas(part, "h array<double>").toLocalIterator()))
+    whole = distributed_refits(rows, n, pos, w, inverse, np.zeros((1, d)), np.zeros(1, bool), c)[:, 0]
+    pair = ["kinase_node_id", "site_node_id"]
+    own = rows.where("label = 1").groupBy(*pair).agg(F.first("features").alias("features")).join(t.select(*pair).distinct(), pair)
+    own = numbered(own, pair, "_m").persist(StorageLevel.MEMORY_AND_DISK)
+    out, last, side = [], own.count(), max(1, BLOCK_NUMBERS // d)
+    t = t.join(own.select(*pair, "_m"), pair, "left")
+    for at in range(0, max(1, last), side):
+        found = own.where((F.col("_m") > at) & (F.col("_m") <= at + side)).collect()
+        where = {(r.kinase_node_id, r.site_node_id): i for i, r in enumerate(found)}
+        masked = np.array([[*r.features, 1.0] for r in found]).reshape(len(found), d)
+        models = distributed_refits(rows, n, pos, whole, inverse, masked, np.ones(len(found), bool), c) if found else np.zeros((d, 0))
+        held = spark.sparkContext.broadcast((np.column_stack([models, whole]), where))
+
+        def chosen(pairs: list[tuple[str, str]], held=held) -> np.ndarray:
+            models, where = held.value
+            return models[:, [where.get(p, -1) for p in pairs]]  # the last: a pair that is no row
+
+        mine = (F.col("_m") > at) & (F.col("_m") <= at + side)
+        out.append(scored(t.where(mine | F.col("_m").isNull() if at == 0 else mine).drop("_m"), chosen))
+    rows.unpersist()
+    return union_all(out)
 
 
 def leave_one_out(positives: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, categories: DataFrame | None = None, per_site: int = 50) -> DataFrame:
