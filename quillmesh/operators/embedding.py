@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
@@ -45,19 +46,33 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
 
 
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All values of a list array, the row of each, and where each row ends."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return pc.list_flatten(lists), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+
+
 def biased_pick(p: float, q: float):
-    """The neighbour at share u of the weights' mass, linear in the neighbours: batches of Arrow, sorted lists, no pairs."""
+    """The neighbour at share u of the weights' mass, for a batch of walks at once and linear in their neighbours."""
 
     def pick(nbrs: pa.Array, back: pa.Array, back_nbrs: pa.Array, u: pa.Array) -> pa.Array:
-        out = []
-        for near, before, known, share in zip(nbrs.to_pylist(), back.to_pylist(), back_nbrs.to_pylist(), u.to_pylist(), strict=True):
-            if not near:
-                out.append(None)
-                continue
-            seen = set(known or ())
-            mass = np.cumsum([1.0 if before is None or x in seen and x != before else 1.0 / p if x == before else 1.0 / q for x in near])
-            out.append(near[min(int(np.searchsorted(mass, share * mass[-1], "right")), len(near) - 1)])
-        return pa.array(out, pa.string())
+        near, row, ends = _flat(nbrs)
+        known, known_row, _ = _flat(back_nbrs)
+        if not len(near):
+            return pa.nulls(len(nbrs), pa.string())
+        names = pa.concat_arrays([near, known, back])
+        code = pc.fill_null(pc.dictionary_encode(names).indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        wide = int(code.max()) + 2
+        here, there, before = code[: len(near)], code[len(near) : len(near) + len(known)], code[len(near) + len(known) :]
+        common = np.isin(row * wide + here, known_row * wide + there)
+        weight = np.where(before[row] < 0, 1.0, np.where(here == before[row], 1.0 / p, np.where(common, 1.0, 1.0 / q)))
+        mass = np.cumsum(weight)
+        begin = np.concatenate([[0], ends[:-1]])
+        low = np.where(begin > 0, mass[np.maximum(begin - 1, 0)], 0.0)
+        high = mass[np.maximum(ends - 1, 0)]
+        at = np.searchsorted(mass, low + u.to_numpy(zero_copy_only=False) * (high - low), "right")
+        at = np.minimum(np.maximum(at, begin), ends - 1)
+        return near.take(pa.array(at, mask=begin == ends))
 
     return pick
 
@@ -69,7 +84,7 @@ def walks(edges: DataFrame, num_walks: int = 25, walk_length: int = 10, seed: in
     number (31 * walk + 17 * step + seed) mod degree. Else a neighbour weighs 1/p if it is the node before, 1 if it is a neighbour of
     that, and 1/q otherwise; what is needed of the node before travels with the walk.
     """
-    adj = adjacency(edges, directed)
+    adj = adjacency(edges, directed).repartition("node").persist(StorageLevel.MEMORY_AND_DISK)  # dealt once: only walks move
     w = starts(edges, num_walks).withColumns({"cur": F.col("start"), "path": F.array("start"), "done": F.lit(False), "back": F.lit(None).cast("string"), "back_nbrs": F.array().cast("array<string>")})
     biased = p != 1.0 or q != 1.0
     picker = F.arrow_udf(biased_pick(p, q), "string") if biased else None

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import ids
 from ..functions.numeric import pair_vector
 from .graph import PHOSPHORYLATES
-from .tables import numbered
+from .tables import numbered, seeded
 
 POOR, AVERAGE = 5, 20
 
@@ -54,8 +54,8 @@ def truth_map(positives: DataFrame) -> DataFrame:
 def ordered_negatives(positives: DataFrame, cands: DataFrame, per_site: int = 50, strategy: str = "ordered_head", seed: int = 42) -> DataFrame:
     """(kinase_node_id, site_node_id): for each site with a positive, the first candidates that are none.
 
-    ordered_head takes them by id; hash by a seeded hash. A site needs at most per_site + its positives of the ordered
-    candidates, so no more than those are paired with it.
+    ordered_head takes them by id; hash from a place that hangs on the site, round the candidates in a seeded order. A site needs at
+    most per_site + its positives of the ordered candidates, so no more than those are paired with it.
     """
     truth = truth_map(positives)
     c = cands.select(F.col("node_id").alias("kinase_node_id")).distinct()
@@ -65,8 +65,13 @@ def ordered_negatives(positives: DataFrame, cands: DataFrame, per_site: int = 50
         left = heads.join(c, "_i").where(~F.array_contains("kinases", F.col("kinase_node_id")))
         order: list[Column] = [F.col("_i")]
     elif strategy == "hash":
-        left = truth.crossJoin(c).where(~F.array_contains("kinases", F.col("kinase_node_id")))
-        order = [F.xxhash64(F.lit(seed), "kinase_node_id", "site_node_id"), F.col("kinase_node_id")]
+        c = numbered(c.withColumn("_h", seeded(seed, "kinase_node_id")), ["_h", "kinase_node_id"], "_i").drop("_h")
+        n = c.count()
+        start = F.conv(F.substring(seeded(seed, "site_node_id"), 1, 8), 16, 10).cast("long")
+        steps = F.sequence(F.lit(0), F.least(F.lit(per_site) + F.size("kinases"), F.lit(n)) - 1)
+        heads = truth.withColumn("_s", F.explode(steps)).withColumn("_i", (start + F.col("_s")) % n + 1) if n else truth.select("*", F.lit(0).alias("_s"), F.lit(0).cast("long").alias("_i"))
+        left = heads.join(c, "_i").where(~F.array_contains("kinases", F.col("kinase_node_id")))
+        order = [F.col("_s")]
     else:
         raise ValueError(f"unknown strategy: {strategy}")
     n = F.row_number().over(W.partitionBy("site_node_id").orderBy(*order))

@@ -124,12 +124,12 @@ def merge_nodes(frames: list[DataFrame]) -> DataFrame:
 def merge_edges(frames: list[DataFrame]) -> DataFrame:
     """One edge for each (source, target, relation): that with the highest confidence, of equals that of the earlier frame and row.
 
-    Frames may carry seq, their row order; otherwise their other columns decide.
+    Frames may carry seq, their row order; otherwise a hash of their other columns decides, so that partitioning does not.
     """
     parts = []
     for i, f in enumerate(frames):
         f = f if "confidence_score" in f.columns else f.withColumn("confidence_score", F.lit(None).cast("int"))
-        seq = F.col("seq").cast("long") if "seq" in f.columns else F.lit(0).cast("long")
+        seq = F.col("seq").cast("long") if "seq" in f.columns else F.xxhash64(*[F.col(f"`{c}`") for c in sorted(f.columns)])
         parts.append(f.withColumn("_seq", F.struct(F.lit(i).alias("i"), seq.alias("s"))).drop("seq"))
     return keep_best(union_all(parts), ["source", "target", "relation"], "confidence_score", "_seq").drop("_seq")
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import cut
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in the given order."""
@@ -82,18 +84,27 @@ def at_least_present(long: DataFrame, key: str, value: str, n: int) -> DataFrame
     return long.groupBy(key).agg(F.count(value).alias("_n")).where(F.col("_n") >= n).select(key)
 
 
+def seeded(seed: int, *keys: str) -> Column:
+    """A seeded order of rows that other engines can follow: the MD5 of the seed and the keys as text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+
+
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """n rows, the same for the same seed whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return df.orderBy(seeded(seed, *keys), *keys).limit(n)
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "trial_index") -> DataFrame:
-    """1-based numbers in the given order. Counts of ranges are summed first, so that rows are numbered in parallel."""
+    """1-based numbers in the given order (rows equal in it in any order). Ranges are counted and offsets added, so that rows are numbered in parallel.
+
+    The ranges are dealt once, into a checkpoint: a second dealing would sample other bounds, and other counts than those numbered.
+    """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("_m", F.monotonically_increasing_id()))  # the partition's number, then the row's place in it
+    part, within = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col("_p"), before.alias("_o"))
-    within = F.row_number().over(W.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_n", within).join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_n") + F.col("_o")).cast("long")).drop("_p", "_n", "_o")
+    offsets = sizes.select("_p", before.alias("_o"))  # a row for each range
+    return placed.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, (within + F.col("_o") + 1).cast("long")).drop("_p", "_m", "_o")

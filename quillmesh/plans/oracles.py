@@ -30,9 +30,6 @@ sn AS (
   FROM (SELECT source AS node_id, 'protein' AS node_type FROM se UNION SELECT target, 'site' FROM se)),
 pe AS (SELECT DISTINCT source AS kinase_node_id, target AS site_node_id, relation FROM se WHERE relation = 'phosphorylates')"""
 ROLE = "CASE WHEN node_type <> 'protein' THEN 'site' WHEN is_kinase = 1 AND is_phosphatase = 1 THEN 'both' WHEN is_kinase = 1 THEN 'kinase' WHEN is_phosphatase = 1 THEN 'phosphatase' ELSE 'protein' END"
-LARGE = f"""{SITES},
-lg AS (SELECT DISTINCT 'PROTEIN:S' || l_suppkey AS kinase_node_id, site_node_id FROM lineitem JOIN ps ON l_partkey = partkey WHERE l_returnflag = 'A' AND l_quantity >= 45)"""
-
 VECTORS = """v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
     CASE WHEN vec_id < 50 THEN 'PROTEIN:K' || lpad(CAST(vec_id AS VARCHAR), 3, '0') ELSE 'SITE:G' || vec_id || '-S' || vec_id END AS node_id FROM embeddings),
@@ -203,7 +200,7 @@ ORACLES: dict[str, str] = {
     "site_collisions": f"""WITH {SITES}, x AS (SELECT substr(site_node_id, 7 + length(gene)) AS site_label, gene FROM ps UNION ALL SELECT ['S', 'T', 'Y'][s_suppkey % 3 + 1] || s_suppkey, 'SUP' FROM supplier)
       SELECT site_label, count(DISTINCT gene) AS n_proteins FROM x GROUP BY 1 HAVING count(DISTINCT gene) > 1""",
     "duplicate_sites": f"WITH {SUPPLY} SELECT split_part(substr(target, 6), '-', 1) AS gene, split_part(target, '-', 2) AS site_label, count(*) AS n FROM se GROUP BY 1, 2 HAVING count(*) > 1",
-    "pathway_clique_edges": """WITH x AS (SELECT DISTINCT l_orderkey AS g, 'PART:' || l_partkey AS i FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10), ok AS (SELECT g FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5)
+    "pathway_clique_edges": """WITH x AS (SELECT DISTINCT l_orderkey AS g, 'PART:' || l_partkey AS i FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10), ok AS (SELECT g FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 100)
       SELECT DISTINCT a.i AS source, b.i AS target, 'protein_same_pathway' AS relation FROM x a JOIN x b ON a.g = b.g AND a.i < b.i JOIN ok ON a.g = ok.g""",
     "pathway_token_edges": f"""WITH {SITES}, x AS (SELECT DISTINCT l_orderkey AS g, site_node_id AS i FROM lineitem JOIN ps ON l_partkey = partkey), ok AS (SELECT g FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50)
       SELECT DISTINCT a.i AS source, b.i AS target, 'site_same_pathway' AS relation FROM x a JOIN x b ON a.g = b.g AND a.i < b.i JOIN ok ON a.g = ok.g""",
@@ -229,11 +226,15 @@ ORACLES: dict[str, str] = {
     "positive_edges": f"WITH {SUPPLY} SELECT kinase_node_id, site_node_id, relation FROM pe",
     "coverage": f"""WITH {SUPPLY} SELECT count(*) AS n_positive_edges, count(DISTINCT site_node_id) AS n_sites_covered, count(DISTINCT kinase_node_id) AS n_kinases_covered,
       (SELECT count(*) FROM sn WHERE is_kinase = 1) AS n_candidates, (SELECT count(*) FROM sn WHERE node_type = 'site') AS n_sites FROM pe""",
-    "freeze_all": f"WITH {LARGE} SELECT kinase_node_id, site_node_id, row_number() OVER (ORDER BY kinase_node_id, site_node_id) AS trial_index FROM lg",
-    "freeze_multi": f"WITH {LARGE}, x AS (SELECT *, count(*) OVER (PARTITION BY site_node_id) AS n FROM lg) SELECT kinase_node_id, site_node_id, row_number() OVER (ORDER BY kinase_node_id, site_node_id) AS trial_index FROM x WHERE n > 1",
-    "truth_map": f"WITH {LARGE} SELECT site_node_id, string_agg(kinase_node_id, ';' ORDER BY kinase_node_id) AS kinases FROM lg GROUP BY 1",
-    "ordered_negatives": f"""WITH {LARGE}, k AS (SELECT DISTINCT kinase_node_id FROM lg), s AS (SELECT DISTINCT site_node_id FROM lg)
-      SELECT kinase_node_id, site_node_id FROM (SELECT k.kinase_node_id, s.site_node_id FROM k, s) ANTI JOIN lg USING (kinase_node_id, site_node_id) QUALIFY row_number() OVER (PARTITION BY site_node_id ORDER BY kinase_node_id) <= 50""",
+    "freeze_all": f"WITH {SUPPLY} SELECT kinase_node_id, site_node_id, relation, row_number() OVER (ORDER BY kinase_node_id, site_node_id) AS trial_index FROM pe",
+    "freeze_multi": f"WITH {SUPPLY}, x AS (SELECT *, count(*) OVER (PARTITION BY site_node_id) AS n FROM pe) SELECT kinase_node_id, site_node_id, relation, row_number() OVER (ORDER BY kinase_node_id, site_node_id) AS trial_index FROM x WHERE n > 1",
+    "sampled_trials": f"WITH {SUPPLY} SELECT kinase_node_id, site_node_id, relation FROM pe ORDER BY md5('42|' || kinase_node_id || '|' || site_node_id), 1, 2 LIMIT 10",
+    "truth_map": f"WITH {SUPPLY} SELECT site_node_id, string_agg(kinase_node_id, ';' ORDER BY kinase_node_id) AS kinases FROM pe GROUP BY 1",
+    "ordered_negatives": f"""WITH {SUPPLY}, k AS (SELECT DISTINCT kinase_node_id FROM pe), s AS (SELECT DISTINCT site_node_id FROM pe)
+      SELECT kinase_node_id, site_node_id FROM (SELECT k.kinase_node_id, s.site_node_id FROM k, s) ANTI JOIN pe USING (kinase_node_id, site_node_id) QUALIFY row_number() OVER (PARTITION BY site_node_id ORDER BY kinase_node_id) <= 50""",
+    "hashed_negatives": f"""WITH {SUPPLY}, k AS (SELECT kinase_node_id, row_number() OVER (ORDER BY md5('42|' || kinase_node_id), 1) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT kinase_node_id FROM pe)),
+      s AS (SELECT DISTINCT site_node_id, ('0x' || substr(md5('42|' || site_node_id), 1, 8))::BIGINT AS h FROM pe)
+      SELECT kinase_node_id, site_node_id FROM (SELECT k.kinase_node_id, s.site_node_id, (i - h % n + n) % n AS step FROM k, s) ANTI JOIN pe USING (kinase_node_id, site_node_id) QUALIFY row_number() OVER (PARTITION BY site_node_id ORDER BY step) <= 50""",
     "substrate_counts": f"WITH {SUPPLY} SELECT kinase_node_id, count(DISTINCT site_node_id) AS n_substrates FROM pe GROUP BY 1",
     "categories": """SELECT CAST(c_custkey AS VARCHAR) AS kinase_node_id, coalesce(n, 0) AS n_substrates, CASE WHEN coalesce(n, 0) <= 5 THEN 'poor' WHEN n <= 20 THEN 'average' ELSE 'rich' END AS category
       FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""",
@@ -294,7 +295,7 @@ ORACLES: dict[str, str] = {
     "aligned_means": f"""WITH {VECTORS} SELECT kinase_node_id, {_per("round(avg(rank_in_site) FILTER (WHERE network = '{n}'), 6) AS {n}")} FROM rk GROUP BY 1""",
     "deepwalk_walks": f"""WITH RECURSIVE {SUPPLY}, ed AS (SELECT DISTINCT source, target FROM se WHERE relation <> 'phosphorylates'), un AS (SELECT source, target FROM ed UNION SELECT target, source FROM ed),
       nb AS (SELECT source AS node, list(target ORDER BY target) AS nbrs FROM un GROUP BY 1),
-      wk AS (SELECT node AS start, CAST(walk AS BIGINT) AS walk, 0 AS step, node AS cur, node AS path FROM nb, range(3) t(walk)
+      wk AS (SELECT node AS start, CAST(walk AS BIGINT) AS walk, 0 AS step, node AS cur, node AS path FROM nb, range(25) t(walk)
         UNION ALL SELECT start, walk, step + 1, {WALK_STEP}, path || '>' || {WALK_STEP} FROM wk JOIN nb ON wk.cur = nb.node WHERE step < 9)
       SELECT start, walk, path FROM wk WHERE step = 9""",
     "concat_embed": f"WITH {VECTORS} SELECT node_id, CAST(32 AS BIGINT) AS n, round(list_sum(e[1:32]), 6) AS total FROM v",

@@ -153,7 +153,7 @@ def duplicate_sites(spark: SparkSession, d: str) -> DataFrame:
 def pathway_clique_edges(spark: SparkSession, d: str) -> DataFrame:
     members = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("grp"), F.concat(F.lit("PART:"), F.col("l_partkey").cast("string")).alias("item"))
     allowed = table(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("PART:"), F.col("p_partkey").cast("string")).alias("node_id"))
-    return graph.pathway_edges(members, "grp", "item", graph.PROTEIN_PATHWAY, 5, allowed)
+    return graph.pathway_edges(members, "grp", "item", graph.PROTEIN_PATHWAY, graph.PROTEIN_CAP, allowed)
 
 
 @query
@@ -270,13 +270,6 @@ def _positives(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.positive_edges(roles.supply_edges(spark, d), roles.supply_nodes(spark, d))
 
 
-def _large(spark: SparkSession, d: str) -> DataFrame:
-    """Positives of large lines only, so that not every site has several."""
-    li = table(spark, d, "lineitem").where((F.col("l_returnflag") == "A") & (F.col("l_quantity") >= 45)).select("l_suppkey", "l_partkey").distinct()
-    s = roles.part_sites(spark, d)
-    return li.join(s, li.l_partkey == s.partkey).select(F.concat(F.lit("PROTEIN:S"), F.col("l_suppkey").cast("string")).alias("kinase_node_id"), "site_node_id").distinct()
-
-
 @query
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluation.candidates(roles.supply_nodes(spark, d)))
@@ -295,35 +288,35 @@ def coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def freeze_all(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.freeze_all(_large(spark, d))
+    return evaluation.freeze_all(_positives(spark, d))
 
 
 @query
 def freeze_multi(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.freeze_multi(_large(spark, d))
+    return evaluation.freeze_multi(_positives(spark, d))
 
 
 @query
 def sampled_trials(spark: SparkSession, d: str) -> DataFrame:
     """Ten trials, sampled by a seed."""
-    return sample_rows(_large(spark, d), 10, ["kinase_node_id", "site_node_id"])
+    return sample_rows(_positives(spark, d), 10, ["kinase_node_id", "site_node_id"])
 
 
 @query
 def truth_map(spark: SparkSession, d: str) -> DataFrame:
-    t = evaluation.truth_map(_large(spark, d))
+    t = evaluation.truth_map(_positives(spark, d))
     return t.select("site_node_id", F.array_join("kinases", ";").alias("kinases"))
 
 
 @query
 def ordered_negatives(spark: SparkSession, d: str) -> DataFrame:
-    p = _large(spark, d)
+    p = _positives(spark, d)
     return evaluation.ordered_negatives(p, p.select(F.col("kinase_node_id").alias("node_id")).distinct(), 50)
 
 
 @query
 def hashed_negatives(spark: SparkSession, d: str) -> DataFrame:
-    p = _large(spark, d)
+    p = _positives(spark, d)
     return evaluation.ordered_negatives(p, p.select(F.col("kinase_node_id").alias("node_id")).distinct(), 50, "hash")
 
 
@@ -553,7 +546,7 @@ def aligned_means(spark: SparkSession, d: str) -> DataFrame:
 def deepwalk_walks(spark: SparkSession, d: str) -> DataFrame:
     """Walks over suppliers and parts with arithmetic picks, which SQL can follow."""
     e = _walk_edges(spark, d)
-    return embedding.walks(e, 3, 10, pick="arithmetic", directed=False).select("start", F.col("walk").cast("long").alias("walk"), F.array_join("path", ">").alias("path"))
+    return embedding.walks(e, pick="arithmetic", directed=False).select("start", F.col("walk").cast("long").alias("walk"), F.array_join("path", ">").alias("path"))
 
 
 def _walk_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -562,17 +555,17 @@ def _walk_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def biased_walks(spark: SparkSession, d: str) -> DataFrame:
-    return embedding.walks(_walk_edges(spark, d), 2, 10, directed=False, p=0.5, q=2.0)
+    return embedding.walks(_walk_edges(spark, d), directed=False, p=0.5, q=2.0)
 
 
 @query
 def word2vec_embed(spark: SparkSession, d: str) -> DataFrame:
-    return embedding.WalkEmbedding(dimensions=16, num_walks=5, directed=False).fit(_walk_edges(spark, d))
+    return embedding.WalkEmbedding(directed=False).fit(_walk_edges(spark, d))
 
 
 @query
 def spectral_embed(spark: SparkSession, d: str) -> DataFrame:
-    return embedding.SpectralEmbedding(dimensions=16).fit(_walk_edges(spark, d))
+    return embedding.SpectralEmbedding().fit(_walk_edges(spark, d))
 
 
 @query

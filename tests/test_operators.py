@@ -150,3 +150,34 @@ def test_graph_build(spark):
     reasons = rows(graph.parse_counts(r, graph.parse_reason(F.col("e"), F.col("g"), F.col("s"), [F.col("o")])))
     assert dict(reasons) == {"missing": 1, "multi_site": 2, "nonhuman": 1, "ok": 1}
     assert rows(graph.embedding_edges(edges)) == [("PROTEIN:GSK3B", "SITE:GSK3B-S9")]
+
+
+def test_numbers_of_wide_tables_are_one_to_n(spark):
+    n = 1_000_000
+    df = spark.range(n).selectExpr("hash(id) AS a", "id AS b", "id * 2 AS c", "uuid() AS d")
+    got = tables.numbered(df, ["a", "b"], "i")
+    assert tuple(got.agg(F.min("i"), F.max("i"), F.countDistinct("i"), F.count("i")).first()) == (1, n, n, n)
+    w = tables.W.orderBy("i")
+    assert got.where("i % 1000 < 2").withColumn("before", F.lag(F.struct("a", "b")).over(w)).where("before >= struct(a, b)").count() == 0
+
+
+def test_negatives_by_hash_and_single_kinase_sites(spark):
+    pos = spark.createDataFrame([("k0", "s0"), ("k1", "s0"), ("k2", "s1")], "kinase_node_id string, site_node_id string")
+    cands = spark.createDataFrame([(f"k{i}",) for i in range(9)], "node_id string")
+    for strategy, per_site in (("hash", 4), ("hash", 50), ("ordered_head", 4)):
+        got = [tuple(r) for r in evaluation.ordered_negatives(pos, cands, per_site, strategy).collect()]
+        assert len(got) == len(set(got)) == min(per_site, 7) + min(per_site, 8)
+        assert not {("k0", "s0"), ("k1", "s0"), ("k2", "s1")} & set(got)
+    assert [tuple(r) for r in evaluation.freeze_multi(pos).select("trial_index", "kinase_node_id").orderBy("trial_index").collect()] == [(1, "k0"), (2, "k1")]
+
+
+def test_biased_pick_is_linear_and_weighted():
+    import pyarrow as pa
+
+    pick = embedding.biased_pick(0.5, 2.0)
+    nbrs = [["a", "b", "c"], None, ["x"], ["a", "b"]]
+    back, known = ["a", None, None, None], [["b", "z"], [], None, []]
+    # weights of the first: a is the node before (2), b a neighbour of it (1), c neither (0.5)
+    got = {u: pick(pa.array(nbrs, pa.list_(pa.string())), pa.array(back, pa.string()), pa.array(known, pa.list_(pa.string())), pa.array([u] * 4)).to_pylist() for u in (0.0, 0.5, 0.6, 0.85, 0.9, 0.999)}
+    assert [got[u][0] for u in got] == ["a", "a", "b", "b", "c", "c"]
+    assert all(v[1] is None and v[2] == "x" for v in got.values()) and got[0.0][3] == "a" and got[0.6][3] == "b"
