@@ -2,8 +2,9 @@
 
 Lines are reduced to 128-bit hashes; the hashes are range-partitioned by (hash, document) and sorted by document and
 position, so that the first occurrence of a key in each document streams by without a group in memory, and a key that a
-third of all lines share is spread over many ranges. What comes back is a run-length coded keep bitmap for each document;
-texts move once, when a caller applies the bitmaps.
+third of all lines share is spread over many ranges. Each range counts its keys, the counts are added, and the verdict on a key
+is joined back by key and range, so that no common key meets in one task. What comes back is a run-length coded keep bitmap
+for each document; texts move once, when a caller applies the bitmaps.
 
 Defined cases: a null or empty text is one empty line; rows that share a doc_id are one document, judged row by row, and
 rows alike in doc_id and text get the same bitmap; rows with a null doc_id are counted as no document and lose the lines
@@ -34,14 +35,21 @@ def line_postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "row_key", "pos")
 
 
-def frequent_keys(postings: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(h1, h2, keeper) of keys in min_docs documents or more; keeper is the largest doc_id that holds the key."""
+def ranged(postings: DataFrame) -> DataFrame:
+    """postings with their range, and whether they are the first of their key in their document; dealt once, into a checkpoint."""
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = postings.where(F.col("doc_id").isNotNull()).select("h1", "h2", "doc_id", "pos").repartitionByRange(n, "h1", "h2", "doc_id")
-    ranged = ranged.sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    first = F.row_number().over(W.partitionBy("h1", "h2", "doc_id").orderBy("pos")) == 1
-    firsts = ranged.withColumn("is_first", first).where("is_first")
-    return firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    # rows without an id spread by their text
+    keys = ["h1", "h2", "doc_id", "apart"]
+    p = postings.withColumn("apart", F.when(F.col("doc_id").isNull(), F.col("row_key"))).repartitionByRange(n, *keys).sortWithinPartitions(*keys, "pos")
+    first = F.row_number().over(W.partitionBy(*keys).orderBy("pos")) == 1
+    return cut(p.select("h1", "h2", "doc_id", "row_key", "pos", (first & F.col("doc_id").isNotNull()).alias("is_first"), F.spark_partition_id().alias("range")))
+
+
+def frequent_keys(placed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(h1, h2, range, keeper) of keys in min_docs documents or more, a row for each range that holds the key; keeper is the largest doc_id that does."""
+    by_range = placed.groupBy("h1", "h2", "range").agg(F.count_if("is_first").alias("n"), F.max("doc_id").alias("last"))
+    whole = by_range.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("last").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    return by_range.select("h1", "h2", "range").join(whole.select("h1", "h2", "keeper"), ["h1", "h2"])
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -49,10 +57,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
 
     keep_runs holds the lengths of runs of kept and dropped lines in turn; keep_first tells what the first run is.
     """
-    postings = cut(line_postings(docs, min_chars))
-    frequent = frequent_keys(postings, min_docs)
+    placed = ranged(line_postings(docs, min_chars))
+    frequent = frequent_keys(placed, min_docs)
     dropped = (
-        postings.join(frequent, ["h1", "h2"])
+        placed.join(frequent, ["h1", "h2", "range"])
         .where(F.coalesce(F.col("doc_id") != F.col("keeper"), F.lit(True)))
         .groupBy("doc_id", "row_key")
         .agg(F.array_sort(F.collect_set("pos")).alias("drops"))
@@ -62,8 +70,9 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     joined = rows.join(d, rows.doc_id.eqNullSafe(d._doc) & (rows.row_key == d._key), "left")
     drops = F.coalesce(F.col("drops"), F.array().cast("array<int>"))
     # runs: bounds are where the state changes, i.e. at p for a drop whose predecessor stays, at p+1 for one whose successor stays
-    starts = F.filter(F.col("drops"), lambda p: ~F.array_contains(F.col("drops"), p - 1))
-    ends = F.transform(F.filter(F.col("drops"), lambda p: ~F.array_contains(F.col("drops"), p + 1)), lambda p: p + 1)
+    at = F.col("drops")
+    starts = F.filter(at, lambda p, i: (i == 0) | (F.get(at, i - 1) != p - 1))
+    ends = F.transform(F.filter(at, lambda p, i: F.coalesce(F.get(at, i + 1) != p + 1, F.lit(True))), lambda p: p + 1)
     bounds = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), starts, ends, F.array(F.col("n_lines").cast("int")))))
     runs = F.zip_with(F.slice(bounds, 2, F.size(bounds) - 1), F.slice(bounds, 1, F.size(bounds) - 1), lambda b, a: b - a)
     return joined.select(
