@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import text_bytes
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -250,7 +250,6 @@ def groups(texts: list[bytes]):
 
 def encode_media(docs: DataFrame) -> DataFrame:
     """docs' doc_id with media: the text as an AVI file."""
-    small_batches(docs.sparkSession)
 
     def encode(texts: pa.Array) -> pa.Array:
         return pa.array([f for g in groups([t.as_py() for t in texts]) for f in stored([payload_of(t) for t in g])], pa.binary())
@@ -271,7 +270,6 @@ def clips(media: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("shot", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("stop_s", pa.float64())]))
         return pa.array(rows, kind)
 
-    small_batches(media.sparkSession)
     return media.select("doc_id", F.inline(F.arrow_udf(detect, CLIP)("media")))
 
 
@@ -280,7 +278,6 @@ DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 lo
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id with digests of each text's file and of what is read back from it; feature counts frames, shots and times of cuts."""
-    small_batches(docs.sparkSession)
 
     def digest(texts: pa.Array) -> pa.Array:
         rows = []

@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_batches
 
 ROLES = ("system", "user", "assistant")
 PART = 512
@@ -93,7 +92,6 @@ def transcripts(turns: DataFrame, part: int = PART) -> DataFrame:
 
 def fit(labelled: DataFrame) -> Model:
     """From a table with lines and truth."""
-    small_batches(labelled.sparkSession)
     features = F.arrow_udf(lambda lines: pa.array([[observed(x)[0] for x in v] for v in lines.to_pylist()], pa.list_(pa.int32())), "array<int>")
     x = labelled.where(F.size("lines") > 0).select("truth", features("lines").alias("seen"))
     triples = F.transform("truth", lambda s, i: F.struct(F.when(i > 0, F.get("truth", i - 1)).otherwise(-1).alias("before"), s.alias("state"), F.get("seen", i).alias("seen")))
@@ -126,7 +124,6 @@ PARSED = "chat string, states array<int>, turns array<struct<role:string,text:st
 
 def parse(raw: DataFrame, model: Model) -> DataFrame:
     """raw with chat, states and turns of its lines."""
-    small_batches(raw.sparkSession)
     shared = raw.sparkSession.sparkContext.broadcast(model)
 
     def run(column: pa.Array) -> pa.Array:

@@ -1,16 +1,19 @@
-"""What the operators of this subpackage share: shared-folder checkpoints, Arrow batch bounds, words and row keys."""
+"""What the operators of this subpackage share: words, row keys, joins with tables that may be small.
+
+Arrow batches keep the session's bounds, 10,000 rows and 64 MB unless set otherwise; no operator changes a setting.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch sent to Python; texts reach 10^5 bytes, so the default of 10,000 rows is too many.
-ARROW_ROWS = 512
+from ..sources.shared import cut, new_path, written  # noqa: F401
+
+#: Rows of a table of a few dozen bytes each that may be broadcast, after they were counted.
+BROADCAST_ROWS = 100_000
 #: A-Z and a-z, for lower-casing ASCII alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -23,30 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for plans made from now on in this session (a smaller setting stays)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder of spark.checkpoint.dir, set here only where it is unset (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or str(PurePosixPath("/tmp/checkpoints/quillmesh")))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
-    """The rows as a Parquet table in the folder of spark.checkpoint.dir (where it is unset, as in tests, in that of cut), read again."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quillmesh"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes, null as none: what Python workers get, without decoding."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -64,3 +43,9 @@ def text_key(column: str = "text") -> Column:
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """df, computed once, marked for broadcast if it has at most BROADCAST_ROWS rows; else Spark shuffles for it."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

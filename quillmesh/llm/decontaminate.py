@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import text_bytes
 
 WINDOW = 13
 SLOP = 2
@@ -124,7 +124,6 @@ def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, b
 
 def hits_udf(spark: SparkSession, block: list[tuple[str, bytes]], window: int, slop: int) -> Callable[[Column], Column]:
     """struct(n_words, hits, items, near) of UTF-8 texts, against one block of items."""
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(Windows(block, window))
 
     def look(texts: pa.Array) -> pa.Array:

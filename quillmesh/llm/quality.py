@@ -7,6 +7,8 @@ values sqrt(count / all) (of unit length). Scores are sparse dot products throug
 The fit reads at most max_rows labelled rows, those with the smallest hash of doc_id, in one task that streams them; the
 weights, 2^bits floats and a bias, are broadcast (1 MB at the default). Scoring reads every row and moves none.
 
+Of rows that share an id the least text is learnt from, so the fit's rows are bounded too.
+
 Defined cases: null, empty and signless texts score by the bias alone; rows with a null doc_id are scored, not learnt
 from; ids whose labels disagree or are null are not learnt from; without labels every score is 0.5; held_out is null for a
 null doc_id; other columns are not read.
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches, text_bytes
+from .common import remainder, text_bytes
 
 BITS = 18
 MAX_ROWS = 8000
@@ -88,12 +90,11 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epoch
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, max_rows: int = MAX_ROWS, bits: int = BITS) -> np.ndarray:
     """Weights learnt from labels.quality of documents with crc32(doc_id) mod folds other than held_out."""
-    small_batches(docs.sparkSession)
     agreed = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder("doc_id", folds) != held_out))
     agreed = agreed.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
     order = F.xxhash64(F.lit(5), "doc_id")
     chosen = agreed.select("doc_id", F.col("low").cast("int").alias("label"), order.alias("place")).orderBy("place", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("place", "doc_id", "text", "label")
+    rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("place", "doc_id").agg(F.min(F.struct("text", "label")).alias("r")).select("place", "doc_id", "r.text", "r.label")
     rows = rows.repartition(1).sortWithinPartitions("place", "doc_id", "text")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +111,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, m
 
 def score_udf(spark: SparkSession, weights: np.ndarray) -> Callable[[Column], Column]:
     """Scores of UTF-8 texts by the broadcast weights."""
-    small_batches(spark)
     bits = (len(weights) - 1).bit_length() - 1
     shared = spark.sparkContext.broadcast(weights)
     held: list = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +62,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("_row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The key of spark.quillmesh.surrogates.key; where it is unset a new random one, so that surrogates can't be undone or linked between runs."""
+    found = spark.conf.get("spark.quillmesh.surrogates.key", None)
+    return found.encode() if found else secrets.token_bytes(32)
+
+
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = surrogates.anonymise(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "text", F.size("spans").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"))
+    found = surrogates.checked(surrogates.anonymise(table(spark, sf_dir, "documents"), surrogate_key(spark)))
+    return found.select("doc_id", "text", F.size("spans").alias("n_entities"), F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"), "n_clashes")
 
 
 def op10_avi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_bytes
+from .common import cut, text_bytes
 
 SHINGLE, RADIUS, BLOCKS, SEED, SHARD = 3, 3, 5, 42, 20_000
 
@@ -49,7 +49,6 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
 
     def each(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([simhash(x.as_py(), shingle) for x in texts], np.uint64).view(np.int64))

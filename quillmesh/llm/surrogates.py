@@ -8,7 +8,15 @@ A surrogate is a keyed permutation of all strings of the original's shape: each
 in the alphabet of its class (vowels and consonants of a script, digits, hexadecimal digits), and a Feistel network over
 that number, walked until it falls into range, is a bijection. So distinct originals of a type get distinct surrogates over
 the whole corpus without a table of them, equal ones get equal surrogates in every document, and case and separators don't
-matter to either. Known given names are permuted within their list, by gender and script. collisions() checks the distinctness over the corpus.
+matter to either. Strings of hexadecimal digits are permuted among themselves, and all others among those that are not.
+
+Persons have a gender, from the form of address or from a known given name. Known given names are permuted within their list,
+by gender and script; other given names (the first of several words) among strings of their shape, by a key of the gender
+and with the ending kept that marks it; family names the same way in every gender, but for their gendered ending. Who a
+person is, is the name together with the gender.
+
+The key is an argument, never a constant: who knows it can undo the permutation. clashes() checks the corpus: surrogates that
+stand for several originals (none, by construction) or that equal an original found elsewhere (chance).
 
 Defined cases: a null text stays null and has no entities; spans don't overlap, the earlier kind in KINDS wins; rows are
 treated one by one; strings whose shape has a single member (no letter or digit) stay; other columns are not read.
@@ -23,12 +31,11 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
-KEY = b"quillmesh-surrogates"
+from .common import checked_broadcast, written
 
 # Given names by script and gender, and forms of address by gender.
 GIVEN = {
@@ -37,13 +44,22 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Вера Елена Ирина Мария Наталья Ольга Светлана Софья Татьяна".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Павел Сергей".split(),
 }
-ADDRESS = {"f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra."], "m": ["Mr.", "Mr", "Herr", "Monsieur", "Señor", "Sr."], "": ["Dr.", "Prof."]}
+ADDRESS = {"f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra.", "Signora", "Pani", "Госпожа", "госпожа"], "m": ["Mr.", "Mr", "Herr", "Monsieur", "Señor", "Sr.", "Signor", "Pan", "Господин", "господин"], "": ["Dr.", "Prof."]}
+# Forms of address that follow the name, by gender; endings that mark a gender, by script.
+AFTER = {"f": ["女士", "小姐"], "m": ["先生"], "": ["博士", "教授"]}
+ENDINGS = {"latin": ("ová", "ova", "eva", "ska", "ina", "ella", "ine", "ie", "a", "o"), "cyrillic": ("ова", "ева", "ина", "ская", "ая", "ский", "ий", "ов", "ев", "ин", "а", "я")}
 
-LETTER = r"[^\W\d_]"
-CAPITAL = r"[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]"
-NAME_WORD = rf"{CAPITAL}(?:{LETTER}+(?:[-'’]{CAPITAL}{LETTER}+)*|['’]{CAPITAL}{LETTER}+)"
+#: A capital of any script that has them, then letters; or letters of a script without case.
+NAME_WORD = r"(?:\p{Lu}(?:\p{L}\p{M}*)+(?:[-'’]\p{Lu}(?:\p{L}\p{M}*)+)*|\p{Lu}['’]\p{Lu}(?:\p{L}\p{M}*)+|(?:\p{Lo}\p{M}*){2,12})"
 FORMS = "|".join(re.escape(x) for xs in ADDRESS.values() for x in sorted(xs, key=len, reverse=True))
-KNOWN = "|".join(n for ns in GIVEN.values() for n in ns)
+GENDER = {x: g for forms in (ADDRESS, AFTER) for g, xs in forms.items() for x in xs}
+GIVEN_OF = {n: k for k, ns in GIVEN.items() for n in ns}
+KNOWN = "|".join(GIVEN_OF)
+FOLLOWING = "|".join(x for xs in AFTER.values() for x in xs)
+PERSON = regex.compile(rf"\b(?P<form>{FORMS})\s*(?P<a>{NAME_WORD}(?:\s{NAME_WORD}){{0,2}})|\b(?P<b>(?:{KNOWN})(?:\s{NAME_WORD}){{1,2}})|(?P<c>\p{{Han}}{{2,4}}?)(?P<after>{FOLLOWING})")
+#: A text without any of these has no person.
+HINT = re.compile(f"{FORMS}|{KNOWN}|{FOLLOWING}")
+WORDS = regex.compile(NAME_WORD)
 #: In order of precedence. What is permuted is the whole match, or its group where there is one.
 KINDS: dict[str, re.Pattern[str]] = {
     "email": re.compile(r"[^\s@<>()\[\]{},;:\"'|]+@[\w-]+(?:\.[\w-]+)+"),
@@ -57,7 +73,6 @@ KINDS: dict[str, re.Pattern[str]] = {
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\d.])(?:\d[ -]?){12,18}\d(?!\d)"),
     "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}(?![\w])|(?<![\w.])\+\d{8,15}(?!\w)|(?<![\w.])\(\d{2,4}\) ?\d{5,8}(?!\w)"),
-    "person": re.compile(rf"\b(?:{FORMS})\s+(?P<a>{NAME_WORD}(?:\s{NAME_WORD}){{0,2}})|\b(?P<b>(?:{KNOWN})(?:\s{NAME_WORD}){{1,2}})"),
 }
 DIGITS_ONLY = {"ip", "ssn", "card", "phone", "iban", "mac"}
 
@@ -160,25 +175,34 @@ def phone(text: str, key: bytes) -> str:
     return digits_of(text, key, "phone", max(0, n - 10))
 
 
-def given(name: str, key: bytes) -> str | None:
-    for (script, gender), names in GIVEN.items():
-        if name in names:
-            k = hmac.new(key, f"given|{script}|{gender}".encode(), hashlib.sha256).digest()
-            return names[permuted(names.index(name), len(names), k)]
-    return None
+def given(name: str, key: bytes) -> str:
+    script, gender = GIVEN_OF[name]
+    names = GIVEN[(script, gender)]
+    k = hmac.new(key, f"given|{script}|{gender}".encode(), hashlib.sha256).digest()
+    return names[permuted(names.index(name), len(names), k)]
+
+
+def renamed(word: str, key: bytes, kind: str) -> str:
+    """A word that is no known given name, among those of its shape and ending that are none either."""
+    ending = next((e for ends in ENDINGS.values() for e in ends if word.endswith(e) and len(word) > len(e) + 1), "")
+    stem = word[: len(word) - len(ending)]
+    while True:
+        stem = reshaped(stem, key, f"{kind}|{ending}")
+        if stem + ending not in GIVEN_OF and not any((stem + ending).endswith(e) and len(e) > len(ending) for ends in ENDINGS.values() for e in ends):
+            return stem + ending
 
 
-def person(text: str, key: bytes) -> str:
-    """Known given names among their list; other words among those of their shape that are in no list."""
+def person(text: str, key: bytes, gender: str = "") -> str:
+    """Known given names among their list; other given names by gender, family names in one way for all."""
+    words = WORDS.findall(text)
+    gender = next((GIVEN_OF[w][1] for w in words if w in GIVEN_OF), gender)
+    place = iter(range(len(words)))
 
     def word(w: str) -> str:
-        found = given(w, key)
-        while found is None:
-            w = reshaped(w, key, "name")
-            found = w if given(w, key) is None else None
-        return found
+        first = next(place) == 0 and len(words) > 1
+        return given(w, key) if w in GIVEN_OF else renamed(w, key, f"name|{gender}" if first else "name")
 
-    return re.sub(NAME_WORD, lambda m: word(m.group()), text)
+    return WORDS.sub(lambda m: word(m.group()), text)
 
 
 def email(text: str, key: bytes) -> str:
@@ -187,81 +211,118 @@ def email(text: str, key: bytes) -> str:
     return f"{reshaped(local, key, 'local')}@{reshaped(name, key, 'domain')}.{top}"
 
 
-def surrogate(kind: str, text: str, key: bytes = KEY) -> str:
-    if kind == "secret":
-        return reshaped(text, key, kind, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text) is not None)
+HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+
+
+def secret(text: str, key: bytes) -> str:
+    """Hexadecimal strings among themselves; others walk on until they meet one that isn't, so that none takes another's place."""
+    if HEX.fullmatch(text):
+        return reshaped(text, key, "hex", hexadecimal=True)
+    while True:
+        text = reshaped(text, key, "secret")
+        if not HEX.fullmatch(text):
+            return text
+
+
+def surrogate(kind: str, text: str, key: bytes, gender: str = "") -> str:
     if kind == "mac":
         return reshaped(text, key, kind, hexadecimal=True)
-    special = {"email": email, "card": card, "ip": ip, "phone": phone, "person": person}.get(kind)
+    if kind == "person":
+        return person(text, key, gender)
+    special = {"email": email, "card": card, "ip": ip, "phone": phone, "secret": secret}.get(kind)
     return special(text, key) if special else reshaped(text, key, kind)
 
 
-def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, stop, kind) of what is to be replaced, in order, without overlaps."""
-    found: list[tuple[int, int, str]] = []
+def entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, stop, kind, gender) of what is to be replaced, in order, without overlaps."""
+    found: list[tuple[int, int, str, str]] = []
     digits = re.search(r"\d", text) is not None
     taken = bytearray(len(text))
+
+    def add(a: int, b: int, kind: str, gender: str = "") -> None:
+        if not any(taken[a:b]):
+            taken[a:b] = b"\x01" * (b - a)
+            found.append((a, b, kind, gender))
+
     for kind, pattern in KINDS.items():
         if (kind in DIGITS_ONLY and not digits) or (kind == "email" and "@" not in text):
             continue
         for m in pattern.finditer(text):
             a, b = next((m.span(g) for g, v in m.groupdict().items() if v is not None), m.span())
-            if kind == "phone" and not 7 <= sum(c.isdigit() for c in text[a:b]) <= 15:
-                continue
-            if not any(taken[a:b]):
-                taken[a:b] = b"\x01" * (b - a)
-                found.append((a, b, kind))
+            if kind != "phone" or 7 <= sum(c.isdigit() for c in text[a:b]) <= 15:
+                add(a, b, kind)
+    if HINT.search(text):
+        for m in PERSON.finditer(text):
+            a, b = next(m.span(g) for g in "abc" if m.group(g) is not None)
+            add(a, b, "person", GENDER.get(m.group("form") or m.group("after"), ""))
     return sorted(found)
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str, str]]]:
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The text with surrogates, and (start, stop, kind, surrogate) of each entity of the old text."""
     out, at, spans = [], 0, []
-    for a, b, kind in entities(text):
-        new = surrogate(kind, text[a:b], key)
+    for a, b, kind, gender in entities(text):
+        new = surrogate(kind, text[a:b], key, gender)
         spans.append((a, b, kind, new))
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), spans
 
 
-RESULT = "text string, spans array<struct<start:int,stop:int,kind:string,surrogate:string>>"
+def identity(kind: str, text: str, gender: str, key: bytes) -> bytes:
+    """A keyed hash of who or what a mention names. Case is ignored, and separators where only digits count; a person's gender counts."""
+    plain = re.sub(r"\D", "", text) if kind in ("card", "phone") else text.lower()
+    if kind == "person":
+        plain += "|" + next((GIVEN_OF[w][1] for w in WORDS.findall(text) if w in GIVEN_OF), gender)
+    return hashlib.blake2b(f"{kind}|{plain}".encode(), key=hashlib.sha256(key).digest(), digest_size=12).digest()
+
+
+SPAN = "struct<start:int,stop:int,kind:string,surrogate:string,original_hash:binary,surrogate_hash:binary>"
+SPAN_ARROW = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string()), ("original_hash", pa.binary()), ("surrogate_hash", pa.binary())])
 
 
 def surrogate_udf(key: bytes):
+    if not key:
+        raise ValueError("surrogates need a key")
+
     def run(texts: pa.Array) -> pa.Array:
         new, spans = [], []
         for t in texts:
-            out, found = replaced(t.as_py(), key) if t.is_valid else (None, [])
+            old = t.as_py()
+            out, found = replaced(old, key) if t.is_valid else (None, [])
+            genders = [g for *_, g in entities(old)] if found else []
             new.append(out)
-            spans.append([{"start": a, "stop": b, "kind": k, "surrogate": s} for a, b, k, s in found])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())]))
-        return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(spans, kind)], ["text", "spans"])
+            spans.append([{"start": a, "stop": b, "kind": k, "surrogate": s, "original_hash": identity(k, old[a:b], g, key), "surrogate_hash": identity(k, s, g, key)} for (a, b, k, s), g in zip(found, genders, strict=True)])
+        return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(spans, pa.list_(SPAN_ARROW))], ["text", "spans"])
 
-    return F.arrow_udf(run, RESULT)
+    return F.arrow_udf(run, f"text string, spans array<{SPAN}>")
 
 
-def anonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(doc_id, text, spans): the text with surrogates and where the originals stood in the old text."""
-    small_batches(docs.sparkSession)
+def anonymise(docs: DataFrame, key: bytes) -> DataFrame:
+    """(doc_id, text, spans): the text with surrogates, and where the originals stood in the old text, as keyed hashes."""
     return docs.select("doc_id", surrogate_udf(key)(F.col("text")).alias("r")).select("doc_id", "r.text", "r.spans")
 
 
-def mentions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, original, surrogate) of every mention, as keyed hashes: originals don't leave."""
-    small_batches(docs.sparkSession)
-    found = docs.select("text", surrogate_udf(key)(F.col("text")).alias("r")).select("text", F.explode("r.spans").alias("s"))
-
-    def hashed(c: Column) -> Column:
-        return F.sha2(F.concat(F.lit(key.hex()), c), 256)
-
-    # what coreference ignores: case everywhere, and separators where only digits count
-    plain = lambda c: F.when(F.col("s.kind").isin("card", "phone"), F.regexp_replace(c, r"\D", "")).otherwise(F.lower(c))
-    original = F.expr("substring(text, s.start + 1, s.stop - s.start)")
-    return found.select("s.kind", hashed(plain(original)).alias("original"), hashed(plain(F.col("s.surrogate"))).alias("surrogate"))
-
-
-def collisions(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, surrogate, originals) of surrogates that stand for several originals: none, if distinctness holds."""
-    pairs = mentions(docs, key).distinct()
-    return pairs.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("originals")).where("originals > 1")
+def clashes(mentions: DataFrame) -> DataFrame:
+    """(surrogate_hash, originals, is_original) of surrogates that stand for several originals, or equal an original of the corpus.
+
+    mentions is (original_hash, surrogate_hash), one row for each mention; they are counted once for each pair before they meet.
+    """
+    pairs = mentions.select("original_hash", "surrogate_hash").distinct()
+    values = pairs.select(F.col("surrogate_hash").alias("h"), F.lit(1).alias("n"), F.lit(False).alias("o")).unionAll(pairs.select("original_hash", F.lit(0), F.lit(True)))
+    found = values.groupBy("h").agg(F.sum("n").alias("originals"), F.max("o").alias("is_original"))
+    return found.where((F.col("originals") > 1) | (F.col("is_original") & (F.col("originals") > 0))).withColumnRenamed("h", "surrogate_hash")
+
+
+def checked(found: DataFrame, salts: int = 16) -> DataFrame:
+    """anonymise()'s rows with n_clashes: how many of a row's surrogates clash with something in the corpus."""
+    found = written(found, "surrogates")
+    row = [F.col("doc_id").alias("_d"), F.xxhash64("text", "spans").alias("_k")]
+    mentions = found.where(F.size("spans") > 0).select(*row, F.explode("spans.surrogate_hash").alias("surrogate_hash"))
+    bad = clashes(found.select(F.explode("spans").alias("s")).select("s.original_hash", "s.surrogate_hash"))
+    spread = checked_broadcast(bad.select("surrogate_hash")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))  # a common surrogate is met in several tasks
+    per_row = mentions.withColumn("_s", F.pmod(F.xxhash64("_k", "_d"), F.lit(salts)).cast("int")).join(spread, ["surrogate_hash", "_s"], "left_semi")
+    counts = checked_broadcast(per_row.groupBy("_d", "_k").agg(F.count(F.lit(1)).alias("_n")))
+    out = found.withColumn("_k2", F.xxhash64("text", "spans"))
+    joined = out.join(counts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k2") == F.col("_k")), "left")
+    return joined.select("doc_id", "text", "spans", F.coalesce("_n", F.lit(0)).alias("n_clashes"))

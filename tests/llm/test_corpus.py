@@ -252,8 +252,11 @@ TEXT = (
 )
 
 
+KEY = b"a key of the tests"
+
+
 def test_surrogates_keep_type_and_reference():
-    new, spans = surrogates.replaced(TEXT)
+    new, spans = surrogates.replaced(TEXT, KEY)
     by = defaultdict(list)
     for a, b, kind, s in spans:
         by[kind].append((TEXT[a:b], s))
@@ -271,23 +274,61 @@ def test_surrogates_keep_type_and_reference():
     people = dict(by["person"])
     assert people["Anna Schmidt"].split()[0] in surrogates.GIVEN[("latin", "f")] and people["Maria Lopez"].split()[0] in surrogates.GIVEN[("latin", "f")]
     assert people["Peter O’Hara"].split()[0] in surrogates.GIVEN[("latin", "m")] and people["Анна Иванова"].split()[0] in surrogates.GIVEN[("cyrillic", "f")]
-    assert surrogates.replaced(TEXT) == (new, spans) and surrogates.replaced(TEXT, b"other")[0] != new
+    assert surrogates.replaced(TEXT, KEY) == (new, spans) and surrogates.replaced(TEXT, b"other")[0] != new
 
 
 def test_surrogates_are_distinct():
-    assert len({surrogates.surrogate("ssn", f"{i:03d}-12-3456") for i in range(1000)}) == 1000
+    assert len({surrogates.surrogate("ssn", f"{i:03d}-12-3456", KEY) for i in range(1000)}) == 1000
     assert sorted(surrogates.permuted(i, 777, b"k") for i in range(777)) == list(range(777))
-    assert len({surrogates.surrogate("person", f"Ann{a}{b}") for a in "abcdefgh" for b in "klmnop"}) == 48
-
-
-def test_collisions_and_odd_rows(make, odd):
+    assert len({surrogates.surrogate("person", f"Ann{a}{b}", KEY) for a in "abcdefgh" for b in "klmnop"}) == 48
+    # all secrets of a shape, hexadecimal ones among them, and all names of a shape: no two share a surrogate
+    texts = [a + b + c for a in "abcdefgz" for b in "aeiou" for c in "0123456789"]
+    found = {t: surrogates.surrogate("secret", t, KEY) for t in texts}
+    assert len(set(found.values())) == len(texts)
+    assert all(bool(surrogates.HEX.fullmatch(t)) == bool(surrogates.HEX.fullmatch(s)) for t, s in found.items())
+    names = [a + b + c + d for a in "BCD" for b in "aeiou" for c in "bcdfgn" for d in ("a", "o", "ina", "ett")]
+    assert len({surrogates.person(n, KEY) for n in names}) == len(names)
+
+
+def test_surrogates_keep_gender_and_script():
+    text = "Mrs. Zelda Fitz, Mr. Zelda Fitz, Mr. Fitz, Łukasz Čapek; Pan Łukasz Čapek, Mr. Šimon Žák, Dr. 王伟 und 王小明先生, госпожа Ольхова."
+    new, spans = surrogates.replaced(text, KEY)
+    (_, _, _, f), (_, _, _, m), (_, _, _, family), *rest = spans
+    assert f.split()[0] != m.split()[0] and f.split()[1] == m.split()[1] == family and f.split()[0].endswith("a")
+    assert [text[a:b] for a, b, _, _ in spans][3:] == ["Łukasz Čapek", "Šimon Žák", "王伟", "王小明", "Ольхова"]
+    for a, b, _, s in spans:
+        assert s != text[a:b] and [c.isupper() for c in s] == [c.isupper() for c in text[a:b]]
+        import unicodedata
+
+        kind = lambda x: {unicodedata.name(c).split()[0] for c in x if c.isalpha()}
+        assert kind(s) == kind(text[a:b])
+    assert rest[-1][3].endswith("ова")
+
+
+def test_a_key_is_needed(make):
+    with pytest.raises(ValueError):
+        surrogates.anonymise(make([(1, "x")]), b"")
+
+
+def test_clashes_and_odd_rows(make, odd):
+    """Clashes of a small space are counted as a loop over all mentions counts them."""
     rng = random.Random(12)
-    rows = [*odd, (50, TEXT)] + [(100 + i, f"call +1 ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)} now") for i in range(300)]
+    rows = [*odd, (50, TEXT), (51, "Mr. Šimon Žák, 王小明先生")] + [(100 + i, f"dial ({i % 100:02d}) 555{i % 900:03d} or ({rng.randrange(100):02d}) 555{rng.randrange(900):03d} now") for i in range(900)]
     docs = make(rows)
-    assert surrogates.collisions(docs).count() == 0 and surrogates.mentions(docs).count() > 300
-    out = {r.doc_id: r.text for r in surrogates.anonymise(docs).collect()}
+    found = surrogates.anonymise(docs, KEY)
+    pairs, per_row = set(), []
+    for d, t in rows:
+        e = surrogates.entities(t or "")
+        ids = [(surrogates.identity(k, t[a:b], g, KEY), surrogates.identity(k, surrogates.surrogate(k, t[a:b], KEY, g), g, KEY)) for a, b, k, g in e]
+        pairs |= set(ids)
+        per_row.append((str(d), [s for _, s in ids]))
+    originals, of = {o for o, _ in pairs}, Counter(s for _, s in pairs)
+    assert max(of.values()) == 1  # distinct originals, distinct surrogates
+    expected = sorted((d, sum(s in originals for s in x)) for d, x in per_row)
+    assert sorted((str(r.doc_id), r.n_clashes) for r in surrogates.checked(found).collect()) == expected
+    out = {r.doc_id: r.text for r in found.collect()}
     assert out[1] is None and out[2] == "" and out[7] == odd[-1][1]
-    assert surrogates.anonymise(docs.limit(0)).count() == 0
+    assert surrogates.checked(surrogates.anonymise(docs.limit(0), KEY)).count() == 0
 
 
 # --- media ---------------------------------------------------------------------------------------------------------------
