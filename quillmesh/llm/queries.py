@@ -40,7 +40,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts of all conversations, parsed by a model learnt from those whose crc32(conv_id) mod 4 is not 2."""
-    raw = chat.transcripts(table(spark, sf_dir, "conversations"))
+    raw = chat.observe(chat.transcripts(table(spark, sf_dir, "conversations")))
     held_out = F.coalesce(remainder("conv_id", 4) == 2, F.lit(False))
     parsed = chat.parse(raw, chat.fit(raw.where(~held_out)))
     sizes = [F.size("lines").alias("n_lines"), chat.agreement(parsed).alias("n_agree"), F.size("turns").alias("n_found")]

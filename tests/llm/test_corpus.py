@@ -218,16 +218,22 @@ def test_inclusion_is_unequal_and_right(spark):
 # --- chat ----------------------------------------------------------------------------------------------------------------
 
 
-def test_chat_roles(spark):
-    rng = random.Random(11)
+def conversations(rng, n):
     turns = []
-    for c in range(60):
+    for c in range(n):
         for t in range(rng.randrange(2, 9)):
             role = "user" if t % 2 == 0 else "assistant"
             text = prose(rng, 8) + "?" if role == "user" else "\n".join(prose(rng, 50).capitalize() for _ in range(3))
             turns.append((c, t, role, text))
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    raw = chat.transcripts(df, part=5)
+    return turns
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_chat_roles(spark):
+    turns = conversations(random.Random(11), 60)
+    raw = chat.observe(chat.transcripts(spark.createDataFrame(turns, TURNS), part=5))
     assert raw.agg(F.sum("n_turns")).first()[0] == len(turns) and raw.agg(F.max("n_turns")).first()[0] == 5
     parsed = chat.parse(raw, chat.fit(raw.where("conv_id < 40")))
     held = parsed.where("conv_id >= 40").agg(F.sum(chat.agreement(parsed)).alias("ok"), F.sum(F.size("lines")).alias("n")).first()
@@ -236,12 +242,59 @@ def test_chat_roles(spark):
     assert one.chat.count("<|end|>") == len(one.turns) and all(r.role in chat.ROLES for r in one.turns)
 
 
+def test_chat_is_decoded_as_a_whole(spark):
+    """Parts of three turns and whole conversations give the same model and the same states; one conversation has no id."""
+    rng = random.Random(15)
+    turns = [(None if c == 7 else c, t, r, x) for c, t, r, x in conversations(rng, 25)]
+    turns += [(99, t, rng.choice(chat.ROLES), rng.choice(["", "yes", "no?", "Why\n\nnot"])) for t in range(60)]
+    df = spark.createDataFrame(turns, TURNS)
+    whole, parts = (chat.observe(chat.transcripts(df, part=k)) for k in (10**6, 3))
+    assert parts.count() > 40 and whole.count() == 26
+    model, again = chat.fit(whole), chat.fit(parts)
+    assert (model.start == again.start).all() and (model.see == again.see).all()
+
+    def states(raw):
+        out = defaultdict(list)
+        for r in chat.parse(raw, model).select("conv_id", "part", "states").orderBy("part").collect():
+            out[r.conv_id] += r.states
+        return out
+
+    assert states(whole) == states(parts)
+
+
+def test_viterbi_against_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(16)
+    for _ in range(6):
+        model = chat.Model(rng.integers(-9, 0, 6), rng.integers(-9, 0, (6, 6)), rng.integers(-9, 0, (6, chat.FEATURES)))  # coarse, so that there are ties
+        seen = rng.integers(0, 4, 5).tolist()
+        score = lambda p: model.start[p[0]] + sum(model.step[a, b] for a, b in zip(p, p[1:], strict=False)) + sum(model.see[s, x] for s, x in zip(p, seen, strict=True))  # noqa: B023, E731
+        every = {p: score(p) for p in product(range(6), repeat=5)}
+        best = max(every.values())
+        assert tuple(model.path(seen)) == min((p for p, v in every.items() if v == best), key=lambda p: p[::-1])
+        middle, _ = model.forward(seen[:3], None)
+        last = model.path(seen)[-1]
+        assert model.path(seen[3:], middle, last) == model.path(seen)[3:]
+        assert model.entries(seen[3:], middle)[last] == model.path(seen)[2]
+        assert ((middle[:, None] + model.across(seen[3:])).max(0) == model.forward(seen, None)[0]).all()
+
+
+def test_chat_features():
+    kinds = {observed: chat.observed(observed) for observed in ("User: hi?", "### Instructions: x", "**Assistant**: Yes", "Note: b", "plain text", "")}
+    decode = lambda f: (f // 18, f // 6 % 3, f // 3 % 2, f % 3)
+    assert {k: decode(f) for k, (f, _) in kinds.items()} == {"User: hi?": (2, 1, 1, 2), "### Instructions: x": (1, 1, 0, 2), "**Assistant**: Yes": (3, 1, 0, 1), "Note: b": (4, 1, 0, 2), "plain text": (0, 1, 0, 2), "": (0, 0, 0, 0)}
+    assert kinds["User: hi?"][1] == 6 and kinds["Note: b"][1] == 0
+
+
 def test_chat_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, None, None), (1, 1, "odd", "x"), (None, 1, "user", "y"), (1, 1, "odd", "x")], "conv_id long, turn long, role string, text string")
-    raw = chat.transcripts(df)
+    df = spark.createDataFrame([(1, None, None, None), (1, 1, "odd", "x"), (None, 1, "user", "y"), (1, 1, "odd", "x"), (2, 1, "user", "long " * 40_000)], TURNS)
+    df = df.selectExpr("*", "'z' AS part", "'z' AS lines", "1 AS n", "2 AS seen")
+    raw = chat.observe(chat.transcripts(df))
     parsed = chat.parse(raw, chat.fit(raw))
-    assert parsed.count() == 2 and parsed.agg(F.sum("n_turns")).first()[0] == 4
-    assert chat.parse(raw.limit(0), chat.fit(raw.limit(0))).count() == 0
+    assert parsed.count() == 3 and parsed.agg(F.sum("n_turns")).first()[0] == 5
+    none = chat.observe(chat.transcripts(df.limit(0)))
+    assert chat.parse(none, chat.fit(none)).count() == 0
 
 
 # --- surrogates ----------------------------------------------------------------------------------------------------------
