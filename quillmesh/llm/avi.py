@@ -1,21 +1,28 @@
-"""AVI motion-JPEG media columns: writing, RIFF index parsing, intra-frame decoding, shots.
+"""AVI motion-JPEG media columns: writing, RIFF index parsing, intra-frame decoding, shots, timed clips.
 
-A frame holds 576 samples as 24 x 24 blocks of 8 x 8 equal pixels, so a sample is a block's DC term: with a quantiser of 8,
-term k is the flat block of value k + 128, and the baseline JPEG of it is lossless. All streams of a batch are written and
-decoded side by side: a step handles one block of each frame, with the Huffman tables read from the frames.
+Decoding: baseline and extended sequential JPEG with 8-bit samples, Huffman codes, one to four components, any sampling
+factors, any size, restart intervals, AC terms, dequantisation and the inverse cosine transform; frames without Huffman tables get
+the standard ones. Frames with equal headers are decoded side by side: a step handles one block of each. Without an idx1 chunk
+(or with one whose entries don't point at chunks) the frames are those found by walking the movi list.
 
-Shots: consecutive frames differ by half the summed differences of their 16-bin histograms; a cut is a difference above the
-mean plus three deviations of the eight before it, and above a floor. Clips are timed by the frame rate.
+Writing: a frame holds 576 samples as 24 x 24 blocks of 8 x 8 equal pixels, so a sample is a block's DC term: with a quantiser
+of 8, term k is the flat block of value k + 128, and the baseline JPEG of it is lossless.
 
-Defined cases: a null or empty text is one frame of bytes 255; a file without an index, or of another size or coding
-than this module's, raises ValueError; equal texts give equal files and rows; other columns are not read.
+Shots are found on the first component at an eighth of its size, a sample for each block (its mean, which the DC term is), as is usual for
+intra frames: consecutive frames differ by half the summed differences of their 16-bin histograms; a cut is a difference above the mean
+plus three deviations of the eight before it, and above a floor. Clips are timed by the frame rate.
+
+Defined cases: a null or empty text is one frame of bytes 255; clips() gives no rows for a null file or one that is no AVI file
+of decodable frames, while the functions on single files raise ValueError; equal texts give equal files and rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,108 +100,307 @@ def written(frames: list[bytes]) -> bytes:
     return chunk(b"RIFF", b"AVI " + header + chunk(b"LIST", b"movi" + b"".join(chunks)) + chunk(b"idx1", index.tobytes()))
 
 
-def indexed(data: bytes) -> tuple[list[bytes], int]:
-    """The frames that the RIFF index lists, and the frames a second."""
+def chunks(data: bytes, at: int, stop: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, start, size) of the chunks between two places; what runs over the end is cut there."""
+    while at + 8 <= stop:
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        yield data[at : at + 4], at + 8, min(size, stop - at - 8)
+        at += 8 + size + (size & 1)
+
+
+def is_frame(name: bytes) -> bool:
+    return len(name) == 4 and name[:2].isdigit() and name[2:] in (b"dc", b"db")
+
+
+def found_frames(data: bytes, at: int, stop: int) -> list[tuple[int, int]]:
+    """Where the frames of a movi list begin, and their sizes, groups of records included."""
+    out = []
+    for name, start, size in chunks(data, at, stop):
+        if is_frame(name):
+            out.append((start, size))
+        elif name == b"LIST" and data[start : start + 4] == b"rec ":
+            out += found_frames(data, start + 4, start + size)
+    return out
+
+
+def indexed(data: bytes) -> tuple[list[bytes], float]:
+    """The frames that the RIFF index lists, or else those of the movi list, and the frames a second."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index, rate = 12, None, None, RATE
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-        kind = data[at + 8 : at + 12]
+    movi, index, rate = None, None, float(RATE)
+    for name, start, size in chunks(data, 12, len(data)):
+        kind = data[start : start + 4]
         if name == b"LIST" and kind == b"movi":
-            movi = at + 8
+            movi = (start, start + size)
         elif name == b"LIST" and kind == b"hdrl":
-            where = data.index(b"strh", at) + 8
-            scale, per = struct.unpack_from("<II", data, where + 20)
-            rate = per // max(1, scale)
+            where = data.find(b"strh", start, start + size)
+            if where >= 0 and where + 36 <= len(data):
+                scale, per = struct.unpack_from("<II", data, where + 28)
+                rate = per / scale if scale and per else rate
         elif name == b"idx1":
-            index = np.frombuffer(data, "<u4", size // 4, at + 8).reshape(-1, 4)
-        at += 8 + size + (size & 1)
-    if movi is None or index is None:
-        raise ValueError("no frames or no index")
-    starts = (index[:, 2].astype(np.int64) + movi + 8).tolist()
-    return [data[a : a + n] for a, n in zip(starts, index[:, 3].tolist(), strict=True)], rate
+            index = np.frombuffer(data, "<u4", size // 16 * 4, start).reshape(-1, 4)
+    if movi is None:
+        raise ValueError("no list of frames")
+    places = None
+    if index is not None:
+        rows = [r for r in index.tolist() if is_frame(r[0].to_bytes(4, "little"))]
+        for base in (movi[0], 0):  # offsets count from the list, or from the file
+            if rows and all(data[base + r[2] : base + r[2] + 4] == r[0].to_bytes(4, "little") and base + r[2] + 8 + r[3] <= len(data) for r in rows):
+                places = [(base + r[2] + 8, r[3]) for r in rows]
+                break
+    if places is None:
+        places = found_frames(data, movi[0] + 4, movi[1])
+    frames = [data[a : a + n] for a, n in places if n]
+    if not frames:
+        raise ValueError("no frames")
+    return frames, rate
+
+
+# Fixed values of the JPEG standard: the order of coefficients, and the Huffman tables of frames that carry none (how many
+# codes there are of each length, then the symbols, by class and number).
+ZIGZAG = [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
+STANDARD = {
+    0x00: ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x01: ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00 01 02 03 04 05 06 07 08 09 0a 0b"),
+    0x10: (
+        "00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 29 2a 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a "
+        "73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e1 e2 e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+    0x11: (
+        "00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 27 28 29 2a 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a "
+        "73 74 75 76 77 78 79 7a 82 83 84 85 86 87 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 f9 fa",
+    ),
+}
+
+
+def codes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each sixteen bits: the symbol of the code that they start with, or -1, and its length; of 16 counts, then the symbols."""
+    symbols, lengths = np.full(1 << 16, -1), np.zeros(1 << 16, np.int64)
+    code, k = 0, 16
+    for bits in range(1, 17):
+        for _ in range(body[bits - 1]):
+            a = code << (16 - bits)
+            symbols[a : a + (1 << (16 - bits))], lengths[a : a + (1 << (16 - bits))] = body[k], bits
+            code, k = code + 1, k + 1
+        code <<= 1
+    return symbols, lengths
 
 
 @dataclass
-class Tables:
-    """Of a frame's header: where its coded data begins, and for each 16-bit start of a code the symbol and the length."""
-
-    begin: int
+class Component:
+    number: int
+    across: int
+    down: int
+    scale: np.ndarray
     dc: tuple[np.ndarray, np.ndarray]
     ac: tuple[np.ndarray, np.ndarray]
-    scale: int
 
 
-def tables(frame: bytes) -> Tables:
-    at, huffman, scale = 2, {}, 8
-    while True:
-        marker, size = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
-        body = frame[at + 4 : at + 2 + size]
-        if frame[at] != 0xFF or not body:
-            raise ValueError("not a JPEG frame")
+@dataclass
+class Header:
+    """What stands before a frame's coded data, and where that begins."""
+
+    begin: int
+    height: int
+    width: int
+    components: list[Component]
+    restart: int
+
+    def units(self) -> tuple[int, int]:
+        """Coding units down and across the picture."""
+        down, across = max(c.down for c in self.components), max(c.across for c in self.components)
+        return -(-self.height // (8 * down)), -(-self.width // (8 * across))
+
+
+def header(frame: bytes) -> Header:
+    at, huffman, scales, parts, restart, size = 2, {}, {}, [], 0, (0, 0)
+    while frame[:2] == b"\xff\xd8" and at + 4 <= len(frame) and frame[at] == 0xFF:
+        marker, length = frame[at + 1], int.from_bytes(frame[at + 2 : at + 4], "big")
+        body = frame[at + 4 : at + 2 + length]
+        if marker == 0xFF:
+            at += 1
+            continue
         if marker == 0xDB:
-            scale = body[1]
-        elif marker == 0xC0 and struct.unpack(">BHHB", body[:6]) != (8, SIDE * 8, SIDE * 8, 1):
-            raise ValueError("another size or coding")
+            k = 0
+            while k < len(body):
+                wide = 2 if body[k] >> 4 else 1
+                scales[body[k] & 15] = np.frombuffer(body, ">u2" if wide == 2 else "u1", 64, k + 1).astype(np.int64)
+                k += 1 + 64 * wide
+        elif marker in (0xC0, 0xC1):
+            if body[0] != 8:
+                raise ValueError("samples of other than 8 bits")
+            size = struct.unpack(">HH", body[1:5])
+            parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
         elif marker == 0xC4:
-            symbols, lengths = np.full(1 << 16, -1), np.zeros(1 << 16, np.int64)
-            code, k = 0, 17
-            for bits in range(1, 17):
-                for _ in range(body[bits]):
-                    a = code << (16 - bits)
-                    symbols[a : a + (1 << (16 - bits))], lengths[a : a + (1 << (16 - bits))] = body[k], bits
-                    code, k = code + 1, k + 1
-                code <<= 1
-            huffman[body[0]] = (symbols, lengths)
-        at += 2 + size
+            k = 0
+            while k < len(body):
+                n = sum(body[k + 1 : k + 17])
+                huffman[body[k]] = codes(body[k + 1 : k + 17 + n])
+                k += 17 + n
+        elif marker == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ValueError("not a sequential Huffman frame")
+        at += 2 + length
         if marker == 0xDA:
-            return Tables(at, huffman[0x00], huffman[0x10], scale)
+            if not parts or 0 in size or body[0] != len(parts):
+                raise ValueError("no frame header, or components in several scans")
+            of = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            table = lambda k: huffman[k] if k in huffman else codes(bytes.fromhex("".join(STANDARD[k])))
+            try:
+                components = [Component(n, h, v, scales[q], table(of[n] >> 4), table(0x10 | of[n] & 15)) for n, h, v, q in parts]
+            except KeyError as e:
+                raise ValueError("a table is missing") from e
+            if len(components) == 1:
+                components[0].across = components[0].down = 1
+            return Header(at, *size, components, restart)
+    raise ValueError("not a JPEG frame")
+
+
+def coefficients(frames: list[bytes], h: Header) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of frames with one header, for each component: DC terms (frame, rows, columns of blocks), and AC terms as (block, place, value), quantised.
+
+    A run between restart marks is decoded by itself; all runs go side by side, one block of each at a step.
+    """
+    down, across = h.units()
+    total, each = down * across, h.restart or down * across
+    runs, first = [], []
+    for i, f in enumerate(frames):
+        data = f[h.begin :]
+        end = data.rfind(b"\xff\xd9")
+        data = data[: end if end >= 0 else len(data)]
+        parts = RESTART.split(data) if h.restart else [data]
+        if len(parts) < -(-total // each):
+            raise ValueError("a run is missing")
+        for k in range(-(-total // each)):
+            runs.append(parts[k].replace(b"\xff\x00", b"\xff"))
+            first.append(i * total + k * each)
+    data = np.frombuffer(b"".join(runs) + b"\x00" * 8, np.uint8).astype(np.int64)
+    ahead = (data[:-4] << 32) | (data[1:-3] << 24) | (data[2:-2] << 16) | (data[3:-1] << 8) | data[4:]  # forty bits from each byte
+    last = len(ahead) - 1
+    bit = np.concatenate([[0], np.cumsum([len(p) for p in runs])])[:-1].astype(np.int64) * 8
+    first = np.array(first)
+    left = np.minimum(each, total - first % total)
+    out = [(np.zeros((len(frames) * total, c.down * c.across), np.int64), [], [], []) for c in h.components]
+    before = np.zeros((len(h.components), len(runs)), np.int64)
+
+    def symbol(table: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, the bits after them (up to sixteen, as a function of the size), and the code lengths."""
+        word = ahead[np.minimum(at >> 3, last)] << (at & 7)
+        code = (word >> 24) & 0xFFFF
+        return table[0][code], word, table[1][code]
 
+    def value(word: np.ndarray, used: np.ndarray, size: np.ndarray) -> np.ndarray:
+        extra = (word >> (40 - used - size)) & ((1 << size) - 1)
+        return np.where(extra < (1 << size >> 1), extra - (1 << size) + 1, extra)
+
+    for unit in range(each):
+        live = np.flatnonzero(left > unit) if unit >= left.min() else slice(None)
+        for ci, c in enumerate(h.components):
+            for block in range(c.down * c.across):
+                at = bit[live]
+                size, word, used = symbol(c.dc, at)
+                if (size < 0).any() or (size > 11).any():
+                    raise ValueError("an unknown code")
+                before[ci, live] += value(word, used, size)
+                here = first[live] + unit
+                out[ci][0][here, block] = before[ci, live]
+                at = at + used + size
+                k = np.ones(len(at), np.int64)
+                todo = np.arange(len(at))
+                while len(todo):
+                    now = at[todo]
+                    s, word, used = symbol(c.ac, now)
+                    if (s < 0).any():
+                        raise ValueError("an unknown code")
+                    run, size = s >> 4, s & 15
+                    k[todo] += run
+                    some = size > 0
+                    if some.any():
+                        if (k[todo[some]] > 63).any():
+                            raise ValueError("too many terms in a block")
+                        # code and value may take 32 bits, of which 33 are at hand
+                        out[ci][1].append(here[todo[some]] * (c.down * c.across) + block)
+                        out[ci][2].append(k[todo[some]].copy())
+                        out[ci][3].append(value(word, used, size)[some])
+                    at[todo] = now + used + size
+                    k[todo] += 1
+                    todo = todo[(s != 0) & (k[todo] < 64)]
+                bit[live] = at
+    done = []
+    for c, (dc, *ac) in zip(h.components, out, strict=True):
+        grid = dc.reshape(len(frames), down, across, c.down, c.across).transpose(0, 1, 3, 2, 4).reshape(len(frames), down * c.down, across * c.across)
+        done.append((grid, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in ac)))
+    return done
+
+
+COSINES = np.array([[(np.sqrt(0.125) if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+RESTART = re.compile(rb"\xff[\xd0-\xd7]")
+
+
+def eighths(grid: np.ndarray, c: Component) -> np.ndarray:
+    """A sample for each block: the mean, from its DC term."""
+    return np.clip(np.rint(grid * c.scale[0] / 8) + 128, 0, 255).astype(np.uint8)
+
+
+def grouped(frames: list[bytes]) -> Iterator[tuple[list[int], list[bytes], Header]]:
+    """Frames of equal headers together, at most BATCH at a time."""
+    heads: dict[bytes, list[int]] = {}
+    for i, f in enumerate(frames):
+        cut = f.find(b"\xff\xda")
+        heads.setdefault(f[:cut] + f[cut : cut + 4] if cut >= 0 else b"", []).append(i)
+    for rows in heads.values():
+        h = header(frames[rows[0]])
+        for at in range(0, len(rows), BATCH):
+            part = rows[at : at + BATCH]
+            yield part, [frames[i] for i in part], h
+
+
+def pictures(frames: list[bytes]) -> list[list[np.ndarray]]:
+    """For each frame the samples of each component at its own resolution, cropped to the picture."""
+    out: list[list[np.ndarray]] = [[] for _ in frames]
+    for rows, part, h in grouped(frames):
+        tall, wide = max(c.down for c in h.components), max(c.across for c in h.components)
+        for c, (grid, block, place, v) in zip(h.components, coefficients(part, h), strict=True):
+            n, down, across = grid.shape
+            terms = np.zeros((n * down * across, 64))
+            unit = c.down * c.across
+            order = np.arange(n * down * across).reshape(n, down // c.down, c.down, across // c.across, c.across).transpose(0, 1, 3, 2, 4).reshape(-1, unit)
+            terms[:, 0] = grid.ravel() * c.scale[0]
+            terms[order.ravel()[block], np.array(ZIGZAG)[place]] = v * c.scale[place]
+            pixels = np.einsum("ux,bvu,vy->byx", COSINES, terms.reshape(-1, 8, 8), COSINES, optimize=True)
+            plane = np.clip(np.rint(pixels) + 128, 0, 255).astype(np.uint8).reshape(n, down, across, 8, 8).transpose(0, 1, 3, 2, 4).reshape(n, down * 8, across * 8)
+            high, width = -(-h.height * c.down // tall), -(-h.width * c.across // wide)
+            for i, row in enumerate(rows):
+                out[row].append(plane[i, :high, :width])
+    return out
 
-def decoded(frames: list[bytes]) -> np.ndarray:
-    """Samples of frames, a row for each."""
-    out = np.empty((len(frames), FRAME), np.uint8)
-    known: dict[bytes, Tables] = {}
-    for at in range(0, len(frames), BATCH):
-        batch = frames[at : at + BATCH]
-        heads = [f[: f.index(b"\xff\xda")] for f in batch]
-        for h, f in zip(heads, batch, strict=True):
-            if h not in known:
-                known[h] = tables(f)
-        for h in dict.fromkeys(heads):
-            rows = [i for i, x in enumerate(heads) if x == h]
-            out[np.array(rows) + at] = streams([batch[i] for i in rows], known[h])
+
+def thumbnails(frames: list[bytes]) -> list[np.ndarray]:
+    """The first component of each frame at an eighth of its size."""
+    out: list = [None] * len(frames)
+    for rows, part, h in grouped(frames):
+        small = eighths(coefficients(part, h)[0][0], h.components[0])
+        for i, row in enumerate(rows):
+            out[row] = small[i]
     return out
 
 
-def streams(frames: list[bytes], t: Tables) -> np.ndarray:
-    parts = [f[t.begin : -2].replace(b"\xff\x00", b"\xff") for f in frames]
-    data = np.frombuffer(b"".join(parts) + b"\x00" * 8, np.uint8).astype(np.int64)
-    ahead = (data[:-4] << 32) | (data[1:-3] << 24) | (data[2:-2] << 16) | (data[3:-1] << 8) | data[4:]  # forty bits from each byte
-    bit = np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1].astype(np.int64) * 8
-    diffs = np.empty((FRAME, len(frames)), np.int64)
-    bad = np.zeros(len(frames), bool)
-    for k in range(FRAME):
-        word = ahead[bit >> 3] << (bit & 7)
-        code = (word >> 24) & 0xFFFF
-        size, used = t.dc[0][code], t.dc[1][code]
-        extra = (word >> (40 - used - size)) & ((1 << size) - 1)
-        diffs[k] = np.where(extra < (1 << size >> 1), extra - (1 << size) + 1, extra)
-        bit += used + size
-        code = ((ahead[bit >> 3] << (bit & 7)) >> 24) & 0xFFFF
-        bad |= (t.ac[0][code] != 0) | (size < 0)
-        bit += t.ac[1][code]
-    if bad.any():
-        raise ValueError("AC terms or unknown codes")
-    return (np.cumsum(diffs, axis=0) * t.scale // 8 + 128).astype(np.uint8).T
+def decoded(frames: list[bytes]) -> np.ndarray:
+    """The first component of frames of one size at an eighth of it, a row for each."""
+    small = thumbnails(frames)
+    if len({x.shape for x in small}) > 1:
+        raise ValueError("frames of several sizes")
+    return np.stack(small).reshape(len(small), -1)
 
 
 def differences(samples: np.ndarray) -> np.ndarray:
     """Between the histograms of each frame and the one before; 0 for the first."""
-    n = len(samples)
+    n, size = samples.shape
     h = np.bincount((np.arange(n)[:, None] * BINS + (samples >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    return np.concatenate([[0.0], np.abs(np.diff(h, axis=0)).sum(1) / (2 * FRAME)])
+    return np.concatenate([[0.0], np.abs(np.diff(h, axis=0)).sum(1) / (2 * size)])
 
 
 def cuts(diff: np.ndarray) -> np.ndarray:
@@ -223,15 +429,22 @@ def stored(payloads: list[bytes]) -> list[bytes]:
     return [written(frames[e - n : e]) for e, n in zip(ends.tolist(), counts, strict=True)]
 
 
-def read_back(files: list[bytes]) -> list[np.ndarray]:
-    """The samples of each file, a row for each frame."""
-    frames = [indexed(f)[0] for f in files]
-    samples = decoded([x for f in frames for x in f])
-    ends = np.cumsum([len(f) for f in frames])
-    return [samples[e - len(f) : e] for e, f in zip(ends.tolist(), frames, strict=True)]
+def read_back(files: list[bytes]) -> list[tuple[np.ndarray, float]]:
+    """The samples of each file, a row for each frame, and its frame rate."""
+    frames = [indexed(f) for f in files]
+    samples = decoded([x for f, _ in frames for x in f])
+    ends = np.cumsum([len(f) for f, _ in frames])
+    return [(samples[e - len(f) : e], rate) for e, (f, rate) in zip(ends.tolist(), frames, strict=True)]
 
 
 CLIP = "array<struct<shot:int,first_frame:int,last_frame:int,start_s:double,stop_s:double>>"
+CLIP_ARROW = pa.list_(pa.struct([("shot", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("stop_s", pa.float64())]))
+
+
+def clips_of(diff: np.ndarray, rate: float) -> list[dict]:
+    """Timed clips of a file, a row for each shot, from the differences of its frames."""
+    first = cuts(diff).tolist()
+    return [{"shot": i, "first_frame": a, "last_frame": b - 1, "start_s": a / rate, "stop_s": b / rate} for i, (a, b) in enumerate(zip(first, [*first[1:], len(diff)], strict=True))]
 
 
 def groups(texts: list[bytes]):
@@ -263,34 +476,33 @@ def clips(media: DataFrame) -> DataFrame:
     def detect(files: pa.Array) -> pa.Array:
         rows = []
         for f in files:
-            frames, rate = indexed(f.as_py())
-            d = differences(decoded(frames))
-            first = cuts(d).tolist()
-            rows.append([{"shot": i, "first_frame": a, "last_frame": b - 1, "start_s": a / rate, "stop_s": b / rate} for i, (a, b) in enumerate(zip(first, [*first[1:], len(d)], strict=True))])
-        kind = pa.list_(pa.struct([("shot", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("stop_s", pa.float64())]))
-        return pa.array(rows, kind)
+            try:
+                frames, rate = indexed(f.as_py() or b"")
+                rows.append(clips_of(differences(decoded(frames)), rate))
+            except ValueError:
+                rows.append([])
+        return pa.array(rows, CLIP_ARROW)
 
     return media.select("doc_id", F.inline(F.arrow_udf(detect, CLIP)("media")))
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, clips {CLIP}"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id with digests of each text's file and of what is read back from it; feature counts frames, shots and times of cuts."""
+    """doc_id with digests of each text's file and of what is read back from it, and its timed clips, which feature tells in short."""
 
     def digest(texts: pa.Array) -> pa.Array:
         rows = []
         for g in groups([t.as_py() for t in texts]):
             files = stored([payload_of(t) for t in g])
-            for t, f, samples in zip(g, files, read_back(files), strict=True):
+            for t, f, (samples, rate) in zip(g, files, read_back(files), strict=True):
                 back = samples.tobytes()
-                d = differences(samples)
-                first = cuts(d)
-                feature = f"frames={len(d)};shots={len(first)};peak={d.max():.4f};cuts={','.join(f'{x / RATE:.2f}' for x in first[1:].tolist())}"
-                rows.append((len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(f), hashlib.sha256(f).hexdigest(), feature))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(f), hashlib.sha256(f).hexdigest(), clips_of(differences(samples), rate)))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), CLIP_ARROW]
         columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in DIGEST.split(", ")])
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "clips"])
 
-    return docs.select("doc_id", F.arrow_udf(digest, DIGEST)(text_bytes()).alias("m")).select("doc_id", "m.*")
+    read = docs.select("doc_id", F.arrow_udf(digest, DIGEST)(text_bytes()).alias("m")).select("doc_id", "m.*")
+    times = F.array_join(F.transform("clips", lambda c: F.format_string("%d-%d@%.2f-%.2f", c["first_frame"], c["last_frame"], c["start_s"], c["stop_s"])), ",")
+    return read.withColumn("feature", F.concat(F.lit("clips="), F.size("clips").cast("string"), F.lit(";"), times))

@@ -405,16 +405,154 @@ def test_media_round_trip(make, odd):
     assert avi.digests(docs.limit(0)).count() == 0 and avi.clips(media.limit(0)).count() == 0
 
 
-def test_shots_and_bad_files():
+def test_shots_and_bad_files(spark):
     dark, light = np.zeros((20, 576), np.uint8), np.full((15, 576), 200, np.uint8)
     assert avi.cuts(avi.differences(np.concatenate([dark, light, dark]))).tolist() == [0, 20, 35]
-    for bad in (b"", b"RIFF\x00\x00\x00\x00WAVE", avi.stored([b"\xff" * 576])[0][:-30]):
+    good = avi.stored([b"\xff" * 576 * 3])[0]
+    frame = good[good.index(b"\xff\xd8") : good.index(b"\xff\xd9") + 2]
+    for bad in (b"", b"RIFF\x00\x00\x00\x00WAVE", good[:60], b"RIFF\x00\x00\x00\x00AVI "):
         with pytest.raises(ValueError):
             avi.indexed(bad)
+    for bad in (b"", frame[:40], frame.replace(b"\xff\xc0", b"\xff\xc2"), b"\xff\xd8\xff\xda\x00\x02"):
+        with pytest.raises(ValueError):
+            avi.pictures([bad])
+    # without an index, or with a wrong one, the list of frames is walked
+    whole = avi.indexed(good)
+    assert avi.indexed(good[: good.index(b"idx1")]) == whole and len(whole[0]) == 3
+    spoilt = good[: good.index(b"idx1") + 16] + b"\x07" + good[good.index(b"idx1") + 17 :]
+    assert avi.indexed(spoilt) == whole
+    media = spark.createDataFrame([(1, good), (2, b"nothing"), (3, None)], "doc_id long, media binary")
+    assert [(r.doc_id, r.first_frame, r.last_frame, r.start_s, r.stop_s) for r in avi.clips(media).collect()] == [(1, 0, 2, 0.0, 0.12)]
     noise = np.random.default_rng(1).integers(0, 256, (40, 576)).astype(np.uint8)
     assert (avi.decoded(avi.coded(noise)) == noise).all()
 
 
+class PlainJpeg:
+    """An encoder of given quantised terms, one bit string at a time, and a decoder by the formula; nothing of the module but the standard's tables."""
+
+    def __init__(self, rng, width, height, sampling, restart=0, tables=True):
+        self.size, self.sampling, self.restart, self.tables = (width, height), sampling, restart, tables
+        self.quant = [rng.integers(1, 20, 64).tolist() for _ in sampling]
+        top = max(h for h, _ in sampling), max(v for _, v in sampling)
+        self.units = (-(-width // (8 * top[0])), -(-height // (8 * top[1])))
+        self.blocks = []
+        for _ in range(self.units[0] * self.units[1]):
+            for ci, (h, v) in enumerate(sampling):
+                for b in range(h * v):
+                    terms = [0] * 64
+                    terms[0] = int(rng.integers(-40, 40))
+                    for k in rng.integers(1, 64, int(rng.integers(0, 6))):
+                        terms[k] = int(rng.integers(-9, 10))
+                    self.blocks.append((ci, b, terms))
+
+    @staticmethod
+    def book(k):
+        counts, symbols = (bytes.fromhex(x) for x in avi.STANDARD[k])
+        out, code, at = {}, 0, 0
+        for bits, n in enumerate(counts, 1):
+            for _ in range(n):
+                out[symbols[at]] = format(code, f"0{bits}b")
+                code, at = code + 1, at + 1
+            code <<= 1
+        return out
+
+    @staticmethod
+    def bits(v):
+        n = abs(v).bit_length()
+        return n, (format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else "")
+
+    def encoded(self):
+        seg = lambda m, b: bytes([255, m]) + (len(b) + 2).to_bytes(2, "big") + b
+        n = len(self.sampling)
+        out = b"\xff\xd8" + b"".join(seg(0xDB, bytes([i, *q])) for i, q in enumerate(self.quant))
+        out += seg(0xC0, bytes([8]) + self.size[1].to_bytes(2, "big") + self.size[0].to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, h << 4 | v, i]) for i, (h, v) in enumerate(self.sampling)))
+        if self.tables:
+            out += seg(0xC4, b"".join(bytes([k]) + b"".join(bytes.fromhex(x) for x in avi.STANDARD[k]) for k in avi.STANDARD))
+        if self.restart:
+            out += seg(0xDD, self.restart.to_bytes(2, "big"))
+        out += seg(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0x11 * (i > 0)]) for i in range(n)) + bytes([0, 63, 0]))
+        books = {k: self.book(k) for k in avi.STANDARD}
+        per = sum(h * v for h, v in self.sampling)
+        text, before, mark = "", [0] * n, 0
+
+        def flushed():
+            t = text + "1" * (-len(text) % 8)
+            return int(t, 2).to_bytes(len(t) // 8, "big").replace(b"\xff", b"\xff\x00") if t else b""
+
+        for i, (ci, _, terms) in enumerate(self.blocks):
+            if self.restart and i and i % (per * self.restart) == 0:
+                out, text, before = out + flushed() + bytes([255, 0xD0 + mark % 8]), "", [0] * n
+                mark += 1
+            size, extra = self.bits(terms[0] - before[ci])
+            before[ci] = terms[0]
+            text += books[int(ci > 0)][size] + extra
+            run = 0
+            for v in terms[1:]:
+                if not v:
+                    run += 1
+                    continue
+                while run > 15:
+                    text, run = text + books[0x10 | int(ci > 0)][0xF0], run - 16
+                size, extra = self.bits(v)
+                text, run = text + books[0x10 | int(ci > 0)][run << 4 | size] + extra, 0
+            if run:
+                text += books[0x10 | int(ci > 0)][0]
+        return out + flushed() + b"\xff\xd9"
+
+    def planes(self):
+        c = lambda k: math.sqrt(0.5) if k == 0 else 1.0
+        out = [np.zeros((self.units[1] * v * 8, self.units[0] * h * 8)) for h, v in self.sampling]
+        per = sum(h * v for h, v in self.sampling)
+        for i, (ci, b, terms) in enumerate(self.blocks):
+            unit, (h, _) = i // per, self.sampling[ci]
+            y0, x0 = (unit // self.units[0] * self.sampling[ci][1] + b // h) * 8, (unit % self.units[0] * h + b % h) * 8
+            for k, t in enumerate(terms):
+                if t:
+                    v, u = divmod(avi.ZIGZAG[k], 8)
+                    for y in range(8):
+                        for x in range(8):
+                            out[ci][y0 + y, x0 + x] += t * self.quant[ci][k] / 4 * c(u) * c(v) * math.cos((2 * x + 1) * u * math.pi / 16) * math.cos((2 * y + 1) * v * math.pi / 16)
+        return [np.clip(p + 128, 0, 255) for p in out]
+
+
+@pytest.mark.parametrize(("width", "height", "sampling", "restart", "tables"), [(24, 16, [(1, 1)], 0, True), (19, 13, [(1, 1)], 2, True), (40, 25, [(2, 2), (1, 1), (1, 1)], 0, False), (33, 17, [(2, 1), (1, 1), (1, 1)], 1, False), (8, 8, [(1, 2), (1, 1)], 0, True)])
+def test_decoder_on_frames_of_known_terms(width, height, sampling, restart, tables):
+    rng = np.random.default_rng(width)
+    plain = [PlainJpeg(rng, width, height, sampling, restart, tables) for _ in range(3)]
+    for p in plain:
+        p.quant = plain[0].quant
+    for p, planes in zip(plain, avi.pictures([p.encoded() for p in plain]), strict=True):
+        top = max(h for h, _ in sampling), max(v for _, v in sampling)
+        for (h, v), got, want in zip(sampling, planes, p.planes(), strict=True):
+            assert got.shape == (-(-height * v // top[1]), -(-width * h // top[0]))
+            assert np.abs(got - want[: got.shape[0], : got.shape[1]]).max() <= 0.5 + 1e-6
+    small = avi.decoded([p.encoded() for p in plain])
+    means = [np.clip(t[0] * p.quant[0][0] / 8 + 128, 0, 255) for p in plain for ci, _, t in p.blocks if ci == 0]
+    assert np.abs(np.sort(small.ravel()) - np.sort(means)).max() <= 0.5 + 1e-6
+
+
+def test_features_by_a_plain_loop(make):
+    """Clips of stored texts, from the payload's bytes alone."""
+    rng = random.Random(17)
+    texts = ["\x01" * 576 * 12 + "\x7f" * 576 * 9 + "A" * 576 * 11, prose(rng, 3000), "", "é" * 700, prose(rng, 2000) + "~" * 9000, "x" * 576 * 1030]
+    got = {r.doc_id: r for r in avi.digests(make(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        payload = avi.payload_of(t.encode())
+        frames = [payload[k : k + 576] for k in range(0, len(payload), 576)]
+        counts = [Counter(b // 16 for b in f) for f in frames]
+        diff = [0.0] + [sum(abs(a[k] - b[k]) for k in range(16)) / 1152 for a, b in zip(counts[1:], counts, strict=False)]
+        first = [0]
+        for k in range(2, len(diff)):
+            past = diff[max(1, k - 8) : k]
+            mean = sum(past) / len(past)
+            if diff[k] > max(mean + 3 * math.sqrt(max(0.0, sum(x * x for x in past) / len(past) - mean * mean)), 0.05) + 1e-12:
+                first.append(k)
+        want = [(a, b - 1, a / 25, b / 25) for a, b in zip(first, [*first[1:], len(frames)], strict=True)]
+        assert [(c.first_frame, c.last_frame, c.start_s, c.stop_s) for c in got[i].clips] == want
+        assert got[i].feature.startswith(f"clips={len(want)};0-")
+    assert len(got[0].clips) == 3
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------------
 
 
