@@ -1,166 +1,218 @@
-"""Benchmark decontamination with a positional inverted index that is distributed by document.
+"""Benchmark decontamination with a distributed positional inverted index.
 
-Each shard of documents (an Arrow batch) stores, for every term of the benchmark, the sorted positions at which it stands; each
-window of a test item is looked up from its rarest term in the shard: that list, less the term's offset in the window, is
-intersected with the offset-adjusted lists of the other terms, rarest first, until it is empty or the window is matched.
-With slop, a term may stand up to that many words off its place (proximity matches); the exact ones are those with none.
+The index is a table in the shared folder: documents are dealt into shards (an Arrow batch each), and for each shard and term there
+is one row with the sorted positions at which the term stands, so a term, however common, is one row for each shard that has it.
+Test items are cut into windows where they are stored; each window is sent, by its rarest term over the whole index, to the
+shards that hold that term. There its term's list, less the term's offset in the window, is intersected with the
+offset-adjusted lists of its other terms, rarest first, until it is empty or the window is matched. With slop, a term may stand
+up to that many words off its place (proximity matches); the exact ones are those with none.
 
-No document leaves its shard. Test items are read in blocks of at most BLOCK_WORDS words, each broadcast on its own; the
-hits of a row against several blocks are merged in the row, so the benchmark may be of any size.
+Neither documents nor test items pass through the driver, and neither is broadcast as a whole; a shard's windows are dealt into
+blocks, so the benchmark may be of any size.
 
 Defined cases: a null text has no words; an item without words or with a null id matches nothing; an item of fewer words
-than a window is one window; items that share an id count once; rows are judged one by one, whatever their doc_id; other
-columns are kept in _row.
+than a window is one window; items that share an id count once; rows are judged one by one, whatever their doc_id, and rows
+alike in doc_id and text alike; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import checked_broadcast, text_bytes, text_key, written
 
 WINDOW = 13
 SLOP = 2
 #: A document is contaminated if SHARE times its hit words are its words or more.
 SHARE = 20
-BLOCK_WORDS = 1_000_000
+#: Windows of a block, on average.
+BLOCK_WINDOWS = 200_000
 #: ASCII other than letters and digits becomes a space, A-Z becomes a-z.
 FOLD = bytes(32 if i < 128 and not chr(i).isalnum() else ord(chr(i).lower()) if i < 128 else i for i in range(256))
+#: Rows of the index: a term's positions (term is null for the starts of the shard's documents), or a document.
+INDEX = "shard long, term binary, n long, positions binary, place int, doc_id long, text_key long, n_words long"
+INDEX_ARROW = pa.schema([("shard", pa.int64()), ("term", pa.binary()), ("n", pa.int64()), ("positions", pa.binary()), ("place", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64())])
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-class Windows:
-    """The windows of a block of test items: term numbers, padded with -1, and the item of each."""
+def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of 32-bit numbers as binary values, without a copy of each."""
+    ends = np.concatenate([[0], np.cumsum(counts) * 4]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data, np.int32))])
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW) -> None:
-        self.terms: dict[bytes, int] = {}
-        self.items = sorted({k for k, _ in items})
-        number, rows = {k: i for i, k in enumerate(self.items)}, {}
-        for key, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                part = ids[i : i + window]
-                rows[(number[key], *part, *[-1] * (window - len(part)))] = None
-        table = np.array(list(rows), np.int32).reshape(-1, window + 1)
-        self.item, self.grid = table[:, 0], table[:, 1:]
-        self.length = (self.grid >= 0).sum(1)
+
+def postings(shard: int, texts: list[bytes], doc_ids: pa.Array, keys: pa.Array, gap: int) -> Iterator[pa.RecordBatch]:
+    """The index rows of a shard; gap places that hold no word stand after each document."""
+    numbers: dict[bytes, int] = {}
+    parts, n_words = [], []
+    for text in texts:
+        w = words(text)
+        n_words.append(len(w))
+        for x in w:
+            if x not in numbers:
+                numbers[x] = len(numbers)
+        parts.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
+    sizes = np.array(n_words, np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]])
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    at = np.arange(len(ids)) + np.repeat(np.arange(len(sizes)) * gap, sizes)
+    order = np.argsort(ids, kind="stable")
+    counts = np.bincount(ids, minlength=len(numbers))
+
+    def rows(many: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(many, f.type)) for f in INDEX_ARROW], schema=INDEX_ARROW)
+
+    n = len(sizes)
+    yield rows(n, shard=pa.array(np.full(n, shard)), place=pa.array(np.arange(n, dtype=np.int32)), doc_id=doc_ids, text_key=keys, n_words=pa.array(sizes))
+    yield rows(1, shard=pa.array([shard], pa.int64()), positions=binaries(starts, np.array([n])))
+    if numbers:
+        yield rows(len(numbers), shard=pa.array(np.full(len(numbers), shard)), term=pa.array(list(numbers), pa.binary()), n=pa.array(counts.astype(np.int64)), positions=binaries(at[order], counts))
+
+
+def build(docs: DataFrame, slop: int = SLOP) -> DataFrame:
+    """The index of docs, stored."""
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
+        for i, b in enumerate(batches):
+            if b.num_rows:
+                yield from postings(base + i, [x.as_py() for x in b.column("text")], b.column("doc_id"), b.column("text_key"), 2 * slop + 1)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), text_bytes().alias("text"))
+    return written(rows.mapInArrow(shards, INDEX), "index")
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, id, terms): the distinct windows of each item."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            items, terms = [], []
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True):
+                w = words(text)
+                for part in dict.fromkeys(tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1) if w else 0)):
+                    items.append(item)
+                    terms.append(part)
+            for at in range(0, len(items), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(items[at : at + 10_000], pa.string()), pa.array(terms[at : at + 10_000], pa.list_(pa.binary()))], ["item", "terms"])
+
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), text_bytes().alias("text"))
+    return items.mapInArrow(split, "item string, terms array<binary>").distinct().withColumn("id", F.xxhash64("item", "terms"))
 
 
 class Shard:
-    """Positions of the benchmark's terms in some documents; gap words stand between documents."""
-
-    def __init__(self, texts: list[bytes], terms: dict[bytes, int], gap: int) -> None:
-        get, parts, self.n_words, self.start = terms.get, [], [], []
-        at = 0
-        for text in texts:
-            w = words(text)
-            self.n_words.append(len(w))
-            self.start.append(at)
-            ids = np.array([get(x, -1) for x in w] + [-1] * gap, np.int32)
-            parts.append(ids)
-            at += len(ids)
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.size = len(ids)
-        at = np.flatnonzero(ids >= 0)
-        self.order = at[np.argsort(ids[at], kind="stable")]
-        self.count = np.bincount(ids[at], minlength=len(terms) + 1)
-        self.first = np.concatenate([[0], np.cumsum(self.count)])
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.order[self.first[term] : self.first[term + 1]]
-
-    def find(self, window: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of matches, and which of them are exact."""
-        rarest = sorted(range(len(window)), key=lambda j: (self.count[window[j]], j))
-        starts = self.postings(window[rarest[0]]) - rarest[0]
+    """Positions of the terms that a block's windows need, in one shard."""
+
+    def __init__(self, starts: np.ndarray, lists: dict[bytes, np.ndarray]) -> None:
+        self.start, self.lists = starts, lists
+
+    def find(self, window: list[bytes], slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of matches, and which of them are exact; the window's place is that of its rarest term."""
+        none = np.zeros(0, np.int64)
+        found = [self.lists.get(t, none) for t in window]
+        rarest = sorted(range(len(window)), key=lambda j: (len(found[j]), j))
+        starts = found[rarest[0]] - rarest[0]
         exact = np.ones(len(starts), bool)
         for j in rarest[1:]:
             if not len(starts):
                 break
-            p, at = self.postings(window[j]), starts + j
+            p, at = found[j], starts + j
             i = np.searchsorted(p, at)
             off = np.minimum(np.abs(p[np.minimum(i, len(p) - 1)] - at), np.abs(p[np.maximum(i - 1, 0)] - at))
             exact &= off == 0
             starts, exact = starts[off <= slop], exact[off <= slop]
         return starts, exact
 
-    def search(self, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray, list[set[int]], list[set[int]]]:
-        """Hit positions, the documents' starts, and by document the items matched exactly and only nearby."""
-        marks = np.zeros(self.size + 1, np.int64)
-        exact_in, near_in = [set() for _ in self.n_words], [set() for _ in self.n_words]
-        count = np.where(w.grid >= 0, self.count[w.grid], 1 << 60)
-        for k in np.flatnonzero(count.min(1) > 0) if len(count) else []:
-            n = int(w.length[k])
-            starts, exact = self.find(w.grid[k, :n], slop)
-            if len(starts):
-                doc = np.searchsorted(self.start, np.maximum(starts, 0), "right") - 1
-                np.add.at(marks, starts[exact], 1)
-                np.add.at(marks, starts[exact] + n, -1)
-                for d, e in zip(doc.tolist(), exact.tolist(), strict=True):
-                    (exact_in if e else near_in)[d].add(int(w.item[k]))
-        return np.flatnonzero(np.cumsum(marks) > 0), np.array(self.start, np.int64), exact_in, near_in
-
-
-def blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
-    rows, size = [], 0
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), text_bytes().alias("text"))
-    for r in items.toLocalIterator():
-        n = len(r.text) // 2 + 1
-        if rows and size + n > block_words:
-            yield rows
-            rows, size = [], 0
-        rows.append((r.item_id, bytes(r.text)))
-        size += n
-    yield rows
-
-
-def hits_udf(spark: SparkSession, block: list[tuple[str, bytes]], window: int, slop: int) -> Callable[[Column], Column]:
-    """struct(n_words, hits, items, near) of UTF-8 texts, against one block of items."""
-    shared = spark.sparkContext.broadcast(Windows(block, window))
-
-    def look(texts: pa.Array) -> pa.Array:
-        w = shared.value
-        shard = Shard([x.as_py() for x in texts], w.terms, slop + 1)
-        hits, start, exact_in, near_in = shard.search(w, slop)
-        doc = np.searchsorted(start, hits, "right") - 1
-        ends = np.concatenate([[0], np.searchsorted(doc, np.arange(len(start)), "right")])
-        local = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((hits - start[doc]).astype(np.int32)))
-        only_near = [n - e for n, e in zip(near_in, exact_in, strict=True)]
-        named = [pa.array([[w.items[i] for i in sorted(x)] for x in s], pa.list_(pa.string())) for s in (exact_in, only_near)]
-        return pa.StructArray.from_arrays([pa.array(shard.n_words, pa.int64()), local, *named], ["n_words", "hits", "items", "near"])
-
-    return F.arrow_udf(look, "n_words long, hits array<int>, items array<string>, near array<string>")
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs, each row as the struct _row, with n_words, hits, items, near: hit word positions, ids of items matched exactly and nearby."""
-    spark = docs.sparkSession
-    found = [hits_udf(spark, block, window, slop)(text_bytes()).alias(f"_m{i}") for i, block in enumerate(blocks(benchmark, block_words))]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *found)
-
-    def united(name: str) -> Column:
-        parts = [F.col(f"_m{i}.{name}") for i in range(len(found))]
-        return parts[0] if len(parts) == 1 else F.array_sort(F.array_distinct(F.concat(*parts)))
-
-    near = united("near") if len(found) == 1 else F.array_except(united("near"), united("items"))
-    return rows.select("_row", F.col("_m0.n_words").alias("n_words"), united("hits").alias("hits"), united("items").alias("items"), near.alias("near"))
+    def search(self, looked_for: list[tuple[str, list[bytes]]], slop: int) -> dict[int, tuple[set[int], set[str], set[str]]]:
+        """By the place of the document: hit words, items matched exactly, items matched nearby."""
+        out: dict[int, tuple[set[int], set[str], set[str]]] = {}
+        for item, window in looked_for:
+            starts, exact = self.find(window, slop)
+            for at, e in zip(starts.tolist(), exact.tolist(), strict=True):
+                # near matches may begin before their document, in the gap
+                doc = int(np.searchsorted(self.start, at if e else at + slop, "right")) - 1
+                hits, here, near = out.setdefault(doc, (set(), set(), set()))
+                if e:
+                    first = at - int(self.start[doc])
+                    hits.update(range(first, first + len(window)))
+                    here.add(item)
+                else:
+                    near.add(item)
+        return out
+
+
+FOUND = "shard long, place int, hits array<int>, items array<string>, near array<string>"
+
+
+def look(slop: int):
+    kind = pa.schema([("shard", pa.int64()), ("place", pa.int32()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+
+    def search(wanted: pa.Table, held: pa.Table) -> pa.Table:
+        starts, lists = None, {}
+        for term, positions in zip(held.column("term").to_pylist(), held.column("positions").to_pylist(), strict=True):
+            p = np.frombuffer(positions, np.int32).astype(np.int64)
+            if term is None:
+                starts = p
+            else:
+                lists[term] = p
+        if starts is None or not wanted.num_rows:
+            return kind.empty_table()
+        found = Shard(starts, lists).search(list(zip(wanted.column("item").to_pylist(), wanted.column("terms").to_pylist(), strict=True)), slop)
+        shard = wanted.column("shard")[0].as_py()
+        rows = [(shard, doc, sorted(h), sorted(i), sorted(n)) for doc, (h, i, n) in found.items()]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind) if rows else kind.empty_table()
+
+    return search
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """(doc_id, text_key, n_words, hits, items, near) of every row: hit word positions, ids of items matched exactly and only nearby."""
+    index = build(docs, slop)
+    terms = index.where(F.col("term").isNotNull())
+    looked_for = written(windows(benchmark, window), "windows")
+    n = looked_for.count()
+    blocks = max(1, -(-n // block_windows))
+    uses = looked_for.select("item", "id", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    # how often each term of the benchmark stands in the whole index
+    counts = terms.groupBy("term").agg(F.sum("n").alias("n")).join(uses.select("term").distinct(), "term", "left_semi")
+    # windows all of whose terms there are, by their rarest
+    rarest = uses.join(counts, "term").groupBy("item", "id", "terms").agg(F.min(F.struct("n", "term")).alias("r"), F.count(F.lit(1)).alias("_k"))
+    rarest = rarest.where(F.col("_k") == F.size(F.array_distinct("terms"))).select("item", "id", "terms", F.col("r.term").alias("term"))
+    wanted = written(terms.select("shard", "term").join(rarest, "term").select("shard", F.pmod("id", F.lit(blocks)).cast("int").alias("block"), "item", "terms"), "wanted")
+    needed = wanted.select("shard", "block", F.explode("terms").alias("term")).distinct()
+    starts = index.where(F.col("term").isNull() & F.col("positions").isNotNull()).select("shard", "term", "positions")
+    held = terms.select("shard", "term", "positions").join(needed, ["shard", "term"]).select("shard", "block", "term", "positions")
+    held = held.unionByName(starts.join(wanted.select("shard", "block").distinct(), "shard").select("shard", "block", "term", "positions"))
+    held = held.select(F.col("shard").alias("s"), F.col("block").alias("b"), "term", "positions")
+    found = wanted.groupBy("shard", "block").cogroup(held.groupBy("s", "b")).applyInArrow(look(slop), FOUND)
+
+    def united(name: str):
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
+
+    found = found.groupBy("shard", "place").agg(united("hits"), united("items"), united("near"))
+    rows = index.where(F.col("place").isNotNull()).select("shard", "place", "doc_id", "text_key", "n_words")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return rows.join(found, ["shard", "place"], "left").select("doc_id", "text_key", "n_words", F.coalesce("hits", none("int")).alias("hits"), F.coalesce("items", none("string")).alias("items"), F.coalesce(F.array_except("near", "items"), none("string")).alias("near"))
 
 
 def verdicts(found: DataFrame, share: int = SHARE) -> DataFrame:
-    """_row with n_words, n_hit, n_items, items_sha256, contaminated, n_near, from matches()."""
+    """doc_id and text_key with n_words, n_hit, n_items, items_sha256, contaminated, n_near, from matches()."""
     n_hit = F.size("hits").cast("long")
     ids = F.array_join(F.array_sort("items"), ",")
-    return found.select("_row", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), F.size("near").cast("long").alias("n_near"))
+    return found.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), F.size("near").cast("long").alias("n_near"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated."""
-    return verdicts(matches(docs, benchmark)).where(~F.col("contaminated")).select("_row.*")
+    bad = verdicts(matches(docs, benchmark)).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    bad = checked_broadcast(bad)
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (text_key() == F.col("_k")), "left_anti")

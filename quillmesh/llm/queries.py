@@ -53,7 +53,7 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.verdicts(found).select("_row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontaminate.verdicts(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,8 +167,8 @@ def test_contamination_against_brute_force(spark, make, odd):
     table = spark.createDataFrame(bench, "item_id long, text string")
     cols = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     expected = sorted((str(d), *brute_hits(t, bench)) for d, t in rows)
-    for block in (1_000_000, 30):
-        got = decontaminate.verdicts(decontaminate.matches(make(rows), table, block_words=block)).select("_row.doc_id", *cols).collect()
+    for block in (1_000_000, 7):
+        got = decontaminate.verdicts(decontaminate.matches(make(rows), table, block_windows=block)).select("doc_id", *cols).collect()
         assert sorted((str(r.doc_id), *(r[c] for c in cols)) for r in got) == expected
     assert any(e[-1] for e in expected) and not all(e[-1] for e in expected)
     clean = decontaminate.keep_clean(make(rows), table)
@@ -177,11 +177,29 @@ def test_contamination_against_brute_force(spark, make, odd):
     assert decontaminate.keep_clean(make(rows).limit(0), table).count() == 0
 
 
-def test_proximity():
-    w = decontaminate.Windows([("k", b"alpha beta gamma delta")])
-    shard = decontaminate.Shard([b"alpha beta gamma delta", b"alpha x beta gamma delta", b"alpha x y z beta gamma delta"], w.terms, 3)
-    _, _, exact, near = shard.search(w, 2)
-    assert exact == [{0}, set(), set()] and near == [set(), {0}, set()]
+def test_proximity(spark, make):
+    rows = [(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha x y z beta gamma delta"), (4, "beta gamma"), (5, "delta alpha"), (6, "gamma"), (7, "beta gamma delta")]
+    bench = spark.createDataFrame([("k", "Alpha, beta gamma DELTA")], "item_id string, text string")
+    for slop, near in ((0, set()), (2, {2}), (3, {2, 3})):
+        got = {r.doc_id: (r.items, r.near) for r in decontaminate.matches(make(rows).coalesce(1), bench, slop=slop).collect()}
+        assert {d for d, (x, _) in got.items() if x} == {1} and {d for d, (_, x) in got.items() if x} == near
+
+
+def test_index_is_stored_and_whole(spark, make, odd):
+    """Each word of each row stands at its place in the index, once."""
+    rows = [*odd[:-1], (20, "a b a"), (21, "b, A")]
+    index = decontaminate.build(make(rows).repartition(3), 2)
+    starts = {r.shard: np.frombuffer(r.positions, np.int32) for r in index.where("term is null and positions is not null").collect()}
+    where = {(r.shard, r.place): (r.doc_id, r.n_words) for r in index.where("place is not null").collect()}
+    texts = defaultdict(dict)
+    for r in index.where("term is not null").collect():
+        at = np.frombuffer(r.positions, np.int32)
+        assert r.n == len(at) and (np.diff(at) > 0).all()
+        for x in at.tolist():
+            doc = int(np.searchsorted(starts[r.shard], x, "right")) - 1
+            texts[(r.shard, doc)][x - int(starts[r.shard][doc])] = bytes(r.term).decode()
+    got = sorted((str(d), [texts[k][i] for i in range(n)]) for k, (d, n) in where.items())
+    assert got == sorted((str(d), folded(t)) for d, t in rows)
 
 
 # --- lines ---------------------------------------------------------------------------------------------------------------
