@@ -7,8 +7,9 @@ shards that hold that term. There its term's list, less the term's offset in the
 offset-adjusted lists of its other terms, rarest first, until it is empty or the window is matched. With slop, a term may stand
 up to that many words off its place (proximity matches); the exact ones are those with none.
 
-Neither documents nor test items pass through the driver, and neither is broadcast as a whole; a shard's windows are dealt into
-blocks, so the benchmark may be of any size.
+Neither documents nor test items pass through the driver, and neither is broadcast; the distinct terms of the benchmark are, if
+they are at most BROADCAST_ROWS, so that only lists of such terms move. A shard's windows are dealt into blocks, so the benchmark
+may be of any size.
 
 Defined cases: a null text has no words; an item without words or with a null id matches nothing; an item of fewer words
 than a window is one window; items that share an id count once; rows are judged one by one, whatever their doc_id, and rows
@@ -32,7 +33,7 @@ SLOP = 2
 #: A document is contaminated if SHARE times its hit words are its words or more.
 SHARE = 20
 #: Windows of a block, on average.
-BLOCK_WINDOWS = 200_000
+BLOCK_WINDOWS = 1_000_000
 #: ASCII other than letters and digits becomes a space, A-Z becomes a-z.
 FOLD = bytes(32 if i < 128 and not chr(i).isalnum() else ord(chr(i).lower()) if i < 128 else i for i in range(256))
 #: Rows of the index: a term's positions (term is null for the starts of the shard's documents), or a document.
@@ -177,20 +178,21 @@ def look(slop: int):
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, text_key, n_words, hits, items, near) of every row: hit word positions, ids of items matched exactly and only nearby."""
     index = build(docs, slop)
-    terms = index.where(F.col("term").isNotNull())
     looked_for = written(windows(benchmark, window), "windows")
-    n = looked_for.count()
-    blocks = max(1, -(-n // block_windows))
+    blocks = max(1, -(-looked_for.count() // block_windows))
     uses = looked_for.select("item", "id", "terms", F.explode(F.array_distinct("terms")).alias("term"))
-    # how often each term of the benchmark stands in the whole index
-    counts = terms.groupBy("term").agg(F.sum("n").alias("n")).join(uses.select("term").distinct(), "term", "left_semi")
+    vocabulary = checked_broadcast(uses.select("term").distinct())
+    terms = index.where(F.col("term").isNotNull()).join(vocabulary, "term", "left_semi")  # the rest of the index stays where it is
+    counts = terms.groupBy("term").agg(F.sum("n").alias("n"))  # over the whole index
     # windows all of whose terms there are, by their rarest
     rarest = uses.join(counts, "term").groupBy("item", "id", "terms").agg(F.min(F.struct("n", "term")).alias("r"), F.count(F.lit(1)).alias("_k"))
     rarest = rarest.where(F.col("_k") == F.size(F.array_distinct("terms"))).select("item", "id", "terms", F.col("r.term").alias("term"))
     wanted = written(terms.select("shard", "term").join(rarest, "term").select("shard", F.pmod("id", F.lit(blocks)).cast("int").alias("block"), "item", "terms"), "wanted")
-    needed = wanted.select("shard", "block", F.explode("terms").alias("term")).distinct()
+    held = terms.select("shard", F.lit(0).alias("block"), "term", "positions")
+    if blocks > 1:  # a block gets the lists of its own terms
+        needed = wanted.select("shard", "block", F.explode("terms").alias("term")).distinct()
+        held = held.drop("block").join(needed, ["shard", "term"]).select("shard", "block", "term", "positions")
     starts = index.where(F.col("term").isNull() & F.col("positions").isNotNull()).select("shard", "term", "positions")
-    held = terms.select("shard", "term", "positions").join(needed, ["shard", "term"]).select("shard", "block", "term", "positions")
     held = held.unionByName(starts.join(wanted.select("shard", "block").distinct(), "shard").select("shard", "block", "term", "positions"))
     held = held.select(F.col("shard").alias("s"), F.col("block").alias("b"), "term", "positions")
     found = wanted.groupBy("shard", "block").cogroup(held.groupBy("s", "b")).applyInArrow(look(slop), FOUND)
