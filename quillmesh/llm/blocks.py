@@ -22,10 +22,10 @@ BLOCK_BYTES = 32_000_000
 #: Kinds of rows that a block returns: its sums, a frequent key, an answer.
 SUMS, FREQUENT, ANSWER = 0, 1, 2
 SENT = "block int, cell int, keys binary, n binary"
-COUNTED = "kind int, block int, cell int, c binary, number binary, key long, n long, id int"
+COUNTED = "kind int, block int, cell int, c binary, number binary, key long, n long, id long"
 ANSWERED = "cell int, layer int, block int, c binary, number binary, rest binary"
 SENT_ARROW = pa.schema([("block", pa.int32()), ("cell", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
-COUNTED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("cell", pa.int32()), ("c", pa.binary()), ("number", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("id", pa.int32())])
+COUNTED_ARROW = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("cell", pa.int32()), ("c", pa.binary()), ("number", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("id", pa.int64())])
 ANSWERED_ARROW = pa.schema([("cell", pa.int32()), ("layer", pa.int32()), ("block", pa.int32()), ("c", pa.binary()), ("number", pa.binary()), ("rest", pa.binary())])
 
 
@@ -60,8 +60,8 @@ def send(cell: int, keys: np.ndarray, n: np.ndarray, blocks: int) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, SENT_ARROW, strict=True)], schema=SENT_ARROW)
 
 
-def counter(blocks: int, least: int, rare_too: bool):
-    """rare_too: answers tell the counts of keys that aren't frequent; else these are nought."""
+def counter(blocks: int, least: int, rare_too: bool, most: int):
+    """most: a number of a frequent key must be less. rare_too: answers tell the counts of keys that aren't frequent; else these are nought."""
 
     def count(table: pa.Table) -> pa.Table:
         packer, block = Packer(), table.column("block")[0].as_py()
@@ -82,7 +82,9 @@ def counter(blocks: int, least: int, rare_too: bool):
 
         add(1, kind=[SUMS], block=[block], n=[int(c.sum())], key=[int((c > 0).sum())])
         k = np.flatnonzero(frequent)
-        add(len(k), kind=np.full(len(k), FREQUENT, np.int32), block=np.full(len(k), block, np.int32), key=known[k], n=c[k], id=(rank[k] * blocks + block).astype(np.int32))
+        if len(k) and int(rank[k[-1]]) * blocks + block >= most:
+            raise OverflowError(f"numbers of frequent keys beyond {most}: raise least or the bits that suffix_tree.SHIFT gives them")
+        add(len(k), kind=np.full(len(k), FREQUENT, np.int32), block=np.full(len(k), block, np.int32), key=known[k], n=c[k], id=rank[k] * blocks + block)
         rows = table.num_rows
         parts = np.split(at, ends[:-1])
         add(rows, kind=np.full(rows, ANSWER, np.int32), block=np.full(rows, block, np.int32), cell=table.column("cell").to_numpy(), c=[packer.pack(told[p]) for p in parts], number=[packer.pack(np.diff(rank[p[frequent[p]]], prepend=0)) for p in parts])

@@ -9,7 +9,8 @@ of its suffix; a token is scored by the longest suffix of its history that is a
 The tree is a set of tables (words, pairs, triples, states) and nothing of it is collected or broadcast. Texts are hashed
 once, into packed cells of documents. These send their distinct words, then their distinct pairs of frequent words, then
 their triples of frequent pairs, each to be counted over all training documents (module blocks); states are found by joins
-of what is frequent; and each cell gets back the counts and states of what stands in it. Frequent words, and frequent pairs, are numbered below 2^31.
+of what is frequent; and each cell gets back the counts and states of what stands in it. Numbers
+of frequent words and pairs are 64-bit and checked against the bits that keys give them.
 
 Defined cases: null and empty texts have one token, the end; doc_id is integral; rows with a null doc_id are learnt from
 and are not held out; without training tokens, known words are none and every token's share is 0.5 / 0.5; other columns are not read.
@@ -38,7 +39,8 @@ LEAST = 32
 #: Divergence tests: nats for each occurrence, and nats in all; discount of an entry.
 MIN_KL, MIN_G2, DISCOUNT = 0.02, 10.0, 0.5
 #: A pair is one long: the first word's number, then the second's; a triple: the number of its first pair, then the last word's.
-SHIFT, MASK = 32, (1 << 32) - 1
+#: Words' numbers stay below 2^SHIFT and pairs' below 2^(62 - SHIFT), else OverflowError.
+SHIFT, MASK = 28, (1 << 28) - 1
 WORDS, PAIRS, TRIPLES = 1, 2, 3
 #: Packed cells in a file: each is some megabytes.
 CELL_ROWS = 16
@@ -189,11 +191,11 @@ def states(entries: DataFrame, context: str) -> DataFrame:
 
 
 def first_of(pair: str) -> Column:
-    return F.shiftright(F.col(pair), SHIFT).cast("int")
+    return F.shiftright(F.col(pair), SHIFT)
 
 
 def second_of(pair: str) -> Column:
-    return F.col(pair).bitwiseAND(MASK).cast("int")
+    return F.col(pair).bitwiseAND(MASK)
 
 
 def cells_of(docs: DataFrame, train: Column, cell_bytes: int = CELL_BYTES) -> DataFrame:
@@ -206,18 +208,18 @@ def cells_of(docs: DataFrame, train: Column, cell_bytes: int = CELL_BYTES) -> Da
 def fit(cells: DataFrame, blocks: int, least: int = LEAST) -> Tree:
     """The tree of packed cells, learnt from their texts with train."""
 
-    def counted(sent: DataFrame, name: str, rare_too: bool = False) -> DataFrame:
-        return written(sent.groupBy("block").applyInArrow(counter(blocks, least, rare_too), COUNTED), name)
+    def counted(sent: DataFrame, name: str, bits: int, rare_too: bool = False) -> DataFrame:
+        return written(sent.groupBy("block").applyInArrow(counter(blocks, least, rare_too, 1 << bits), COUNTED), name)
 
     by_cell = cells.groupBy("cell")
     send_words, send_pairs, send_triples = senders(blocks, least)
-    words = counted(cells.mapInArrow(send_words, SENT), "words", True)
+    words = counted(cells.mapInArrow(send_words, SENT), "words", SHIFT, True)
     row = words.where(F.col("kind") == SUMS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("key"), F.lit(0))).first()
     total, vocabulary = int(row[0]), int(row[1])
     told = answers(words, WORDS)
-    pairs = counted(by_cell.cogroup(told.groupBy("cell")).applyInArrow(send_pairs, SENT), "pairs")
+    pairs = counted(by_cell.cogroup(told.groupBy("cell")).applyInArrow(send_pairs, SENT), "pairs", 62 - SHIFT)
     told = told.unionAll(answers(pairs, PAIRS))
-    triples = counted(by_cell.cogroup(told.groupBy("cell")).applyInArrow(send_triples, SENT), "triples")
+    triples = counted(by_cell.cogroup(told.groupBy("cell")).applyInArrow(send_triples, SENT), "triples", 62)
 
     share = (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))
     frequent = F.col("kind") == FREQUENT

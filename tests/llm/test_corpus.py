@@ -149,6 +149,19 @@ def test_suffix_tree_against_brute_force(make, odd):
             assert d == e and abs(x - y) < 1e-7 * max(1, abs(y))
 
 
+def test_numbers_that_do_not_fit_are_refused(make):
+    docs = make([(i, "a b c d e f g h") for i in range(9)])
+    cells = suffix_tree.cells_of(docs, F.lit(True))
+    assert suffix_tree.fit(cells, 3_200_000, 3).words.where("kind = 1").agg(F.max("id")).first()[0] < 1 << suffix_tree.SHIFT
+    from quillmesh.llm import blocks
+
+    sent = blocks.send(0, np.arange(1, 400), np.full(399, 9), 1)
+    with pytest.raises(OverflowError):
+        blocks.counter(1, 3, True, 100)(sent)
+    ids = blocks.counter(3_200_000, 3, True, 1 << 40)(sent).column("id").drop_null().to_numpy()
+    assert len(ids) == 399 and ids.min() >= 0 and len(set(ids.tolist())) == 399
+
+
 def test_suffix_tree_grows_with_the_corpus(make):
     rng = random.Random(10)
     texts = [" ".join(rng.choice([f"x{j} y{j} z{j}" for j in range(k, k + 5)]) for _ in range(500)) for k in range(0, 200, 5)]
