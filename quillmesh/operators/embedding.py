@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -11,8 +12,6 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,16 +133,46 @@ class WalkEmbedding:
         return model.getVectors().select(F.col("word").alias("node_id"), vector_to_array("vector").alias("vec"))
 
 
-#: Nodes up to which the eigenvectors are found on the driver, of a dense matrix (72 MB).
-DENSE = 3000
+#: Vectors iterated beside those wanted; residual at which they are done; restarts; bytes of the basis on the driver.
+GUARD, TOLERANCE, RESTARTS, BASIS_BYTES = 8, 1e-7, 60, 256_000_000
+
+
+def leading_vectors(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, seed: int) -> np.ndarray:
+    """The k leading eigenvectors of a symmetric operator on n numbers, by restarted block Krylov steps; times applies it to columns."""
+    wide = min(n, k + GUARD)
+    steps = int(min(8, max(2, BASIS_BYTES // (16 * n * wide))))
+    x = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, wide)))[0]
+    for _ in range(RESTARTS):
+        basis, images = [x], [times(x)]
+        while len(basis) < steps and sum(b.shape[1] for b in basis) < n:
+            whole, new = np.hstack(basis), images[-1]
+            for _ in range(2):
+                new = new - whole @ (whole.T @ new)
+            new, r = np.linalg.qr(new)
+            new = new[:, np.abs(np.diag(r)) > 1e-12][:, : n - whole.shape[1]]
+            if not new.shape[1]:
+                break
+            new -= whole @ (whole.T @ new)
+            new = np.linalg.qr(new)[0]
+            basis.append(new)
+            images.append(times(new))
+        whole, image = np.hstack(basis), np.hstack(images)
+        small = whole.T @ image
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        values, vectors = values[::-1][:wide], vectors[:, ::-1][:, :wide]
+        x = whole @ vectors
+        if np.abs(image @ vectors[:, :k] - x[:, :k] * values[:k]).max() < TOLERANCE:
+            break
+        x = np.linalg.qr(x)[0]
+    return x[:, :k]
 
 
 @dataclass
 class SpectralEmbedding:
-    """Eigenvectors of the normalised Laplacian after the first, by the singular vectors of 2I - L = I + D^-1/2 A D^-1/2.
+    """Eigenvectors of the normalised Laplacian after the first, as those of 2I - L = I + D^-1/2 A D^-1/2 with the largest eigenvalues.
 
-    That matrix is positive semidefinite, so its largest singular values belong to the least eigenvalues. Its rows stay
-    distributed and cached; the driver holds nodes x (dimensions + 1) numbers. Up to DENSE nodes the driver solves it directly.
+    The matrix stays distributed, a cached row for each node; each step sends it a block of vectors and gets their images back.
+    The driver holds nodes x (dimensions + 9) numbers a few times. Signs, and the basis of equal eigenvalues, are arbitrary but the same for the same seed.
     """
 
     dimensions: int = 32
@@ -161,21 +190,30 @@ class SpectralEmbedding:
         a = e.join(degree, "source").join(degree.select(F.col("source").alias("target"), F.col("d").alias("dt")), "target")
         a = a.select("source", "target", (1.0 / F.sqrt(F.col("d").cast("double") * F.col("dt"))).alias("w"))
         a = a.join(nodes.select(F.col("node").alias("source"), F.col("i").alias("row")), "source").join(nodes.select(F.col("node").alias("target"), F.col("i").alias("col")), "target")
-        if n <= DENSE:
-            dense = np.eye(n)
-            for r in a.select("row", "col", "w").toLocalIterator():  # at most DENSE squared
-                dense[r.row, r.col] = r.w
-            v = np.linalg.eigh(dense)[1][:, ::-1][:, :k]
-        else:
-            diagonal = nodes.select(F.col("i").alias("row"), F.col("i").alias("col"), F.lit(1.0).alias("w"))
-            rows = a.select("row", "col", "w").unionByName(diagonal).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "w"))).alias("x"))
-            sparse = rows.rdd.map(lambda r: Vectors.sparse(n, [(int(c), float(v)) for c, v in r.x])).persist(StorageLevel.MEMORY_AND_DISK)
-            # A'A has the rows' eigenvectors whatever their order
-            v = RowMatrix(sparse, n, n).computeSVD(k).V.toArray()
-            sparse.unpersist()
-        out = [(i, [float(x) for x in v[i, 1:]]) for i in range(n)]
+        rows = a.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "w"))).alias("x")).select("row", F.col("x.col").alias("col"), F.col("x.w").alias("w"))
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         spark = edges.sparkSession
-        vectors = spark.createDataFrame(out, "i long, vec array<double>")
+
+        def times(x: np.ndarray) -> np.ndarray:
+            shared = spark.sparkContext.broadcast(x)
+
+            def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        col, w = b.column("col"), b.column("w")
+                        begin = np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy())])[:-1]
+                        out = np.add.reduceat(shared.value[pc.list_flatten(col).to_numpy()] * pc.list_flatten(w).to_numpy()[:, None], begin, axis=0)
+                        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array([r.tobytes() for r in out], pa.binary())], ["row", "y"])
+
+            found, y = rows.mapInArrow(part, "row long, y binary").toArrow(), x.copy()
+            if found.num_rows:
+                y[found.column("row").to_numpy()] += np.frombuffer(b"".join(found.column("y").to_pylist())).reshape(-1, x.shape[1])
+            shared.unpersist()
+            return y
+
+        v = leading_vectors(times, n, k, self.seed) if n else np.zeros((0, 0))
+        rows.unpersist()
+        vectors = spark.createDataFrame([(i, v[i, 1:].tolist()) for i in range(n)], "i long, vec array<double>")
         return nodes.join(vectors, "i").select(F.col("node").alias("node_id"), "vec")
 
 

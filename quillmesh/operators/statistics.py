@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -66,8 +70,49 @@ def ks_statistic(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return f.groupBy(key).agg(F.max(F.abs(F.col("fa") / F.col("na") - F.col("fb") / F.col("nb"))).alias("ks_statistic"))
 
 
-def ks_test(a: DataFrame, b: DataFrame, names: tuple[str, str], min_side: int = MIN_SIDE, min_std: float = MIN_STD) -> DataFrame:
-    """Rank distributions of each kinase in two networks: sizes, means, medians, population deviations, D, asymptotic p, shift, BH."""
+def ks_exact(d: float, n: int, m: int) -> float:
+    """P(D >= d) of two samples of sizes n and m, ties aside: the share of lattice paths that leave the band of width d."""
+    step = math.gcd(n, m)
+    lcm = n // step * m
+    h = round(d * lcm)
+    if h <= 0:
+        return 1.0
+    if n == m:  # alternating sum over reflections
+        k, total = h // (lcm // n), 0.0
+        for i in range(n // k, 0, -1):
+            term = math.exp(2 * math.lgamma(n + 1) - math.lgamma(n - i * k + 1) - math.lgamma(n + i * k + 1))
+            total = term - total
+        return min(1.0, max(0.0, 2 * total))
+    if n < m:
+        n, m = m, n
+    # share of paths to each (i, j) that stay inside, column by column: row[j] counts paths over C(i + j, i)
+    j = np.arange(m + 1)
+    inside = np.abs(0 * (lcm // n) - j * (lcm // m)) < h
+    row = np.where(np.cumprod(inside), 1.0, 0.0)
+    for i in range(1, n + 1):
+        inside = np.abs(i * (lcm // n) - j * (lcm // m)) < h
+        out, last = np.zeros(m + 1), 0.0
+        from_left, weight = row * (i / (i + j)), j / (i + j)
+        for x in np.flatnonzero(inside):
+            last = from_left[x] + (out[x - 1] * weight[x] if x else 0.0)
+            out[x] = last
+        row = out
+    return min(1.0, max(0.0, 1.0 - float(row[m])))
+
+
+def _exact_tails(d: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else ks_exact(x, a, b) for x, a, b in zip(d.to_pylist(), n.to_pylist(), m.to_pylist(), strict=True)], pa.float64())
+
+
+#: Sizes up to which a two-sample test is exact if asked for.
+EXACT = 10_000
+
+
+def ks_test(a: DataFrame, b: DataFrame, names: tuple[str, str], min_side: int = MIN_SIDE, min_std: float = MIN_STD, exact: bool = False) -> DataFrame:
+    """Rank distributions of each kinase in two networks: sizes, means, medians, population deviations, D, p, shift, BH.
+
+    p is the asymptotic series; with exact, that of the exact distribution where both sides have at most EXACT ranks.
+    """
     x, y = names
 
     def side(df: DataFrame, n: str) -> DataFrame:
@@ -77,7 +122,12 @@ def ks_test(a: DataFrame, b: DataFrame, names: tuple[str, str], min_side: int =
 
     j = side(a, x).join(side(b, y), "kinase_node_id").join(ks_statistic(a, b, "kinase_node_id", "rank_in_site"), "kinase_node_id")
     better_b = F.col(f"median_rank_{y}") < F.col(f"median_rank_{x}")
-    j = j.select("*", clean_node_id(F.col("kinase_node_id")).alias("kinase"), kolmogorov_tail(F.col("ks_statistic"), F.col(f"n_{x}"), F.col(f"n_{y}")).alias("p_value"), F.when(better_b, f"better in {y}").otherwise(f"better in {x}").alias("shift"), ((F.col(f"std_rank_{x}") > min_std) | (F.col(f"std_rank_{y}") > min_std)).alias("informative"))
+    args = F.col("ks_statistic"), F.col(f"n_{x}"), F.col(f"n_{y}")
+    p = kolmogorov_tail(*args)
+    if exact:
+        small = F.greatest(args[1], args[2]) <= EXACT
+        p = F.coalesce(F.arrow_udf(_exact_tails, "double")(F.when(small, args[0]), args[1], args[2]), p)
+    j = j.select("*", clean_node_id(F.col("kinase_node_id")).alias("kinase"), p.alias("p_value"), F.when(better_b, f"better in {y}").otherwise(f"better in {x}").alias("shift"), ((F.col(f"std_rank_{x}") > min_std) | (F.col(f"std_rank_{y}") > min_std)).alias("informative"))
     return benjamini_hochberg(j, "p_value", "kinase_node_id")
 
 
@@ -114,3 +164,63 @@ def enrichment_vs_rank(scored: DataFrame, results: DataFrame, rank: str = "adjus
     """(kinase, ksea_score, adj_p_value, stars, median_rank, n_trials) of kinases with both."""
     r = results.groupBy(strip_prefix(F.col("true_kinase_node_id")).alias("kinase")).agg(F.median(rank).alias("median_rank"), F.count(F.lit(1)).alias("n_trials")).where(F.col("n_trials") >= min_trials)
     return scored.select("kinase", "ksea_score", "adj_p_value", significance_stars(F.col("adj_p_value")).alias("stars")).join(r, "kinase")
+
+
+#: Rows that may be clustered: the distances of all pairs meet in one task (200 MB).
+CLUSTER_ROWS = 5_000
+
+
+def leaf_order(x: np.ndarray) -> list[int]:
+    """The rows of x as the leaves of their average-linkage tree over Euclidean distances, the cluster with the smaller number at the left."""
+    n = len(x)
+    if n < 2:
+        return list(range(n))
+    d = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0)) if n * n * x.shape[1] < 50_000_000 else np.stack([np.sqrt(((x - r) ** 2).sum(1)) for r in x])
+    np.fill_diagonal(d, np.inf)
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):  # nearest-neighbour chains
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            a = chain[-1]
+            row = np.where(alive, d[a], np.inf)
+            b = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        a, b = sorted((a, b))
+        merges.append((d[a, b], a, b))
+        new = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        alive[a], size[b] = False, size[a] + size[b]
+        d[b], d[:, b] = new, new
+        d[b, b] = np.inf
+    number, leaves, root = list(range(n)), {i: [i] for i in range(n)}, list(range(n))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for k, (_, a, b) in enumerate(sorted(merges, key=lambda t: t[0])):  # stable: equal distances in the order found
+        a, b = top(a), top(b)
+        first, second = (a, b) if number[a] < number[b] else (b, a)
+        root[a] = b
+        number[b], leaves[b] = n + k, leaves[first] + leaves[second]
+    return leaves[top(0)]
+
+
+def cluster_order(tables: DataFrame, columns: list[str], key: str = "kinase") -> DataFrame:
+    """(key, place): rows without nulls in the order of their clustering. For tables of a row for each of at most CLUSTER_ROWS entities, else ValueError."""
+    whole = tables.select(key, *columns).dropna()
+    if whole.count() > CLUSTER_ROWS:
+        raise ValueError(f"over {CLUSTER_ROWS} rows to cluster")
+
+    def ordered(t: pa.Table) -> pa.Table:
+        t = t.sort_by(key)
+        order = leaf_order(np.stack([t.column(c).to_numpy().astype(float) for c in columns], axis=1))
+        return pa.table({key: t.column(key).take(pa.array(order)), "place": pa.array(np.arange(1, len(order) + 1))})
+
+    return whole.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(lambda t: ordered(t), f"{key} string, place long")

@@ -79,6 +79,11 @@ def long_matrix(wide: DataFrame, row: str, columns: list[str], name: str = "samp
     return wide.unpivot([row], columns, name, value)
 
 
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with old columns under their new names; a column that is not there, or whose new name is taken, stays as it is."""
+    return df.withColumnsRenamed({old: new for old, new in names.items() if old in df.columns and new not in df.columns})
+
+
 def at_least_present(long: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """Keys with n non-null values or more."""
     return long.groupBy(key).agg(F.count(value).alias("_n")).where(F.col("_n") >= n).select(key)

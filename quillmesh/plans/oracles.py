@@ -299,4 +299,20 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT start, walk, step + 1, {WALK_STEP}, path || '>' || {WALK_STEP} FROM wk JOIN nb ON wk.cur = nb.node WHERE step < 9)
       SELECT start, walk, path FROM wk WHERE step = 9""",
     "concat_embed": f"WITH {VECTORS} SELECT node_id, CAST(32 AS BIGINT) AS n, round(list_sum(e[1:32]), 6) AS total FROM v",
+    "corr_edges_cancer": f"WITH {EVENTS}, {ABUNDANCE.format(chr(99) + 'ls = ' + chr(39) + 'tumor' + chr(39))}, {PAIRS} {CORR_EDGES.format('site_cancer_corr')}",
+    "corr_edges_protein": f"WITH {EVENTS.replace(chr(39) + 'U' + chr(39) + ' || user_id AS entity', chr(39) + 'PROTEIN:P' + chr(39) + ' || (user_id // 10) AS entity')}, {FC}, {PAIRS} {CORR_EDGES.format('protein_fc_corr')}",
+    "sample_classes": """WITH x AS (SELECT o_orderstatus || ' ' || CASE o_orderkey % 3 WHEN 0 THEN 'Control' WHEN 1 THEN 'Sample 2' ELSE 'Sample' END AS name FROM orders)
+      SELECT name, CASE WHEN name LIKE '%Control' THEN 'control' WHEN name LIKE '%Sample' THEN 'tumor' END AS by_end, CASE WHEN name LIKE '%Control%' THEN 'control' WHEN name LIKE '%Sample%' THEN 'tumor' END AS anywhere, count(*) AS n FROM x GROUP BY ALL""",
+    "csv_round_trip": "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
+    "headerless_scan": "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS trial_index FROM supplier",
+    "line_records": """SELECT CAST(s_nationkey AS VARCHAR) AS grp, unnest([s_name, 'K' || s_suppkey]) AS token FROM supplier
+      UNION ALL SELECT CAST(s_nationkey AS VARCHAR), unnest([s_name, 'M' || s_suppkey]) FROM supplier""",
+    "sniffed_separators": "SELECT * FROM (VALUES ('tabs', chr(9)), ('commas', ',')) t(name, sep)",
+    "graph_round_trip": f"WITH {SUPPLY} SELECT relation, {ROLE} AS protein_role, count(*) AS n FROM se JOIN sn ON se.source = sn.node_id GROUP BY 1, 2",
+    "experiments": f"""WITH {TRIALS} SELECT CASE WHEN trial_index % 2 = 0 THEN 'even' ELSE 'odd' END AS experiment, count(*) AS n, min(trial_index) AS first, trial_index % 2 = 0 AS done FROM res WHERE network = 'generic' GROUP BY 1, 4""",
+    "content_names": "SELECT true AS same, upper(max(s_name)) = max(s_name) AND min(upper(s_name)) = min(s_name) AS other, CAST(10 AS BIGINT) AS n FROM supplier",
+    "summary_report": f"""WITH {TRIALS}, x AS (SELECT count(*) AS n, count(*) FILTER (WHERE adjusted_held_out_rank <= 1) AS a, count(*) FILTER (WHERE adjusted_held_out_rank <= 20) AS b FROM res WHERE network = 'generic')
+      SELECT unnest(['Trials', '======', 'n_trials: ' || n || '.0', 'top_1_count: ' || a || '.0', 'top_20_count: ' || b || '.0']) AS line FROM x""",
+    "formatted": """WITH x AS (SELECT o_orderpriority, round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS share, count(*) AS n FROM orders GROUP BY 1)
+      SELECT o_orderpriority, printf('%.1f%%', share * 100) AS percent, CASE WHEN n >= 100 THEN '+' ELSE '' END || format('{:,}', n - 100) AS signed FROM x""",
 }

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, numeric
 from ..operators import correlation, embedding, evaluation, graph, logistic, metrics, ranking, statistics
-from ..operators.tables import aligned, keep_best, lookup_with_fallback, most_common, sample_rows, union_all
+from ..operators.tables import aligned, keep_best, lookup_with_fallback, most_common, renamed, sample_rows, union_all
+from ..sources import readers, writers
+from ..sources.shared import new_path
 from . import roles
 from .roles import SLICES, table
 
@@ -263,6 +265,27 @@ def corr_edges_fc(spark: SparkSession, d: str) -> DataFrame:
     return rounded(correlation.correlation_edges(m, "site_fc_corr_pos", "site_fc_corr_neg"))
 
 
+@query
+def corr_edges_cancer(spark: SparkSession, d: str) -> DataFrame:
+    m = correlation.abundance_matrix(roles.measurements(spark, d), "tumor")
+    return rounded(correlation.correlation_edges(m, "site_cancer_corr_pos", "site_cancer_corr_neg"))
+
+
+@query
+def corr_edges_protein(spark: SparkSession, d: str) -> DataFrame:
+    """Ten users make a protein, whose rows are averaged."""
+    m = roles.measurements(spark, d).withColumn("entity", F.concat(F.lit("PROTEIN:P"), F.floor(F.col("row_id") / 10).cast("string")))
+    return rounded(correlation.correlation_edges(correlation.fold_change_matrix(m), "protein_fc_corr_pos", "protein_fc_corr_neg"))
+
+
+@query
+def sample_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Priorities that name a class by their end, and by any part."""
+    o = table(spark, d, "orders").select(F.concat_ws(" ", "o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, "Control").when(F.col("o_orderkey") % 3 == 1, "Sample 2").otherwise("Sample")).alias("name"))
+    o = o.select("name", correlation.sample_class(F.col("name")).alias("by_end"), correlation.sample_class(F.col("name"), anywhere=True).alias("anywhere"))
+    return o.groupBy("name", "by_end", "anywhere").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- evaluation sets ---------------------------------------------------------------------------------------------------
 
 
@@ -509,6 +532,18 @@ def ks_test(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.ks_test(r.where("network = 'control'"), r.where("network = 'liver_fc'"), ("control", "liver_fc")))
 
 
+@query
+def ks_test_exact(spark: SparkSession, d: str) -> DataFrame:
+    r = roles.ranks(spark, d, ["control", "liver_fc"])
+    return rounded(statistics.ks_test(r.where("network = 'control'"), r.where("network = 'liver_fc'"), ("control", "liver_fc"), exact=True))
+
+
+@query
+def cluster_order(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates in the order of the clustering of their mean ranks."""
+    return statistics.cluster_order(statistics.rank_tables(roles.ranks(spark, d), NETS), [f"mean_{n}" for n in NETS])
+
+
 @query
 def rank_mean_std(spark: SparkSession, d: str) -> DataFrame:
     return rounded(statistics.rank_tables(roles.ranks(spark, d), NETS))
@@ -598,3 +633,99 @@ def predict_all_two_tier(spark: SparkSession, d: str) -> DataFrame:
     v = roles.vectors(spark, d)
     c, s = roles.split(v)
     return rounded(logistic.predict_all(roles.vector_positives(v), c, s, roles.network_vectors(v, "generic")))
+
+
+# --- sources and sinks: what is written is read again ------------------------------------------------------------------
+
+
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+
+
+def _lines(spark: SparkSession, d: str, line: Column, first: list[str], name: str) -> str:
+    """One text file of some first lines and then a line for each supplier."""
+    path = new_path(spark, name)
+    rows = _suppliers(spark, d).select(F.col("s_suppkey").alias("i"), line.alias("value")).unionByName(spark.createDataFrame([(i - len(first), x) for i, x in enumerate(first)], "i long, value string"))
+    rows.coalesce(1).sortWithinPartitions("i").select("value").write.text(path)
+    return path
+
+
+@query
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "suppliers.csv.gz")
+    writers.write_csv_gz(_suppliers(spark, d), path)
+    return readers.read_table(spark, path)
+
+
+@query
+def headerless_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Four first lines and the comments are no rows; the first two columns are renamed by place."""
+    path = _lines(spark, d, F.concat_ws("\t", "s_suppkey", "s_name", "s_nationkey"), ["one", "two\tx", "three", "four", "# five"], "headerless")
+    return rename_columns(readers.rename_by_place(readers.read_headerless(spark, path, ["a", "b", "c"], skip=4), ["key", "fold_index"]))
+
+
+def rename_columns(df: DataFrame) -> DataFrame:
+    return renamed(df, {"fold_index": "trial_index", "absent": "other"})
+
+
+@query
+def line_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of both styles."""
+    blanks = _lines(spark, d, F.concat_ws(" ", "s_nationkey", "s_name", F.concat(F.lit("K"), "s_suppkey")), [" "], "blanks")
+    commas = _lines(spark, d, F.concat(F.col("s_nationkey").cast("string"), F.lit("\t"), F.col("s_name"), F.lit(", M"), "s_suppkey"), ["# a\tb", "no tab"], "commas")
+    return readers.read_line_records(spark, blanks).unionByName(readers.read_line_records(spark, commas, "tab_commas"))
+
+
+@query
+def sniffed_separators(spark: SparkSession, d: str) -> DataFrame:
+    tabs = _lines(spark, d, F.concat_ws("\t", "s_suppkey", "s_name"), ["# a,b,c", ""], "tabs")
+    commas = _lines(spark, d, F.concat_ws(",", "s_suppkey", "s_name"), [], "commas")
+    return spark.createDataFrame([("tabs", readers.sniff_separator(spark, tabs)), ("commas", readers.sniff_separator(spark, commas))], "name string, sep string")
+
+
+@query
+def graph_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Edges by relation and nodes as text, checked and cast when read."""
+    nodes, edges = new_path(spark, "nodes.csv.gz"), new_path(spark, "edges.parquet")
+    writers.write_csv_gz(roles.supply_nodes(spark, d), nodes)
+    writers.write_edges(roles.supply_edges(spark, d), edges)
+    n, e = readers.load_graph(readers.read_table(spark, nodes), readers.read_table(spark, edges))
+    ends = e.join(n.select(F.col("node_id").alias("source"), "protein_role"), "source")
+    return rounded(ends.groupBy("relation", "protein_role").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def experiments(spark: SparkSession, d: str) -> DataFrame:
+    """Two experiments in one table, found by a part of their path, with the test of what is done."""
+    root = new_path(spark, "experiments")
+    t = roles.trials(spark, d, ["generic"]).select("trial_index", "adjusted_held_out_rank", "best_true_kinase_rank", "held_out_kinase_rank", "n_true_kinases_for_site")
+    for name, part in (("even", 0), ("odd", 1)):
+        mine = t.where(F.col("trial_index") % 2 == part)
+        writers.write_experiment(mine, metrics.summary(mine), root, name)
+    done = spark.createDataFrame([(n, writers.exists(spark, f"{root}/{p}")) for n, p in (("even", "results"), ("odd", "none"))], "experiment string, done boolean")
+    found = readers.find_results(spark, f"{root}/results", "experiment=").select(F.regexp_extract("path", "experiment=([a-z]+)", 1).alias("experiment"), "trial_index")
+    counts = found.groupBy("experiment").agg(F.count(F.lit(1)).alias("n"), F.min("trial_index").alias("first"))
+    return counts.join(done, "experiment", "left")
+
+
+@query
+def content_names(spark: SparkSession, d: str) -> DataFrame:
+    """Equal content has one name, other content another."""
+    a, b, c = (_lines(spark, d, x, [], "named") for x in (F.col("s_name"), F.col("s_name"), F.upper("s_name")))
+    x, y, z = (writers.cached_name(p, spark) for p in (a, b, c))
+    return spark.createDataFrame([(x == y, x == z, len(x))], "same boolean, other boolean, n long")
+
+
+@query
+def summary_report(spark: SparkSession, d: str) -> DataFrame:
+    """The text of a run's metrics, written and read again line by line."""
+    path = new_path(spark, "summary.txt")
+    m = metrics.performance(roles.trials(spark, d, ["generic"]), []).where("rank_kind = 'adjusted_held_out' and metric in ('n_trials', 'top_1_count', 'top_20_count')").orderBy("metric")
+    writers.write_text(spark, metrics.summary_text(m, "Trials"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def formatted(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.avg(F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0)).alias("share"), F.count(F.lit(1)).alias("n"))
+    return o.select("o_orderpriority", numeric.percent(F.round("share", 6)).alias("percent"), numeric.signed(F.col("n").cast("double") - 100, 0).alias("signed"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
 from pathlib import PurePosixPath
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +21,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     """Parquet, CSV, or tab-separated text, plain or gzipped, by extension; ValueError for other kinds.
 
     With no schema all columns of text files are strings: casting is left to the caller, so no pass infers types.
-    Excel sheets are not read: convert them to Parquet in long form first.
+    Excel workbooks (.xlsx) give their first sheet, with the option header for the number of the row that names the columns.
     """
     name = PurePosixPath(path.rstrip("/")).name.lower()
+    if name.endswith(".xlsx"):
+        return read_sheet(spark, path, int(options.get("header", "0")))
     if name.endswith(".parquet"):
         return spark.read.parquet(path)
     stem = name.removesuffix(".gz")
@@ -39,10 +46,57 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return "\t" if first and first.value.count("\t") > first.value.count(",") else ","
 
 
-def read_headerless(spark: SparkSession, path: str, names: list[str], sep: str = "\t", comment: str = "#") -> DataFrame:
-    """Text without a header, comment lines skipped, columns named by place; all strings."""
+def read_headerless(spark: SparkSession, path: str, names: list[str], sep: str = "\t", comment: str = "#", skip: int = 0) -> DataFrame:
+    """Text without a header, comment lines skipped, columns named by place; all strings. skip: so many first lines of a single file are no rows."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.options(sep=sep, comment=comment, header="false").schema(schema).csv(path)
+    if not skip:
+        return spark.read.options(sep=sep, comment=comment, header="false").schema(schema).csv(path)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = spark.read.text(path).select("value", (F.col("_metadata.file_block_start") == 0).alias("_first"), place.alias("_i"))
+    kept = lines.where(~(F.col("_first") & (F.col("_i") < skip)) & ~F.col("value").startswith(comment) & (F.col("value") != ""))
+    return kept.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r")).select("r.*")
+
+
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
+    """(row number, cells as text) of the first sheet of a workbook."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{MAIN}si")]
+        sheet = min((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+        for number, row in enumerate(ElementTree.fromstring(z.read(sheet)).iter(f"{MAIN}row")):
+            cells: list[str | None] = []
+            for c in row.iter(f"{MAIN}c"):
+                place = 0
+                for letter in (x for x in c.get("r", "") if x.isalpha()):
+                    place = place * 26 + ord(letter) - 64
+                cells += [None] * (place - 1 - len(cells))
+                value = c.find(f"{MAIN}v")
+                text = "".join(t.text or "" for t in c.iter(f"{MAIN}t")) if c.get("t") == "inlineStr" else value.text if value is not None else None
+                cells.append(shared[int(text)] if c.get("t") == "s" and text is not None else text)
+            yield int(row.get("r", number + 1)) - 1, cells
+
+
+def read_sheet(spark: SparkSession, path: str, header: int = 0) -> DataFrame:
+    """The first sheet of workbooks, all strings, blanks null; row number header (from 0) names the columns. A sheet has 2^20 rows at most."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                found = list(sheet_rows(content))
+                for at in range(0, len(found), 10_000):
+                    part = found[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array([n for n, _ in part], pa.int64()), pa.array([c for _, c in part], pa.list_(pa.string()))], ["path", "n", "cells"])
+
+    table = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "path string, n long, cells array<string>")
+    names = table.where(F.col("n") == header).orderBy("path").first()
+    if names is None:
+        raise ValueError(f"no row {header} in {path}")
+    body = table.where(F.col("n") > header)
+    return body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names.cells) if n is not None])
 
 
 def rename_by_place(df: DataFrame, names: list[str]) -> DataFrame:

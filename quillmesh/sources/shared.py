@@ -30,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{uuid.uuid4().hex}-{name}"
     _written.append(path)
     return path
 

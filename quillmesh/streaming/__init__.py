@@ -1 +1 @@
-"""Streams: the operators here have no streaming counterpart, batch inputs being all they were asked for."""
+"""Following runs while they write their results."""

@@ -66,8 +66,9 @@ def test_correlation_edges(spark):
 
 
 def test_percentile(spark):
-    p = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "r double")
-    assert abs(correlation.thresholds(p).first().pos - 5.8) < 1e-9
+    p = spark.createDataFrame([(0.1,), (0.2,), (0.3,), (1.0,)], "r double")
+    row = correlation.thresholds(p).first()
+    assert abs(row.pos - 0.58) < 1e-9 and row.neg is None
 
 
 def test_negatives_categories_trials(spark):
@@ -112,9 +113,7 @@ def test_walk_stops_at_sink(spark):
     assert rows(long) == [("a", 0, list("ababa")), ("b", 0, list("babab"))]
 
 
-@pytest.mark.parametrize("dense", [3000, 0])
-def test_spectral_eigenvectors(spark, monkeypatch, dense):
-    monkeypatch.setattr(embedding, "DENSE", dense)
+def test_spectral_eigenvectors(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a"), ("a", "c")]
     e = spark.createDataFrame(pairs, "source string, target string")
     v = {r.node_id: r.vec for r in embedding.SpectralEmbedding(2).fit(e).collect()}
@@ -181,3 +180,71 @@ def test_biased_pick_is_linear_and_weighted():
     got = {u: pick(pa.array(nbrs, pa.list_(pa.string())), pa.array(back, pa.string()), pa.array(known, pa.list_(pa.string())), pa.array([u] * 4)).to_pylist() for u in (0.0, 0.5, 0.6, 0.85, 0.9, 0.999)}
     assert [got[u][0] for u in got] == ["a", "a", "b", "b", "c", "c"]
     assert all(v[1] is None and v[2] == "x" for v in got.values()) and got[0.0][3] == "a" and got[0.6][3] == "b"
+
+
+def test_exact_two_sample_p():
+    from itertools import combinations
+
+    for n, m in ((3, 3), (4, 4), (5, 5), (3, 5), (4, 6), (2, 7)):
+        found = []
+        for places in combinations(range(n + m), n):
+            a = b = 0
+            far = 0.0
+            for i in range(n + m):
+                a, b = (a + 1, b) if i in places else (a, b + 1)
+                far = max(far, abs(a / n - b / m))
+            found.append(far)
+        for d in {round(x, 9) for x in found}:
+            want = sum(x >= d - 1e-6 for x in found) / len(found)
+            assert abs(statistics.ks_exact(d, n, m) - want) < 1e-9, (n, m, d)
+
+
+def test_cluster_order_against_plain_agglomeration(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(23, 3))
+    clusters = [(i, [i]) for i in range(23)]
+    for k in range(22):
+        dist = lambda a, b: np.mean([np.linalg.norm(x[i] - x[j]) for i in a for j in b])
+        _, i, j = min((dist(clusters[i][1], clusters[j][1]), i, j) for i in range(len(clusters)) for j in range(i))
+        a, b = sorted((clusters[i], clusters[j]))
+        clusters = [c for n, c in enumerate(clusters) if n not in (i, j)] + [(23 + k, a[1] + b[1])]
+    assert statistics.leaf_order(x) == clusters[0][1]
+    df = spark.createDataFrame([(f"k{i:02d}", *map(float, r)) for i, r in enumerate(x)] + [("none", None, 1.0, 2.0)], "kinase string, a double, b double, c double")
+    assert [int(r.kinase[1:]) for r in statistics.cluster_order(df, ["a", "b", "c"]).orderBy("place").collect()] == clusters[0][1]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_correlation_by_blocks(spark, block):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(11, 15))
+    v[rng.random(v.shape) < 0.3] = np.nan
+    v[4] = 2.5
+    m = spark.createDataFrame([(f"e{i:02d}", f"s{j}", None if np.isnan(v[i, j]) else float(v[i, j])) for i in range(11) for j in range(15)], "entity string, sample string, value double")
+    got = {(r.source, r.target): (r.n_common, r.r) for r in correlation.pairwise_pearson(m, 6, block).collect()}
+    for i in range(11):
+        for j in range(i + 1, 11):
+            both = ~np.isnan(v[i]) & ~np.isnan(v[j])
+            if both.sum() >= 6:
+                n, r = got.pop((f"e{i:02d}", f"e{j:02d}"))
+                assert n == both.sum() and (r is None if 4 in (i, j) else abs(r - np.corrcoef(v[i][both], v[j][both])[0, 1]) < 1e-9)
+    assert not got
+    values = rng.uniform(-1, 1, 500).tolist() + [1.0, -1.0, 0.25, 0.25]
+    r = spark.createDataFrame([(x,) for x in values], "r double")
+    assert abs(correlation.thresholds(r).first().pos - np.percentile([x for x in values if x > 0], 80)) < 1e-12
+    assert abs(correlation.thresholds(r).first().neg - np.percentile([x for x in values if x < 0], 20)) < 1e-12
+
+
+def test_spectral_against_a_dense_solve(spark):
+    rng = np.random.default_rng(6)
+    n = 260
+    pairs = sorted({tuple(sorted(rng.integers(0, n, 2).tolist())) for _ in range(900)} | {(i, i + 1) for i in range(n - 1)})
+    pairs = [(a, b) for a, b in pairs if a != b]
+    edges = spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}") for a, b in pairs] + [("n000", "n000")], "source string, target string")
+    got = {r.node_id: r.vec for r in embedding.SpectralEmbedding(dimensions=6).fit(edges).collect()}
+    a = np.zeros((n, n))
+    for i, j in pairs:
+        a[i, j] = a[j, i] = 1
+    d = 1 / np.sqrt(a.sum(1))
+    want = np.linalg.eigh(a * d[:, None] * d[None, :])[1][:, ::-1][:, 1:7]
+    mine = np.array([got[f"n{i:03d}"] for i in range(n)])
+    assert np.allclose(np.abs((want * mine).sum(0)), 1, atol=1e-5)  # the same vectors up to their signs

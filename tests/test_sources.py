@@ -41,3 +41,29 @@ def test_experiments(spark, tmp_path):
     for name in ("one", "two"):
         writers.write_experiment(df, df, str(tmp_path), name)
     assert spark.read.parquet(f"{tmp_path}/results").where("experiment = 'two'").count() == 1
+
+
+def test_sheet(spark, tmp_path):
+    import zipfile
+
+    cell = lambda r, v, kind="": f'<c r="{r}"{kind}><v>{v}</v></c>'
+    rows = [[cell("A1", 0, ' t="s"')], [cell("A2", 1, ' t="s"'), cell("C2", 2, ' t="s"')], [cell("A3", 1.5), cell("C3", 0, ' t="s"')], ['<c r="C4" t="inlineStr"><is><t>in</t></is></c>']]
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>title</t></si><si><r><t>x</t></r><r><t>1</t></r></si><si><t>y</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>" + "".join(f'<row r="{i + 1}">{"".join(r)}</row>' for i, r in enumerate(rows)) + "</sheetData></worksheet>")
+    got = readers.read_table(spark, str(tmp_path / "a.xlsx"), header="1")
+    assert got.columns == ["x1", "y"] and sorted(map(tuple, got.collect()), key=str) == [("1.5", "title"), (None, "in")]
+
+
+def test_stream_of_results(spark, tmp_path):
+    from quillmesh.streaming import progress
+
+    root = str(tmp_path / "runs")
+    m = spark.createDataFrame([(1,)], "x int")
+    rows = spark.createDataFrame([(1, "k", "s", 1), (2, "k", "t", 30), (3, "k", "u", None)], "trial_index long, true_kinase_node_id string, site_node_id string, adjusted_held_out_rank long")
+    for name in ("one", "two"):
+        writers.write_experiment(rows, m, root, name)
+    q = progress.running_metrics(progress.follow(spark, root, 1)).writeStream.outputMode("complete").format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.experiment, r.n_trials, r.mean_rank, round(r.top_1_accuracy, 6)) for r in spark.table("runs").orderBy("experiment").collect()] == [("one", 3, 15.5, 0.333333), ("two", 3, 15.5, 0.333333)]
