@@ -37,6 +37,50 @@ def test_quality_held_out_accuracy(spark, make):
     assert scored.where("score < 0 or score > 1").count() == 0
 
 
+def test_ftrl_against_a_plain_loop():
+    """The same updates written out one weight at a time, over rows of a few places."""
+    import math
+
+    rng = random.Random(21)
+    rows = []
+    for _ in range(40):
+        places = sorted(rng.sample(range(15), rng.randrange(0, 5)))
+        rows.append((np.array(places, np.int64), np.array([rng.random() for _ in places]), rng.randrange(2)))
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(3):
+        for places, values, label in rows:
+            x = [*zip(places.tolist(), values.tolist(), strict=True), (16, 1.0)]
+            w = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - label) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    assert np.allclose(quality.ftrl(rows, bits=4, epochs=3), [weight(i) for i in range(17)], atol=1e-6)
+    assert any(weight(i) for i in range(16))
+
+
+def test_features_against_a_plain_count():
+    """Places and values of a text by hand: words that repeat the word before are one token, pairs of neighbours count too."""
+    text = b"a b b !! c"
+    h = [xxhash.xxh64_intdigest(t) for t in (b"a", b"b", quality.REPEAT, b"!!", b"c")]
+    wrap = (1 << 64) - 1
+    one = [x * 0xC2B2AE3D27D4EB4F & wrap for x in h]
+    two = [(a * 0x9E3779B97F4A7C15 + (b ^ (b >> 29)) & wrap) * 0xD6E8FEB86659FD93 & wrap for a, b in zip(h, h[1:], strict=False)]
+    counts = defaultdict(int)
+    for x in one + two:
+        counts[x >> (64 - quality.BITS)] += 1
+    places, values = quality.Hasher()(text)
+    assert dict(zip(places.tolist(), values.tolist(), strict=True)) == {k: (v / 9) ** 0.5 for k, v in counts.items()}
+
+
 def test_quality_odd_rows(spark, make, odd):
     docs = make(odd)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
