@@ -107,9 +107,9 @@ def numbered(df: DataFrame, order: list[str], name: str = "trial_index") -> Data
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    placed = cut(ranged.withColumn("_m", F.monotonically_increasing_id()))  # the partition's number, then the row's place in it
-    part, within = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_p", before.alias("_o"))  # a row for each range
-    return placed.withColumn("_p", part).join(F.broadcast(offsets), "_p").withColumn(name, (within + F.col("_o") + 1).cast("long")).drop("_p", "_m", "_o")
+    placed = cut(ranged.withColumn("__place", F.monotonically_increasing_id()))  # the partition's number, then the row's place in it
+    part, within = F.shiftright("__place", 33), F.col("__place").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("__range")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__range", before.alias("__before"))  # a row for each range
+    return placed.withColumn("__range", part).join(F.broadcast(offsets), "__range").withColumn(name, (within + F.col("__before") + 1).cast("long")).drop("__range", "__place", "__before")
