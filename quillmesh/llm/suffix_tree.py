@@ -1,16 +1,17 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The root is the distribution of single words, each count plus a half. A context of one or two words is a state of the tree if
-(a) it and some words after it occur at least `least` times, which is the same number at every corpus size, so that the tree
-grows with the corpus; and (b) a divergence test holds: the words that follow it differ from what its suffix predicts, by KL
-and by G2. A state's distribution keeps those next words, each count less a discount, and leaves the rest to the distribution
-of its suffix; a token is scored by the longest suffix of its history that is a state.
-
-The tree is a set of tables (words, pairs, triples, states) and nothing of it is collected or broadcast. Texts are hashed
-once, into packed cells of documents. These send their distinct words, then their distinct pairs of frequent words, then
-their triples of frequent pairs, each to be counted over all training documents (module blocks); states are found by joins
-of what is frequent; and each cell gets back the counts and states of what stands in it. Numbers
-of frequent words and pairs are 64-bit and checked against the bits that keys give them.
+The root is the distribution of single words, each count plus a half. A context of one to `depth` words is a state of the tree
+if (a) it and some words after it occur at least `least` times, which is the same number at every corpus size, so that the tree
+grows with the corpus; and (b) a divergence test holds: the words that follow it differ from what its longest suffix among the
+states predicts, by KL and by G2. A state's distribution keeps those next words, each count less a discount, and leaves the rest
+to that suffix; a token is scored by the longest suffix of its history that is a state.
+
+The tree is a set of tables (the grams of each length, the states of each) and nothing of it is collected or broadcast. Texts
+are hashed once, into packed cells of documents. These send their distinct words, then their distinct pairs of frequent words,
+then from level to level the grams whose prefix and suffix are both frequent, each to be counted over all training documents
+(module blocks), until a level has none or the depth is reached. States are found by joins of what is frequent; and each cell
+gets back the counts and states of what stands in it. Numbers of frequent grams are 64-bit and checked against the bits that
+keys give them.
 
 Defined cases: null and empty texts have one token, the end; doc_id is integral; rows with a null doc_id are learnt from
 and are not held out; without training tokens, known words are none and every token's share is 0.5 / 0.5; other columns are not read.
@@ -38,27 +39,25 @@ END = U64(xxhash.xxh64_intdigest(b"\n"))
 LEAST = 32
 #: Divergence tests: nats for each occurrence, and nats in all; discount of an entry.
 MIN_KL, MIN_G2, DISCOUNT = 0.02, 10.0, 0.5
-#: A pair is one long: the first word's number, then the second's; a triple: the number of its first pair, then the last word's.
-#: Words' numbers stay below 2^SHIFT and pairs' below 2^(62 - SHIFT), else OverflowError.
+#: Words in the longest contexts.
+DEPTH = 4
+#: A gram of two words or more is one long: the number of the gram without its last word, then the last word's number.
+#: Words' numbers stay below 2^SHIFT and other grams' below 2^(62 - SHIFT), else OverflowError.
 SHIFT, MASK = 28, (1 << 28) - 1
-WORDS, PAIRS, TRIPLES = 1, 2, 3
 #: Packed cells in a file: each is some megabytes.
 CELL_ROWS = 16
 
 
 @dataclass
 class Tree:
-    """Counted words, pairs and triples as blocks return them (their rows of kind FREQUENT have key, number as id, and count as
-    n), and the states of one word and of two: (number of the word or the pair, rest)."""
+    """grams: the counted grams of one word, of two and so on, as blocks return them (their rows of kind FREQUENT have key, number
+    as id, and count as n); states: of contexts of one word, of two and so on, (number of the context's gram, rest)."""
 
     total: int
     distinct: int
     blocks: int
-    words: DataFrame
-    pairs: DataFrame
-    triples: DataFrame
-    states1: DataFrame
-    states2: DataFrame
+    grams: list[DataFrame]
+    states: list[DataFrame]
 
 
 # --- within a cell -------------------------------------------------------------------------------------------------------
@@ -91,53 +90,43 @@ class Cell:
         self.got = None if back is None else Answers(back, blocks, least)
         self.ends = (self.words == END.astype(np.int64))[self.word]
 
-    def numbers(self) -> np.ndarray:
-        return self.got.of(WORDS, self.words, "number")[0][self.word]
-
-    def pairs(self, numbers: np.ndarray) -> None:
-        """Which tokens but the last begin a pair of frequent words, the distinct pairs, and the pair of each such token."""
-        first, second = numbers[:-1], numbers[1:]
-        self.in_pair = np.flatnonzero((first >= 0) & (second >= 0) & ~self.ends[:-1])
-        self.pair_keys, self.pair = np.unique((first[self.in_pair] << SHIFT) | second[self.in_pair], return_inverse=True)
-
-    def of_pairs(self, values: np.ndarray, other: int) -> np.ndarray:
-        """Values of the distinct pairs, for each token but the last."""
-        out = np.full(len(self.word) - 1, other, np.int64)
-        out[self.in_pair] = values[self.pair]
-        return out
-
-    def triples(self, numbers: np.ndarray, pair_numbers: np.ndarray) -> None:
-        self.in_triple = np.flatnonzero((pair_numbers[:-1] >= 0) & (pair_numbers[1:] >= 0))
-        self.triple_keys, self.triple = np.unique((pair_numbers[self.in_triple] << SHIFT) | numbers[self.in_triple + 2], return_inverse=True)
+    def grams(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """From pairs on: a length, the tokens that begin a gram of it whose prefix and suffix are frequent, the distinct grams in
+        order, and the gram of each such token. A length's answers are looked up when the next length is asked for."""
+        number = prefix = suffix = self.got.of(1, self.words, "number")[0][self.word]
+        prefix = np.where(self.ends, -1, number)  # nothing follows an end
+        n = 2
+        while True:
+            at = np.flatnonzero((prefix[:-1] >= 0) & (suffix[1:] >= 0))
+            keys, gram = np.unique((prefix[at] << SHIFT) | number[at + n - 1], return_inverse=True)
+            yield n, at, keys, gram
+            prefix = suffix = np.full(max(0, len(prefix) - 1), -1, np.int64)
+            prefix[at] = self.got.of(n, keys, "number")[0][gram]
+            n += 1
 
     def sent(self, keys: np.ndarray, at: np.ndarray, train: np.ndarray) -> pa.Table:
         return send(self.cell, keys, np.bincount(at, train, len(keys)).astype(np.int64), self.blocks)
 
 
-def senders(blocks: int, least: int):
+def word_sender(blocks: int):
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 cell = Cell(b, None, blocks, row=row)
                 yield from cell.sent(cell.words, cell.word, cell.train).to_batches()
 
-    def pairs(table: pa.Table, back: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return SENT_ARROW.empty_table()
-        cell = Cell(table, back, blocks, least)
-        cell.pairs(cell.numbers())
-        return cell.sent(cell.pair_keys, cell.pair, cell.train[cell.in_pair])
+    return words
 
-    def triples(table: pa.Table, back: pa.Table) -> pa.Table:
+
+def gram_sender(blocks: int, least: int, length: int):
+    def grams(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return SENT_ARROW.empty_table()
         cell = Cell(table, back, blocks, least)
-        numbers = cell.numbers()
-        cell.pairs(numbers)
-        cell.triples(numbers, cell.of_pairs(cell.got.of(PAIRS, cell.pair_keys, "number")[0], -1))
-        return cell.sent(cell.triple_keys, cell.triple, cell.train[cell.in_triple])
+        _, at, keys, gram = next(g for g in cell.grams() if g[0] == length)
+        return cell.sent(keys, gram, cell.train[at])
 
-    return words, pairs, triples
+    return grams
 
 
 def in_state(root: np.ndarray, kept: np.ndarray, rest: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -145,7 +134,8 @@ def in_state(root: np.ndarray, kept: np.ndarray, rest: np.ndarray, context: np.n
     return np.where(rest >= 0, (np.where(kept > 0, kept - DISCOUNT, 0.0) + rest * root) / np.maximum(context, 1.0), root)
 
 
-def scorer(total: int, vocabulary: int, blocks: int, least: int):
+def scorer(total: int, vocabulary: int, blocks: int, least: int, longest: int):
+    """longest: words in the longest grams, two or more."""
     denominator = total + 0.5 * (vocabulary + 1)
     names = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
@@ -153,16 +143,18 @@ def scorer(total: int, vocabulary: int, blocks: int, least: int):
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in names.items()})
         cell = Cell(table, back, blocks, least)
-        counts, numbers, rest1 = (x[cell.word] for x in cell.got.of(WORDS, cell.words, "c", "number", "rest"))
-        cell.pairs(numbers)
-        c2, pair_numbers, rest2 = (cell.of_pairs(x, none) for x, none in zip(cell.got.of(PAIRS, cell.pair_keys, "c", "number", "rest"), (0, -1, -1), strict=True))
-        cell.triples(numbers, pair_numbers)
-        c3 = np.zeros(max(0, len(counts) - 2), np.int64)
-        c3[cell.in_triple] = cell.got.of(TRIPLES, cell.triple_keys, "c")[0][cell.triple]
+        counts, rest = (x[cell.word] for x in cell.got.of(1, cell.words, "c", "rest"))
         root = (counts + 0.5) / denominator
-        p = root.copy()
-        p[1:] = in_state(root[1:], c2, np.where(cell.ends[:-1], -1, rest1[:-1]) / 2, counts[:-1])
-        p[2:] = in_state(p[2:], c3, np.where(cell.ends[1:-1], -1, rest2[:-1]) / 2, c2[:-1])
+        p, context, rest = root.copy(), counts, np.where(cell.ends, -1, rest)
+        for n, at, keys, gram in cell.grams():
+            c, left = np.zeros(max(0, len(context) - 1), np.int64), np.full(max(0, len(context) - 1), -1, np.int64)
+            told = cell.got.of(n, keys, "c", *(["rest"] if n < longest else []))
+            c[at] = told[0][gram]
+            p[n - 1 :] = in_state(p[n - 1 :], c, rest[:-1] / 2, context[:-1])
+            if n == longest:
+                break
+            left[at] = told[1][gram]
+            context, rest = c, left
         starts = np.concatenate([[0], np.cumsum(cell.lengths)[:-1]])
         known, base, scores = (np.add.reduceat(x, starts) for x in ((counts > 0).astype(np.int64), np.log10(root), np.log10(p)))
         columns = [cell.lengths, known, np.full(len(known), total), base, scores]
@@ -190,14 +182,6 @@ def states(entries: DataFrame, context: str) -> DataFrame:
     return seen.where((gain >= MIN_G2) & (gain >= MIN_KL * F.col("n"))).select(context, (left + DISCOUNT * F.col("entries")).alias("rest"))
 
 
-def first_of(pair: str) -> Column:
-    return F.shiftright(F.col(pair), SHIFT)
-
-
-def second_of(pair: str) -> Column:
-    return F.col(pair).bitwiseAND(MASK)
-
-
 def cells_of(docs: DataFrame, train: Column, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Packed cells, as a table with one row for each."""
     cells = dealt(docs, cell_bytes).withColumn("train", train)
@@ -205,42 +189,44 @@ def cells_of(docs: DataFrame, train: Column, cell_bytes: int = CELL_BYTES) -> Da
     return written(cells.groupBy("cell").applyInArrow(packed, columns), "cells", rows_per_file=CELL_ROWS)
 
 
-def fit(cells: DataFrame, blocks: int, least: int = LEAST) -> Tree:
-    """The tree of packed cells, learnt from their texts with train."""
+def fit(cells: DataFrame, blocks: int, least: int = LEAST, depth: int = DEPTH) -> Tree:
+    """The tree of packed cells, learnt from their texts with train, with contexts of up to depth (one or more) words."""
 
-    def counted(sent: DataFrame, name: str, bits: int, rare_too: bool = False) -> DataFrame:
-        return written(sent.groupBy("block").applyInArrow(counter(blocks, least, rare_too, 1 << bits), COUNTED), name)
+    def counted(sent: DataFrame, length: int, bits: int, rare_too: bool = False) -> DataFrame:
+        return written(sent.groupBy("block").applyInArrow(counter(blocks, least, rare_too, 1 << bits), COUNTED), f"grams{length}")
 
-    by_cell = cells.groupBy("cell")
-    send_words, send_pairs, send_triples = senders(blocks, least)
-    words = counted(cells.mapInArrow(send_words, SENT), "words", SHIFT, True)
+    words = counted(cells.mapInArrow(word_sender(blocks), SENT), 1, SHIFT, True)
     row = words.where(F.col("kind") == SUMS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("key"), F.lit(0))).first()
     total, vocabulary = int(row[0]), int(row[1])
-    told = answers(words, WORDS)
-    pairs = counted(by_cell.cogroup(told.groupBy("cell")).applyInArrow(send_pairs, SENT), "pairs", 62 - SHIFT)
-    told = told.unionAll(answers(pairs, PAIRS))
-    triples = counted(by_cell.cogroup(told.groupBy("cell")).applyInArrow(send_triples, SENT), "triples", 62)
-
     share = (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))
     frequent = F.col("kind") == FREQUENT
-    word = words.where(frequent)
-    of_first = word.select(F.col("id").alias("first"), F.col("n").alias("of_context"))
-    of_last = word.select(F.col("id").alias("last"), share.alias("by_suffix"))
-    pair = pairs.where(frequent).select("key", F.col("id").alias("pair"), first_of("key").alias("first"), second_of("key").alias("last"), F.col("n").alias("c"))
-    known = pair.join(of_first, "first").join(of_last, "last")
-    states1 = states(known, "first")
-    # what one word predicts, as a state or through the root
-    in_one = (F.col("c") - DISCOUNT + F.col("rest") * F.col("by_suffix")) / F.col("of_context")
-    one = known.join(states1, "first", "left").select(F.col("key").alias("suffix"), F.coalesce(in_one, F.col("by_suffix")).alias("by_suffix"))
-    triple = triples.where(frequent).select(first_of("key").alias("pair"), second_of("key").cast("long").alias("next"), "n")
-    triple = triple.join(pair.select("pair", "last", F.col("c").alias("of_context")), "pair")
-    suffix = F.shiftleft(F.col("last").cast("long"), SHIFT).bitwiseOR(F.col("next"))
-    entries = triple.select("pair", "of_context", F.col("n").alias("c"), suffix.alias("suffix")).join(one, "suffix")
-    states2 = states(entries, "pair")
-    return Tree(total, vocabulary, blocks, words, pairs, triples, states1.withColumnRenamed("first", "number"), states2.withColumnRenamed("pair", "number"))
-
-
-def score(docs: DataFrame, held_out: int = 1, folds: int = 5, least: int = LEAST, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    # a level's frequent grams: number, key, count, number of the gram without its first word, share given the longest state before its last
+    level = words.where(frequent).select("id", F.col("id").alias("key"), "n", F.lit(0).cast("long").alias("suffix"), share.alias("p"))
+    tree, told = Tree(total, vocabulary, blocks, [words], []), answers(words, 1)
+    for length in range(2, depth + 2):
+        last = length == depth + 1
+        sent = cells.groupBy("cell").cogroup(told.groupBy("cell")).applyInArrow(gram_sender(blocks, least, length), SENT)
+        grams = counted(sent, length, 62 if last else 62 - SHIFT)
+        found = grams.where(frequent)
+        if length > 2 and found.isEmpty():
+            break
+        gram = found.select("id", "key", F.col("n").alias("c"), F.shiftright("key", SHIFT).alias("context"), F.col("key").bitwiseAND(MASK).alias("last"))
+        before = level.select(F.col("id").alias("context"), F.col("n").alias("of_context"), F.col("suffix").alias("middle"))
+        shorter = level.select(F.col("key").alias("suffix_key"), F.col("id").alias("suffix"), F.col("p").alias("by_suffix"))
+        suffix_key = F.shiftleft(F.col("middle"), SHIFT).bitwiseOR(F.col("last")).alias("suffix_key")
+        entries = gram.join(before, "context").select("id", "key", "c", "context", "of_context", suffix_key).join(shorter, "suffix_key")
+        kept = written(states(entries, "context"), f"states{length - 1}")
+        tree.grams.append(grams)
+        tree.states.append(kept.withColumnRenamed("context", "number"))
+        if not last:
+            here = (F.col("c") - DISCOUNT + F.col("rest") * F.col("by_suffix")) / F.col("of_context")
+            p = F.coalesce(here, F.col("by_suffix")).alias("p")
+            level = written(entries.join(kept, "context", "left").select("id", "key", F.col("c").alias("n"), "suffix", p), f"level{length}")
+            told = told.unionAll(answers(grams, length))
+    return tree
+
+
+def score(docs: DataFrame, held_out: int = 1, folds: int = 5, least: int = LEAST, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The tree and the counts are learnt from rows whose crc32(doc_id) mod folds is not held_out, so a row is never
@@ -249,10 +235,13 @@ def score(docs: DataFrame, held_out: int = 1, folds: int = 5, least: int = LEAST
     out: Column = F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False))
     cells = cells_of(docs, ~out, cell_bytes)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tree = fit(cells, max(1, math.ceil(size / block_bytes)), least)
-    told = answers_with(tree.words, WORDS, tree.states1, tree.blocks).unionAll(answers_with(tree.pairs, PAIRS, tree.states2, tree.blocks)).unionAll(answers(tree.triples, TRIPLES, numbers=False))
+    tree = fit(cells, max(1, math.ceil(size / block_bytes)), least, depth)
+    longest = len(tree.grams)
+    told = answers(tree.grams[-1], longest, numbers=False)
+    for length, (grams, kept) in enumerate(zip(tree.grams, tree.states), 1):
+        told = told.unionAll(answers_with(grams, length, kept, tree.blocks))
     columns = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = cells.groupBy("cell").cogroup(told.groupBy("cell")).applyInArrow(scorer(tree.total, tree.distinct, tree.blocks, least), columns)
+    scored = cells.groupBy("cell").cogroup(told.groupBy("cell")).applyInArrow(scorer(tree.total, tree.distinct, tree.blocks, least, longest), columns)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -95,15 +95,15 @@ def test_suffix_tree_base_and_normalisation(spark, make, odd):
 class BruteTree:
     """The same tree in dictionaries."""
 
-    def __init__(self, texts, least):
-        self.least, self.c = least, [Counter(), Counter(), Counter()]
+    def __init__(self, texts, least, depth):
+        self.least, self.depth, self.c = least, depth, [Counter() for _ in range(depth + 1)]
         for t in texts:
             w = [*(t or "").lower().split(), "\n"]
-            for order in range(3):
+            for order in range(depth + 1):
                 self.c[order].update(tuple(w[i : i + order + 1]) for i in range(len(w) - order))
         self.total, self.distinct = sum(self.c[0].values()), len(self.c[0])
         self.rest = {}
-        for order in (1, 2):
+        for order in range(1, depth + 1):
             kept = defaultdict(dict)
             for k, n in self.c[order].items():
                 if n >= least:
@@ -128,22 +128,23 @@ class BruteTree:
 
     def score(self, text):
         w = [*(text or "").lower().split(), "\n"]
-        return sum(math.log10(self.p(tuple(w[max(0, i - 2) : i]), x)) for i, x in enumerate(w))
+        return sum(math.log10(self.p(tuple(w[max(0, i - self.depth) : i]), x)) for i, x in enumerate(w))
 
 
 def test_suffix_tree_against_brute_force(make, odd):
     rng = random.Random(9)
     rows = [*odd, (None, "a b c " * 50)]
     for i in range(200):
-        parts = ["a b c", "d", "e b f", "New York", "new", prose(rng, 2)]
+        parts = ["a b c", "d", "e b f", "New York", "new", prose(rng, 2), *(f"{x} m m m m {x}" for x in "uvw")]
         rows.append((10 + i, " ".join(rng.choice(parts) for _ in range(rng.randrange(60)))))
     learnt = [t for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
-    for least, sizes in ((32, {}), (3, {"cell_bytes": 4_000, "block_bytes": 3_000})):
-        tree = BruteTree(learnt, least)
-        assert {len(context) for context in tree.rest} == {1, 2}
+    small = {"cell_bytes": 4_000, "block_bytes": 3_000}
+    for least, depth, sizes in ((32, suffix_tree.DEPTH, {}), (3, 5, small), (10**6, 4, small)):
+        tree = BruteTree(learnt, least, depth)
+        assert {len(context) for context in tree.rest} == (set(range(1, depth + 1)) if least < 10**6 else set())
         for context in tree.rest:  # over all words and the unknown one
             assert abs(sum(tree.p(context, w) for (w,) in tree.c[0]) + tree.p(context, "?") - 1) < 1e-9
-        got = suffix_tree.score(make(rows), least=least, **sizes).collect()
+        got = suffix_tree.score(make(rows), least=least, depth=depth, **sizes).collect()
         expected = sorted((str(d), tree.score(t)) for d, t in rows)
         for (d, x), (e, y) in zip(sorted((str(r.doc_id), r.score) for r in got), expected, strict=True):
             assert d == e and abs(x - y) < 1e-7 * max(1, abs(y))
@@ -152,7 +153,7 @@ def test_suffix_tree_against_brute_force(make, odd):
 def test_numbers_that_do_not_fit_are_refused(make):
     docs = make([(i, "a b c d e f g h") for i in range(9)])
     cells = suffix_tree.cells_of(docs, F.lit(True))
-    assert suffix_tree.fit(cells, 3_200_000, 3).words.where("kind = 1").agg(F.max("id")).first()[0] < 1 << suffix_tree.SHIFT
+    assert suffix_tree.fit(cells, 3_200_000, 3).grams[0].where("kind = 1").agg(F.max("id")).first()[0] < 1 << suffix_tree.SHIFT
     from quillmesh.llm import blocks
 
     sent = blocks.send(0, np.arange(1, 400), np.full(399, 9), 1)
@@ -168,7 +169,7 @@ def test_suffix_tree_grows_with_the_corpus(make):
 
     def contexts(n):
         cells = suffix_tree.cells_of(make(list(enumerate(texts[:n]))), F.lit(True))
-        return suffix_tree.fit(cells, 3).states1.count()
+        return suffix_tree.fit(cells, 3).states[0].count()
 
     few, many = contexts(10), contexts(40)
     assert few >= 2 * 50 and many >= 2 * 200 and many > 3 * few
