@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -16,8 +18,10 @@ from .evaluation import training_rows
 from .tables import numbered, union_all
 from .ranking import overlay, trial_ranks, with_truth
 
-#: Numbers of a training matrix that may be broadcast for exact refits (8 bytes each).
+#: Numbers of a training matrix whose rows may be broadcast, as places in a table of vectors.
 BROADCAST_NUMBERS = 64_000_000
+#: Rows of a training matrix that are built at once.
+CHUNK = 4096
 #: Trials refitted side by side.
 SIDE = 64
 #: Coefficients of the models that are refitted together over a training matrix that is not broadcast.
@@ -37,69 +41,152 @@ def fit_pair_model(rows: DataFrame, c: float = 1.0) -> np.ndarray:
     return np.array(model.coefficients.toArray())
 
 
-def weights_of(y: np.ndarray) -> np.ndarray:
-    return np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, len(y) - y.sum())))
+def pair_rows(k: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Features of each row of k with the vector s (or its row of s), and a constant."""
+    t = np.broadcast_to(s, k.shape)
+    return np.concatenate([k, t, np.abs(k - t), k * t, np.ones((len(k), 1))], axis=1)
+
+
+def class_weights(n: int, pos: int, c: float = 1.0) -> tuple[float, float]:
+    """Balanced weights of a positive and a negative among n rows."""
+    return c * n / (2 * max(1, pos)), c * n / (2 * max(1, n - pos))
+
+
+def weights_without_one(n: int, pos: int, c: float = 1.0) -> tuple[float, float]:
+    """Balanced weights once a positive row is gone."""
+    return class_weights(n - 1, pos - 1, c)
+
+
+class TrainingTable:
+    """n rows of which the first pos are positive; they are built a chunk at a time."""
+
+    n: int
+    pos: int
+
+    def rows(self, at: np.ndarray | slice) -> np.ndarray:
+        raise NotImplementedError
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, bool]]:
+        for begin, end in ((0, self.pos), (self.pos, self.n)):
+            for at in range(begin, end, CHUNK):
+                yield self.rows(slice(at, min(end, at + CHUNK))), begin < self.pos
+
+    def gradient(self, w: np.ndarray, sp: float, sn: float) -> np.ndarray:
+        """x.T @ (weighted residuals) of each column of coefficients."""
+        total = np.zeros_like(w)
+        with np.errstate(over="ignore"):
+            for x, positive in self.chunks():
+                r = x @ w
+                np.exp(r if positive else np.negative(r, out=r), out=r)
+                r += 1
+                total += x.T @ np.divide(-sp if positive else sn, r, out=r)
+        return total
+
+    def hessian(self, w: np.ndarray, sp: float, sn: float) -> np.ndarray:
+        total = np.eye(len(w))
+        for x, positive in self.chunks():
+            p = 1 / (1 + np.exp(-(x @ w)))
+            total += (x * ((sp if positive else sn) * p * (1 - p))[:, None]).T @ x
+        return total
+
+    def optimum(self, d: int, sp: float, sn: float, steps: int = 50, tol: float = 1e-10) -> np.ndarray:
+        """The d coefficients of the whole table, by Newton steps."""
+        w = np.zeros(d)
+        for _ in range(steps):
+            step = np.linalg.solve(self.hessian(w, sp, sn), self.gradient(w[:, None], sp, sn)[:, 0] + w)
+            w = w - step
+            if np.abs(step).max() < tol:
+                break
+        return w
+
+
+@dataclass
+class PairTable(TrainingTable):
+    """A training matrix as places in a table of vectors."""
+
+    vectors: np.ndarray
+    k: np.ndarray
+    s: np.ndarray
+    pos: int
+
+    def __post_init__(self) -> None:
+        self.n = len(self.k)
+
+    def rows(self, at: np.ndarray | slice) -> np.ndarray:
+        return pair_rows(self.vectors[self.k[at]], self.vectors[self.s[at]])
+
+
+class DenseTable(TrainingTable):
+    """A training matrix in memory; order has the places of its rows in x."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.order = np.argsort(-y, kind="stable")
+        self.x, self.n, self.pos = x[self.order], len(y), int(y.sum())
+
+    def rows(self, at: np.ndarray | slice) -> np.ndarray:
+        return self.x[at]
 
 
 def hessian(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float = 1.0) -> np.ndarray:
-    p = 1 / (1 + np.exp(-(x @ w)))
-    return (x * (c * weights_of(y) * p * (1 - p))[:, None]).T @ x + np.eye(x.shape[1])
-
-
-def newton(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50, tol: float = 1e-10) -> np.ndarray:
-    """The optimum of the same model, by Newton steps."""
-    w, s = np.zeros(x.shape[1]), c * weights_of(y)
-    for _ in range(steps):
-        g = x.T @ (s * (1 / (1 + np.exp(-(x @ w))) - y)) + w
-        step = np.linalg.solve(hessian(x, y, w, c), g)
-        w = w - step
-        if np.abs(step).max() < tol:
-            break
-    return w
+    return DenseTable(x, y).hessian(w, *class_weights(len(y), int(y.sum()), c))
 
 
-def refits(x: np.ndarray, y: np.ndarray, w: np.ndarray, inverse: np.ndarray, masked: np.ndarray, c: float = 1.0, steps: int = 500, tol: float = 1e-9) -> np.ndarray:
-    """Columns of coefficients, each without one positive row (-1: none), from the full fit by chord steps with its Hessian.
+def newton(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> np.ndarray:
+    return DenseTable(x, y).optimum(x.shape[1], *class_weights(len(y), int(y.sum()), c))
 
-    The optimum of each column is exact to tol: class weights change with the mask, and only the step's matrix is shared.
-    """
+
+def refits(x: np.ndarray, y: np.ndarray, w: np.ndarray, inverse: np.ndarray, masked: np.ndarray, c: float = 1.0) -> np.ndarray:
+    """Columns of coefficients of the model of x and y, each without one positive row (-1: none); inverse is that of the Hessian at w."""
+    data = DenseTable(x, y)
+    less = weights_without_one(data.n, data.pos, c)
     out = np.repeat(w[:, None], len(masked), axis=1)
-    n, pos = len(y), int(y.sum())
     gone = masked >= 0
-    m = n - gone
-    sp, sn = c * m / (2 * np.maximum(1, pos - gone)), c * m / (2 * max(1, n - pos))
-    rows = x[np.maximum(masked, 0)]
-    for _ in range(steps):
-        r = 1 / (1 + np.exp(-(x @ out))) - y[:, None]
-        g = x.T @ (r * np.where(y[:, None] == 1, sp[None, :], sn[None, :])) + out
+    if gone.any():
+        out[:, gone] = masked_optima(lambda o: data.gradient(o, *less), data.gradient(w[:, None], *less), w, inverse, x[masked[gone]], less[0])
+    return out
+
+
+def masked_optima(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, w: np.ndarray, inverse: np.ndarray, rows: np.ndarray, sp: float, steps: int = 500, tol: float = 1e-9) -> np.ndarray:
+    """Columns of coefficients, each the optimum without its positive row, exact to tol.
+
+    gradient gives that of the table's losses for columns of coefficients, start being its value at w, and inverse is that of the
+    Hessian at w; all three with the class weights (sp: of a positive) of a table that lacks one positive. A step uses the Hessian
+    without the column's own row (Sherman-Morrison). The first needs no pass over the table; the steps then shrink at
+    a steady rate, which tells when what is left is below tol.
+    """
+    out, at = np.repeat(w[:, None], len(rows), axis=1), start
+    u = inverse @ rows.T
+    p = 1 / (1 + np.exp(-(rows @ w)))
+    h = sp * p * (1 - p)
+    h = h / (1 - h * np.einsum("td,dt->t", rows, u))
+    before = np.full(len(rows), np.inf)
+    for i in range(steps):
         own = 1 / (1 + np.exp(-np.einsum("td,dt->t", rows, out))) - 1
-        g -= np.where(gone[None, :], (rows * (sp * own)[:, None]).T, 0)
+        g = at + out - (rows * (sp * own)[:, None]).T
         step = inverse @ g
+        step += u * (h * np.einsum("dt,dt->t", u, g))
         out -= step
-        if np.abs(step).max() < tol:
+        size = np.abs(step).max(axis=0)
+        rate = size / np.maximum(before, 1e-300)
+        if i and ((size < tol) | ((rate < 0.5) & (2 * size * rate < tol))).all():
             break
+        before, at = size, gradient(out)
     return out
 
 
-def pair_rows(k: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Features of each row of k with the vector s, and a constant."""
-    t = np.broadcast_to(s, k.shape)
-    return np.concatenate([k, t, np.abs(k - t), k * t, np.ones((len(k), 1))], axis=1)
-
-
-def summed_gradients(rows: DataFrame, out: np.ndarray, sp: np.ndarray, sn: np.ndarray) -> np.ndarray:
+def summed_gradients(rows: DataFrame, out: np.ndarray, sp: float, sn: float) -> np.ndarray:
     """x.T @ (weighted residuals) of each column of coefficients over a distributed training table."""
-    shared = rows.sparkSession.sparkContext.broadcast((out, sp, sn))
+    shared = rows.sparkSession.sparkContext.broadcast(out)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, one, none = shared.value
+        w = shared.value
         total, side = np.zeros_like(w), max(1, 4 * BLOCK_NUMBERS // w.shape[1])
         for b in batches:
             for at in range(0, len(b), side):
                 g = b.iloc[at : at + side]
                 x = np.hstack([np.array(g["features"].tolist(), float), np.ones((len(g), 1))])
                 y = g["label"].to_numpy(float)[:, None]
-                total += x.T @ ((1 / (1 + np.exp(-(x @ w))) - y) * np.where(y == 1, one[None, :], none[None, :]))
+                total += x.T @ ((1 / (1 + np.exp(-(x @ w))) - y) * np.where(y == 1, sp, sn))
         for at in range(0, total.shape[1], 1000):
             piece = total[:, at : at + 1000].T
             yield pd.DataFrame({"m": np.arange(at, at + len(piece)), "g": piece.tolist()})
@@ -113,80 +200,98 @@ def summed_gradients(rows: DataFrame, out: np.ndarray, sp: np.ndarray, sn: np.nd
     return found
 
 
-def distributed_refits(rows: DataFrame, n: int, pos: int, w: np.ndarray, inverse: np.ndarray, masked: np.ndarray, gone: np.ndarray, c: float = 1.0, steps: int = 500, tol: float = 1e-9) -> np.ndarray:
-    """As refits, over a distributed training table; masked has the row that each column lacks, where gone says that it lacks one."""
-    out = np.repeat(w[:, None], len(masked), axis=1)
-    m = n - gone
-    sp, sn = c * m / (2 * np.maximum(1, pos - gone)), c * m / (2 * max(1, n - pos))
-    for _ in range(steps):
-        g = summed_gradients(rows, out, sp, sn) + out
-        own = 1 / (1 + np.exp(-np.einsum("td,dt->t", masked, out))) - 1
-        g -= np.where(gone[None, :], (masked * (sp * own)[:, None]).T, 0)
-        step = inverse @ g
-        out -= step
-        if np.abs(step).max() < tol:
-            break
-    return out
+def pair_table(keys: DataFrame, vectors: DataFrame) -> tuple[PairTable, dict[tuple[str, str], int]]:
+    """The rows (kinase_node_id, site_node_id, label) as places in the vectors that they use, and the places of the positive rows."""
+    used = keys.select(F.explode(F.array("kinase_node_id", "site_node_id")).alias("node_id")).distinct()
+    held = vectors.join(used, "node_id").select("node_id", "vec").toArrow().sort_by("node_id")
+    rows = keys.toArrow().sort_by([("label", "descending"), ("kinase_node_id", "ascending"), ("site_node_id", "ascending")])
+    names = held.column("node_id").combine_chunks()
+    flat = pc.list_flatten(held.column("vec")).to_numpy().astype(float)
+    k, s = (pc.index_in(rows.column(c), names).to_numpy() for c in ("kinase_node_id", "site_node_id"))
+    pos = pc.sum(rows.column("label")).as_py() or 0
+    first = rows.slice(0, pos)
+    places = dict(zip(zip(first.column("kinase_node_id").to_pylist(), first.column("site_node_id").to_pylist(), strict=True), range(pos), strict=True))
+    return PairTable(flat.reshape(len(names), -1) if len(names) else np.zeros((0, 0)), k, s, pos), places
 
 
-def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, c: float = 1.0) -> DataFrame:
+def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, c: float = 1.0, own_only: bool = False) -> DataFrame:
     """(trial_index, kinase_node_id, site_node_id, score) of every candidate, by a model fitted without the trial's own pair.
 
-    Every refit is the optimum without that row, with class weights of the rows left. The training matrix is broadcast if it has at most
-    BROADCAST_NUMBERS numbers; beyond that the same steps sum their gradients over the distributed table, for blocks of models together.
-    Trials whose site has no vector are left out.
+    Every refit is the optimum without that row, with class weights of the rows left; rows have the features of their nodes' vectors,
+    one for each node. The rows are broadcast, as places in the vectors they use, if their matrix has at most BROADCAST_NUMBERS numbers;
+    beyond that the same steps sum their gradients over the distributed table, for blocks of models together.
+    Trials whose site has no vector are left out. With own_only a trial scores only its own candidate.
     """
     spark = rows.sparkSession
-    first = rows.select(F.size("features").alias("d")).first()
-    d = (first.d if first else 0) + 1
-    n = rows.count()
-    ids = cands.select(F.col("node_id")).distinct().join(vectors, "node_id").orderBy("node_id").collect()  # candidates are a dimension, not a fact
+    ids = cands.select("node_id").distinct().join(vectors, "node_id").orderBy("node_id").collect()  # candidates are a dimension, not a fact
     names, kv = [r.node_id for r in ids], np.array([r.vec for r in ids], float)
+    place = {x: i for i, x in enumerate(names)}
+    d = 4 * kv.shape[1] + 1 if names else 1
+    keys = rows.select("kinase_node_id", "site_node_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    n = keys.count()
     t = trials.select("trial_index", "kinase_node_id", "site_node_id").join(vectors.select(F.col("node_id").alias("site_node_id"), F.col("vec").alias("sv")), "site_node_id")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def scored(of: DataFrame, models_of: Callable[[list[tuple[str, str]]], np.ndarray]) -> DataFrame:
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for at in range(0, len(b), SIDE):
+                b = b[b["kinase_node_id"].isin(place)] if own_only else b
+                for at in range(0, len(b) if names else 0, SIDE):
                     g = b.iloc[at : at + SIDE]
                     sv = [np.array(v, float) for v in g["sv"]]
                     models = models_of(list(zip(g["kinase_node_id"], g["site_node_id"], strict=True)))
+                    if own_only:
+                        z = np.einsum("td,dt->t", pair_rows(kv[[place[k] for k in g["kinase_node_id"]]], np.stack(sv)), models)
+                        yield g[["trial_index", "kinase_node_id", "site_node_id"]].assign(score=1 / (1 + np.exp(-z)))
+                        continue
                     scores = [1 / (1 + np.exp(-(pair_rows(kv, v) @ models[:, i]))) for i, v in enumerate(sv)]
                     yield pd.DataFrame({"trial_index": np.repeat(g["trial_index"].to_numpy(), len(names)), "kinase_node_id": names * len(g), "site_node_id": np.repeat(g["site_node_id"].to_numpy(), len(names)), "score": np.concatenate(scores)})
 
         return of.repartition(parts, "trial_index").mapInPandas(score, "trial_index long, kinase_node_id string, site_node_id string, score double")
 
     if n * d <= BROADCAST_NUMBERS:
-        local = rows.orderBy("kinase_node_id", "site_node_id").toPandas()
-        x = np.hstack([np.array(local["features"].tolist(), float), np.ones((n, 1))])
-        y = local["label"].to_numpy(float)
-        w = newton(x, y, c)
-        where = {(k, s): i for i, (k, s, l) in enumerate(zip(local["kinase_node_id"], local["site_node_id"], local["label"], strict=True)) if l == 1}
-        shared = spark.sparkContext.broadcast((x, y, w, np.linalg.inv(hessian(x, y, w, c)), where))
+        data, places = pair_table(keys, vectors)
+        keys.unpersist()
+        w = data.optimum(d, *class_weights(n, data.pos, c))
+        less = weights_without_one(n, data.pos, c)
+        shared = spark.sparkContext.broadcast((data, places, w, data.gradient(w[:, None], *less), np.linalg.inv(data.hessian(w, *less)), less))
 
         def refitted(pairs: list[tuple[str, str]]) -> np.ndarray:
-            x, y, w, inverse, where = shared.value
-            return refits(x, y, w, inverse, np.array([where.get(p, -1) for p in pairs]), c)
+            data, places, w, start, inverse, less = shared.value
+            at = np.array([places.get(p, -1) for p in pairs])
+            out = np.repeat(w[:, None], len(at), axis=1)  # of the whole table, for a pair that is no row
+            if (at >= 0).any():
+                out[:, at >= 0] = masked_optima(lambda o: data.gradient(o, *less), start, w, inverse, data.rows(at[at >= 0]), less[0])
+            return out
 
         return scored(t, refitted)
 
+    keys.unpersist()
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every step reads it
     w = fit_pair_model(rows, c)
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    pos = counts.get(1, 0)
-    s = {k: c * n / (2 * v) for k, v in counts.items()}
+    pos = rows.where("label = 1").count()
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = np.zeros((d, d))
+        h = np.zeros((2, d, d))
         for b in batches:
             x = np.hstack([np.array(b["features"].tolist(), float), np.ones((len(b), 1))])
             p = 1 / (1 + np.exp(-(x @ w)))
-            h += (x * (p * (1 - p) * b["label"].map(s).to_numpy())[:, None]).T @ x
+            for y in (0, 1):
+                of = b["label"].to_numpy() == y
+                h[y] += (x[of] * (p * (1 - p))[of][:, None]).T @ x[of]
         yield pd.DataFrame({"h": [h.ravel().tolist()]})
 
-    inverse = np.linalg.inv(np.eye(d) + sum(np.array(r.h).reshape(d, d) for r in rows.select("features", "label").mapInPandas(part, "h array<double>").toLocalIterator()))
-    whole = distributed_refits(rows, n, pos, w, inverse, np.zeros((1, d)), np.zeros(1, bool), c)[:, 0]
+    bent = sum((np.array(r.h).reshape(2, d, d) for r in rows.select("features", "label").mapInPandas(part, "h array<double>").toLocalIterator()), np.zeros((2, d, d)))
+
+    def solver(sp: float, sn: float) -> np.ndarray:
+        return np.linalg.inv(np.eye(d) + sp * bent[1] + sn * bent[0])
+
+    def summed(weights: tuple[float, float]) -> Callable[[np.ndarray], np.ndarray]:
+        return lambda out: summed_gradients(rows, out, *weights)
+
+    full, less = class_weights(n, pos, c), weights_without_one(n, pos, c)
+    whole = masked_optima(summed(full), summed(full)(w[:, None]), w, solver(*full), np.zeros((1, d)), full[0])[:, 0]
+    start = summed(less)(whole[:, None])
     pair = ["kinase_node_id", "site_node_id"]
     own = rows.where("label = 1").groupBy(*pair).agg(F.first("features").alias("features")).join(t.select(*pair).distinct(), pair)
     own = numbered(own, pair, "_m").persist(StorageLevel.MEMORY_AND_DISK)
@@ -196,7 +301,7 @@ def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors:
         found = own.where((F.col("_m") > at) & (F.col("_m") <= at + side)).collect()
         where = {(r.kinase_node_id, r.site_node_id): i for i, r in enumerate(found)}
         masked = np.array([[*r.features, 1.0] for r in found]).reshape(len(found), d)
-        models = distributed_refits(rows, n, pos, whole, inverse, masked, np.ones(len(found), bool), c) if found else np.zeros((d, 0))
+        models = masked_optima(summed(less), start, whole, solver(*less), masked, less[0]) if found else np.zeros((d, 0))
         held = spark.sparkContext.broadcast((np.column_stack([models, whole]), where))
 
         def chosen(pairs: list[tuple[str, str]], held=held) -> np.ndarray:
@@ -237,11 +342,6 @@ def predict_all(positives: DataFrame, cands: DataFrame, sites: DataFrame, vector
     rows = training_rows(positives, cands, vectors, per_site)
     wide = global_scores(rows, cands, sites, vectors)
     own = numbered(positives.select("kinase_node_id", "site_node_id").distinct(), ["kinase_node_id", "site_node_id"])
-    masked = masked_scores(rows, own, cands, vectors)
     # a site has one trial for each of its true kinases: only the score of the trial's own kinase counts
-    mine = masked_scores_of(masked, own)
+    mine = masked_scores(rows, own, cands, vectors, own_only=True)
     return with_truth(overlay(wide, mine), positives)
-
-
-def masked_scores_of(scores: DataFrame, trials: DataFrame) -> DataFrame:
-    return scores.join(trials.select("trial_index", "kinase_node_id"), ["trial_index", "kinase_node_id"], "left_semi")
