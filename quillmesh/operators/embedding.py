@@ -133,35 +133,48 @@ class WalkEmbedding:
         return model.getVectors().select(F.col("word").alias("node_id"), vector_to_array("vector").alias("vec"))
 
 
-#: Vectors iterated beside those wanted; residual at which they are done; restarts; bytes of the basis on the driver.
-GUARD, TOLERANCE, RESTARTS, BASIS_BYTES = 8, 1e-7, 60, 256_000_000
+#: Vectors iterated beside those wanted; residual at which they are done; restarts; bytes of the basis on the driver; blocks of it at most.
+GUARD, TOLERANCE, RESTARTS, BASIS_BYTES, DEPTH = 8, 1e-7, 60, 320_000_000, 64
 
 
 def leading_vectors(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, seed: int) -> np.ndarray:
-    """The k leading eigenvectors of a symmetric operator on n numbers, by restarted block Krylov steps; times applies it to columns."""
+    """The k leading eigenvectors of a symmetric operator on n numbers, by restarted block Krylov steps; times applies it to columns.
+
+    Only the basis is held: its projection grows with each image, and what lies outside the basis in the last image is the residual.
+    The basis is as deep as BASIS_BYTES allow, since each restart loses much of what it knew.
+    """
     wide = min(n, k + GUARD)
-    steps = int(min(8, max(2, BASIS_BYTES // (16 * n * wide))))
+    depth = int(min(DEPTH, max(3, BASIS_BYTES // (8 * n * wide))))
+    basis = np.empty((n, min(n, depth * wide)), order="F")
     x = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, wide)))[0]
     for _ in range(RESTARTS):
-        basis, images = [x], [times(x)]
-        while len(basis) < steps and sum(b.shape[1] for b in basis) < n:
-            whole, new = np.hstack(basis), images[-1]
-            for _ in range(2):
-                new = new - whole @ (whole.T @ new)
-            new, r = np.linalg.qr(new)
-            new = new[:, np.abs(np.diag(r)) > 1e-12][:, : n - whole.shape[1]]
+        small = np.zeros((basis.shape[1], basis.shape[1]))
+        begin, end = 0, x.shape[1]
+        basis[:, :end] = x
+        for step in range(1, depth + 1):
+            whole, image = basis[:, :end], times(basis[:, begin:end])
+            small[:end, begin:end] = whole.T @ image
+            small[begin:end, :end] = small[:end, begin:end].T
+            image = image - whole @ small[:end, begin:end]
+            last = step == depth or end == basis.shape[1]
+            if last or step % 4 == 0:
+                values, vectors = np.linalg.eigh(small[:end, :end])
+                vectors = vectors[:, ::-1][:, :wide]
+                done = np.abs(image @ vectors[begin:end, :k]).max() < TOLERANCE
+                if done or last:
+                    break
+            image -= whole @ (whole.T @ image)
+            new, r = np.linalg.qr(image)
+            new = new[:, np.abs(np.diag(r)) > 1e-12][:, : basis.shape[1] - end]
             if not new.shape[1]:
+                values, vectors = np.linalg.eigh(small[:end, :end])
+                vectors, done = vectors[:, ::-1][:, :wide], True
                 break
             new -= whole @ (whole.T @ new)
-            new = np.linalg.qr(new)[0]
-            basis.append(new)
-            images.append(times(new))
-        whole, image = np.hstack(basis), np.hstack(images)
-        small = whole.T @ image
-        values, vectors = np.linalg.eigh((small + small.T) / 2)
-        values, vectors = values[::-1][:wide], vectors[:, ::-1][:, :wide]
-        x = whole @ vectors
-        if np.abs(image @ vectors[:, :k] - x[:, :k] * values[:k]).max() < TOLERANCE:
+            begin, end = end, end + new.shape[1]
+            basis[:, begin:end] = np.linalg.qr(new)[0]
+        x = basis[:, :end] @ vectors
+        if done:
             break
         x = np.linalg.qr(x)[0]
     return x[:, :k]
