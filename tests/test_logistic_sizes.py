@@ -27,3 +27,21 @@ def test_large_branch_equals_the_exact_one(spark, monkeypatch, block):
     large = scores()
     assert large.keys() == exact.keys() and len(exact) == 6 * len(tested)
     assert max(abs(large[k] - exact[k]) for k in exact) < 1e-6
+
+
+def test_own_scores_are_those_among_all_candidates(spark):
+    rng = np.random.default_rng(6)
+    vec = {f"{kind}{i}": rng.normal(size=2).tolist() for kind, n in (("k", 4), ("s", 6)) for i in range(n)}
+    vectors = spark.createDataFrame(list(vec.items()), "node_id string, vec array<double>")
+    cands = vectors.where("node_id like 'k%' and node_id <> 'k3'").select("node_id")
+    rows = spark.createDataFrame(
+        [(f"k{i}", f"s{j}", int((i + j) % 3 == 0), logistic.pair_rows(np.array([vec[f"k{i}"]]), np.array(vec[f"s{j}"]))[0][:-1].tolist()) for i in range(4) for j in range(6)],
+        "kinase_node_id string, site_node_id string, label int, features array<double>",
+    )
+    trials = spark.createDataFrame([(1, "k0", "s0"), (2, "k1", "s2"), (3, "k3", "s0"), (4, "k0", "s1"), (5, "k0", "none")], "trial_index long, kinase_node_id string, site_node_id string")
+    own = {(r.trial_index, r.kinase_node_id): r.score for r in logistic.masked_scores(rows, trials, cands, vectors, own_only=True).collect()}
+    every = {(r.trial_index, r.kinase_node_id): r.score for r in logistic.masked_scores(rows, trials, cands, vectors).collect()}
+    assert own.keys() == {(1, "k0"), (2, "k1"), (4, "k0")}  # k3 is no candidate, one site has no vector
+    assert max(abs(own[k] - every[k]) for k in own) < 1e-9 and len(every) == 3 * 4
+    none = rows.limit(0)
+    assert {r.score for r in logistic.masked_scores(none, trials, cands, vectors).collect()} == {0.5}
