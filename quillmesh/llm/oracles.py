@@ -79,3 +79,36 @@ FROM marked GROUP BY r, doc_id
 """
 
 ORACLES = {"op3_mixing": OP3, "op4_substring_dedup": OP4, "op7_decontaminate": OP7, "op8_line_dedup": OP8}
+
+#: CRC32 of a text of ASCII characters, by its bits.
+_CRC = (
+    "xor(4294967295::UBIGINT, list_reduce(list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS UBIGINT)), lambda c, x: "
+    "list_reduce(range(8), lambda b, k: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END), xor(c, x)), 4294967295::UBIGINT))"
+)
+
+
+def _op11() -> str:
+    """Sums over all earlier lines less those over the fold's own: not how the operator gets them."""
+    keys = {"every": "0", "kind": "kind", "nation": "nation", "segment": "segment", "item": "item_id", "vendor": "vendor_id", "client": "client_id"}
+    of = lambda c, v, k: (
+        f"CAST(coalesce(sum({v}) OVER (PARTITION BY {k} ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+        f" - coalesce(sum({v}) OVER (PARTITION BY {k}, fold ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS {c}_{v}"
+    )
+    sums = ", ".join(of(c, v, k) for c, k in keys.items() for v in "ns")
+    rate = lambda c, p: f"CASE WHEN {c}_n < 1 THEN {p} ELSE (1000000 * {c}_s + 50 * {p}) // ({c}_n + 50) END AS {c}_rate"
+    return f"""
+WITH sold AS (SELECT sale_id, epoch_us(sold_at) AS t, coalesce(client_id, -1) AS client_id, {_CRC.format("CAST(sale_id AS VARCHAR)")} % 5 AS fold FROM sales WHERE sold_at IS NOT NULL),
+rows AS (
+  SELECT l.sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, s.client_id, s.t, s.fold, i.kind, v.nation_id AS nation, c.segment,
+    count(*) AS n, count(*) FILTER (WHERE l.flag = 'returned') AS s
+  FROM sale_lines l JOIN sold s ON l.sale_id = s.sale_id LEFT JOIN items i ON i.item_id = coalesce(l.item_id, -1)
+    LEFT JOIN vendors v ON v.vendor_id = l.vendor_id LEFT JOIN clients c ON c.client_id = s.client_id
+  GROUP BY ALL),
+sums AS (SELECT sale_id, item_id, vendor_id, n AS n_lines, s AS n_returned, {sums} FROM rows),
+g AS (SELECT *, {rate("every", "500000")} FROM sums),
+w AS (SELECT *, {rate("kind", "every_rate")}, {rate("nation", "every_rate")}, {rate("segment", "every_rate")} FROM g)
+SELECT sale_id, item_id, vendor_id, n_lines, n_returned, item_n, {rate("item", "kind_rate")}, vendor_n, {rate("vendor", "nation_rate")}, client_n, {rate("client", "segment_rate")} FROM w
+"""
+
+
+ORACLES["op11_target_encoding"] = _op11()
