@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import avi, chat, decontaminate, line_dedup, mixing, quality, simhash, substring_dedup, suffix_tree, surrogates
+from . import avi, chat, decontaminate, line_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_tree, surrogates, target_encoding
 from .common import remainder, table
 from .oracles import ORACLES
 
@@ -77,7 +77,20 @@ def op10_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digests(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_quality, op2_simhash, op3_mixing, op4_substring_dedup, op5_chat, op6_suffix_tree, op7_decontaminate, op8_line_dedup, op9_surrogates, op10_avi)
+def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = target_encoding.encoded(*(table(spark, sf_dir, n) for n in ("sale_lines", "sales", "items", "vendors", "clients")))
+    return found.select("sale_id", "item_id", "vendor_id", "n_lines", "n_returned", *[f"{c}_{x}" for c in ("item", "vendor", "client") for x in ("n", "rate")])
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in eight shards of as many rows."""
+    found = sharding.sharded(table(spark, sf_dir, "documents"), 8, stored=True)
+    text = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    sizes = [(F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")]
+    return found.select("row.doc_id", *sizes, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OPERATORS = (op1_quality, op2_simhash, op3_mixing, op4_substring_dedup, op5_chat, op6_suffix_tree, op7_decontaminate, op8_line_dedup, op9_surrogates, op10_avi, op11_target_encoding, op12_sharding)
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {**ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
