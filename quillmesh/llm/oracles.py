@@ -112,3 +112,45 @@ SELECT sale_id, item_id, vendor_id, n_lines, n_returned, item_n, {rate("item", "
 
 
 ORACLES["op11_target_encoding"] = _op11()
+
+#: States 0 to 3: nothing yet, after s, after u, after a. A layer is closed by one or two insertions.
+OP13 = f"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS d FROM conversations),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) FROM src WHERE d <> 0)),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM dam),
+mark AS (
+  SELECT *, CASE WHEN core = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN core[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+    CASE WHEN i > 1 AND lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END AS bad
+  FROM num),
+arcs(f, t, r) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')),
+ins(f, t, cost, audit, more) AS (VALUES
+  (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'user:'), (1, 2, 2, 'I', 'user:'), (3, 2, 2, 'I', 'user:'), (2, 3, 2, 'I', 'assistant:'),
+  (0, 3, 4, 'II', 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', 'user:' || chr(10) || 'assistant:')),
+moves AS (
+  SELECT m.conv_id, m.i, e.f, e.t, e.cost, e.audit, e.more FROM mark m, LATERAL (
+    SELECT s.f, s.f AS t, 3 AS cost, 'D' AS audit, NULL AS more FROM (SELECT DISTINCT f FROM ins) s
+    UNION ALL SELECT a.f, a.t, CASE WHEN a.r = m.role[1] THEN 0 ELSE 2 END + CASE WHEN m.fault = 't' THEN 1 ELSE 0 END, CASE WHEN a.r = m.role[1] THEN 'K' ELSE 'R' END,
+      CASE WHEN a.r = m.role[1] THEN m.role WHEN a.r = 'u' THEN 'user' ELSE 'assistant' END || ':' || m.text
+    FROM arcs a WHERE m.fault IN ('-', 't') AND (a.r = m.role[1] OR a.r <> 's')) e),
+layers AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, ins.t AS state, CAST(cost AS BIGINT) AS cost, audit, CASE WHEN more = '' THEN CAST([] AS VARCHAR[]) ELSE [more] END AS out FROM (SELECT DISTINCT conv_id FROM num), ins WHERE f = 0
+  UNION ALL
+  SELECT conv_id, i, state, best.cost, best.audit, best.out FROM (
+    SELECT l.conv_id, m.i, n.t AS state, min(struct_pack(cost := l.cost + m.cost + n.cost, audit := l.audit || m.audit || n.audit,
+      out := l.out || CASE WHEN m.more IS NULL THEN CAST([] AS VARCHAR[]) ELSE [m.more] END || CASE WHEN n.more = '' THEN CAST([] AS VARCHAR[]) ELSE [n.more] END)) AS best
+    FROM layers l JOIN moves m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i + 1 AND m.f = l.state JOIN ins n ON n.f = m.t
+    GROUP BY l.conv_id, m.i, n.t)),
+ends AS (
+  SELECT l.conv_id, min(struct_pack(cost := cost, audit := audit, out := out)) AS best
+  FROM layers l JOIN (SELECT conv_id, max(i) AS n FROM num GROUP BY conv_id) c ON c.conv_id IS NOT DISTINCT FROM l.conv_id AND c.n = l.i WHERE state IN (0, 3) GROUP BY l.conv_id),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate,
+    count(*) FILTER (WHERE fault = 't') AS truncated, CAST(sum(bad) AS BIGINT) AS illegal
+  FROM mark GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+ORACLES["op13_turn_repair"] = OP13

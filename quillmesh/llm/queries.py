@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import avi, chat, decontaminate, line_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_tree, surrogates, target_encoding
-from .common import remainder, table
+from . import avi, chat, decontaminate, line_dedup, mixing, quality, sharding, simhash, substring_dedup, suffix_tree, surrogates, target_encoding, turn_repair
+from .common import EMPTY_SHA, remainder, table
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,7 +90,20 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *sizes, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-OPERATORS = (op1_quality, op2_simhash, op3_mixing, op4_substring_dedup, op5_chat, op6_suffix_tree, op7_decontaminate, op8_line_dedup, op9_surrogates, op10_avi, op11_target_encoding, op12_sharding)
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired; those that lost all turns too."""
+    rows = table(spark, sf_dir, "conversations")
+    fixed = turn_repair.repair(turn_repair.damaged(rows))
+    key = lambda c: [F.col(c).isNull().alias("_none"), F.coalesce(c, F.lit(0)).alias("_conv")]
+    every = rows.select("conv_id").distinct().select("conv_id", *key("conv_id"))
+    found = fixed.conversations.select(*key("conv_id"), *[c for c in fixed.conversations.columns if c != "conv_id"])
+    hashes = turn_repair.digests(fixed.turns).select(*key("conv_id"), "repaired_sha256")
+    out = every.join(found, ["_none", "_conv"], "left").join(hashes, ["_none", "_conv"], "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(EMPTY_SHA)).alias("repaired_sha256"))
+
+
+OPERATORS = (op1_quality, op2_simhash, op3_mixing, op4_substring_dedup, op5_chat, op6_suffix_tree, op7_decontaminate, op8_line_dedup, op9_surrogates, op10_avi, op11_target_encoding, op12_sharding, op13_turn_repair)
 QUERIES: dict[str, Query] = {f.__name__: f for f in OPERATORS}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {**ORACLES, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

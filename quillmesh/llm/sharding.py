@@ -39,6 +39,8 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -
     if good + bad < NUMPY_ROWS:
         return int(rng.hypergeometric(good, bad, sample))
     low, high = max(0, sample - bad), min(sample, good)
+    if low == high:
+        return low
     share = good / (good + bad)
     spread = math.sqrt(sample * share * (1 - share) * max(0.0, (good + bad - sample) / (good + bad - 1)))
     mode = min(high, max(low, (sample + 1) * (good + 1) // (good + bad + 2)))
