@@ -6,26 +6,28 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .blocks import crossed, matrix
 from .evaluation import training_rows
-from .tables import numbered, union_all
 from .ranking import overlay, trial_ranks, with_truth
+from .tables import numbered, union_all
 
-#: Numbers of a training matrix whose rows may be broadcast, as places in a table of vectors.
-BROADCAST_NUMBERS = 64_000_000
-#: Rows of a training matrix that are built at once.
-CHUNK = 4096
-#: Trials refitted side by side.
-SIDE = 64
-#: Coefficients of the models that are refitted together over a training matrix that is not broadcast.
-BLOCK_NUMBERS = 2_000_000
+#: Rows of a packed training matrix; trials refitted side by side.
+CHUNK, SIDE = 1024, 512
+#: Coefficients of the models that are refitted together by exact passes, on the driver; models of a packed sum; sums added by one task.
+BLOCK_NUMBERS, GRADIENT_SLICE, FAN = 2_000_000, 1024, 32
+#: Third derivatives at most, beyond which all refits are by exact passes; those of a packed sum.
+CUBE_NUMBERS, CUBE_SLICE = 10_000_000, 1_000_000
+#: Error of a score (before the logistic function) that a refit may have.
+TOLERANCE = 1e-8
 
 
 def fit_pair_model(rows: DataFrame, c: float = 1.0) -> np.ndarray:
@@ -100,22 +102,6 @@ class TrainingTable:
         return w
 
 
-@dataclass
-class PairTable(TrainingTable):
-    """A training matrix as places in a table of vectors."""
-
-    vectors: np.ndarray
-    k: np.ndarray
-    s: np.ndarray
-    pos: int
-
-    def __post_init__(self) -> None:
-        self.n = len(self.k)
-
-    def rows(self, at: np.ndarray | slice) -> np.ndarray:
-        return pair_rows(self.vectors[self.k[at]], self.vectors[self.s[at]])
-
-
 class DenseTable(TrainingTable):
     """A training matrix in memory; order has the places of its rows in x."""
 
@@ -174,144 +160,249 @@ def masked_optima(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarra
     return out
 
 
-def summed_gradients(rows: DataFrame, out: np.ndarray, sp: float, sn: float) -> np.ndarray:
-    """x.T @ (weighted residuals) of each column of coefficients over a distributed training table."""
-    shared = rows.sparkSession.sparkContext.broadcast(out)
+def packed(rows: DataFrame) -> DataFrame:
+    """(label, x): training rows as packed matrices of at most CHUNK rows of one label, the constant included; stored, since every pass reads them."""
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
-        total, side = np.zeros_like(w), max(1, 4 * BLOCK_NUMBERS // w.shape[1])
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), side):
-                g = b.iloc[at : at + side]
-                x = np.hstack([np.array(g["features"].tolist(), float), np.ones((len(g), 1))])
-                y = g["label"].to_numpy(float)[:, None]
-                total += x.T @ ((1 / (1 + np.exp(-(x @ w))) - y) * np.where(y == 1, sp, sn))
-        for at in range(0, total.shape[1], 1000):
-            piece = total[:, at : at + 1000].T
-            yield pd.DataFrame({"m": np.arange(at, at + len(piece)), "g": piece.tolist()})
-
-    add = lambda g: pd.DataFrame({"m": g["m"].iloc[:1], "g": [np.sum(np.stack(g["g"].to_numpy()), axis=0).tolist()]})
-    sums = rows.select("features", "label").mapInPandas(part, "m long, g array<double>").groupBy("m").applyInPandas(add, "m long, g array<double>").collect()
-    found = np.zeros_like(out)
-    for r in sums:
-        found[:, r.m] = r.g
-    shared.unpersist()
-    return found
-
-
-def pair_table(keys: DataFrame, vectors: DataFrame) -> tuple[PairTable, dict[tuple[str, str], int]]:
-    """The rows (kinase_node_id, site_node_id, label) as places in the vectors that they use, and the places of the positive rows."""
-    used = keys.select(F.explode(F.array("kinase_node_id", "site_node_id")).alias("node_id")).distinct()
-    held = vectors.join(used, "node_id").select("node_id", "vec").toArrow().sort_by("node_id")
-    rows = keys.toArrow().sort_by([("label", "descending"), ("kinase_node_id", "ascending"), ("site_node_id", "ascending")])
-    names = held.column("node_id").combine_chunks()
-    flat = pc.list_flatten(held.column("vec")).to_numpy().astype(float)
-    k, s = (pc.index_in(rows.column(c), names).to_numpy() for c in ("kinase_node_id", "site_node_id"))
-    pos = pc.sum(rows.column("label")).as_py() or 0
-    first = rows.slice(0, pos)
-    places = dict(zip(zip(first.column("kinase_node_id").to_pylist(), first.column("site_node_id").to_pylist(), strict=True), range(pos), strict=True))
-    return PairTable(flat.reshape(len(names), -1) if len(names) else np.zeros((0, 0)), k, s, pos), places
+            if b.num_rows:
+                x = np.hstack([pc.list_flatten(b.column("features")).to_numpy().reshape(b.num_rows, -1), np.ones((b.num_rows, 1))])
+                y = b.column("label").to_numpy()
+                pieces = [(label, x[y == label][at : at + CHUNK]) for label in (0, 1) for at in range(0, int((y == label).sum()), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1].tobytes() for p in pieces], pa.binary())], ["label", "x"])
 
+    return written(rows.select(F.col("features").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label")).mapInArrow(part, "label int, x binary"), "training")
 
-def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, c: float = 1.0, own_only: bool = False) -> DataFrame:
-    """(trial_index, kinase_node_id, site_node_id, score) of every candidate, by a model fitted without the trial's own pair.
 
-    Every refit is the optimum without that row, with class weights of the rows left; rows have the features of their nodes' vectors,
-    one for each node. The rows are broadcast, as places in the vectors they use, if their matrix has at most BROADCAST_NUMBERS numbers;
-    beyond that the same steps sum their gradients over the distributed table, for blocks of models together.
-    Trials whose site has no vector are left out. With own_only a trial scores only its own candidate.
+SUMS = "key long, part long, v binary"
+
+
+def added(parts: DataFrame, n_parts: int) -> dict[int, np.ndarray]:
+    """Sums of packed numbers by key, at most FAN summands in a task, in a tree; parts has (key, part, v)."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(v) for v in t.column("v").to_pylist()], axis=0)
+        return pa.table({"key": t.column("key")[:1], "part": t.column("part")[:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+    while n_parts > 1:
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("key", "part").applyInArrow(add, SUMS)
+        n_parts = -(-n_parts // FAN)
+    found = parts.toArrow()
+    return dict(zip(found.column("key").to_pylist(), [np.frombuffer(v) for v in found.column("v").to_pylist()], strict=True))
+
+
+@dataclass
+class Passes:
+    """Passes over a packed training table: each sums numbers on executors; only sums come back."""
+
+    table: DataFrame
+    d: int
+
+    def __post_init__(self) -> None:
+        self.n_parts = self.table.rdd.getNumPartitions()
+
+    def sums(self, shared: object, kernel: Callable[[object, Iterator[tuple[int, np.ndarray]]], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+        """kernel gets what is shared and a task's matrices, and gives (key, numbers)."""
+        d, held = self.d, self.table.sparkSession.sparkContext.broadcast(shared)
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = ((label, np.frombuffer(x).reshape(-1, d)) for b in batches for label, x in zip(b.column("label").to_pylist(), b.column("x").to_pylist(), strict=True))
+            task = TaskContext.get().partitionId()
+            for key, v in kernel(held.value, mine):
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([task], pa.int64()), pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())], ["key", "part", "v"])
+
+        found = added(self.table.mapInArrow(part, SUMS), self.n_parts)
+        held.unpersist()
+        return found
+
+    def bend(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By label (0, 1): numbers of rows, gradients and Hessians of the losses at w, without class weights."""
+        d = self.d
+
+        def kernel(w: np.ndarray, mine: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+            total = np.zeros((2, 1 + d + d * d))
+            for label, x in mine:
+                p = 1 / (1 + np.exp(-(x @ w)))
+                total[label] += np.concatenate([[len(x)], x.T @ (p - label), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+            yield 0, total
+
+        found = self.sums(w, kernel).get(0, np.zeros(2 * (1 + d + d * d))).reshape(2, -1)
+        return found[:, 0], found[:, 1 : d + 1], found[:, d + 1 :].reshape(2, d, d)
+
+    def cube(self, w: np.ndarray, sp: float, sn: float) -> np.ndarray:
+        """The third derivatives of the losses at w: for each coefficient those by pairs (i <= j) of the others."""
+        i, j = np.triu_indices(self.d)
+        d, wide = self.d, max(1, CUBE_SLICE // self.d)
+
+        def kernel(shared: tuple[np.ndarray, float, float], mine: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+            w, sp, sn = shared
+            total = np.zeros((len(i), d))
+            for label, x in mine:
+                p = 1 / (1 + np.exp(-(x @ w)))
+                y = x * ((sp if label else sn) * p * (1 - p) * (1 - 2 * p))[:, None]
+                for at in range(0, len(i), wide):
+                    k = slice(at, at + wide)
+                    total[k] += (x[:, i[k]] * x[:, j[k]]).T @ y
+            for at in range(0, len(i), wide):
+                yield at, total[at : at + wide]
+
+        found = self.sums((w, sp, sn), kernel)
+        return np.vstack([found[k].reshape(-1, d) for k in sorted(found)]) if found else np.zeros((len(i), d))
+
+    def gradient(self, w: np.ndarray, sp: float, sn: float) -> np.ndarray:
+        """x.T @ (weighted residuals) of each column of coefficients."""
+
+        def kernel(shared: tuple[np.ndarray, float, float], mine: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+            w, sp, sn = shared
+            total = np.zeros_like(w)
+            with np.errstate(over="ignore"):
+                for label, x in mine:
+                    for at in range(0, w.shape[1], SIDE):
+                        k = slice(at, at + SIDE)
+                        r = x @ w[:, k]
+                        np.exp(r if label else np.negative(r, out=r), out=r)
+                        r += 1
+                        total[:, k] += x.T @ np.divide(-sp if label else sn, r, out=r)
+            for at in range(0, w.shape[1], GRADIENT_SLICE):
+                yield at, total[:, at : at + GRADIENT_SLICE]
+
+        found = self.sums((w, sp, sn), kernel)
+        return np.hstack([found[k].reshape(self.d, -1) for k in sorted(found)]) if found else np.zeros_like(w)
+
+    def optimum(self, c: float = 1.0, steps: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The whole table's coefficients, by Newton steps, and what bend() gives there."""
+        w = np.zeros(self.d)
+        bent = self.bend(w)
+        for _ in range(steps):
+            n, g, h = bent
+            sp, sn = class_weights(int(n.sum()), int(n[1]), c)
+            step = np.linalg.solve(np.eye(self.d) + sp * h[1] + sn * h[0], sp * g[1] + sn * g[0] + w)
+            w = w - step
+            bent = self.bend(w)
+            if np.abs(step).max() < tol:
+                break
+        return w, bent
+
+
+@dataclass
+class Expansion:
+    """The losses around the whole table's optimum to third order: what a refit without one row needs, whatever the number of rows.
+
+    A refit is the root of the expanded gradient less the row's own. Its distance from the true optimum is bounded: a logistic loss's
+    derivatives from the second on are at most its second, which grows at most e-fold for each unit of score; so with r the largest
+    norm of a row and delta the way from w, the error in the norm of the Hessian is at most
+    (r |delta|)^2 exp(2 r |delta|) |delta|_H / 6, and that of a score at most its row's norm times it, over the root of the least curvature.
+    """
+
+    w: np.ndarray
+    g: np.ndarray
+    h: np.ndarray
+    cube: np.ndarray | None
+    sp: float
+    radius: float
+
+    def __post_init__(self) -> None:
+        self.inverse = np.linalg.inv(np.eye(len(self.w)) + self.h)
+        self.sharpest = float(np.sqrt(np.linalg.eigvalsh(self.inverse)[-1]))
+        self.i, self.j = np.triu_indices(len(self.w))
+        self.times = np.where(self.i == self.j, 0.5, 1.0)
+
+    def gradient(self, out: np.ndarray) -> np.ndarray:
+        delta = out - self.w[:, None]
+        return self.g[:, None] + self.h @ delta + self.cube.T @ (delta[self.i] * delta[self.j] * self.times[:, None])
+
+    def refits(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of coefficients, each without the row of own, and whether their error of a score is known to be below TOLERANCE."""
+        if self.cube is None:
+            return np.repeat(self.w[:, None], len(own), axis=1), np.zeros(len(own), bool)
+        with np.errstate(all="ignore"):
+            out = masked_optima(self.gradient, self.g[:, None], self.w, self.inverse, own, self.sp, steps=25, tol=1e-13)
+            delta = out - self.w[:, None]
+            size = self.radius * np.sqrt((delta**2).sum(axis=0))
+            bent = np.sqrt(np.einsum("dt,dt->t", delta, delta + self.h @ delta))
+            error = size**2 * np.exp(2 * size) * bent / 6 * self.sharpest * self.radius
+        return out, np.isfinite(out).all(axis=0) & (error < TOLERANCE)
+
+
+def refitted(rows: DataFrame, trials: DataFrame, vectors: DataFrame, c: float = 1.0) -> DataFrame:
+    """(trial_index, kinase_node_id, site_node_id, sv, model) of the trials whose site has a vector; model is packed.
+
+    The model is fitted without the trial's own pair (the whole table's, if the pair is no positive row), with class weights of the
+    rows left. It comes from the expansion around the whole table's optimum where that is known to be right to TOLERANCE, as it is at any large
+    number of rows, and else by steps with exact gradients, summed over the table for a block of models at a time.
     """
     spark = rows.sparkSession
-    ids = cands.select("node_id").distinct().join(vectors, "node_id").orderBy("node_id").collect()  # candidates are a dimension, not a fact
-    names, kv = [r.node_id for r in ids], np.array([r.vec for r in ids], float)
-    place = {x: i for i, x in enumerate(names)}
-    d = 4 * kv.shape[1] + 1 if names else 1
-    keys = rows.select("kinase_node_id", "site_node_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    n = keys.count()
-    t = trials.select("trial_index", "kinase_node_id", "site_node_id").join(vectors.select(F.col("node_id").alias("site_node_id"), F.col("vec").alias("sv")), "site_node_id")
+    some = vectors.agg(F.max(F.size("vec")).alias("width"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).first()
+    a = some.norm or 0.0
+    table = Passes(packed(rows), 4 * (some.width or 0) + 1)
+    w, (n, g, h) = table.optimum(c)
+    sp, sn = weights_without_one(int(n.sum()), int(n[1]), c)
+    cube = table.cube(w, sp, sn) if len(w) ** 3 // 2 <= CUBE_NUMBERS else None
+    fit = Expansion(w, sp * g[1] + sn * g[0], sp * h[1] + sn * h[0], cube, sp, float(np.sqrt(1 + 6 * a + a * a)))
+    pair = ["kinase_node_id", "site_node_id"]
+    known = rows.where("label = 1").select(*pair).distinct().withColumn("_row", F.lit(True))
+    of = lambda c, v: vectors.select(F.col("node_id").alias(c), F.col("vec").cast("array<double>").alias(v))
+    t = trials.select("trial_index", *pair).join(of("site_node_id", "sv"), "site_node_id").join(of("kinase_node_id", "kv"), "kinase_node_id", "left").join(known, pair, "left")
+    held = spark.sparkContext.broadcast(fit)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit = held.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, SIDE):
+                b = whole.slice(at, SIDE)
+                mine = b.column("_row").is_valid().to_numpy(zero_copy_only=False)
+                out, sure = np.repeat(fit.w[:, None], len(mine), axis=1), np.ones(len(mine), bool)
+                if mine.any():
+                    k, s = (matrix(b.column(c).filter(pa.array(mine))) for c in ("kv", "sv"))
+                    out[:, mine], sure[mine] = fit.refits(pair_rows(k, s))
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("trial_index", *pair, "sv", "kv")], pa.array([x.tobytes() for x in out.T], pa.binary()), pa.array(sure)], ["trial_index", *pair, "sv", "kv", "model", "sure"])
+
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    solved = written(t.repartition(parts, "trial_index").mapInArrow(solve, "trial_index long, kinase_node_id string, site_node_id string, sv array<double>, kv array<double>, model binary, sure boolean"), "models")
+    columns = ["trial_index", *pair, "sv", "model"]
+    unsure = solved.where(~F.col("sure"))
+    blocks = -(-unsure.count() * len(w) // BLOCK_NUMBERS)
+    out = [solved.where("sure").select(*columns)]
+    unsure = unsure.withColumn("_b", F.pmod(F.xxhash64("trial_index", *pair), F.lit(max(1, blocks))))
+    for i in range(blocks):
+        b = unsure.where(F.col("_b") == i).drop("_b", "sure").toArrow()
+        if b.num_rows:
+            k, s = (matrix(b.column(c).combine_chunks()) for c in ("kv", "sv"))
+            models = masked_optima(lambda o: table.gradient(o, sp, sn), fit.g[:, None], w, fit.inverse, pair_rows(k, s), sp)
+            b = b.drop_columns(["kv", "model"]).append_column("model", pa.array([x.tobytes() for x in models.T], pa.binary()))
+            out.append(spark.createDataFrame(b).select(*columns))
+    return union_all(out)
 
-    def scored(of: DataFrame, models_of: Callable[[list[tuple[str, str]]], np.ndarray]) -> DataFrame:
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                b = b[b["kinase_node_id"].isin(place)] if own_only else b
-                for at in range(0, len(b) if names else 0, SIDE):
-                    g = b.iloc[at : at + SIDE]
-                    sv = [np.array(v, float) for v in g["sv"]]
-                    models = models_of(list(zip(g["kinase_node_id"], g["site_node_id"], strict=True)))
-                    if own_only:
-                        z = np.einsum("td,dt->t", pair_rows(kv[[place[k] for k in g["kinase_node_id"]]], np.stack(sv)), models)
-                        yield g[["trial_index", "kinase_node_id", "site_node_id"]].assign(score=1 / (1 + np.exp(-z)))
-                        continue
-                    scores = [1 / (1 + np.exp(-(pair_rows(kv, v) @ models[:, i]))) for i, v in enumerate(sv)]
-                    yield pd.DataFrame({"trial_index": np.repeat(g["trial_index"].to_numpy(), len(names)), "kinase_node_id": names * len(g), "site_node_id": np.repeat(g["site_node_id"].to_numpy(), len(names)), "score": np.concatenate(scores)})
-
-        return of.repartition(parts, "trial_index").mapInPandas(score, "trial_index long, kinase_node_id string, site_node_id string, score double")
-
-    if n * d <= BROADCAST_NUMBERS:
-        data, places = pair_table(keys, vectors)
-        keys.unpersist()
-        w = data.optimum(d, *class_weights(n, data.pos, c))
-        less = weights_without_one(n, data.pos, c)
-        shared = spark.sparkContext.broadcast((data, places, w, data.gradient(w[:, None], *less), np.linalg.inv(data.hessian(w, *less)), less))
-
-        def refitted(pairs: list[tuple[str, str]]) -> np.ndarray:
-            data, places, w, start, inverse, less = shared.value
-            at = np.array([places.get(p, -1) for p in pairs])
-            out = np.repeat(w[:, None], len(at), axis=1)  # of the whole table, for a pair that is no row
-            if (at >= 0).any():
-                out[:, at >= 0] = masked_optima(lambda o: data.gradient(o, *less), start, w, inverse, data.rows(at[at >= 0]), less[0])
-            return out
-
-        return scored(t, refitted)
-
-    keys.unpersist()
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)  # every step reads it
-    w = fit_pair_model(rows, c)
-    pos = rows.where("label = 1").count()
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = np.zeros((2, d, d))
-        for b in batches:
-            x = np.hstack([np.array(b["features"].tolist(), float), np.ones((len(b), 1))])
-            p = 1 / (1 + np.exp(-(x @ w)))
-            for y in (0, 1):
-                of = b["label"].to_numpy() == y
-                h[y] += (x[of] * (p * (1 - p))[of][:, None]).T @ x[of]
-        yield pd.DataFrame({"h": [h.ravel().tolist()]})
 
-    bent = sum((np.array(r.h).reshape(2, d, d) for r in rows.select("features", "label").mapInPandas(part, "h array<double>").toLocalIterator()), np.zeros((2, d, d)))
+def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, c: float = 1.0, own_only: bool = False) -> DataFrame:
+    """(trial_index, kinase_node_id, site_node_id, score) of every candidate, by a model fitted without the trial's own pair.
 
-    def solver(sp: float, sn: float) -> np.ndarray:
-        return np.linalg.inv(np.eye(d) + sp * bent[1] + sn * bent[0])
+    Trials whose site has no vector are left out. With own_only a trial scores only its own candidate. Trials and candidates meet in blocks.
+    """
+    models = refitted(rows, trials, vectors, c)
+    cand = cands.select("node_id").distinct().join(vectors.select("node_id", F.col("vec").cast("array<double>").alias("vec")), "node_id")
+    if own_only:
+        mine = models.join(cand.select(F.col("node_id").alias("kinase_node_id"), F.col("vec").alias("kv")), "kinase_node_id")
 
-    def summed(weights: tuple[float, float]) -> Callable[[np.ndarray], np.ndarray]:
-        return lambda out: summed_gradients(rows, out, *weights)
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    k, s = matrix(b.column("kv")), matrix(b.column("sv"))
+                    m = np.stack([np.frombuffer(x) for x in b.column("model").to_pylist()])
+                    z = np.einsum("td,td->t", pair_rows(k, s), m)
+                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("trial_index", "kinase_node_id", "site_node_id")], pa.array(1 / (1 + np.exp(-z)))], ["trial_index", "kinase_node_id", "site_node_id", "score"])
 
-    full, less = class_weights(n, pos, c), weights_without_one(n, pos, c)
-    whole = masked_optima(summed(full), summed(full)(w[:, None]), w, solver(*full), np.zeros((1, d)), full[0])[:, 0]
-    start = summed(less)(whole[:, None])
-    pair = ["kinase_node_id", "site_node_id"]
-    own = rows.where("label = 1").groupBy(*pair).agg(F.first("features").alias("features")).join(t.select(*pair).distinct(), pair)
-    own = numbered(own, pair, "_m").persist(StorageLevel.MEMORY_AND_DISK)
-    out, last, side = [], own.count(), max(1, BLOCK_NUMBERS // d)
-    t = t.join(own.select(*pair, "_m"), pair, "left")
-    for at in range(0, max(1, last), side):
-        found = own.where((F.col("_m") > at) & (F.col("_m") <= at + side)).collect()
-        where = {(r.kinase_node_id, r.site_node_id): i for i, r in enumerate(found)}
-        masked = np.array([[*r.features, 1.0] for r in found]).reshape(len(found), d)
-        models = masked_optima(summed(less), start, whole, solver(*less), masked, less[0]) if found else np.zeros((d, 0))
-        held = spark.sparkContext.broadcast((np.column_stack([models, whole]), where))
-
-        def chosen(pairs: list[tuple[str, str]], held=held) -> np.ndarray:
-            models, where = held.value
-            return models[:, [where.get(p, -1) for p in pairs]]  # the last: a pair that is no row
-
-        mine = (F.col("_m") > at) & (F.col("_m") <= at + side)
-        out.append(scored(t.where(mine | F.col("_m").isNull() if at == 0 else mine).drop("_m"), chosen))
-    rows.unpersist()
-    return union_all(out)
+        return mine.mapInArrow(own, "trial_index long, kinase_node_id string, site_node_id string, score double")
+
+    def score(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+        sv, kv, names = matrix(left.column("sv")), matrix(right.column("vec")), right.column("node_id").to_pylist()
+        found = np.empty((left.num_rows, len(names)))
+        for i, (v, m) in enumerate(zip(sv, left.column("model").to_pylist(), strict=True)):
+            found[i] = 1 / (1 + np.exp(-(pair_rows(kv, v) @ np.frombuffer(m))))
+        every = pa.array(np.repeat(np.arange(left.num_rows), len(names)))
+        return pa.RecordBatch.from_arrays([left.column("trial_index").take(every), pa.array(names * left.num_rows, pa.string()), left.column("site_node_id").take(every), pa.array(found.ravel())], ["trial_index", "kinase_node_id", "site_node_id", "score"])
+
+    return crossed(models.drop("kinase_node_id"), cand, score, "trial_index long, kinase_node_id string, site_node_id string, score double")
 
 
 def leave_one_out(positives: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, categories: DataFrame | None = None, per_site: int = 50) -> DataFrame:
@@ -326,15 +417,19 @@ def leave_one_out(positives: DataFrame, trials: DataFrame, cands: DataFrame, vec
 
 
 def global_scores(rows: DataFrame, cands: DataFrame, sites: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(kinase_node_id, site_node_id, score) of all pairs by one model, with built-in array functions only."""
+    """(kinase_node_id, site_node_id, score) of all pairs by one model, in blocks of sites and candidates."""
     w = fit_pair_model(rows)
-    from ..functions.numeric import dot, pair_vector
+    v = vectors.select("node_id", F.col("vec").cast("array<double>").alias("vec"))
+    c = cands.select("node_id").distinct().join(v, "node_id")
+    s = sites.select("node_id").distinct().join(v, "node_id").select(F.col("node_id").alias("site_node_id"), F.col("vec").alias("sv"))
+
+    def score(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+        sv, kv, names = matrix(left.column("sv")), matrix(right.column("vec")), right.column("node_id").to_pylist()
+        found = np.stack([1 / (1 + np.exp(-(pair_rows(kv, x) @ w))) for x in sv])
+        every = pa.array(np.repeat(np.arange(left.num_rows), len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names * left.num_rows, pa.string()), left.column("site_node_id").take(every), pa.array(found.ravel())], ["kinase_node_id", "site_node_id", "score"])
 
-    coefficients = F.array(*[F.lit(float(x)) for x in w[:-1]])
-    c = cands.select("node_id").distinct().join(vectors, "node_id").select(F.col("node_id").alias("kinase_node_id"), F.col("vec").alias("kv"))
-    s = sites.select("node_id").distinct().join(vectors, "node_id").select(F.col("node_id").alias("site_node_id"), F.col("vec").alias("sv"))
-    z = dot(pair_vector(F.col("kv"), F.col("sv")), coefficients) + F.lit(float(w[-1]))
-    return s.crossJoin(c).select("kinase_node_id", "site_node_id", (1 / (1 + F.exp(-z))).alias("score"))
+    return crossed(s, c, score, "kinase_node_id string, site_node_id string, score double")
 
 
 def predict_all(positives: DataFrame, cands: DataFrame, sites: DataFrame, vectors: DataFrame, per_site: int = 50) -> DataFrame:

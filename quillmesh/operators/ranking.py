@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import dot
-
-#: The largest number of candidates that cosine_scores broadcasts; beyond it the product is dealt out by candidate block.
-BROADCAST_CANDIDATES = 5_000
+from .blocks import crossed, matrix
 
 
 class PairScorer(Protocol):
@@ -27,19 +27,152 @@ class CosineScorer:
         return cosine_scores(vectors, candidates, sites)
 
 
+def _norms(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += x[:, j] * x[:, j]
+    return np.sqrt(total)
+
+
+def cosines(s: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Cosines of rows of s with rows of k; NaN where one has no direction. Terms are added in order, so that equal vectors have equal cosines anywhere."""
+    total = np.zeros((len(s), len(k)))
+    for j in range(s.shape[1]):
+        total += s[:, j, None] * k[None, :, j]
+    norms = _norms(s)[:, None] * _norms(k)[None, :]
+    with np.errstate(all="ignore"):
+        return np.where(norms == 0, np.nan, total / norms)
+
+
+def _doubles(vectors: DataFrame, name: str) -> DataFrame:
+    return vectors.select("node_id", F.col("vec").cast("array<double>").alias(name))
+
+
+def network_scores(vectors: DataFrame, slices: dict[str, tuple[int, int]], candidates: DataFrame, sites: DataFrame) -> DataFrame:
+    """(network, kinase_node_id, site_node_id, score) of all pairs in each network, whose vectors are slices (from, to) of vec; one crossing for all."""
+    c = candidates.select("node_id").distinct().join(_doubles(vectors, "vec"), "node_id")
+    s = sites.select("node_id").distinct().join(_doubles(vectors, "sv"), "node_id").select(F.col("node_id").alias("site_node_id"), "sv")
+
+    def score(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+        sv, kv = matrix(left.column("sv")), matrix(right.column("vec"))
+        found = np.concatenate([cosines(sv[:, a:b], kv[:, a:b]).ravel() for a, b in slices.values()])
+        i, j = np.divmod(np.tile(np.arange(len(sv) * len(kv)), len(slices)), len(kv))
+        names = pa.array(list(slices)).take(pa.array(np.repeat(np.arange(len(slices)), len(sv) * len(kv))))
+        return pa.RecordBatch.from_arrays([names, right.column("node_id").take(pa.array(j)), left.column("site_node_id").take(pa.array(i)), pa.array(found, mask=np.isnan(found))], ["network", "kinase_node_id", "site_node_id", "score"])
+
+    return crossed(s, c, score, "network string, kinase_node_id string, site_node_id string, score double")
+
+
 def cosine_scores(vectors: DataFrame, candidates: DataFrame, sites: DataFrame) -> DataFrame:
-    """Cosine of each candidate with each site. Norms are computed once for each vector, not for each pair."""
-    v = vectors.select("node_id", "vec", F.sqrt(dot(F.col("vec"), F.col("vec"))).alias("norm"))
-    c = candidates.select(F.col("node_id")).distinct().join(v, "node_id").select(F.col("node_id").alias("kinase_node_id"), F.col("vec").alias("kv"), F.col("norm").alias("kn"))
-    s = sites.select(F.col("node_id")).distinct().join(v, "node_id").select(F.col("node_id").alias("site_node_id"), F.col("vec").alias("sv"), F.col("norm").alias("sn"))
-    n = c.limit(BROADCAST_CANDIDATES + 1).count()
-    pairs = s.crossJoin(F.broadcast(c) if n <= BROADCAST_CANDIDATES else c)
-    return pairs.select("kinase_node_id", "site_node_id", F.try_divide(dot(F.col("kv"), F.col("sv")), F.col("kn") * F.col("sn")).alias("score"))
-
-
-def rank_in_site(scores: DataFrame) -> DataFrame:
-    """scores with rank_in_site: by score, highest first and null last, then by kinase."""
-    w = W.partitionBy("site_node_id").orderBy(F.desc_nulls_last("score"), "kinase_node_id")
+    """(kinase_node_id, site_node_id, score): cosine of each candidate with each site; null where a vector has no direction."""
+    return network_scores(vectors, {"": (0, None)}, candidates, sites).drop("network")
+
+
+def top_candidates(scores: DataFrame, k: int) -> DataFrame:
+    """(site_node_id, kinase_node_id, score, rank_in_site) of each site's k best: k are kept by each task before sites meet."""
+    best = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("less"), F.col("kinase_node_id").alias("kinase_node_id"))
+    heads = scores.withColumn("_t", F.spark_partition_id()).groupBy("site_node_id", "_t").agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("_h"))
+    merged = heads.groupBy("site_node_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_h"))), 1, k).alias("_h"))
+    rows = merged.select("site_node_id", F.posexplode("_h").alias("_r", "_b"))
+    return rows.select("site_node_id", "_b.kinase_node_id", (-F.col("_b.less")).alias("score"), (F.col("_r") + 1).cast("long").alias("rank_in_site"))
+
+
+CATEGORIES = ("poor", "average", "rich")
+
+
+def _above(scores: np.ndarray, held: float, names_before: int, keep: np.ndarray | None = None) -> int:
+    """How many scores come before a held one: higher, or equal and by a name before its own; NaN comes last. keep: only those."""
+    keep = np.ones(len(scores), bool) if keep is None else keep
+    if np.isnan(held):
+        return int((keep & ~np.isnan(scores)).sum() + (keep & np.isnan(scores))[:names_before].sum())
+    return int((keep & (scores > held)).sum() + (keep & (scores == held))[:names_before].sum())
+
+
+def held_out_ranks(vectors: DataFrame, slices: dict[str, tuple[int, int]], candidates: DataFrame, trials: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """What trial_ranks gives for cosine scores in each network, by counting: no pair of a site and a candidate leaves the task that scores it.
+
+    A site brings the vectors of its true kinases, so that each block of candidates counts those before each held-out one (in all, and within
+    its category) and gives its own best; counts of blocks are added.
+    """
+    category = F.coalesce("category", F.lit("poor"))
+    cats = categories.select(F.col("kinase_node_id").alias("node_id"), "category") if categories is not None else candidates.select("node_id", F.lit("poor").alias("category")).distinct()
+    c = candidates.select("node_id").distinct().join(_doubles(vectors, "vec"), "node_id").join(cats, "node_id", "left").withColumn("category", category)
+    truth = trials.select("kinase_node_id", "site_node_id").distinct()
+    own = truth.join(c.select(F.col("node_id").alias("kinase_node_id"), "category", "vec"), "kinase_node_id")
+    own = own.groupBy("site_node_id").agg(F.array_sort(F.collect_list(F.struct("kinase_node_id", "category", "vec"))).alias("own"))
+    s = own.join(_doubles(vectors, "sv").withColumnRenamed("node_id", "site_node_id"), "site_node_id")
+    best = "struct<none:boolean,less:double,name:string>"
+    schema = f"network string, site_node_id string, kinase_node_id string, category string, n long, above long, true_above long, within long, true_within long, top {best}, {', '.join(f'top_{x} {best}' for x in CATEGORIES)}"
+
+    def count(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+        sv, kv, names = matrix(left.column("sv")), matrix(right.column("vec")), right.column("node_id").to_pylist()
+        kinds = np.array(right.column("category").to_pylist())
+        sites, owns = left.column("site_node_id").to_pylist(), left.column("own").to_pylist()
+        out: list[dict] = []
+
+        def first(scores: np.ndarray, keep: np.ndarray) -> dict | None:
+            at = np.flatnonzero(keep)
+            if not len(at):
+                return None
+            real = scores[at]
+            i = int(at[0] if np.isnan(real).all() else at[np.nanargmax(real)])
+            return {"none": bool(np.isnan(scores[i])), "less": None if np.isnan(scores[i]) else -float(scores[i]), "name": names[i]}
+
+        masks = {x: kinds == x for x in CATEGORIES}
+        vecs = [np.array([t["vec"] for t in mine]) for mine in owns]
+        for network, (a, b) in slices.items():
+            scores = cosines(sv[:, a:b], kv[:, a:b])
+            for i, mine in enumerate(owns):
+                held = cosines(sv[i : i + 1, a:b], vecs[i][:, a:b])[0]
+                tops = {"top": first(scores[i], np.ones(len(names), bool)), **{f"top_{x}": first(scores[i], m) for x, m in masks.items()}}
+                own_kinds = np.array([t["category"] for t in mine])
+                for j, t in enumerate(mine):
+                    before, kind = bisect_left(names, t["kinase_node_id"]), t["category"]
+                    counts = {"n": len(names), "above": _above(scores[i], held[j], before), "true_above": _above(held, held[j], j), "within": _above(scores[i], held[j], before, kinds == kind), "true_within": _above(held, held[j], j, own_kinds == kind)}
+                    out.append({"network": network, "site_node_id": sites[i], "kinase_node_id": t["kinase_node_id"], "category": kind, **counts, **tops})
+        return pa.RecordBatch.from_pylist(out, schema=_COUNTS)
+
+    counts = crossed(s, c, count, schema)
+    pair = ["kinase_node_id", "site_node_id"]
+    tops = ["top", *[f"top_{x}" for x in CATEGORIES]]
+    sums = counts.groupBy("network", *pair, "category").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in ("above", "within")], *[F.first(x).alias(x) for x in ("true_above", "true_within")], *[F.min(x).alias(x) for x in tops])
+    ranks = sums.select(
+        "network",
+        *pair,
+        F.col("category").alias("held_out_kinase_category"),
+        (F.col("above") + 1).alias("held_out_kinase_rank"),
+        (F.col("above") + 1 - F.col("true_above")).alias("adjusted_held_out_rank"),
+        F.min(F.col("above") + 1).over(W.partitionBy("network", "site_node_id")).alias("best_true_kinase_rank"),
+        F.col("top.name").alias("top1_predicted_kinase"),
+        (-F.col("top.less")).alias("top1_score"),
+        F.col("n").alias("num_candidate_kinases_scored"),
+        (F.col("within") + 1 - F.col("true_within")).alias("adjusted_held_out_rank_in_category"),
+        *[F.col(f"top_{x}.name").alias(f"top1_{x}") for x in CATEGORIES],
+    )
+    if categories is None:
+        ranks = ranks.drop("held_out_kinase_category", "adjusted_held_out_rank_in_category", *[f"top1_{x}" for x in CATEGORIES])
+    each = trials.withColumn("network", F.explode(F.array(*map(F.lit, slices))))
+    return _with_truth_lists(each, truth, ranks, ["network", *pair])
+
+
+_BEST = pa.struct([("none", pa.bool_()), ("less", pa.float64()), ("name", pa.string())])
+_COUNTS = pa.schema(
+    [(c, pa.string()) for c in ("network", "site_node_id", "kinase_node_id", "category")]
+    + [(c, pa.int64()) for c in ("n", "above", "true_above", "within", "true_within")]
+    + [(c, _BEST) for c in ("top", *[f"top_{x}" for x in CATEGORIES])]
+)
+
+
+def _with_truth_lists(trials: DataFrame, truth: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """Trials with their ranks (null where there are none) and the true kinases of their site."""
+    known = truth.groupBy("site_node_id").agg(F.array_sort(F.collect_set("kinase_node_id")).alias("_k"))
+    t = trials.join(known, "site_node_id").join(ranks, keys, "left")
+    return t.withColumn("n_true_kinases_for_site", F.size("_k").cast("long")).withColumn("all_true_kinases_for_site", F.array_join("_k", ";")).drop("_k").withColumnRenamed("kinase_node_id", "true_kinase_node_id")
+
+
+def rank_in_site(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """scores with rank_in_site (for each value of the columns in by): by score, highest first and null last, then by kinase."""
+    w = W.partitionBy(*(by or []), "site_node_id").orderBy(F.desc_nulls_last("score"), "kinase_node_id")
     return scores.withColumn("rank_in_site", F.row_number().over(w).cast("long"))
 
 
@@ -88,9 +221,7 @@ def trial_ranks(scores: DataFrame, trials: DataFrame, categories: DataFrame | No
         kept += ["adjusted_held_out_rank_in_category", "top1_poor", "top1_average", "top1_rich"]
     keys = ["kinase_node_id", "site_node_id", *(["trial_index"] if per_trial else [])]
     ranks = out.where("is_true_kinase").select(*keys, *([F.col("category").alias("held_out_kinase_category")] if categories is not None else []), *kept)
-    known = truth.groupBy("site_node_id").agg(F.array_sort(F.collect_set("kinase_node_id")).alias("_k"))
-    t = trials.join(known, "site_node_id").join(ranks, keys, "left")
-    return t.withColumn("n_true_kinases_for_site", F.size("_k").cast("long")).withColumn("all_true_kinases_for_site", F.array_join("_k", ";")).drop("_k").withColumnRenamed("kinase_node_id", "true_kinase_node_id")
+    return _with_truth_lists(trials, truth, ranks, keys)
 
 
 def overlay(global_scores: DataFrame, masked: DataFrame) -> DataFrame:

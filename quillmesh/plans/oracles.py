@@ -238,7 +238,7 @@ ORACLES: dict[str, str] = {
     "substrate_counts": f"WITH {SUPPLY} SELECT kinase_node_id, count(DISTINCT site_node_id) AS n_substrates FROM pe GROUP BY 1",
     "categories": """SELECT CAST(c_custkey AS VARCHAR) AS kinase_node_id, coalesce(n, 0) AS n_substrates, CASE WHEN coalesce(n, 0) <= 5 THEN 'poor' WHEN n <= 20 THEN 'average' ELSE 'rich' END AS category
       FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""",
-    "multi_kinase_sites": f"""WITH {RECORDS}, x AS (SELECT upper(trim(enzyme)) AS k, upper(trim(gene)) AS g, upper(replace(replace(replace(trim(site), 'Ser', 'S'), 'Tyr', 'Y'), ' ', '')) AS s, trim(site) AS raw, seq FROM rec WHERE quantity >= 45 AND NOT regexp_matches(site, '[;,/]'))
+    "multi_kinase_sites": f"""WITH {RECORDS}, x AS (SELECT upper(trim(enzyme)) AS k, upper(trim(gene)) AS g, upper(replace(replace(replace(trim(site), 'Ser', 'S'), 'Tyr', 'Y'), ' ', '')) AS s, trim(site) AS raw, seq FROM rec WHERE NOT regexp_matches(site, '[;,/]'))
       SELECT g || '-' || s AS site, count(DISTINCT k) AS n_kinases, string_agg(DISTINCT k, ';' ORDER BY k) AS kinases, arg_min(raw, seq) AS first_label FROM x GROUP BY g, s HAVING count(DISTINCT k) > 1""",
     "pair_features": f"""WITH {VECTORS}, x AS (SELECT p.*, {PAIR_SUMS} FROM pos p JOIN v k ON k.node_id = p.kinase_node_id JOIN v s ON s.node_id = p.site_node_id)
       SELECT kinase_node_id, site_node_id, CAST(64 AS BIGINT) AS n, round(sum_k, 6) AS sum_k, round(sum_s, 6) AS sum_s, round(sum_diff, 6) AS sum_diff, round(sum_prod, 6) AS sum_prod FROM x""",

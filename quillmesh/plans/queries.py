@@ -357,7 +357,7 @@ def categories(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def multi_kinase_sites(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.multi_kinase_sites(roles.records(spark, d).where("quantity >= 45"), "enzyme", "gene", "site", "seq")
+    return evaluation.multi_kinase_sites(roles.records(spark, d), "enzyme", "gene", "site", "seq")
 
 
 @query

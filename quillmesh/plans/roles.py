@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import evaluation, graph, ranking
-from ..operators.tables import union_all
 
 #: Networks, by where their slice of each vector starts.
 SLICES = {"generic": 1, "control": 17, "cancer": 33, "liver_fc": 49}
@@ -52,21 +51,26 @@ def vector_categories(spark: SparkSession, d: str, v: DataFrame) -> DataFrame:
     return evaluation.categories(k, counts)
 
 
+def _whole(v: DataFrame) -> DataFrame:
+    return v.select("node_id", F.col("whole").alias("vec"))
+
+
+def _slices(networks: list[str] | None) -> dict[str, tuple[int, int]]:
+    return {n: (SLICES[n] - 1, SLICES[n] - 1 + WIDTH) for n in networks or SLICES}
+
+
 def ranks(spark: SparkSession, d: str, networks: list[str] | None = None) -> DataFrame:
     """Cosine ranks of all pairs in each network, with truth."""
     v = vectors(spark, d)
-    c, s = split(v)
-    pos = vector_positives(v)
-    return union_all(ranking.with_truth(ranking.rank_in_site(ranking.cosine_scores(network_vectors(v, n), c, s)), pos).withColumn("network", F.lit(n)) for n in networks or SLICES)
+    scores = ranking.network_scores(_whole(v), _slices(networks), *split(v))
+    return ranking.with_truth(ranking.rank_in_site(scores, ["network"]), vector_positives(v))
 
 
 def trials(spark: SparkSession, d: str, networks: list[str] | None = None) -> DataFrame:
     """Trial results of each network."""
     v = vectors(spark, d)
-    c, s = split(v)
     frozen = evaluation.freeze_all(vector_positives(v))
-    cats = vector_categories(spark, d, v)
-    return union_all(ranking.trial_ranks(ranking.cosine_scores(network_vectors(v, n), c, s), frozen, cats).withColumn("network", F.lit(n)) for n in networks or SLICES)
+    return ranking.held_out_ranks(_whole(v), _slices(networks), split(v)[0], frozen, vector_categories(spark, d, v))
 
 
 def records(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
