@@ -26,8 +26,8 @@ CHUNK, SIDE = 1024, 512
 BLOCK_NUMBERS, GRADIENT_SLICE, FAN = 2_000_000, 1024, 32
 #: Third derivatives at most, beyond which all refits are by exact passes; those of a packed sum.
 CUBE_NUMBERS, CUBE_SLICE = 10_000_000, 1_000_000
-#: Error of a score (before the logistic function) that a refit may have.
-TOLERANCE = 1e-8
+#: Error of a score that a refit may have.
+TOLERANCE = 1e-6
 
 
 def fit_pair_model(rows: DataFrame, c: float = 1.0) -> np.ndarray:
@@ -132,15 +132,15 @@ def refits(x: np.ndarray, y: np.ndarray, w: np.ndarray, inverse: np.ndarray, mas
     return out
 
 
-def masked_optima(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, w: np.ndarray, inverse: np.ndarray, rows: np.ndarray, sp: float, steps: int = 500, tol: float = 1e-9) -> np.ndarray:
+def masked_optima(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, w: np.ndarray, inverse: np.ndarray, rows: np.ndarray, sp: float, steps: int = 500, tol: float = 1e-9, begin: np.ndarray | None = None) -> np.ndarray:
     """Columns of coefficients, each the optimum without its positive row, exact to tol.
 
     gradient gives that of the table's losses for columns of coefficients, start being its value at w, and inverse is that of the
     Hessian at w; all three with the class weights (sp: of a positive) of a table that lacks one positive. A step uses the Hessian
     without the column's own row (Sherman-Morrison). The first needs no pass over the table; the steps then shrink at
-    a steady rate, which tells when what is left is below tol.
+    a steady rate, which tells when what is left is below tol. begin: columns that are near the optima, to start from instead of w.
     """
-    out, at = np.repeat(w[:, None], len(rows), axis=1), start
+    out, at = (np.repeat(w[:, None], len(rows), axis=1), start) if begin is None else (begin.copy(), gradient(begin))
     u = inverse @ rows.T
     p = 1 / (1 + np.exp(-(rows @ w)))
     h = sp * p * (1 - p)
@@ -229,6 +229,14 @@ class Passes:
         found = self.sums(w, kernel).get(0, np.zeros(2 * (1 + d + d * d))).reshape(2, -1)
         return found[:, 0], found[:, 1 : d + 1], found[:, d + 1 :].reshape(2, d, d)
 
+    def farthest(self, inverse: np.ndarray) -> float:
+        """The largest norm of a row by the inverse of a Hessian."""
+
+        def kernel(inverse: np.ndarray, mine: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+            yield TaskContext.get().partitionId(), np.array([max((float(np.einsum("nd,nd->n", x @ inverse, x).max()) for _, x in mine), default=0.0)])
+
+        return float(np.sqrt(max((v[0] for v in self.sums(inverse, kernel).values()), default=0.0)))
+
     def cube(self, w: np.ndarray, sp: float, sn: float) -> np.ndarray:
         """The third derivatives of the losses at w: for each coefficient those by pairs (i <= j) of the others."""
         i, j = np.triu_indices(self.d)
@@ -289,9 +297,10 @@ class Expansion:
     """The losses around the whole table's optimum to third order: what a refit without one row needs, whatever the number of rows.
 
     A refit is the root of the expanded gradient less the row's own. Its distance from the true optimum is bounded: a logistic loss's
-    derivatives from the second on are at most its second, which grows at most e-fold for each unit of score; so with r the largest
-    norm of a row and delta the way from w, the error in the norm of the Hessian is at most
-    (r |delta|)^2 exp(2 r |delta|) |delta|_H / 6, and that of a score at most its row's norm times it, over the root of the least curvature.
+    derivatives from the second on are at most its second, which grows at most e-fold for each unit of the linear score. So with delta the way from
+    w, |delta|_H its norm by the Hessian, and reach = far |delta|_H (far: the largest norm of a row by the inverse Hessian) what the
+    way moves any row at most, the error in the norm of the Hessian is at most reach^2 exp(2 reach) |delta|_H / 6; that of a score is at most a
+    quarter of it times its row's norm over the root of the least curvature.
     """
 
     w: np.ndarray
@@ -300,6 +309,7 @@ class Expansion:
     cube: np.ndarray | None
     sp: float
     radius: float
+    far: float
 
     def __post_init__(self) -> None:
         self.inverse = np.linalg.inv(np.eye(len(self.w)) + self.h)
@@ -318,11 +328,15 @@ class Expansion:
         with np.errstate(all="ignore"):
             out = masked_optima(self.gradient, self.g[:, None], self.w, self.inverse, own, self.sp, steps=25, tol=1e-13)
             delta = out - self.w[:, None]
-            size = self.radius * np.sqrt((delta**2).sum(axis=0))
-            bent = np.sqrt(np.einsum("dt,dt->t", delta, delta + self.h @ delta))
-            error = size**2 * np.exp(2 * size) * bent / 6 * self.sharpest * self.radius
+            error = self.error(delta)
         return out, np.isfinite(out).all(axis=0) & (error < TOLERANCE)
 
+    def error(self, delta: np.ndarray) -> np.ndarray:
+        """The most by which scores may be wrong, for each column."""
+        bent = np.sqrt(np.einsum("dt,dt->t", delta, delta + self.h @ delta))
+        reach = self.far * bent
+        return reach**2 * np.exp(2 * reach) * bent / 6 * self.sharpest * self.radius / 4
+
 
 def refitted(rows: DataFrame, trials: DataFrame, vectors: DataFrame, c: float = 1.0) -> DataFrame:
     """(trial_index, kinase_node_id, site_node_id, sv, model) of the trials whose site has a vector; model is packed.
@@ -338,7 +352,9 @@ def refitted(rows: DataFrame, trials: DataFrame, vectors: DataFrame, c: float =
     w, (n, g, h) = table.optimum(c)
     sp, sn = weights_without_one(int(n.sum()), int(n[1]), c)
     cube = table.cube(w, sp, sn) if len(w) ** 3 // 2 <= CUBE_NUMBERS else None
-    fit = Expansion(w, sp * g[1] + sn * g[0], sp * h[1] + sn * h[0], cube, sp, float(np.sqrt(1 + 6 * a + a * a)))
+    bent = sp * h[1] + sn * h[0]
+    far = table.farthest(np.linalg.inv(np.eye(len(w)) + bent)) if cube is not None else 0.0
+    fit = Expansion(w, sp * g[1] + sn * g[0], bent, cube, sp, float(np.sqrt(1 + 6 * a + a * a)), far)
     pair = ["kinase_node_id", "site_node_id"]
     known = rows.where("label = 1").select(*pair).distinct().withColumn("_row", F.lit(True))
     of = lambda c, v: vectors.select(F.col("node_id").alias(c), F.col("vec").cast("array<double>").alias(v))
@@ -368,7 +384,8 @@ def refitted(rows: DataFrame, trials: DataFrame, vectors: DataFrame, c: float =
         b = unsure.where(F.col("_b") == i).drop("_b", "sure").toArrow()
         if b.num_rows:
             k, s = (matrix(b.column(c).combine_chunks()) for c in ("kv", "sv"))
-            models = masked_optima(lambda o: table.gradient(o, sp, sn), fit.g[:, None], w, fit.inverse, pair_rows(k, s), sp)
+            near = np.stack([np.frombuffer(x) for x in b.column("model").to_pylist()], axis=1)
+            models = masked_optima(lambda o: table.gradient(o, sp, sn), fit.g[:, None], w, fit.inverse, pair_rows(k, s), sp, begin=near if np.isfinite(near).all() else None)
             b = b.drop_columns(["kv", "model"]).append_column("model", pa.array([x.tobytes() for x in models.T], pa.binary()))
             out.append(spark.createDataFrame(b).select(*columns))
     return union_all(out)

@@ -59,14 +59,14 @@ def test_the_bound_holds(spark):
         i, j = np.triu_indices(5)
         cube = (x[:, i] * x[:, j]).T @ (x * (np.where(y, sp, sn) * p * (1 - p) * (1 - 2 * p))[:, None])
         radius = np.sqrt((x**2).sum(axis=1).max())
-        fit = logistic.Expansion(w, data.gradient(w[:, None], sp, sn)[:, 0], data.hessian(w, sp, sn) - np.eye(5), cube, sp, radius)
+        fit = logistic.Expansion(w, data.gradient(w[:, None], sp, sn)[:, 0], data.hessian(w, sp, sn) - np.eye(5), cube, sp, radius, 0.0)
+        fit.far = float(np.sqrt(np.einsum("nd,nd->n", x @ fit.inverse, x).max()))
         own = x[y == 1][:20]
         out, _ = fit.refits(own)
         exact = logistic.masked_optima(lambda o, data=data, sp=sp, sn=sn: data.gradient(o, sp, sn), fit.g[:, None], w, fit.inverse, own, sp)
         delta = out - w[:, None]
-        size = radius * np.linalg.norm(delta, axis=0)
-        said = size**2 * np.exp(2 * size) * np.sqrt(np.einsum("dt,dt->t", delta, delta + fit.h @ delta)) / 6 * fit.sharpest * radius
-        assert (np.abs(x @ (out - exact)).max(axis=0) <= said + 1e-9).all()
+        chance = lambda m: 1 / (1 + np.exp(-(x @ m)))
+        assert (np.abs(chance(out) - chance(exact)).max(axis=0) <= fit.error(delta) + 1e-9).all()
 
 
 def test_own_scores_are_those_among_all_candidates(spark):
