@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from .blocks import crossed, matrix
 from .evaluation import training_rows
-from .ranking import overlay, trial_ranks, with_truth
+from .ranking import COUNTS_SCHEMA, Counter, overlay, ranks_of_counts, true_candidates, with_categories, with_truth, with_truth_lists
 from .tables import numbered, union_all
 
 #: Rows of a packed training matrix; trials refitted side by side.
@@ -49,6 +49,25 @@ def pair_rows(k: np.ndarray, s: np.ndarray) -> np.ndarray:
     return np.concatenate([k, t, np.abs(k - t), k * t, np.ones((len(k), 1))], axis=1)
 
 
+def linear_scores(k: np.ndarray, s: np.ndarray, models: np.ndarray) -> np.ndarray:
+    """For each row of s, with the model in the same row, its pairs with all rows of k; terms are added in order, so that equal pairs have equal scores anywhere."""
+    wide = s.shape[1]
+    total = np.repeat(models[:, -1:], len(k), axis=1)
+    for j in range(wide):
+        a, b, m = k[None, :, j], s[:, j, None], models[:, j:-1:wide, None]
+        total += a * m[:, 0] + b * m[:, 1] + np.abs(a - b) * m[:, 2] + a * b * m[:, 3]
+    return total
+
+
+def chance(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-z))
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(x) for x in column.to_pylist()])
+
+
 def class_weights(n: int, pos: int, c: float = 1.0) -> tuple[float, float]:
     """Balanced weights of a positive and a negative among n rows."""
     return c * n / (2 * max(1, pos)), c * n / (2 * max(1, n - pos))
@@ -404,29 +423,37 @@ def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors:
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    k, s = matrix(b.column("kv")), matrix(b.column("sv"))
-                    m = np.stack([np.frombuffer(x) for x in b.column("model").to_pylist()])
-                    z = np.einsum("td,td->t", pair_rows(k, s), m)
-                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("trial_index", "kinase_node_id", "site_node_id")], pa.array(1 / (1 + np.exp(-z)))], ["trial_index", "kinase_node_id", "site_node_id", "score"])
+                    k, s, m = matrix(b.column("kv")), matrix(b.column("sv")), unpacked(b.column("model"))
+                    z = np.concatenate([linear_scores(k[i : i + 1], s[i : i + 1], m[i : i + 1])[0] for i in range(len(k))])
+                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("trial_index", "kinase_node_id", "site_node_id")], pa.array(chance(z))], ["trial_index", "kinase_node_id", "site_node_id", "score"])
 
         return mine.mapInArrow(own, "trial_index long, kinase_node_id string, site_node_id string, score double")
 
     def score(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
-        sv, kv, names = matrix(left.column("sv")), matrix(right.column("vec")), right.column("node_id").to_pylist()
-        found = np.empty((left.num_rows, len(names)))
-        for i, (v, m) in enumerate(zip(sv, left.column("model").to_pylist(), strict=True)):
-            found[i] = 1 / (1 + np.exp(-(pair_rows(kv, v) @ np.frombuffer(m))))
-        every = pa.array(np.repeat(np.arange(left.num_rows), len(names)))
-        return pa.RecordBatch.from_arrays([left.column("trial_index").take(every), pa.array(names * left.num_rows, pa.string()), left.column("site_node_id").take(every), pa.array(found.ravel())], ["trial_index", "kinase_node_id", "site_node_id", "score"])
+        found = chance(linear_scores(matrix(right.column("vec")), matrix(left.column("sv")), unpacked(left.column("model"))))
+        i, j = (pa.array(x) for x in np.divmod(np.arange(found.size), found.shape[1]))
+        return pa.RecordBatch.from_arrays([left.column("trial_index").take(i), right.column("node_id").take(j), left.column("site_node_id").take(i), pa.array(found.ravel())], ["trial_index", "kinase_node_id", "site_node_id", "score"])
 
     return crossed(models.drop("kinase_node_id"), cand, score, "trial_index long, kinase_node_id string, site_node_id string, score double")
 
 
 def leave_one_out(positives: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, categories: DataFrame | None = None, per_site: int = 50) -> DataFrame:
     """Result rows of every trial: each refit is without its own positive, then ranked among all candidates."""
-    rows = training_rows(positives, cands, vectors, per_site)
-    scores = masked_scores(rows, trials, cands, vectors)
-    ranked = trial_ranks(scores, trials, categories, per_trial=True)
+    models = refitted(training_rows(positives, cands, vectors, per_site), trials, vectors)
+    c = with_categories(cands, vectors, categories)
+    left = models.drop("kinase_node_id").join(true_candidates(trials, c), "site_node_id")
+
+    def count(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+        counter, sv, m = Counter(right), matrix(left.column("sv")), unpacked(left.column("model"))
+        scores = chance(linear_scores(matrix(right.column("vec")), sv, m))
+        for i, (trial, site, mine) in enumerate(zip(*(left.column(x).to_pylist() for x in ("trial_index", "site_node_id", "own")), strict=True)):
+            held = chance(linear_scores(np.array([t["vec"] for t in mine]), sv[i : i + 1], m[i : i + 1]))[0]
+            counter.add({"trial_index": trial, "site_node_id": site}, scores[i], mine, held)
+        return counter.batch([("trial_index", pa.int64()), ("site_node_id", pa.string())])
+
+    group = ["trial_index", "site_node_id"]
+    ranks = ranks_of_counts(crossed(left, c, count, f"trial_index long, site_node_id string, {COUNTS_SCHEMA}"), group, categories is not None)
+    ranked = with_truth_lists(trials, trials, ranks, [*group, "kinase_node_id"])
     present = vectors.select(F.col("node_id").alias("site_node_id")).withColumn("_s", F.lit(1))
     have = vectors.select(F.col("node_id").alias("true_kinase_node_id")).withColumn("_k", F.lit(1))
     out = ranked.join(present, "site_node_id", "left").join(have, "true_kinase_node_id", "left")
@@ -441,10 +468,9 @@ def global_scores(rows: DataFrame, cands: DataFrame, sites: DataFrame, vectors:
     s = sites.select("node_id").distinct().join(v, "node_id").select(F.col("node_id").alias("site_node_id"), F.col("vec").alias("sv"))
 
     def score(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
-        sv, kv, names = matrix(left.column("sv")), matrix(right.column("vec")), right.column("node_id").to_pylist()
-        found = np.stack([1 / (1 + np.exp(-(pair_rows(kv, x) @ w))) for x in sv])
-        every = pa.array(np.repeat(np.arange(left.num_rows), len(names)))
-        return pa.RecordBatch.from_arrays([pa.array(names * left.num_rows, pa.string()), left.column("site_node_id").take(every), pa.array(found.ravel())], ["kinase_node_id", "site_node_id", "score"])
+        found = chance(linear_scores(matrix(right.column("vec")), matrix(left.column("sv")), np.repeat(w[None], left.num_rows, axis=0)))
+        i, j = (pa.array(x) for x in np.divmod(np.arange(found.size), found.shape[1]))
+        return pa.RecordBatch.from_arrays([right.column("node_id").take(j), left.column("site_node_id").take(i), pa.array(found.ravel())], ["kinase_node_id", "site_node_id", "score"])
 
     return crossed(s, c, score, "kinase_node_id string, site_node_id string, score double")
 

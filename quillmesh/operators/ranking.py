@@ -44,14 +44,14 @@ def cosines(s: np.ndarray, k: np.ndarray) -> np.ndarray:
         return np.where(norms == 0, np.nan, total / norms)
 
 
-def _doubles(vectors: DataFrame, name: str) -> DataFrame:
+def doubles(vectors: DataFrame, name: str) -> DataFrame:
     return vectors.select("node_id", F.col("vec").cast("array<double>").alias(name))
 
 
 def network_scores(vectors: DataFrame, slices: dict[str, tuple[int, int]], candidates: DataFrame, sites: DataFrame) -> DataFrame:
     """(network, kinase_node_id, site_node_id, score) of all pairs in each network, whose vectors are slices (from, to) of vec; one crossing for all."""
-    c = candidates.select("node_id").distinct().join(_doubles(vectors, "vec"), "node_id")
-    s = sites.select("node_id").distinct().join(_doubles(vectors, "sv"), "node_id").select(F.col("node_id").alias("site_node_id"), "sv")
+    c = candidates.select("node_id").distinct().join(doubles(vectors, "vec"), "node_id")
+    s = sites.select("node_id").distinct().join(doubles(vectors, "sv"), "node_id").select(F.col("node_id").alias("site_node_id"), "sv")
 
     def score(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
         sv, kv = matrix(left.column("sv")), matrix(right.column("vec"))
@@ -88,83 +88,101 @@ def _above(scores: np.ndarray, held: float, names_before: int, keep: np.ndarray
     return int((keep & (scores > held)).sum() + (keep & (scores == held))[:names_before].sum())
 
 
+_BEST = pa.struct([("none", pa.bool_()), ("less", pa.float64()), ("name", pa.string())])
+_TOPS = ("top", *[f"top_{x}" for x in CATEGORIES])
+_COUNTS = ("n", "above", "true_above", "within", "true_within")
+
+
+def with_categories(candidates: DataFrame, vectors: DataFrame, categories: DataFrame | None) -> DataFrame:
+    """(node_id, vec, category) of candidates that have a vector; without a category they are poor."""
+    c = candidates.select("node_id").distinct().join(doubles(vectors, "vec"), "node_id")
+    if categories is None:
+        return c.withColumn("category", F.lit("poor"))
+    return c.join(categories.select(F.col("kinase_node_id").alias("node_id"), "category"), "node_id", "left").withColumn("category", F.coalesce("category", F.lit("poor")))
+
+
+def true_candidates(trials: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(site_node_id, own): each site's true kinases that are candidates, in order, with their category and vector."""
+    own = trials.select("kinase_node_id", "site_node_id").distinct().join(candidates.withColumnRenamed("node_id", "kinase_node_id"), "kinase_node_id")
+    return own.groupBy("site_node_id").agg(F.array_sort(F.collect_list(F.struct("kinase_node_id", "category", "vec"))).alias("own"))
+
+
+class Counter:
+    """Rows of counts for held-out kinases against one block of candidates (node_id, category), given scores of both."""
+
+    def __init__(self, right: pa.RecordBatch):
+        self.names, self.kinds = right.column("node_id").to_pylist(), np.array(right.column("category").to_pylist())
+        self.masks = {"top": np.ones(len(self.names), bool), **{f"top_{x}": self.kinds == x for x in CATEGORIES}}
+        self.rows: list[dict] = []
+
+    def best(self, scores: np.ndarray, keep: np.ndarray) -> dict | None:
+        at = np.flatnonzero(keep)
+        if not len(at):
+            return None
+        i = int(at[0] if np.isnan(scores[at]).all() else at[np.nanargmax(scores[at])])
+        none = bool(np.isnan(scores[i]))
+        return {"none": none, "less": None if none else -float(scores[i]), "name": self.names[i]}
+
+    def add(self, keys: dict, scores: np.ndarray, mine: list[dict], held: np.ndarray) -> None:
+        """A row for each of mine: scores are those of the block, held those of mine."""
+        tops = {x: self.best(scores, m) for x, m in self.masks.items()}
+        own_kinds = np.array([t["category"] for t in mine])
+        for j, t in enumerate(mine):
+            before, kind = bisect_left(self.names, t["kinase_node_id"]), t["category"]
+            counts = (len(self.names), _above(scores, held[j], before), _above(held, held[j], j), _above(scores, held[j], before, self.kinds == kind), _above(held, held[j], j, own_kinds == kind))
+            self.rows.append({**keys, "kinase_node_id": t["kinase_node_id"], "category": kind, **dict(zip(_COUNTS, counts, strict=True)), **tops})
+
+    def batch(self, keys: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(self.rows, schema=pa.schema(keys + [(c, pa.string()) for c in ("kinase_node_id", "category")] + [(c, pa.int64()) for c in _COUNTS] + [(c, _BEST) for c in _TOPS]))
+
+
+COUNTS_SCHEMA = f"kinase_node_id string, category string, {', '.join(f'{c} long' for c in _COUNTS)}, {', '.join(f'{c} struct<none:boolean,less:double,name:string>' for c in _TOPS)}"
+
+
+def ranks_of_counts(counts: DataFrame, group: list[str], categories: bool) -> DataFrame:
+    """The rank columns of trial_ranks for each group and true kinase, from the counts of all blocks."""
+    sums = counts.groupBy(*group, "kinase_node_id", "category").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in ("above", "within")], *[F.first(x).alias(x) for x in ("true_above", "true_within")], *[F.min(x).alias(x) for x in _TOPS])
+    cols = [
+        (F.col("above") + 1).alias("held_out_kinase_rank"),
+        (F.col("above") + 1 - F.col("true_above")).alias("adjusted_held_out_rank"),
+        F.min(F.col("above") + 1).over(W.partitionBy(*group)).alias("best_true_kinase_rank"),
+        F.col("top.name").alias("top1_predicted_kinase"),
+        (-F.col("top.less")).alias("top1_score"),
+        F.col("n").alias("num_candidate_kinases_scored"),
+    ]
+    if categories:
+        within = (F.col("within") + 1 - F.col("true_within")).alias("adjusted_held_out_rank_in_category")
+        cols = [F.col("category").alias("held_out_kinase_category"), *cols, within, *[F.col(f"top_{x}.name").alias(f"top1_{x}") for x in CATEGORIES]]
+    return sums.select(*group, "kinase_node_id", *cols)
+
+
 def held_out_ranks(vectors: DataFrame, slices: dict[str, tuple[int, int]], candidates: DataFrame, trials: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """What trial_ranks gives for cosine scores in each network, by counting: no pair of a site and a candidate leaves the task that scores it.
 
     A site brings the vectors of its true kinases, so that each block of candidates counts those before each held-out one (in all, and within
     its category) and gives its own best; counts of blocks are added.
     """
-    category = F.coalesce("category", F.lit("poor"))
-    cats = categories.select(F.col("kinase_node_id").alias("node_id"), "category") if categories is not None else candidates.select("node_id", F.lit("poor").alias("category")).distinct()
-    c = candidates.select("node_id").distinct().join(_doubles(vectors, "vec"), "node_id").join(cats, "node_id", "left").withColumn("category", category)
-    truth = trials.select("kinase_node_id", "site_node_id").distinct()
-    own = truth.join(c.select(F.col("node_id").alias("kinase_node_id"), "category", "vec"), "kinase_node_id")
-    own = own.groupBy("site_node_id").agg(F.array_sort(F.collect_list(F.struct("kinase_node_id", "category", "vec"))).alias("own"))
-    s = own.join(_doubles(vectors, "sv").withColumnRenamed("node_id", "site_node_id"), "site_node_id")
-    best = "struct<none:boolean,less:double,name:string>"
-    schema = f"network string, site_node_id string, kinase_node_id string, category string, n long, above long, true_above long, within long, true_within long, top {best}, {', '.join(f'top_{x} {best}' for x in CATEGORIES)}"
+    c = with_categories(candidates, vectors, categories)
+    s = true_candidates(trials, c).join(doubles(vectors, "sv").withColumnRenamed("node_id", "site_node_id"), "site_node_id")
 
     def count(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
-        sv, kv, names = matrix(left.column("sv")), matrix(right.column("vec")), right.column("node_id").to_pylist()
-        kinds = np.array(right.column("category").to_pylist())
+        sv, kv, counter = matrix(left.column("sv")), matrix(right.column("vec")), Counter(right)
         sites, owns = left.column("site_node_id").to_pylist(), left.column("own").to_pylist()
-        out: list[dict] = []
-
-        def first(scores: np.ndarray, keep: np.ndarray) -> dict | None:
-            at = np.flatnonzero(keep)
-            if not len(at):
-                return None
-            real = scores[at]
-            i = int(at[0] if np.isnan(real).all() else at[np.nanargmax(real)])
-            return {"none": bool(np.isnan(scores[i])), "less": None if np.isnan(scores[i]) else -float(scores[i]), "name": names[i]}
-
-        masks = {x: kinds == x for x in CATEGORIES}
         vecs = [np.array([t["vec"] for t in mine]) for mine in owns]
         for network, (a, b) in slices.items():
             scores = cosines(sv[:, a:b], kv[:, a:b])
             for i, mine in enumerate(owns):
-                held = cosines(sv[i : i + 1, a:b], vecs[i][:, a:b])[0]
-                tops = {"top": first(scores[i], np.ones(len(names), bool)), **{f"top_{x}": first(scores[i], m) for x, m in masks.items()}}
-                own_kinds = np.array([t["category"] for t in mine])
-                for j, t in enumerate(mine):
-                    before, kind = bisect_left(names, t["kinase_node_id"]), t["category"]
-                    counts = {"n": len(names), "above": _above(scores[i], held[j], before), "true_above": _above(held, held[j], j), "within": _above(scores[i], held[j], before, kinds == kind), "true_within": _above(held, held[j], j, own_kinds == kind)}
-                    out.append({"network": network, "site_node_id": sites[i], "kinase_node_id": t["kinase_node_id"], "category": kind, **counts, **tops})
-        return pa.RecordBatch.from_pylist(out, schema=_COUNTS)
-
-    counts = crossed(s, c, count, schema)
-    pair = ["kinase_node_id", "site_node_id"]
-    tops = ["top", *[f"top_{x}" for x in CATEGORIES]]
-    sums = counts.groupBy("network", *pair, "category").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in ("above", "within")], *[F.first(x).alias(x) for x in ("true_above", "true_within")], *[F.min(x).alias(x) for x in tops])
-    ranks = sums.select(
-        "network",
-        *pair,
-        F.col("category").alias("held_out_kinase_category"),
-        (F.col("above") + 1).alias("held_out_kinase_rank"),
-        (F.col("above") + 1 - F.col("true_above")).alias("adjusted_held_out_rank"),
-        F.min(F.col("above") + 1).over(W.partitionBy("network", "site_node_id")).alias("best_true_kinase_rank"),
-        F.col("top.name").alias("top1_predicted_kinase"),
-        (-F.col("top.less")).alias("top1_score"),
-        F.col("n").alias("num_candidate_kinases_scored"),
-        (F.col("within") + 1 - F.col("true_within")).alias("adjusted_held_out_rank_in_category"),
-        *[F.col(f"top_{x}.name").alias(f"top1_{x}") for x in CATEGORIES],
-    )
-    if categories is None:
-        ranks = ranks.drop("held_out_kinase_category", "adjusted_held_out_rank_in_category", *[f"top1_{x}" for x in CATEGORIES])
-    each = trials.withColumn("network", F.explode(F.array(*map(F.lit, slices))))
-    return _with_truth_lists(each, truth, ranks, ["network", *pair])
-
+                counter.add({"network": network, "site_node_id": sites[i]}, scores[i], mine, cosines(sv[i : i + 1, a:b], vecs[i][:, a:b])[0])
+        return counter.batch([("network", pa.string()), ("site_node_id", pa.string())])
 
-_BEST = pa.struct([("none", pa.bool_()), ("less", pa.float64()), ("name", pa.string())])
-_COUNTS = pa.schema(
-    [(c, pa.string()) for c in ("network", "site_node_id", "kinase_node_id", "category")]
-    + [(c, pa.int64()) for c in ("n", "above", "true_above", "within", "true_within")]
-    + [(c, _BEST) for c in ("top", *[f"top_{x}" for x in CATEGORIES])]
-)
+    group = ["network", "site_node_id"]
+    ranks = ranks_of_counts(crossed(s, c, count, f"network string, site_node_id string, {COUNTS_SCHEMA}"), group, categories is not None)
+    each = trials.withColumn("network", F.explode(F.array(*map(F.lit, slices))))
+    return with_truth_lists(each, trials, ranks, [*group, "kinase_node_id"])
 
 
-def _with_truth_lists(trials: DataFrame, truth: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
-    """Trials with their ranks (null where there are none) and the true kinases of their site."""
+def with_truth_lists(trials: DataFrame, truth: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """Trials with their ranks (null where there are none) and the kinases of truth for their site."""
     known = truth.groupBy("site_node_id").agg(F.array_sort(F.collect_set("kinase_node_id")).alias("_k"))
     t = trials.join(known, "site_node_id").join(ranks, keys, "left")
     return t.withColumn("n_true_kinases_for_site", F.size("_k").cast("long")).withColumn("all_true_kinases_for_site", F.array_join("_k", ";")).drop("_k").withColumnRenamed("kinase_node_id", "true_kinase_node_id")
@@ -221,7 +239,7 @@ def trial_ranks(scores: DataFrame, trials: DataFrame, categories: DataFrame | No
         kept += ["adjusted_held_out_rank_in_category", "top1_poor", "top1_average", "top1_rich"]
     keys = ["kinase_node_id", "site_node_id", *(["trial_index"] if per_trial else [])]
     ranks = out.where("is_true_kinase").select(*keys, *([F.col("category").alias("held_out_kinase_category")] if categories is not None else []), *kept)
-    return _with_truth_lists(trials, truth, ranks, keys)
+    return with_truth_lists(trials, truth, ranks, keys)
 
 
 def overlay(global_scores: DataFrame, masked: DataFrame) -> DataFrame:
