@@ -108,8 +108,19 @@ def pair_features(pairs: DataFrame, vectors: DataFrame, source: str = "kinase_no
     return pairs.join(a, source).join(b, target).withColumn("features", pair_vector(F.col("_a"), F.col("_b"))).drop("_a", "_b")
 
 
-def training_rows(positives: DataFrame, cands: DataFrame, vectors: DataFrame, per_site: int = 50, strategy: str = "ordered_head") -> DataFrame:
-    """(kinase_node_id, site_node_id, label, features)."""
+def training_pairs(positives: DataFrame, cands: DataFrame, per_site: int = 50, strategy: str = "ordered_head") -> DataFrame:
+    """(kinase_node_id, site_node_id, label)."""
     pos = positives.select("kinase_node_id", "site_node_id").withColumn("label", F.lit(1))
     neg = ordered_negatives(positives, cands, per_site, strategy).withColumn("label", F.lit(0))
-    return pair_features(pos.unionByName(neg), vectors)
+    return pos.unionByName(neg)
+
+
+def training_rows(positives: DataFrame, cands: DataFrame, vectors: DataFrame, per_site: int = 50, strategy: str = "ordered_head") -> DataFrame:
+    """(kinase_node_id, site_node_id, label, features)."""
+    return pair_features(training_pairs(positives, cands, per_site, strategy), vectors)
+
+
+def training_vectors(positives: DataFrame, cands: DataFrame, vectors: DataFrame, per_site: int = 50, strategy: str = "ordered_head") -> DataFrame:
+    """(kinase_node_id, site_node_id, label, kv, sv): what features are made of, for those who make them in blocks."""
+    of = lambda c, v: vectors.select(F.col("node_id").alias(c), F.col("vec").cast("array<double>").alias(v))
+    return training_pairs(positives, cands, per_site, strategy).join(of("kinase_node_id", "kv"), "kinase_node_id").join(of("site_node_id", "sv"), "site_node_id")

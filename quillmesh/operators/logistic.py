@@ -9,15 +9,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from .blocks import crossed, matrix
-from .evaluation import training_rows
-from .ranking import COUNTS_SCHEMA, Counter, overlay, ranks_of_counts, true_candidates, with_categories, with_truth, with_truth_lists
+from .evaluation import training_vectors
+from .ranking import COUNTS_SCHEMA, Counter, doubles, overlay, ranks_of_counts, true_candidates, with_categories, with_truth, with_truth_lists
 from .tables import numbered, union_all
 
 #: Rows of a packed training matrix; trials refitted side by side.
@@ -32,6 +30,9 @@ TOLERANCE = 1e-6
 
 def fit_pair_model(rows: DataFrame, c: float = 1.0) -> np.ndarray:
     """Coefficients, the intercept last, of an L2 model with balanced class weights; the intercept is penalised like the rest."""
+    from pyspark.ml.classification import LogisticRegression  # not for the workers, which import this module
+    from pyspark.ml.functions import array_to_vector
+
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
     total = counts.agg(F.sum("n_label").alias("n"), F.count(F.lit(1)).alias("k"))
     weighted = rows.join(F.broadcast(counts), "label").crossJoin(F.broadcast(total))
@@ -180,17 +181,21 @@ def masked_optima(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarra
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """(label, x): training rows as packed matrices of at most CHUNK rows of one label, the constant included; stored, since every pass reads them."""
+    """(label, x): training rows (label and features, or label, kv and sv) as packed matrices of at most CHUNK rows of one label, the constant included.
+
+    They are stored, since every pass reads them.
+    """
+    made = "features" in rows.columns
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = np.hstack([pc.list_flatten(b.column("features")).to_numpy().reshape(b.num_rows, -1), np.ones((b.num_rows, 1))])
+                x = np.hstack([matrix(b.column("features")), np.ones((b.num_rows, 1))]) if made else pair_rows(matrix(b.column("kv")), matrix(b.column("sv")))
                 y = b.column("label").to_numpy()
                 pieces = [(label, x[y == label][at : at + CHUNK]) for label in (0, 1) for at in range(0, int((y == label).sum()), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1].tobytes() for p in pieces], pa.binary())], ["label", "x"])
 
-    return written(rows.select(F.col("features").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label")).mapInArrow(part, "label int, x binary"), "training")
+    return written(rows.select(*[F.col(c).cast("array<double>").alias(c) for c in (["features"] if made else ["kv", "sv"])], F.col("label").cast("int").alias("label")).mapInArrow(part, "label int, x binary"), "training")
 
 
 SUMS = "key long, part long, v binary"
@@ -216,8 +221,10 @@ class Passes:
 
     table: DataFrame
     d: int
+    positives: DataFrame | None = None
 
     def __post_init__(self) -> None:
+        self.whole: tuple[float, tuple] | None = None
         self.n_parts = self.table.rdd.getNumPartitions()
 
     def sums(self, shared: object, kernel: Callable[[object, Iterator[tuple[int, np.ndarray]]], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
@@ -297,7 +304,9 @@ class Passes:
         return np.hstack([found[k].reshape(self.d, -1) for k in sorted(found)]) if found else np.zeros_like(w)
 
     def optimum(self, c: float = 1.0, steps: int = 50, tol: float = 1e-10) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The whole table's coefficients, by Newton steps, and what bend() gives there."""
+        """The whole table's coefficients, by Newton steps, and what bend() gives there; found once."""
+        if self.whole and self.whole[0] == c:
+            return self.whole[1]
         w = np.zeros(self.d)
         bent = self.bend(w)
         for _ in range(steps):
@@ -308,6 +317,7 @@ class Passes:
             bent = self.bend(w)
             if np.abs(step).max() < tol:
                 break
+        self.whole = (c, (w, bent))
         return w, bent
 
 
@@ -357,17 +367,23 @@ class Expansion:
         return reach**2 * np.exp(2 * reach) * bent / 6 * self.sharpest * self.radius / 4
 
 
-def refitted(rows: DataFrame, trials: DataFrame, vectors: DataFrame, c: float = 1.0) -> DataFrame:
+def training_table(rows: DataFrame, vectors: DataFrame) -> Passes:
+    """Training rows ready for passes; rows have the features of their nodes' vectors."""
+    width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
+    table = Passes(packed(rows), 4 * width + 1)
+    table.positives = written(rows.where("label = 1").select("kinase_node_id", "site_node_id").distinct(), "positives")
+    return table
+
+
+def refitted(table: Passes, trials: DataFrame, vectors: DataFrame, c: float = 1.0) -> DataFrame:
     """(trial_index, kinase_node_id, site_node_id, sv, model) of the trials whose site has a vector; model is packed.
 
     The model is fitted without the trial's own pair (the whole table's, if the pair is no positive row), with class weights of the
     rows left. It comes from the expansion around the whole table's optimum where that is known to be right to TOLERANCE, as it is at any large
     number of rows, and else by steps with exact gradients, summed over the table for a block of models at a time.
     """
-    spark = rows.sparkSession
-    some = vectors.agg(F.max(F.size("vec")).alias("width"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).first()
-    a = some.norm or 0.0
-    table = Passes(packed(rows), 4 * (some.width or 0) + 1)
+    spark = trials.sparkSession
+    a = vectors.agg(F.max(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
     w, (n, g, h) = table.optimum(c)
     sp, sn = weights_without_one(int(n.sum()), int(n[1]), c)
     cube = table.cube(w, sp, sn) if len(w) ** 3 // 2 <= CUBE_NUMBERS else None
@@ -375,7 +391,7 @@ def refitted(rows: DataFrame, trials: DataFrame, vectors: DataFrame, c: float =
     far = table.farthest(np.linalg.inv(np.eye(len(w)) + bent)) if cube is not None else 0.0
     fit = Expansion(w, sp * g[1] + sn * g[0], bent, cube, sp, float(np.sqrt(1 + 6 * a + a * a)), far)
     pair = ["kinase_node_id", "site_node_id"]
-    known = rows.where("label = 1").select(*pair).distinct().withColumn("_row", F.lit(True))
+    known = table.positives.withColumn("_row", F.lit(True))
     of = lambda c, v: vectors.select(F.col("node_id").alias(c), F.col("vec").cast("array<double>").alias(v))
     t = trials.select("trial_index", *pair).join(of("site_node_id", "sv"), "site_node_id").join(of("kinase_node_id", "kv"), "kinase_node_id", "left").join(known, pair, "left")
     held = spark.sparkContext.broadcast(fit)
@@ -415,19 +431,10 @@ def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors:
 
     Trials whose site has no vector are left out. With own_only a trial scores only its own candidate. Trials and candidates meet in blocks.
     """
-    models = refitted(rows, trials, vectors, c)
-    cand = cands.select("node_id").distinct().join(vectors.select("node_id", F.col("vec").cast("array<double>").alias("vec")), "node_id")
+    models = refitted(training_table(rows, vectors), trials, vectors, c)
     if own_only:
-        mine = models.join(cand.select(F.col("node_id").alias("kinase_node_id"), F.col("vec").alias("kv")), "kinase_node_id")
-
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    k, s, m = matrix(b.column("kv")), matrix(b.column("sv")), unpacked(b.column("model"))
-                    z = np.concatenate([linear_scores(k[i : i + 1], s[i : i + 1], m[i : i + 1])[0] for i in range(len(k))])
-                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("trial_index", "kinase_node_id", "site_node_id")], pa.array(chance(z))], ["trial_index", "kinase_node_id", "site_node_id", "score"])
-
-        return mine.mapInArrow(own, "trial_index long, kinase_node_id string, site_node_id string, score double")
+        return own_scores(models, cands, vectors)
+    cand = cands.select("node_id").distinct().join(doubles(vectors, "vec"), "node_id")
 
     def score(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
         found = chance(linear_scores(matrix(right.column("vec")), matrix(left.column("sv")), unpacked(left.column("model"))))
@@ -437,9 +444,24 @@ def masked_scores(rows: DataFrame, trials: DataFrame, cands: DataFrame, vectors:
     return crossed(models.drop("kinase_node_id"), cand, score, "trial_index long, kinase_node_id string, site_node_id string, score double")
 
 
+def own_scores(models: DataFrame, cands: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(trial_index, kinase_node_id, site_node_id, score) of each trial's own pair by its model, if its kinase is a candidate with a vector."""
+    mine = models.join(cands.select("node_id").distinct().join(doubles(vectors, "kv"), "node_id").withColumnRenamed("node_id", "kinase_node_id"), "kinase_node_id")
+    names = ["trial_index", "kinase_node_id", "site_node_id"]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                k, s, m = matrix(b.column("kv")), matrix(b.column("sv")), unpacked(b.column("model"))
+                z = np.concatenate([linear_scores(k[i : i + 1], s[i : i + 1], m[i : i + 1])[0] for i in range(len(k))])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(chance(z))], [*names, "score"])
+
+    return mine.mapInArrow(own, "trial_index long, kinase_node_id string, site_node_id string, score double")
+
+
 def leave_one_out(positives: DataFrame, trials: DataFrame, cands: DataFrame, vectors: DataFrame, categories: DataFrame | None = None, per_site: int = 50) -> DataFrame:
     """Result rows of every trial: each refit is without its own positive, then ranked among all candidates."""
-    models = refitted(training_rows(positives, cands, vectors, per_site), trials, vectors)
+    models = refitted(training_table(training_vectors(positives, cands, vectors, per_site), vectors), trials, vectors)
     c = with_categories(cands, vectors, categories)
     left = models.drop("kinase_node_id").join(true_candidates(trials, c), "site_node_id")
 
@@ -461,8 +483,11 @@ def leave_one_out(positives: DataFrame, trials: DataFrame, cands: DataFrame, vec
 
 
 def global_scores(rows: DataFrame, cands: DataFrame, sites: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(kinase_node_id, site_node_id, score) of all pairs by one model, in blocks of sites and candidates."""
-    w = fit_pair_model(rows)
+    """(kinase_node_id, site_node_id, score) of all pairs by one model of the rows, in blocks of sites and candidates."""
+    return scores_of(fit_pair_model(rows), cands, sites, vectors)
+
+
+def scores_of(w: np.ndarray, cands: DataFrame, sites: DataFrame, vectors: DataFrame) -> DataFrame:
     v = vectors.select("node_id", F.col("vec").cast("array<double>").alias("vec"))
     c = cands.select("node_id").distinct().join(v, "node_id")
     s = sites.select("node_id").distinct().join(v, "node_id").select(F.col("node_id").alias("site_node_id"), F.col("vec").alias("sv"))
@@ -477,9 +502,9 @@ def global_scores(rows: DataFrame, cands: DataFrame, sites: DataFrame, vectors:
 
 def predict_all(positives: DataFrame, cands: DataFrame, sites: DataFrame, vectors: DataFrame, per_site: int = 50) -> DataFrame:
     """Two tiers: all pairs by the global model, true pairs by a refit without themselves; ranked, with is_true_kinase from the truth set."""
-    rows = training_rows(positives, cands, vectors, per_site)
-    wide = global_scores(rows, cands, sites, vectors)
+    table = training_table(training_vectors(positives, cands, vectors, per_site), vectors)
     own = numbered(positives.select("kinase_node_id", "site_node_id").distinct(), ["kinase_node_id", "site_node_id"])
     # a site has one trial for each of its true kinases: only the score of the trial's own kinase counts
-    mine = masked_scores(rows, own, cands, vectors, own_only=True)
+    mine = own_scores(refitted(table, own, vectors), cands, vectors)
+    wide = scores_of(table.optimum()[0], cands, sites, vectors)
     return with_truth(overlay(wide, mine), positives)
