@@ -1,4 +1,4 @@
-"""Logistic pair models: one fit in Spark ML, leave-one-out refits, and two-tier scoring of all pairs."""
+"""Logistic pair models: exact fits by passes over a packed table, leave-one-out refits, and two-tier scoring of all pairs."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +29,12 @@ TOLERANCE = 1e-6
 
 
 def fit_pair_model(rows: DataFrame, c: float = 1.0) -> np.ndarray:
-    """Coefficients, the intercept last, of an L2 model with balanced class weights; the intercept is penalised like the rest."""
-    from pyspark.ml.classification import LogisticRegression  # not for the workers, which import this module
-    from pyspark.ml.functions import array_to_vector
-
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
-    total = counts.agg(F.sum("n_label").alias("n"), F.count(F.lit(1)).alias("k"))
-    weighted = rows.join(F.broadcast(counts), "label").crossJoin(F.broadcast(total))
-    data = weighted.select(F.col("label").cast("double").alias("label"), (F.col("n") / (F.col("k") * F.col("n_label"))).alias("w"), array_to_vector(F.concat("features", F.array(F.lit(1.0)))).alias("x"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)  # every iteration reads it
-    n = data.count()
-    model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, fitIntercept=False, standardization=False, maxIter=200, tol=1e-7).fit(data)
-    data.unpersist()
-    return np.array(model.coefficients.toArray())
+    """Coefficients, the intercept last, of an L2 model with balanced class weights; the intercept is penalised like the rest.
+
+    rows has label and features of one length; the optimum is exact (Newton steps over sums made on executors).
+    """
+    width = rows.agg(F.max(F.size("features"))).first()[0] or 0
+    return Passes(packed(rows), width + 1).optimum(c)[0]
 
 
 def pair_rows(k: np.ndarray, s: np.ndarray) -> np.ndarray:

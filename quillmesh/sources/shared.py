@@ -26,7 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _written.append(file.get())
+    return out
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -43,7 +47,7 @@ def written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
 
 
 def release(spark: SparkSession) -> int:
-    """Deletes the tables that written() and new_path() made in this process; call it when results are stored. How many there were."""
+    """Deletes what cut(), written() and new_path() made in this process; call it when results are stored. How many there were."""
     jvm, n = spark.sparkContext._jvm, len(_written)
     while _written:
         p = jvm.org.apache.hadoop.fs.Path(_written.pop())

@@ -67,3 +67,17 @@ def test_stream_of_results(spark, tmp_path):
     q = progress.running_metrics(progress.follow(spark, root, 1)).writeStream.outputMode("complete").format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.experiment, r.n_trials, r.mean_rank, round(r.top_1_accuracy, 6)) for r in spark.table("runs").orderBy("experiment").collect()] == [("one", 3, 15.5, 0.333333), ("two", 3, 15.5, 0.333333)]
+
+
+def test_release_frees_checkpoints_too(spark):
+    from pathlib import Path
+
+    from quillmesh.operators.tables import numbered
+    from quillmesh.sources import shared
+
+    shared.release(spark)
+    df = numbered(spark.range(10).selectExpr("id"), ["id"])
+    table = shared.written(df, "some")
+    made = [Path(p.removeprefix("file:")) for p in shared._written]
+    assert table.count() == 10 and len(made) == 2 and all(p.exists() for p in made)
+    assert shared.release(spark) == 2 and not any(p.exists() for p in made)
