@@ -178,6 +178,8 @@ STANDARD = {
 def codes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each sixteen bits: the symbol of the code that they start with, or -1, and its length; of 16 counts, then the symbols."""
     symbols, lengths = np.full(1 << 16, -1), np.zeros(1 << 16, np.int64)
+    if len(body) < 16 or len(body) < 16 + sum(body[:16]) or sum(n << (16 - bits) for bits, n in enumerate(body[:16], 1)) > 1 << 16:
+        raise ValueError("a Huffman table that is cut or has more codes than there is room for")
     code, k = 0, 16
     for bits in range(1, 17):
         for _ in range(body[bits - 1]):
@@ -226,9 +228,13 @@ def header(frame: bytes) -> Header:
             k = 0
             while k < len(body):
                 wide = 2 if body[k] >> 4 else 1
+                if len(body) < k + 1 + 64 * wide:
+                    raise ValueError("a cut quantisation table")
                 scales[body[k] & 15] = np.frombuffer(body, ">u2" if wide == 2 else "u1", 64, k + 1).astype(np.int64)
                 k += 1 + 64 * wide
         elif marker in (0xC0, 0xC1):
+            if len(body) < 6 or len(body) < 6 + 3 * body[5]:
+                raise ValueError("a cut frame header")
             if body[0] != 8:
                 raise ValueError("samples of other than 8 bits")
             size = struct.unpack(">HH", body[1:5])
@@ -240,15 +246,21 @@ def header(frame: bytes) -> Header:
                 huffman[body[k]] = codes(body[k + 1 : k + 17 + n])
                 k += 17 + n
         elif marker == 0xDD:
+            if len(body) < 2:
+                raise ValueError("a cut restart interval")
             restart = int.from_bytes(body[:2], "big")
         elif 0xC2 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
             raise ValueError("not a sequential Huffman frame")
         at += 2 + length
         if marker == 0xDA:
-            if not parts or 0 in size or body[0] != len(parts):
+            if not body or len(body) < 1 + 2 * body[0]:
+                raise ValueError("a cut scan header")
+            if not parts or 0 in size or body[0] != len(parts) or any(not h or not v for _, h, v, _ in parts):
                 raise ValueError("no frame header, or components in several scans")
             of = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
             table = lambda k: huffman[k] if k in huffman else codes(bytes.fromhex("".join(STANDARD[k])))
+            if any(k >> 4 > 3 or k & 15 > 3 for k in of.values()):
+                raise ValueError("no such table")
             try:
                 components = [Component(n, h, v, scales[q], table(of[n] >> 4), table(0x10 | of[n] & 15)) for n, h, v, q in parts]
             except KeyError as e:
@@ -271,6 +283,8 @@ def coefficients(frames: list[bytes], h: Header) -> list[tuple[np.ndarray, np.nd
         data = f[h.begin :]
         end = data.rfind(b"\xff\xd9")
         data = data[: end if end >= 0 else len(data)]
+        if total * sum(c.down * c.across for c in h.components) > 4 * len(data):  # a block has two codes, of a bit each at least
+            raise ValueError("a picture larger than its data")
         parts = RESTART.split(data) if h.restart else [data]
         if len(parts) < -(-total // each):
             raise ValueError("a run is missing")

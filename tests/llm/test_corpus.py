@@ -594,3 +594,28 @@ def test_pipeline_stages(spark, make, odd, tmp_path):
     assert 100 in seen["near_dedup"] and 500 not in seen["near_dedup"]
     assert 501 in seen["near_dedup"] and 501 not in seen["decontaminate"] and 100 in seen["decontaminate"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["mixing"])
+
+
+# --- damaged media -------------------------------------------------------------------------------------------------------
+
+
+def test_no_damage_ends_a_job(spark):
+    rng = random.Random(17)
+    good = avi.stored([avi.payload_of(bytes(rng.randrange(256) for _ in range(576 * 3)))])[0]
+    files = []
+    for i in range(1000):
+        b = bytearray(good)
+        for _ in range(rng.choice([1, 1, 2, 5, 20])):
+            if len(b) < 2:
+                break
+            a = rng.randrange(len(b)) if i % 2 else rng.randrange(min(700, len(b)))
+            kind = rng.randrange(6)
+            if kind == 0:
+                del b[a : a + rng.randrange(1, 40)]
+            elif kind == 1 and i % 5 == 0:
+                del b[a + 1 :]
+            else:
+                b[a] = rng.choice([0, 255, rng.randrange(256)])
+        files.append((i, bytes(b)))
+    df = spark.createDataFrame([*files, (-1, good), (-2, None), (-3, b"")], "doc_id long, media binary").repartition(4)
+    assert {r.doc_id for r in avi.clips(df).collect()} >= {-1}

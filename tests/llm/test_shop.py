@@ -130,7 +130,7 @@ def test_rows_of_the_matrix_add_up(monkeypatch, limit):
 
 def test_shards_are_exact_uniform_and_repeatable(spark, make, odd, tmp_path):
     rows = [*odd, *[(i, f"text {i}", "s") for i in range(300)], *[(5, "copy")] * 150]
-    docs = make(rows).selectExpr("*", "1 AS shard", "2 AS slot", "3 AS `row`", "4 AS cell")
+    docs = make(rows).selectExpr("*", "1 AS shard", "2 AS slot", "3 AS `row`")
     found = sharding.sharded(docs, 8, cell_rows=20)
     got = found.select("shard", "slot", "row.doc_id", "row.text").collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in rows)
