@@ -10,10 +10,11 @@ that number, walked until it falls into range, is a bijection. So distinct origi
 the whole corpus without a table of them, equal ones get equal surrogates in every document, and case and separators don't
 matter to either. Strings of hexadecimal digits are permuted among themselves, and all others among those that are not.
 
-Persons have a gender, from the form of address or from a known given name. Known given names are permuted within their list,
-by gender and script; other given names (the first of several words) among strings of their shape, by a key of the gender
-and with the ending kept that marks it; family names the same way in every gender, but for their gendered ending. Who a
-person is, is the name together with the gender.
+Persons have a gender, from the form of address or from a known given name; a mention whose form tells none has that of the
+text's other mentions of the name, if these agree. Known given names are permuted within their list, by gender and script;
+other given names (the first of several words) among strings of their shape, by a key of the gender and with the ending
+kept that marks it; family names the same way in every gender, but for their gendered ending. Who a person is, is the name
+together with the gender.
 
 The key is an argument, never a constant: who knows it can undo the permutation. clashes() checks the corpus: surrogates that
 stand for several originals (none, by construction) or that equal an original found elsewhere (chance).
@@ -49,17 +50,23 @@ ADDRESS = {"f": ["Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Mme", "Madame", "S
 AFTER = {"f": ["女士", "小姐"], "m": ["先生"], "": ["博士", "教授"]}
 ENDINGS = {"latin": ("ová", "ova", "eva", "ska", "ina", "ella", "ine", "ie", "a", "o"), "cyrillic": ("ова", "ева", "ина", "ская", "ая", "ский", "ий", "ов", "ев", "ин", "а", "я")}
 
-#: A capital of any script that has them, then letters; or letters of a script without case.
-NAME_WORD = r"(?:\p{Lu}(?:\p{L}\p{M}*)+(?:[-'’]\p{Lu}(?:\p{L}\p{M}*)+)*|\p{Lu}['’]\p{Lu}(?:\p{L}\p{M}*)+|(?:\p{Lo}\p{M}*){2,12})"
+# Frequent Chinese family names; characters that follow a name and are in none; capitalised words that are no name.
+HAN_FAMILY = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+HAN_AFTER = "说是在的了和与将会到去来对向也都不很被把让给等就从他她我你您今明昨已要曾还又则并且或先女博教"
+NO_NAME = "You Me Him Her It Us Them We They He She The A An This That These Those My Your His Our Their Not And Or But If When".split()
+
+#: A capital of any script that has them, then letters; letters of a script that parts words without case; a Chinese family name and one or two characters.
+HAN_NAME = rf"[{HAN_FAMILY}](?:(?![{HAN_AFTER}])\p{{Han}}){{1,2}}"
+NAME_WORD = rf"(?:(?!(?:{'|'.join(NO_NAME)})\b)\p{{Lu}}(?:\p{{L}}\p{{M}}*)+(?:[-'’]\p{{Lu}}(?:\p{{L}}\p{{M}}*)+)*|\p{{Lu}}['’]\p{{Lu}}(?:\p{{L}}\p{{M}}*)+|(?:(?!\p{{Han}}|\p{{Hiragana}}|\p{{Katakana}}|\p{{Thai}})\p{{Lo}}\p{{M}}*){{2,12}}|{HAN_NAME})"
 FORMS = "|".join(re.escape(x) for xs in ADDRESS.values() for x in sorted(xs, key=len, reverse=True))
 GENDER = {x: g for forms in (ADDRESS, AFTER) for g, xs in forms.items() for x in xs}
 GIVEN_OF = {n: k for k, ns in GIVEN.items() for n in ns}
 KNOWN = "|".join(GIVEN_OF)
 FOLLOWING = "|".join(x for xs in AFTER.values() for x in xs)
-PERSON = regex.compile(rf"\b(?P<form>{FORMS})\s*(?P<a>{NAME_WORD}(?:\s{NAME_WORD}){{0,2}})|\b(?P<b>(?:{KNOWN})(?:\s{NAME_WORD}){{1,2}})|(?P<c>\p{{Han}}{{2,4}}?)(?P<after>{FOLLOWING})")
+PERSON = regex.compile(rf"\b(?P<form>{FORMS})(?:(?<=\.)\s*|\s+)(?P<a>{NAME_WORD}(?:\s{NAME_WORD}){{0,2}})|\b(?P<b>(?:{KNOWN})(?:\s{NAME_WORD}){{1,2}})|(?P<c>[{HAN_FAMILY}]\p{{Han}}{{1,2}}?)(?P<after>{FOLLOWING})")
 #: A text without any of these has no person.
 HINT = re.compile(f"{FORMS}|{KNOWN}|{FOLLOWING}")
-WORDS = regex.compile(NAME_WORD)
+WORDS = regex.compile(rf"{NAME_WORD}|\p{{Han}}{{2,4}}")
 #: In order of precedence. What is permuted is the whole match, or its group where there is one.
 KINDS: dict[str, re.Pattern[str]] = {
     "email": re.compile(r"[^\s@<>()\[\]{},;:\"'|]+@[\w-]+(?:\.[\w-]+)+"),
@@ -72,7 +79,11 @@ KINDS: dict[str, re.Pattern[str]] = {
     "ip": re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "card": re.compile(r"(?<![\d.])(?:\d[ -]?){12,18}\d(?!\d)"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,5}){1,4}(?![\w])|(?<![\w.])\+\d{8,15}(?!\w)|(?<![\w.])\(\d{2,4}\) ?\d{5,8}(?!\w)"),
+    # an international prefix, an area code in parentheses or with a leading zero, or groups of 3, 3 and 4: dates, pages and numbers of books have none
+    "phone": re.compile(
+        r"(?<![\w.+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}(?!\w)|(?<![\w.])\(0?\d{2,4}\)[ .-]?\d{2,5}(?:[ .-]?\d{2,5}){0,3}(?!\w)"
+        r"|(?<![\w.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-])|(?<![\w./-])0\d{1,4}[ /-]\d{3,8}(?:[ -]\d{2,5}){0,3}(?![\w/.-])"
+    ),
 }
 DIGITS_ONLY = {"ip", "ssn", "card", "phone", "iban", "mac"}
 
@@ -143,6 +154,20 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def iban_check(text: str) -> int:
+    """The two check digits that an IBAN with this country and account has."""
+    plain = text.replace(" ", "")
+    return 98 - int("".join(str(int(c, 36)) for c in plain[4:] + plain[:2] + "00")) % 97
+
+
+def iban(text: str, key: bytes) -> str:
+    """The country stays, the account is permuted by country, and the check digits are those of the result, as far off as before."""
+    body = reshaped(text[4:], key, f"iban|{text[:2]}")
+    right, off = iban_check(text[:4] + body), int(text[2:4]) - iban_check(text)
+    new = int(text[2:4]) if not 2 <= int(text[2:4]) <= 98 else 2 + (right - 2 + off) % 97
+    return f"{text[:2]}{new:02d}{body}"
+
+
 def card(text: str, key: bytes) -> str:
     digits = [c for c in text if c.isdigit()]
     if luhn("".join(digits[:-1])) != int(digits[-1]):
@@ -229,10 +254,20 @@ def surrogate(kind: str, text: str, key: bytes, gender: str = "") -> str:
         return reshaped(text, key, kind, hexadecimal=True)
     if kind == "person":
         return person(text, key, gender)
-    special = {"email": email, "card": card, "ip": ip, "phone": phone, "secret": secret}.get(kind)
+    special = {"email": email, "card": card, "iban": iban, "ip": ip, "phone": phone, "secret": secret}.get(kind)
     return special(text, key) if special else reshaped(text, key, kind)
 
 
+def plausible(kind: str, text: str) -> bool:
+    """Cards have their check digit and a first digit of some issuer; IBANs theirs; phone numbers 7 to 15 digits."""
+    if kind == "card":
+        digits = re.sub(r"\D", "", text)
+        return digits[0] in "23456" and len(set(digits)) > 1 and luhn(digits[:-1]) == int(digits[-1])
+    if kind == "iban":
+        return iban_check(text) == int(text[2:4])
+    return kind != "phone" or 7 <= sum(c.isdigit() for c in text) <= 15
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, stop, kind, gender) of what is to be replaced, in order, without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -249,19 +284,29 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for m in pattern.finditer(text):
             a, b = next((m.span(g) for g, v in m.groupdict().items() if v is not None), m.span())
-            if kind != "phone" or 7 <= sum(c.isdigit() for c in text[a:b]) <= 15:
+            if plausible(kind, text[a:b]):
                 add(a, b, kind)
     if HINT.search(text):
         for m in PERSON.finditer(text):
             a, b = next(m.span(g) for g in "abc" if m.group(g) is not None)
             add(a, b, "person", GENDER.get(m.group("form") or m.group("after"), ""))
-    return sorted(found)
+    return with_genders(text, sorted(found))
+
+
+def with_genders(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Persons without a gender get that of the other mentions of their name, if these have one and agree."""
+    known: dict[str, set[str]] = {}
+    for a, b, kind, gender in found:
+        if kind == "person" and gender:
+            known.setdefault(text[a:b], set()).add(gender)
+    one = {name: next(iter(g)) for name, g in known.items() if len(g) == 1}
+    return [(a, b, kind, gender or (one.get(text[a:b], "") if kind == "person" else "")) for a, b, kind, gender in found]
 
 
-def replaced(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
-    """The text with surrogates, and (start, stop, kind, surrogate) of each entity of the old text."""
+def replaced(text: str, key: bytes, found: list[tuple[int, int, str, str]] | None = None) -> tuple[str, list[tuple[int, int, str, str]]]:
+    """The text with surrogates, and (start, stop, kind, surrogate) of each entity of the old text; found: its entities, if they are known."""
     out, at, spans = [], 0, []
-    for a, b, kind, gender in entities(text):
+    for a, b, kind, gender in entities(text) if found is None else found:
         new = surrogate(kind, text[a:b], key, gender)
         spans.append((a, b, kind, new))
         out += [text[at:a], new]
@@ -289,10 +334,10 @@ def surrogate_udf(key: bytes):
         new, spans = [], []
         for t in texts:
             old = t.as_py()
-            out, found = replaced(old, key) if t.is_valid else (None, [])
-            genders = [g for *_, g in entities(old)] if found else []
+            known = entities(old) if t.is_valid else []
+            out, found = replaced(old, key, known) if t.is_valid else (None, [])
             new.append(out)
-            spans.append([{"start": a, "stop": b, "kind": k, "surrogate": s, "original_hash": identity(k, old[a:b], g, key), "surrogate_hash": identity(k, s, g, key)} for (a, b, k, s), g in zip(found, genders, strict=True)])
+            spans.append([{"start": a, "stop": b, "kind": k, "surrogate": s, "original_hash": identity(k, old[a:b], g, key), "surrogate_hash": identity(k, s, g, key)} for (a, b, k, s), (*_, g) in zip(found, known, strict=True)])
         return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(spans, pa.list_(SPAN_ARROW))], ["text", "spans"])
 
     return F.arrow_udf(run, f"text string, spans array<{SPAN}>")
