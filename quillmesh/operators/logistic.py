@@ -1,4 +1,4 @@
-"""Logistic pair models: exact fits by passes over a packed table, leave-one-out refits, and two-tier scoring of all pairs."""
+"""Logistic pair models: exact fits by passes over a stored table, leave-one-out refits, and two-tier scoring of all pairs."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from .evaluation import training_vectors
 from .ranking import COUNTS_SCHEMA, Counter, doubles, overlay, ranks_of_counts, true_candidates, with_categories, with_truth, with_truth_lists
 from .tables import numbered, union_all
 
-#: Rows of a packed training matrix; trials refitted side by side.
+#: Training rows taken at once; trials refitted side by side.
 CHUNK, SIDE = 1024, 512
 #: Coefficients of the models that are refitted together by exact passes, on the driver; models of a packed sum; sums added by one task.
 BLOCK_NUMBERS, GRADIENT_SLICE, FAN = 2_000_000, 1024, 32
@@ -34,7 +34,7 @@ def fit_pair_model(rows: DataFrame, c: float = 1.0) -> np.ndarray:
     rows has label and features of one length; the optimum is exact (Newton steps over sums made on executors).
     """
     width = rows.agg(F.max(F.size("features"))).first()[0] or 0
-    return Passes(packed(rows), width + 1).optimum(c)[0]
+    return Passes(stored(rows), width + 1).optimum(c)[0]
 
 
 def pair_rows(k: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -173,22 +173,25 @@ def masked_optima(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarra
     return out
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """(label, x): training rows (label and features, or label, kv and sv) as packed matrices of at most CHUNK rows of one label, the constant included.
+def stored(rows: DataFrame) -> DataFrame:
+    """Training rows (label and features, or label, kv and sv) in the shared folder, since every pass reads them."""
+    held = ["features"] if "features" in rows.columns else ["kv", "sv"]
+    return written(rows.select(*[F.col(c).cast("array<double>").alias(c) for c in held], F.col("label").cast("int").alias("label")), "training")
 
-    They are stored, since every pass reads them.
-    """
-    made = "features" in rows.columns
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.hstack([matrix(b.column("features")), np.ones((b.num_rows, 1))]) if made else pair_rows(matrix(b.column("kv")), matrix(b.column("sv")))
-                y = b.column("label").to_numpy()
-                pieces = [(label, x[y == label][at : at + CHUNK]) for label in (0, 1) for at in range(0, int((y == label).sum()), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pieces], pa.int32()), pa.array([p[1].tobytes() for p in pieces], pa.binary())], ["label", "x"])
 
-    return written(rows.select(*[F.col(c).cast("array<double>").alias(c) for c in (["features"] if made else ["kv", "sv"])], F.col("label").cast("int").alias("label")).mapInArrow(part, "label int, x binary"), "training")
+def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(label, rows of features with the constant), at most CHUNK rows at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, CHUNK):
+            b = whole.slice(at, CHUNK)
+            if "features" in b.schema.names:
+                x = np.hstack([matrix(b.column("features")), np.ones((b.num_rows, 1))])
+            else:
+                x = pair_rows(matrix(b.column("kv")), matrix(b.column("sv")))
+            y = b.column("label").to_numpy()
+            for label in (0, 1):
+                if (y == label).any():
+                    yield label, x[y == label]
 
 
 SUMS = "key long, part long, v binary"
@@ -210,7 +213,7 @@ def added(parts: DataFrame, n_parts: int) -> dict[int, np.ndarray]:
 
 @dataclass
 class Passes:
-    """Passes over a packed training table: each sums numbers on executors; only sums come back."""
+    """Passes over a stored training table: each sums numbers on executors; only sums come back."""
 
     table: DataFrame
     d: int
@@ -222,12 +225,11 @@ class Passes:
 
     def sums(self, shared: object, kernel: Callable[[object, Iterator[tuple[int, np.ndarray]]], Iterator[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
         """kernel gets what is shared and a task's matrices, and gives (key, numbers)."""
-        d, held = self.d, self.table.sparkSession.sparkContext.broadcast(shared)
+        held = self.table.sparkSession.sparkContext.broadcast(shared)
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine = ((label, np.frombuffer(x).reshape(-1, d)) for b in batches for label, x in zip(b.column("label").to_pylist(), b.column("x").to_pylist(), strict=True))
             task = TaskContext.get().partitionId()
-            for key, v in kernel(held.value, mine):
+            for key, v in kernel(held.value, matrices(batches)):
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([task], pa.int64()), pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())], ["key", "part", "v"])
 
         found = added(self.table.mapInArrow(part, SUMS), self.n_parts)
@@ -363,7 +365,7 @@ class Expansion:
 def training_table(rows: DataFrame, vectors: DataFrame) -> Passes:
     """Training rows ready for passes; rows have the features of their nodes' vectors."""
     width = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
-    table = Passes(packed(rows), 4 * width + 1)
+    table = Passes(stored(rows), 4 * width + 1)
     table.positives = written(rows.where("label = 1").select("kinase_node_id", "site_node_id").distinct(), "positives")
     return table
 

@@ -86,7 +86,7 @@ def test_sums_don_t_hang_on_the_dealing(spark, monkeypatch):
     monkeypatch.setattr(logistic, "FAN", 2)
     w = np.linspace(-0.5, 0.5, 9)
     monkeypatch.setattr(logistic, "CUBE_SLICE", 30)
-    one, many = (logistic.Passes(logistic.packed(rows.repartition(k)), 9) for k in (1, 7))
+    one, many = (logistic.Passes(logistic.stored(rows.repartition(k)), 9) for k in (1, 7))
     for a, b in zip(one.bend(w), many.bend(w), strict=True):
         assert np.allclose(a, b)
     assert np.allclose(one.cube(w, 2.0, 1.0), many.cube(w, 2.0, 1.0)) and np.allclose(one.gradient(np.stack([w, 2 * w], 1), 2.0, 1.0), many.gradient(np.stack([w, 2 * w], 1), 2.0, 1.0))
