@@ -54,28 +54,26 @@ def truth_map(positives: DataFrame) -> DataFrame:
 def ordered_negatives(positives: DataFrame, cands: DataFrame, per_site: int = 50, strategy: str = "ordered_head", seed: int = 42) -> DataFrame:
     """(kinase_node_id, site_node_id): for each site with a positive, the first candidates that are none.
 
-    ordered_head takes them by id; hash from a place that hangs on the site, round the candidates in a seeded order. A site needs at
-    most per_site + its positives of the ordered candidates, so no more than those are paired with it.
+    ordered_head takes them by id; hash from a place that hangs on the site, round the candidates in a seeded order. Candidates are
+    numbered; which numbers a site takes is told by the numbers of its positives alone, so that just the rows kept are looked up.
     """
-    truth = truth_map(positives)
     c = cands.select(F.col("node_id").alias("kinase_node_id")).distinct()
     if strategy == "ordered_head":
         c = numbered(c, ["kinase_node_id"], "_i")
-        heads = truth.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(per_site) + F.size("kinases")))).withColumn("_i", F.col("_i").cast("long"))
-        left = heads.join(c, "_i").where(~F.array_contains("kinases", F.col("kinase_node_id")))
-        order: list[Column] = [F.col("_i")]
     elif strategy == "hash":
         c = numbered(c.withColumn("_h", seeded(seed, "kinase_node_id")), ["_h", "kinase_node_id"], "_i").drop("_h")
-        n = c.count()
-        start = F.conv(F.substring(seeded(seed, "site_node_id"), 1, 8), 16, 10).cast("long")
-        steps = F.sequence(F.lit(0), F.least(F.lit(per_site) + F.size("kinases"), F.lit(n)) - 1)
-        heads = truth.withColumn("_s", F.explode(steps)).withColumn("_i", (start + F.col("_s")) % n + 1) if n else truth.select("*", F.lit(0).alias("_s"), F.lit(0).cast("long").alias("_i"))
-        left = heads.join(c, "_i").where(~F.array_contains("kinases", F.col("kinase_node_id")))
-        order = [F.col("_s")]
     else:
         raise ValueError(f"unknown strategy: {strategy}")
-    n = F.row_number().over(W.partitionBy("site_node_id").orderBy(*order))
-    return left.withColumn("_n", n).where(F.col("_n") <= per_site).select("kinase_node_id", "site_node_id")
+    own = positives.select("site_node_id", "kinase_node_id").join(c, "kinase_node_id", "left").groupBy("site_node_id").agg(F.collect_set("_i").alias("_own"))
+    most = F.lit(per_site).cast("long") + F.size("_own")
+    if strategy == "ordered_head":
+        numbers = F.sequence(F.lit(1).cast("long"), most)
+    else:
+        n = max(1, c.count())
+        start = F.conv(F.substring(seeded(seed, "site_node_id"), 1, 8), 16, 10).cast("long")
+        numbers = F.transform(F.sequence(F.lit(0).cast("long"), F.least(most, F.lit(n).cast("long")) - 1), lambda s: (start + s) % n + 1)
+    taken = own.select("site_node_id", F.explode(F.slice(F.array_except(numbers, "_own"), 1, per_site)).alias("_i"))
+    return taken.join(c, "_i").select("kinase_node_id", "site_node_id")
 
 
 def category(count: Column) -> Column:

@@ -173,6 +173,7 @@ PAIR_SUMS = f"""{_SUM.format(_KV)} AS sum_k, {_SUM.format(_SV)} AS sum_s, list_s
 WALK_STEP = "nb.nbrs[(walk * 31 + (step + 1) * 17 + 42) % len(nb.nbrs) + 1]"
 
 ORACLES: dict[str, str] = {
+    "top_candidates": f"WITH {VECTORS} SELECT site_node_id, kinase_node_id, round(score, 6) AS score, rank_in_site FROM rk WHERE network = 'generic' AND rank_in_site <= 5",
     "cosine_rank": f"WITH {VECTORS} SELECT kinase_node_id, site_node_id, round(score, 6) AS score, rank_in_site, is_true_kinase FROM rk WHERE network = 'generic'",
     "adjusted_heldout_rank": f"WITH {TRIALS} SELECT trial_index, true_kinase_node_id, site_node_id, held_out_kinase_rank, adjusted_held_out_rank, n_true_kinases_for_site, all_true_kinases_for_site, top1_predicted_kinase, round(top1_score, 6) AS top1_score, num_candidate_kinases_scored FROM res WHERE network = 'generic'",
     "best_true_rank": f"WITH {TRIALS} SELECT DISTINCT network, site_node_id, best_true_kinase_rank FROM res",

@@ -37,6 +37,13 @@ def cosine_rank(spark: SparkSession, d: str) -> DataFrame:
     return rounded(roles.ranks(spark, d, ["generic"]).drop("network"))
 
 
+@query
+def top_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The five best candidates of each site in the generic network."""
+    v = roles.vectors(spark, d)
+    return rounded(ranking.top_candidates(ranking.cosine_scores(roles.network_vectors(v, "generic"), *roles.split(v)), 5))
+
+
 @query
 def adjusted_heldout_rank(spark: SparkSession, d: str) -> DataFrame:
     return rounded(roles.trials(spark, d, ["generic"]).select("trial_index", "true_kinase_node_id", "site_node_id", "held_out_kinase_rank", "adjusted_held_out_rank", "n_true_kinases_for_site", "all_true_kinases_for_site", "top1_predicted_kinase", "top1_score", "num_candidate_kinases_scored"))
