@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .tables import clique_pairs, keep_best, keep_first, lookup_with_fallback, most_common, union_all
+from .tables import clique_pairs, keep_best, keep_first, lookup_with_fallback, union_all
 
 #: Relation vocabulary.
 PHOSPHORYLATES, DEPHOSPHORYLATES, HAS_SITE = "phosphorylates", "dephosphorylates", "has_site"
@@ -83,11 +83,6 @@ def pathway_site_ids(records: DataFrame, group: str = "grp", token: str = "token
     return records.select(F.col(group).alias("grp"), ids.site_id(parsed["gene"], parsed["site_label"]).alias("item")).where("item is not null")
 
 
-def id_map(pairs: DataFrame, key: str, value: str, seq: str) -> DataFrame:
-    """One value for each key, the commonest, the first seen of equals; and how many it had."""
-    return most_common(pairs.select(key, value, seq), [key], value, seq)
-
-
 def scored_interactions(pairs: DataFrame, a: str, b: str, score: str, seq: str, min_score: int = 0, allowed: DataFrame | None = None, relation: str = INTERACTS, upper: bool = False) -> DataFrame:
     """Undirected edges in canonical order; of equal pairs the first by seq stays, the lower score of equal seq."""
     name = (lambda c: F.upper(F.col(c))) if upper else F.col

@@ -40,10 +40,6 @@ def ksea(fc: DataFrame, sets: DataFrame, min_substrates: int = MIN_SUBSTRATES, e
     return benjamini_hochberg(g, "p_value", "kinase_node_id")
 
 
-def substrate_sets(positives: DataFrame) -> DataFrame:
-    return positives.select("kinase_node_id", "site_node_id").distinct()
-
-
 def predicted_sets(ranks: DataFrame) -> DataFrame:
     """Each site as a substrate of its first-ranked kinase."""
     return ranks.where("rank_in_site = 1").select("kinase_node_id", "site_node_id").distinct()

@@ -36,12 +36,6 @@ def most_common(df: DataFrame, keys: list[str], value: str, seq: str) -> DataFra
     return ranked.where("_n = 1").drop("_n", "_c", "_s")
 
 
-def lookup(df: DataFrame, column: str, mapping: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """df with out: the mapping's value for column, or null."""
-    m = mapping.select(F.col(key).alias("_k"), F.col(value).alias(out))
-    return df.join(m, df[column] == m["_k"], "left").drop("_k")
-
-
 def lookup_with_fallback(df: DataFrame, column: str, alias: Column, mapping: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """The value for column, else the value for its alias, else column itself."""
     a, b = (mapping.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}")) for i in (1, 2))
@@ -70,15 +64,6 @@ def aligned(frames: dict[str, DataFrame], key: str, value: str) -> DataFrame:
     return tall.groupBy(key).agg(*[F.max(F.when(F.col("_f") == name, F.col("_v"))).alias(name) for name in frames])
 
 
-def wide_matrix(long: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
-    """Wide form with the given columns, mean of equals."""
-    return long.groupBy(row).pivot(column, columns).agg(F.avg(value))
-
-
-def long_matrix(wide: DataFrame, row: str, columns: list[str], name: str = "sample", value: str = "value") -> DataFrame:
-    return wide.unpivot([row], columns, name, value)
-
-
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """df with old columns under their new names; a column that is not there, or whose new name is taken, stays as it is."""
     return df.withColumnsRenamed({old: new for old, new in names.items() if old in df.columns and new not in df.columns})
