@@ -194,9 +194,47 @@ def test_exact_two_sample_p():
                 a, b = (a + 1, b) if i in places else (a, b + 1)
                 far = max(far, abs(a / n - b / m))
             found.append(far)
-        for d in {round(x, 9) for x in found}:
-            want = sum(x >= d - 1e-6 for x in found) / len(found)
-            assert abs(statistics.ks_exact(d, n, m) - want) < 1e-9, (n, m, d)
+        d = np.array(sorted({round(x, 9) for x in found}))
+        want = [sum(x >= y - 1e-6 for x in found) / len(found) for y in d]
+        assert np.allclose(statistics.ks_exact(d, np.full(len(d), n), np.full(len(d), m)), want, rtol=1e-12, atol=0), (n, m)
+
+
+def test_exact_p_of_mixed_batches_by_whole_numbers():
+    from math import comb, lcm
+
+    rng = np.random.default_rng(0)
+    tests, want = [], []
+    for n, m in rng.integers(1, 40, (150, 2)).tolist() + [[1, 1], [39, 39], [1, 39]]:
+        h = int(rng.integers(1, lcm(n, m) + 1))
+        inside: dict[tuple[int, int], int] = {}
+        for i in range(n + 1):
+            for j in range(m + 1):
+                near = abs(i * (lcm(n, m) // n) - j * (lcm(n, m) // m)) < h
+                inside[i, j] = (inside.get((i - 1, j), 0) + inside.get((i, j - 1), 0) if i or j else 1) if near else 0
+        tests.append((h / lcm(n, m), n, m))
+        want.append((comb(n + m, n) - inside[n, m]) / comb(n + m, n))
+    d, n, m = (np.array(c) for c in zip(*tests, strict=True))
+    assert np.allclose(statistics.ks_exact(d, n, m), want, rtol=1e-12, atol=0)  # the smallest is below 1e-15
+    assert statistics.ks_exact(np.array([0.0]), np.array([3]), np.array([4])).tolist() == [1.0]
+    assert not len(statistics.ks_exact(np.array([]), np.array([], np.int64), np.array([], np.int64)))
+    n, k = 500, 300  # equal sizes: an alternating sum over reflections, whose first terms suffice
+    far = 2 * sum((-1) ** (i + 1) * comb(2 * n, n - i * k) / comb(2 * n, n) for i in range(1, 4) if i * k <= n)
+    assert np.allclose(statistics.ks_exact(np.array([k / n]), np.array([n]), np.array([n])), far, rtol=1e-10, atol=0)
+    tables = statistics.ks_exact(np.array([0.6, 0.7]), np.array([10, 10]), np.array([10, 10]))  # as printed tables have them
+    assert tables.round(4).tolist() == [0.0524, 0.0123]
+
+
+def test_exact_p_is_the_default_and_ends_at_its_bound(spark, monkeypatch):
+    ranks = [("K1", i, "a") for i in range(40)] + [("K1", i + 9, "b") for i in range(35)] + [("K2", i, "a") for i in range(30)] + [("K2", i, "b") for i in range(30)]
+    r = spark.createDataFrame([(k, v, n) for k, v, n in ranks], "kinase_node_id string, rank_in_site long, n string")
+    a, b = r.where("n = 'a'"), r.where("n = 'b'")
+    got = {x.kinase_node_id: x for x in statistics.ks_test(a, b, ("a", "b")).collect()}
+    plain = {x.kinase_node_id: x.p_value for x in statistics.ks_test(a, b, ("a", "b"), exact=False).collect()}
+    one = statistics.ks_exact(np.array([got["K1"].ks_statistic]), np.array([40]), np.array([35]))[0]
+    assert got["K1"].p_value == one and got["K2"].p_value == 1.0 and abs(plain["K1"] - one) > 1e-6
+    monkeypatch.setattr(statistics, "EXACT", 32)  # K1 is over it
+    bounded = {x.kinase_node_id: x.p_value for x in statistics.ks_test(a, b, ("a", "b")).collect()}
+    assert bounded == {"K1": plain["K1"], "K2": 1.0}
 
 
 def test_cluster_order_against_plain_agglomeration(spark):
