@@ -139,7 +139,12 @@ def load_graph(nodes: DataFrame, edges: DataFrame, label: str = "graph") -> tupl
     return n.select(F.col("node_id").cast("string").alias("node_id"), F.col("node_type").cast("string").alias("node_type"), *flags, F.col("protein_role").cast("string").alias("protein_role")), e.select(*keys, *metrics)
 
 
-def find_results(spark: SparkSession, root: str, keyword: str) -> DataFrame:
-    """Parquet results below root whose path holds the keyword, with their path."""
-    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
-    return found.withColumn("path", F.input_file_name()).where(F.col("path").contains(keyword))
+def find_results(spark: SparkSession, root: str, keyword: str, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet results below root whose path holds the keyword, with their path; other files are listed and not scanned.
+
+    A file with the schema is opened, and any file will do, unless the schema is given. No match gives no rows.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    found = (reader.schema(schema) if schema else reader).parquet(root)
+    path = F.col("_metadata.file_path")  # a filter on it is applied to the list of files
+    return found.where(path.contains(keyword)).withColumn("path", path)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import types as T
 
 from quillmesh.sources import readers, writers
 
@@ -81,3 +82,17 @@ def test_release_frees_checkpoints_too(spark):
     made = [Path(p.removeprefix("file:")) for p in shared._written]
     assert table.count() == 10 and len(made) == 2 and all(p.exists() for p in made)
     assert shared.release(spark) == 2 and not any(p.exists() for p in made)
+
+
+def test_discovery_scans_matching_files_only(spark, tmp_path):
+    for name, ids in (("generic", [1, 2]), ("liver", [3])):
+        spark.createDataFrame([(i,) for i in ids], "trial_index long").coalesce(1).write.parquet(f"{tmp_path}/experiment={name}")
+    (tmp_path / "experiment=broken").mkdir()
+    (tmp_path / "experiment=broken" / "part-0.parquet").write_bytes(b"no parquet")
+    schema = T.StructType([T.StructField("trial_index", T.LongType())])
+    found = readers.find_results(spark, str(tmp_path), "=generic", schema)
+    got = found.collect()
+    assert sorted(r.trial_index for r in got) == [1, 2] and all("experiment=generic" in r.path for r in got)
+    scans = found._jdf.queryExecution().executedPlan().collectLeaves()
+    assert scans.apply(0).metrics().apply("numFiles").value() == 1
+    assert readers.find_results(spark, str(tmp_path), "=absent", schema).count() == 0
