@@ -286,3 +286,25 @@ def test_spectral_against_a_dense_solve(spark):
     want = np.linalg.eigh(a * d[:, None] * d[None, :])[1][:, ::-1][:, 1:7]
     mine = np.array([got[f"n{i:03d}"] for i in range(n)])
     assert np.allclose(np.abs((want * mine).sum(0)), 1, atol=1e-5)  # the same vectors up to their signs
+
+
+@pytest.mark.parametrize("block", [7, None])
+def test_correlation_edges_store_no_pairs(spark, monkeypatch, block):
+    """Thresholds and edges from passes over blocks are those of all pairs; ties, zeros and constant sides included."""
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(60, 9)), 1)
+    v[rng.random(v.shape) < 0.1] = np.nan
+    v[3], v[50] = 2.0, v[10]
+    names = [f"e{i}" for i in range(60)]
+    data = [(names[i], f"s{j}", float(v[i, j])) for i in range(60) for j in range(9) if not np.isnan(v[i, j])]
+    m = spark.createDataFrame(data, "entity string, sample string, value double")
+    pairs = correlation.pairwise_pearson(m, 6, block).toPandas()
+    r = pairs.r.dropna()
+    up, down = np.percentile(r[r > 0], 80), np.percentile(r[r < 0], 20)
+    assert correlation.matrix_thresholds(correlation.Blocks.of(m, 6, block)) == pytest.approx((up, down), abs=1e-12)
+    stored = []
+    monkeypatch.setattr(correlation, "written", lambda df, name, w=correlation.written: stored.append(name) or w(df, name))
+    got = {(e.source, e.target): (e.relation, e.weight) for e in correlation.correlation_edges(m, "p", "n").collect()}
+    kept = pairs[((pairs.r > 0) & (pairs.r >= up - 1e-12)) | ((pairs.r < 0) & (pairs.r <= down + 1e-12))]
+    assert set(got) == set(zip(kept.source, kept.target, strict=True)) and "correlations" not in stored
+    assert all(s < t for s, t in got) and got[("e10", "e50")] == ("p", pytest.approx(1.0))
