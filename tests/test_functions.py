@@ -61,3 +61,10 @@ def test_normal_tails(spark):
         true = 0.5 * math.erfc(abs(x) / math.sqrt(2))
         assert abs(fitted - true) < 2e-7 * true
         assert exact == true
+
+
+def test_sites_beside_letters_of_two_capitals_and_rare_blanks(spark):
+    """As in SQL: ß, ﬅ and ﬆ are no residues, ſ is one in any case, a vertical tab is no blank."""
+    texts = ["ß5 q S12", "ﬅ5 q S12", "ﬆ5 q S12", "aſ5", "Sſ5", "ſ5 q S12", "S\x0b5", "ſer 5", "s\t5"]
+    got = values(spark, texts, F.when(ids.has_one_site(F.col("x")), ids.normalize_site(F.col("x"))))
+    assert [g[0] for g in got] == ["S12", "S12", "S12", "S5", "S5", None, None, "S5", "S5"]
