@@ -308,3 +308,9 @@ def test_correlation_edges_store_no_pairs(spark, monkeypatch, block):
     kept = pairs[((pairs.r > 0) & (pairs.r >= up - 1e-12)) | ((pairs.r < 0) & (pairs.r <= down + 1e-12))]
     assert set(got) == set(zip(kept.source, kept.target, strict=True)) and "correlations" not in stored
     assert all(s < t for s, t in got) and got[("e10", "e50")] == ("p", pytest.approx(1.0))
+
+
+def test_mode_of_values_seen_at_once_is_the_least(spark):
+    data = [(k, v, 1) for v in ("c", "b", "a") for k in range(200)]
+    got = tables.most_common(spark.createDataFrame(data, "k int, v string, seq int"), ["k"], "v", "seq")
+    assert rows(got) == [(k, "a", 3) for k in range(200)]
