@@ -314,3 +314,28 @@ def test_mode_of_values_seen_at_once_is_the_least(spark):
     data = [(k, v, 1) for v in ("c", "b", "a") for k in range(200)]
     got = tables.most_common(spark.createDataFrame(data, "k int, v string, seq int"), ["k"], "v", "seq")
     assert rows(got) == [(k, "a", 3) for k in range(200)]
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_biased_walks_carry_no_neighbours(spark, directed):
+    """Step by step as the weights say, with triangles and loops; the plan's rows hold one name of the node before."""
+    rng = np.random.default_rng(8)
+    pairs = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 12, (45, 2))})
+    e = spark.createDataFrame(pairs, "source string, target string")
+    got = embedding.walks(e, 3, 6, directed=directed, p=0.5, q=2.0)
+    assert "back_nbrs" not in got._jdf.queryExecution().analyzed().toString()
+    both = set(pairs) | (set() if directed else {(b, a) for a, b in pairs})
+    nbrs = {n: sorted(b for a, b in both if a == n) for p in pairs for n in p}
+    steps = spark.range(3).select(F.col("id").cast("int").alias("walk")).crossJoin(spark.createDataFrame([(n,) for n in nbrs], "start string"))
+    shares = steps.select("start", "walk", *[embedding.uniform(42, F.col("start"), F.col("walk"), F.lit(s)).alias(f"u{s}") for s in range(1, 6)]).collect()
+    want = {}
+    for r in shares:
+        path = [r.start]
+        for s in range(1, 6):
+            here, back = nbrs[path[-1]], path[-2] if len(path) > 1 else None
+            if not here:
+                break
+            w = np.cumsum([1.0 if back is None else 2.0 if x == back else 1.0 if x in nbrs[back] else 0.5 for x in here])
+            path.append(here[min(int(np.searchsorted(w, r[f"u{s}"] * w[-1], "right")), len(here) - 1)])
+        want[r.start, r.walk] = path
+    assert {(r.start, r.walk): r.path for r in got.collect()} == want
