@@ -1,7 +1,8 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8, and what they link.
 
-Candidates come from MinHash bands: a pair at exactly 0.8 shares none of BANDS bands of ROWS with probability 7e-5, a closer
-pair less often. The buckets' links give components of candidates; the texts of each such component are brought together once
+Candidates come from SimHash fingerprints of the shingles within RADIUS bits of each other, found in the BK-trees of simhash, and,
+since pairs near 0.8 differ in more bits than trees can tell apart, from MinHash bands: a pair at exactly 0.8 shares none of BANDS
+bands of ROWS with probability 7e-5, a closer pair less often. Both kinds of links give components of candidates; the texts of each such component are brought together once
 and all its pairs are compared by their exact shingle sets. A component over its bounds is dealt out as pairs of bounded
 parts, which meet every pair of members; its cost grows with the square of its size.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .cells import U64, WordHashes, rolled, scrambled
 from .common import cut, text_bytes, text_key
-from .simhash import components
+from .simhash import RADIUS, components, shard_links, simhash
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 #: Bounds of what is compared in one go: documents, bytes of text.
@@ -53,30 +54,41 @@ def bands(found: np.ndarray) -> np.ndarray:
     return out
 
 
-MARKS = "node long, bands array<long>"
+MARKS = "node long, bands array<long>, fp long"
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, size, node, bands) of every row; texts alike in their words have one node, short ones have no bands."""
+    """(doc_id, text_key, size, node, bands, fp) of every row; texts alike in their words have one node, short ones have no bands and no fingerprint."""
 
     def each(texts: pa.Array) -> pa.Array:
-        hashed, nodes, found = WordHashes(), [], []
+        hashed, nodes, found, fps = WordHashes(), [], [], []
         for x in texts:
             words = x.as_py().lower().split()
             nodes.append(xxhash.xxh64_intdigest(b" ".join(words), 42))
             found.append(bands(shingles(words, hashed)).view(np.int64) if len(words) > SHINGLE else [])
-        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["node", "bands"])
+            fps.append(int(np.uint64(simhash(x.as_py(), SHINGLE)).view(np.int64)) if len(words) > SHINGLE else None)
+        return pa.StructArray.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64())), pa.array(fps, pa.int64())], ["node", "bands", "fp"])
 
     out = docs.select("doc_id", text_key().alias("text_key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.arrow_udf(each, MARKS)(text_bytes()).alias("m"))
-    return out.select("doc_id", "text_key", "size", "m.node", "m.bands")
+    return out.select("doc_id", "text_key", "size", "m.node", "m.bands", "m.fp")
+
+
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links that join all nodes whose fingerprints chains of steps of at most radius bits join."""
+    held = nodes.where("fp is not null").select("node", "fp")
+    leaders = cut(held.groupBy("fp").agg(F.min("node").alias("leader")))
+    same = held.join(leaders, "fp").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    one, other = (leaders.select(F.col("fp").alias(x), F.col("leader").alias(f"_{x}")) for x in "ab")
+    near = shard_links(leaders.select("fp"), radius).distinct().join(one, "a").join(other, "b")
+    return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(node, root): the components that shared bands link, all members listed; nodes has distinct values of node."""
+    """(node, root): the components that near fingerprints and shared bands link, all members listed; nodes has distinct values of node."""
     entries = nodes.select("node", F.posexplode("bands").alias("t", "k"))
     leaders = entries.groupBy("t", "k").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     links = entries.join(leaders, ["t", "k"]).where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    found = components(links)
+    found = components(links.unionByName(fingerprint_links(nodes)))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -143,7 +155,7 @@ def representatives(docs: DataFrame, group: int = GROUP, group_bytes: int = GROU
     """(doc_id, text_key) of one row for each component of near copies: that with the smallest id (a null one only where there is no other)."""
     rows = cut(marked(docs))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "size")
-    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("r"), F.first("bands").alias("bands")))
+    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("r"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
     members = cut(candidates(nodes).join(nodes, "node").select("node", "root", "r.doc_id", "r.text_key", "r.size"))
     roots = components(similar(docs, members, group, group_bytes))
     of = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")

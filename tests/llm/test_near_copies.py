@@ -67,3 +67,10 @@ def test_the_threshold_itself_is_similar():
     texts = [" ".join(w).encode() for w in (a, a[:-1] + ["z"], a[:-2] + ["z", "y"])]
     assert jaccard(a, a[:-1] + ["z"]) == 0.8 and jaccard(a, a[:-2] + ["z", "y"]) < 0.8
     assert sorted(near_copies.compared(texts[:2], WordHashes())) == [(0, 1)] and not near_copies.compared(texts[::2], WordHashes())
+
+
+def test_near_fingerprints_are_candidates_without_shared_bands(spark):
+    """By BK-trees within three bits, and by chains of them; equal fingerprints too."""
+    fps = [(1, 0), (2, 0b111), (3, 0b111111), (4, -1), (5, -1), (6, 0x5555555555555555), (7, None)]
+    nodes = spark.createDataFrame([(n, [], fp) for n, fp in fps], "node long, bands array<long>, fp long")
+    assert {tuple(r) for r in near_copies.candidates(nodes).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
