@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from .blocks import crossed, matrix
 from .evaluation import training_vectors
-from .ranking import COUNTS_SCHEMA, Counter, doubles, overlay, ranks_of_counts, true_candidates, with_categories, with_truth, with_truth_lists
+from .ranking import COUNTS_SCHEMA, Counter, Own, doubles, overlay, ranks_of_counts, true_candidates, with_categories, with_truth, with_truth_lists
 from .tables import numbered, union_all
 
 #: Training rows taken at once; trials refitted side by side.
@@ -460,11 +460,11 @@ def leave_one_out(positives: DataFrame, trials: DataFrame, cands: DataFrame, vec
     left = models.drop("kinase_node_id").join(true_candidates(trials, c), "site_node_id")
 
     def count(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
-        counter, sv, m = Counter(right), matrix(left.column("sv")), unpacked(left.column("model"))
+        counter, own, sv, m = Counter(right), Own(left.column("own")), matrix(left.column("sv")), unpacked(left.column("model"))
         scores = chance(linear_scores(matrix(right.column("vec")), sv, m))
-        for i, (trial, site, mine) in enumerate(zip(*(left.column(x).to_pylist() for x in ("trial_index", "site_node_id", "own")), strict=True)):
-            held = chance(linear_scores(np.array([t["vec"] for t in mine]), sv[i : i + 1], m[i : i + 1]))[0]
-            counter.add({"trial_index": trial, "site_node_id": site}, scores[i], mine, held)
+        for i, (key, begin, end) in enumerate(zip(zip(left.column("trial_index").to_pylist(), left.column("site_node_id").to_pylist(), strict=True), own.begins, own.ends, strict=True)):
+            held = chance(linear_scores(own.vecs[begin:end], sv[i : i + 1], m[i : i + 1]))[0]
+            counter.add(key, scores[i], own.names[begin:end], own.kinds[begin:end], held)
         return counter.batch([("trial_index", pa.int64()), ("site_node_id", pa.string())])
 
     group = ["trial_index", "site_node_id"]

@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -80,12 +81,12 @@ def top_candidates(scores: DataFrame, k: int) -> DataFrame:
 CATEGORIES = ("poor", "average", "rich")
 
 
-def _above(scores: np.ndarray, held: float, names_before: int, keep: np.ndarray | None = None) -> int:
-    """How many scores come before a held one: higher, or equal and by a name before its own; NaN comes last. keep: only those."""
-    keep = np.ones(len(scores), bool) if keep is None else keep
-    if np.isnan(held):
-        return int((keep & ~np.isnan(scores)).sum() + (keep & np.isnan(scores))[:names_before].sum())
-    return int((keep & (scores > held)).sum() + (keep & (scores == held))[:names_before].sum())
+def _before(scores: np.ndarray, held: np.ndarray, names_before: np.ndarray) -> np.ndarray:
+    """Which scores come before each held one: higher, or equal and by a name before its own (names_before: how many those are); NaN comes last."""
+    held, none = held[:, None], np.isnan(scores)[None, :]
+    lost = np.isnan(held)
+    equal = np.where(lost, none, scores == held) & (np.arange(len(scores)) < names_before[:, None])
+    return np.where(lost, ~none, scores > held) | equal
 
 
 _BEST = pa.struct([("none", pa.bool_()), ("less", pa.float64()), ("name", pa.string())])
@@ -107,33 +108,65 @@ def true_candidates(trials: DataFrame, candidates: DataFrame) -> DataFrame:
     return own.groupBy("site_node_id").agg(F.array_sort(F.collect_list(F.struct("kinase_node_id", "category", "vec"))).alias("own"))
 
 
+class Own:
+    """The true kinases of a block of sites, as true_candidates gives them: a site's are those from begin to end."""
+
+    def __init__(self, own: pa.Array):
+        self.ends = np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.begins = np.concatenate([[0], self.ends[:-1]])
+        names, kinds, vecs = pc.list_flatten(own).flatten()
+        self.names, self.kinds, self.vecs = np.array(names.to_pylist(), object), np.array(kinds.to_pylist(), object), matrix(vecs)
+
+
+#: Held-out kinases of a site that are counted at once.
+HELD = 256
+
+
 class Counter:
-    """Rows of counts for held-out kinases against one block of candidates (node_id, category), given scores of both."""
+    """Rows of counts for held-out kinases against one block of candidates (node_id, category), given scores of both; kept as columns."""
 
     def __init__(self, right: pa.RecordBatch):
-        self.names, self.kinds = right.column("node_id").to_pylist(), np.array(right.column("category").to_pylist())
-        self.masks = {"top": np.ones(len(self.names), bool), **{f"top_{x}": self.kinds == x for x in CATEGORIES}}
-        self.rows: list[dict] = []
-
-    def best(self, scores: np.ndarray, keep: np.ndarray) -> dict | None:
-        at = np.flatnonzero(keep)
+        self.names, self.kinds = right.column("node_id").to_pylist(), np.array(right.column("category").to_pylist(), object)
+        self.at = [np.arange(len(self.names)), *[np.flatnonzero(self.kinds == x) for x in CATEGORIES]]
+        self.keys: list[tuple] = []
+        self.own: list[tuple[np.ndarray, np.ndarray]] = []
+        self.counts: list[np.ndarray] = []
+        self.tops: list[tuple[list[int], list[float]]] = []
+        self.sizes: list[int] = []
+
+    def best(self, scores: np.ndarray, at: np.ndarray) -> int:
+        """The place of the best of those at, the first of equals; -1 if there are none."""
         if not len(at):
-            return None
-        i = int(at[0] if np.isnan(scores[at]).all() else at[np.nanargmax(scores[at])])
-        none = bool(np.isnan(scores[i]))
-        return {"none": none, "less": None if none else -float(scores[i]), "name": self.names[i]}
-
-    def add(self, keys: dict, scores: np.ndarray, mine: list[dict], held: np.ndarray) -> None:
-        """A row for each of mine: scores are those of the block, held those of mine."""
-        tops = {x: self.best(scores, m) for x, m in self.masks.items()}
-        own_kinds = np.array([t["category"] for t in mine])
-        for j, t in enumerate(mine):
-            before, kind = bisect_left(self.names, t["kinase_node_id"]), t["category"]
-            counts = (len(self.names), _above(scores, held[j], before), _above(held, held[j], j), _above(scores, held[j], before, self.kinds == kind), _above(held, held[j], j, own_kinds == kind))
-            self.rows.append({**keys, "kinase_node_id": t["kinase_node_id"], "category": kind, **dict(zip(_COUNTS, counts, strict=True)), **tops})
+            return -1
+        return int(at[0] if np.isnan(scores[at]).all() else at[np.nanargmax(scores[at])])
+
+    def add(self, keys: tuple, scores: np.ndarray, names: np.ndarray, kinds: np.ndarray, held: np.ndarray) -> None:
+        """A row for each of a site's true kinases (names, kinds): scores are those of the block, held those of the kinases."""
+        places = [self.best(scores, at) for at in self.at]
+        self.keys.append(keys)
+        self.own.append((names, kinds))
+        self.tops.append((places, [np.nan if i < 0 else -scores[i] for i in places]))
+        self.sizes.append(len(names))
+        for i in range(0, len(names), HELD):
+            h, kind = held[i : i + HELD], kinds[i : i + HELD, None]
+            all_before = _before(scores, h, np.array([bisect_left(self.names, x) for x in names[i : i + HELD]]))
+            own_before = _before(held, h, np.arange(i, i + len(h)))
+            counts = (all_before, own_before, all_before & (self.kinds == kind), own_before & (kinds == kind))
+            self.counts.append(np.stack([np.full(len(h), len(self.names)), *[c.sum(axis=1) for c in counts]]))
 
     def batch(self, keys: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist(self.rows, schema=pa.schema(keys + [(c, pa.string()) for c in ("kinase_node_id", "category")] + [(c, pa.int64()) for c in _COUNTS] + [(c, _BEST) for c in _TOPS]))
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        columns = [pa.array([k[i] for k in self.keys], t).take(pa.array(row)) for i, (_, t) in enumerate(keys)]
+        columns += [pa.array(np.concatenate([o[i] for o in self.own]) if self.own else [], pa.string()) for i in (0, 1)]
+        counts = np.concatenate(self.counts, axis=1) if self.counts else np.zeros((len(_COUNTS), 0), np.int64)
+        columns += [pa.array(c, pa.int64()) for c in counts]
+        names = pa.array(self.names, pa.string())
+        for i in range(len(_TOPS)):
+            place, less = np.array([t[0][i] for t in self.tops], np.int64)[row], np.array([t[1][i] for t in self.tops], float)[row]
+            none = np.isnan(less)
+            parts = [pa.array(none), pa.array(less, mask=none), names.take(pa.array(place, mask=place < 0))]
+            columns.append(pa.StructArray.from_arrays(parts, fields=list(_BEST), mask=pa.array(place < 0)))
+        return pa.RecordBatch.from_arrays(columns, [*[k for k, _ in keys], "kinase_node_id", "category", *_COUNTS, *_TOPS])
 
 
 COUNTS_SCHEMA = f"kinase_node_id string, category string, {', '.join(f'{c} long' for c in _COUNTS)}, {', '.join(f'{c} struct<none:boolean,less:double,name:string>' for c in _TOPS)}"
@@ -166,13 +199,13 @@ def held_out_ranks(vectors: DataFrame, slices: dict[str, tuple[int, int]], candi
     s = true_candidates(trials, c).join(doubles(vectors, "sv").withColumnRenamed("node_id", "site_node_id"), "site_node_id")
 
     def count(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
-        sv, kv, counter = matrix(left.column("sv")), matrix(right.column("vec")), Counter(right)
-        sites, owns = left.column("site_node_id").to_pylist(), left.column("own").to_pylist()
-        vecs = [np.array([t["vec"] for t in mine]) for mine in owns]
+        sv, kv, counter, own = matrix(left.column("sv")), matrix(right.column("vec")), Counter(right), Own(left.column("own"))
+        sites = left.column("site_node_id").to_pylist()
         for network, (a, b) in slices.items():
             scores = cosines(sv[:, a:b], kv[:, a:b])
-            for i, mine in enumerate(owns):
-                counter.add({"network": network, "site_node_id": sites[i]}, scores[i], mine, cosines(sv[i : i + 1, a:b], vecs[i][:, a:b])[0])
+            for i, (begin, end) in enumerate(zip(own.begins, own.ends, strict=True)):
+                held = cosines(sv[i : i + 1, a:b], own.vecs[begin:end, a:b])[0]
+                counter.add((network, sites[i]), scores[i], own.names[begin:end], own.kinds[begin:end], held)
         return counter.batch([("network", pa.string()), ("site_node_id", pa.string())])
 
     group = ["network", "site_node_id"]
