@@ -339,3 +339,22 @@ def test_biased_walks_carry_no_neighbours(spark, directed):
             path.append(here[min(int(np.searchsorted(w, r[f"u{s}"] * w[-1], "right")), len(here) - 1)])
         want[r.start, r.walk] = path
     assert {(r.start, r.walk): r.path for r in got.collect()} == want
+
+def test_spectral_of_two_sided_graphs(spark, monkeypatch):
+    """Only vectors of the fewer nodes are iterated; two-sided graphs of both directions have the vectors of a dense solve."""
+    rng = np.random.default_rng(8)
+    few, many = 30, 200
+    pairs = sorted({(int(rng.integers(0, few) ** 2 // few), j) for j in range(many) for _ in range(4)} | {(i, i) for i in range(few)})
+    asked, leading = [], embedding.leading_vectors
+    monkeypatch.setattr(embedding, "leading_vectors", lambda times, n, k, seed: asked.append(n) or leading(times, n, k, seed))
+    a = np.zeros((few + many, few + many))
+    for i, j in pairs:
+        a[i, few + j] = a[few + j, i] = 1
+    d = 1 / np.sqrt(a.sum(1))
+    want = np.linalg.eigh(a * d[:, None] * d[None, :])[1][:, ::-1][:, 1:5]
+    for turned in (False, True):
+        edges = spark.createDataFrame([(f"q{j:03d}", f"p{i:03d}") if turned else (f"p{i:03d}", f"q{j:03d}") for i, j in pairs], "source string, target string")
+        got = {r.node_id: r.vec for r in embedding.SpectralEmbedding(dimensions=4).fit(edges).collect()}
+        mine = np.array([got[f"p{i:03d}"] for i in range(few)] + [got[f"q{j:03d}"] for j in range(many)])
+        assert np.allclose(np.abs((want * mine).sum(0)), 1, atol=1e-5)
+    assert asked == [few, few]
