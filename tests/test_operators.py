@@ -358,3 +358,15 @@ def test_spectral_of_two_sided_graphs(spark, monkeypatch):
         mine = np.array([got[f"p{i:03d}"] for i in range(few)] + [got[f"q{j:03d}"] for j in range(many)])
         assert np.allclose(np.abs((want * mine).sum(0)), 1, atol=1e-5)
     assert asked == [few, few]
+
+
+def test_skip_gram_learns_large_corpora_in_partitions(spark, monkeypatch):
+    asked, word2vec = [], embedding.Word2Vec
+    monkeypatch.setattr(embedding, "Word2Vec", lambda **k: asked.append(k["numPartitions"]) or word2vec(**k))
+    edges = spark.createDataFrame([(f"a{i}", f"b{j}") for i in range(6) for j in range(6)], "source string, target string")
+    fit = lambda: {r.node_id: r.vec for r in embedding.WalkEmbedding(dimensions=4, directed=False).fit(edges).collect()}
+    assert len(fit()) == 12
+    monkeypatch.setattr(embedding, "WORDS", 1_000)  # of 3,000
+    got = fit()
+    assert len(got) == 12 and all(len(v) == 4 and np.isfinite(v).all() for v in got.values())
+    assert asked == [1, 3]
