@@ -34,6 +34,19 @@ def test_cliques_and_cap(spark):
     assert rows(tables.clique_pairs(df, "g", "i", 50)) == [("a", "b"), ("a", "c"), ("b", "c")]
 
 
+def test_cliques_by_brute_force_in_tasks_by_size(spark, monkeypatch):
+    """Pairs are dealt by their number, whatever the session says, and nothing hashes them; a group of one item more than the cap, with repeats, makes none."""
+    monkeypatch.setattr(tables, "ROWS", 10)
+    members = [(g, f"m{(g * 7 + k * k) % 13:02d}") for g in range(30) for k in range(g % 9)] + [(99, f"m{k % 6:02d}") for k in range(200)] + [(98, f"n{k % 5}") for k in range(200)]
+    groups = {}
+    for g, i in members:
+        groups.setdefault(g, set()).add(i)
+    want = sorted({(a, b) for s in groups.values() if 2 <= len(s) <= 5 for a in s for b in s if a < b})
+    got = tables.clique_pairs(spark.createDataFrame(members, "g long, i string"), "g", "i", 5)
+    assert rows(got) == want and got.rdd.getNumPartitions() > 4
+    assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_argmax_merge(spark):
     e = spark.createDataFrame([("x", "y", "r", 3, 1), ("x", "y", "r", 9, 2), ("x", "y", "r", 9, 3), ("u", "v", "r", None, 4)], "source string, target string, relation string, confidence_score int, seq int")
     assert rows(graph.merge_edges([e])) == [("u", "v", "r", None), ("x", "y", "r", 9)]
