@@ -47,6 +47,19 @@ def test_cliques_by_brute_force_in_tasks_by_size(spark, monkeypatch):
     assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_merged_edges_in_tasks_by_size(spark, monkeypatch):
+    """Edges are dealt by key before any is sorted; the earlier frame wins among equals, null confidence is lowest."""
+    monkeypatch.setattr(tables, "ROWS", 10)
+    a = spark.createDataFrame([(f"s{k % 20}", f"t{k % 7}", "r", k % 3, k) for k in range(100)], "source string, target string, relation string, confidence_score int, seq int")
+    b = a.select("source", "target", "relation")
+    got = graph.merge_edges([a, b, b])
+    best = {}
+    for k in range(100):
+        key = (f"s{k % 20}", f"t{k % 7}", "r")
+        best[key] = max(best.get(key, -1), k % 3)
+    assert rows(got) == sorted((*k, v) for k, v in best.items()) and got.rdd.getNumPartitions() == 30
+
+
 def test_argmax_merge(spark):
     e = spark.createDataFrame([("x", "y", "r", 3, 1), ("x", "y", "r", 9, 2), ("x", "y", "r", 9, 3), ("u", "v", "r", None, 4)], "source string, target string, relation string, confidence_score int, seq int")
     assert rows(graph.merge_edges([e])) == [("u", "v", "r", None), ("x", "y", "r", 9)]
