@@ -12,6 +12,8 @@ from .graph import PHOSPHORYLATES
 from .tables import numbered, seeded
 
 POOR, AVERAGE = 5, 20
+#: Candidates of a block, of which a site takes some.
+BLOCK = 64
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -55,8 +57,10 @@ def ordered_negatives(positives: DataFrame, cands: DataFrame, per_site: int = 50
     """(kinase_node_id, site_node_id): for each site with a positive, the first candidates that are none.
 
     ordered_head takes them by id; hash from a place that hangs on the site, round the candidates in a seeded order. Candidates are
-    numbered; which numbers a site takes is told by the numbers of its positives alone, so that just the rows kept are looked up.
+    numbered and packed in blocks; which numbers a site takes is told by the numbers of its positives alone, so that a site meets the
+    blocks it takes from, and rows are made where they meet. Blocks that many sites take from have copies, to which sites are dealt.
     """
+    spark = positives.sparkSession
     c = cands.select(F.col("node_id").alias("kinase_node_id")).distinct()
     if strategy == "ordered_head":
         c = numbered(c, ["kinase_node_id"], "_i")
@@ -64,16 +68,25 @@ def ordered_negatives(positives: DataFrame, cands: DataFrame, per_site: int = 50
         c = numbered(c.withColumn("_h", seeded(seed, "kinase_node_id")), ["_h", "kinase_node_id"], "_i").drop("_h")
     else:
         raise ValueError(f"unknown strategy: {strategy}")
+    n = max(1, c.count())
     own = positives.select("site_node_id", "kinase_node_id").join(c, "kinase_node_id", "left").groupBy("site_node_id").agg(F.collect_set("_i").alias("_own"))
     most = F.lit(per_site).cast("long") + F.size("_own")
+    tasks, n_blocks = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK)
     if strategy == "ordered_head":
-        numbers = F.sequence(F.lit(1).cast("long"), most)
+        numbers = F.sequence(F.lit(1).cast("long"), F.least(most, F.lit(n).cast("long")))
+        copies = F.when(F.col("_block") * BLOCK < per_site, tasks).otherwise(1)  # later blocks are taken from by sites of many positives alone
     else:
-        n = max(1, c.count())
         start = F.conv(F.substring(seeded(seed, "site_node_id"), 1, 8), 16, 10).cast("long")
         numbers = F.transform(F.sequence(F.lit(0).cast("long"), F.least(most, F.lit(n).cast("long")) - 1), lambda s: (start + s) % n + 1)
-    taken = own.select("site_node_id", F.explode(F.slice(F.array_except(numbers, "_own"), 1, per_site)).alias("_i"))
-    return taken.join(c, "_i").select("kinase_node_id", "site_node_id")
+        copies = F.lit(-(-tasks // n_blocks))
+    block = lambda i: F.floor((i - 1) / BLOCK)
+    taken = own.select("site_node_id", F.slice(F.array_except(numbers, "_own"), 1, per_site).alias("_taken"))
+    met = taken.select("site_node_id", "_taken", F.explode(F.array_distinct(F.transform("_taken", block))).alias("_block"))
+    places = F.transform(F.filter("_taken", lambda i: block(i) == F.col("_block")), lambda i: ((i - 1) % BLOCK).cast("short"))
+    met = met.select("site_node_id", "_block", places.alias("_places"), F.pmod(F.xxhash64("site_node_id"), copies).cast("int").alias("_copy"))
+    blocks = c.groupBy(block(F.col("_i")).alias("_block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "kinase_node_id"))), lambda x: x["kinase_node_id"]).alias("_names"))
+    blocks = blocks.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies.cast("int") - 1)))
+    return met.join(blocks, ["_block", "_copy"]).select(F.explode(F.transform("_places", lambda i: F.get("_names", i.cast("int")))).alias("kinase_node_id"), "site_node_id")
 
 
 def category(count: Column) -> Column:

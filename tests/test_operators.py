@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,24 @@ def test_negatives_categories_trials(spark):
         evaluation.ordered_negatives(pos, cands, 3, "other")
 
 
+def test_negatives_from_blocks(spark, monkeypatch):
+    """A site meets blocks of candidates, not one row for each candidate it takes; by brute force, over blocks and round the end."""
+    monkeypatch.setattr(evaluation, "BLOCK", 4)
+    names = [f"k{i:02d}" for i in range(30)]
+    pos = {(names[(7 * s + j) % 30], f"s{s}") for s in range(12) for j in range(s % 5 * 4 + 1)}
+    df = spark.createDataFrame(sorted(pos), "kinase_node_id string, site_node_id string")
+    cands = spark.createDataFrame([(x,) for x in names], "node_id string")
+    md5 = lambda x: hashlib.md5(f"42|{x}".encode()).hexdigest()
+    ring = sorted(names, key=md5)
+    for strategy in ("ordered_head", "hash"):
+        want = []
+        for s in sorted({s for _, s in pos}):
+            start = int(md5(s)[:8], 16) % 30 if strategy == "hash" else 0
+            order = ring[start:] + ring[:start] if strategy == "hash" else names
+            want += [(k, s) for k in [k for k in order if (k, s) not in pos][:6]]
+        assert rows(evaluation.ordered_negatives(df, cands, 6, strategy)) == sorted(want)
+
+
 def test_denominators(spark):
     r = spark.createDataFrame([(1,), (30,), (None,)], "r int").agg(metrics.hit_rate_ranked("r", 20), metrics.hit_rate_all("r", 20)).first()
     assert r[0] == 0.5 and abs(r[1] - 1 / 3) < 1e-12
