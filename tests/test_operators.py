@@ -110,6 +110,24 @@ def test_negatives_categories_trials(spark):
         evaluation.ordered_negatives(pos, cands, 3, "other")
 
 
+def test_walks_move_as_number_and_path(spark):
+    """The first step of undirected walks moves none; later ones shuffle a walk's number and path alone."""
+    e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("x", "x")], "source string, target string")
+    nbrs = {"a": ["b", "c"], "b": ["a", "d"], "c": ["a"], "d": ["b"], "x": ["x"]}
+    want = []
+    for s in nbrs:
+        for w in range(3):
+            path = [s]
+            for step in range(1, 5):
+                near = nbrs[path[-1]]
+                path.append(near[(31 * w + 17 * step + 42) % len(near)])
+            want.append((s, w, path))
+    assert rows(embedding.walks(e, 3, 5, directed=False, pick="arithmetic")) == sorted(want)
+    assert "Join" not in embedding.walks(e, 3, 2, directed=False)._jdf.queryExecution().optimizedPlan().toString()
+    ended = spark.createDataFrame([("a", "b"), ("b", "c")], "source string, target string")
+    assert rows(embedding.walks(ended, 1, 5)) == [("a", 0, ["a", "b", "c"]), ("b", 0, ["b", "c"]), ("c", 0, ["c"])]
+
+
 def test_negatives_from_blocks(spark, monkeypatch):
     """A site meets blocks of candidates, not one row for each candidate it takes; by brute force, over blocks and round the end."""
     monkeypatch.setattr(evaluation, "BLOCK", 4)
