@@ -434,3 +434,26 @@ def test_skip_gram_learns_large_corpora_in_partitions(spark, monkeypatch):
     got = fit()
     assert len(got) == 12 and all(len(v) == 4 and np.isfinite(v).all() for v in got.values())
     assert asked == [1, 3]
+
+
+def test_biased_walks_meet_no_list_of_a_hub(spark, monkeypatch):
+    """A hub's neighbours lie in several rows; walks over them, and over graphs with triangles and loops, go as the weights say."""
+    monkeypatch.setattr(embedding, "CHUNK", 4)
+    sides = [(f"h{i % 2}", f"x{i:02d}") for i in range(30)] + [(f"s{i % 5}", f"x{i:02d}") for i in range(30)]
+    for pairs, directed in ((sides, False), ([*sides, ("h0", "h1"), ("h0", "h0"), ("x00", "s0"), ("x01", "x01"), ("s0", "h0")], False), ([*sides, ("x00", "h0"), ("x00", "s0"), ("s0", "h0"), ("h0", "s0"), ("x02", "x02")], True)):
+        e = spark.createDataFrame(pairs, "source string, target string")
+        assert embedding.stepping_stones(e, directed, True).agg(F.max(F.size("of"))).first()[0] == 4
+        both = set(pairs) | (set() if directed else {(b, a) for a, b in pairs})
+        nbrs = {n: sorted(b for a, b in both if a == n) for p in pairs for n in p}
+        steps = spark.range(3).select(F.col("id").cast("int").alias("walk")).crossJoin(spark.createDataFrame([(n,) for n in nbrs], "start string"))
+        want = {}
+        for r in steps.select("start", "walk", *[embedding.uniform(42, F.col("start"), F.col("walk"), F.lit(s)).alias(f"u{s}") for s in range(1, 7)]).collect():
+            path = [r.start]
+            for s in range(1, 7):
+                here, back = nbrs[path[-1]], path[-2] if len(path) > 1 else None
+                if not here:
+                    break
+                w = np.cumsum([1.0 if back is None else 2.0 if x == back else 1.0 if x in nbrs[back] else 0.5 for x in here])
+                path.append(here[min(int(np.searchsorted(w, r[f"u{s}"] * w[-1], "right")), len(here) - 1)])
+            want[r.start, r.walk] = path
+        assert {(r.start, r.walk): r.path for r in embedding.walks(e, 3, 7, directed=directed, p=0.5, q=2.0).collect()} == want
