@@ -457,3 +457,29 @@ def test_biased_walks_meet_no_list_of_a_hub(spark, monkeypatch):
                 path.append(here[min(int(np.searchsorted(w, r[f"u{s}"] * w[-1], "right")), len(here) - 1)])
             want[r.start, r.walk] = path
         assert {(r.start, r.walk): r.path for r in embedding.walks(e, 3, 7, directed=directed, p=0.5, q=2.0).collect()} == want
+
+
+def test_spectral_restarts_keep_what_they_knew(spark, monkeypatch):
+    """Close eigenvalues and a shallow basis: a restart goes on from what it kept, with fewer products than starting again takes."""
+    n, k = 20_000, 5
+    values = np.concatenate([[1.0, 0.99, 0.99], 0.9 - np.arange(n - 3) ** (2 / 3) * 1e-3])
+    asked = []
+    monkeypatch.setattr(embedding, "BASIS_BYTES", 8 * n * (k + embedding.GUARD) * 10)
+    v = embedding.leading_vectors(lambda x: asked.append(1) or values[:, None] * x, n, k, 1)
+    assert np.abs(values[:, None] * v - v * (values @ (v * v))).max() < 1e-6 and np.allclose(values @ (v * v), values[:k], atol=1e-10)
+    assert np.abs(v.T @ v - np.eye(k)).max() < 1e-8 and len(asked) < 200
+
+
+def test_spectral_matrix_in_pieces(spark, monkeypatch):
+    """Images of a two-sided matrix are the same from one piece and from many, with hubs of more than 64 neighbours."""
+    rng = np.random.default_rng(4)
+    pairs = sorted({(int(rng.integers(0, 20) ** 2 // 20), j) for j in range(300) for _ in range(3)} | {(0, j) for j in range(200)} | {(i, i) for i in range(20)})
+    a = np.zeros((20, 300))
+    a[tuple(np.array(pairs).T)] = 1
+    b = a / np.sqrt(a.sum(1))[:, None] / np.sqrt(a.sum(0))[None, :]
+    x = rng.normal(size=(20, 7))
+    few = spark.createDataFrame([(f"p{i:02d}", i) for i in range(20)], "node string, i long")
+    edges = spark.createDataFrame([(f"p{i:02d}", f"q{j}") for i, j in pairs], "few string, many string")
+    for entries in (1_000_000, 50):
+        monkeypatch.setattr(embedding, "ENTRIES", entries)
+        assert np.allclose(embedding.TwoSided(few, 20, edges).times(x), b @ (b.T @ x), atol=1e-12)
