@@ -483,3 +483,18 @@ def test_spectral_matrix_in_pieces(spark, monkeypatch):
     for entries in (1_000_000, 50):
         monkeypatch.setattr(embedding, "ENTRIES", entries)
         assert np.allclose(embedding.TwoSided(few, 20, edges).times(x), b @ (b.T @ x), atol=1e-12)
+
+
+def test_skip_gram_of_large_vocabularies_leaves_the_driver(spark, monkeypatch):
+    """Beyond VOCABULARY tasks learn: nodes of one cluster are nearer to each other than to others, runs agree, and Spark's skip-gram isn't asked."""
+    monkeypatch.setattr(embedding, "VOCABULARY", 10)
+    monkeypatch.setattr(embedding, "WORDS", 4_000)
+    monkeypatch.setattr(embedding, "Word2Vec", None)
+    edges = spark.createDataFrame([(f"a{i}", f"b{j}") for i in range(20) for j in range(20) if i % 2 == j % 2] + [("a0", "b1")], "source string, target string")
+    fit = lambda: {r.node_id: np.array(r.vec) for r in embedding.WalkEmbedding(dimensions=8, directed=False, iterations=40).fit(edges).collect()}
+    got, again = fit(), fit()
+    assert len(got) == 40 and all(len(v) == 8 and (v == again[k]).all() for k, v in got.items())
+    v = {k: x / np.linalg.norm(x) for k, x in got.items()}
+    near = [v[a] @ v[b] for a in v for b in v if a < b and int(a[1:]) % 2 == int(b[1:]) % 2]
+    far = [v[a] @ v[b] for a in v for b in v if int(a[1:]) % 2 < int(b[1:]) % 2]
+    assert np.mean(near) > np.mean(far) + 0.3
