@@ -498,3 +498,41 @@ def test_skip_gram_of_large_vocabularies_leaves_the_driver(spark, monkeypatch):
     near = [v[a] @ v[b] for a in v for b in v if a < b and int(a[1:]) % 2 == int(b[1:]) % 2]
     far = [v[a] @ v[b] for a in v for b in v if int(a[1:]) % 2 < int(b[1:]) % 2]
     assert np.mean(near) > np.mean(far) + 0.3
+
+
+def test_correlation_moves_few_copies_of_a_large_matrix():
+    """Blocks, and so copies of the matrix in a pass, do not grow with the entities, and a block's values stay bounded."""
+    assert [-(-n // correlation.block_size(n, 30)) for n in (1, 1_500, 90_000, 540_000)] == [1, 16, 32, 32]
+    assert correlation.block_size(10_000_000, 30) * 30 * 8 <= correlation.BLOCK_BYTES
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(9, 8))
+    v[rng.random(v.shape) < 0.2] = np.nan
+    v[4] = 1.5
+    room: dict = {}
+    for _ in range(2):  # the same from arrays used again
+        n, r = correlation.moments(correlation.side(v[:5]), correlation.side(v[5:]), room)
+        for i in range(5):
+            for j in range(4):
+                both = ~np.isnan(v[i]) & ~np.isnan(v[5 + j])
+                assert n[i, j] == both.sum() and (np.isnan(r[i, j]) if i == 4 else abs(r[i, j] - np.corrcoef(v[i][both], v[5 + j][both])[0, 1]) < 1e-9)
+    assert len(room) == 1
+
+
+def test_thresholds_in_one_pass(spark, monkeypatch):
+    """The counting pass keeps the values of guessed bins; where the guess is wrong or there is none, one more pass has them. The result is that of all pairs."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(240, 12))
+    v[3], v[50] = 2.0, v[10]
+    m = spark.createDataFrame([(f"e{i}", f"s{j:02d}", float(v[i, j])) for i in range(240) for j in range(12)], "entity string, sample string, value double")
+    r = np.corrcoef(np.delete(v, 3, 0))[np.triu_indices(239, 1)]
+    want = np.percentile(r[r > 0], 80), np.percentile(r[r < 0], 20)
+    blocks, again = correlation.Blocks.of(m, 6), []
+    monkeypatch.setattr(correlation, "values_in", lambda b, k, f=correlation.values_in: again.append(k) or f(b, k))
+    right = sorted({int((w + 1) / 2 * correlation.BINS) + k for w in want for k in (-2, -1, 0, 1, 2)})
+    for bins, passes in ((right, 0), ([3], 1), ([], 2), (None, 3)):
+        with monkeypatch.context() as patch:
+            if bins is not None:
+                patch.setattr(correlation, "guessed", lambda counts, percentile, bins=bins: bins)
+            assert correlation.matrix_thresholds(blocks) == pytest.approx(want, abs=1e-12) and len(again) == passes
+    counts = spark.createDataFrame([(up, k, None, 100_000) for up in (True, False) for k in range(4096 * up, 4096 * up + 4000, 100)], "up boolean, bin int, r double, n long")
+    assert correlation.guessed(counts, 80.0) == [700, 800, 7196, 7296]
